@@ -193,7 +193,7 @@ def _drop_by_index(spark, sf):
     """SELECT CAST(NULL AS DOUBLE) AS discount, c_mktsegment, c_acctbal FROM customer""",
 )
 def _reindex(spark, sf):
-    training = T._parse_datatype_string("discount double, c_mktsegment string, c_acctbal double")
+    training = T.StructType.fromDDL("discount double, c_mktsegment string, c_acctbal double")
     return ds.reindex_columns(table(spark, sf, "customer"), training)
 
 
@@ -311,7 +311,7 @@ def _numerical(spark, sf):
 def _cast_schema(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return sc.cast_schema(
-        rows, T._parse_datatype_string("l_orderkey string, l_linenumber bigint, l_quantity bigint")
+        rows, T.StructType.fromDDL("l_orderkey string, l_linenumber bigint, l_quantity bigint")
     )
 
 

@@ -3,6 +3,7 @@
 from .scalars import (
     argmax,
     attention_mask,
+    bind,
     display_split,
     feature_label,
     format_timestamp,
@@ -13,11 +14,13 @@ from .scalars import (
     run_status,
     softmax,
     two_decimals,
+    word_ngrams,
 )
 
 __all__ = [
     "argmax",
     "attention_mask",
+    "bind",
     "display_split",
     "feature_label",
     "format_timestamp",
@@ -28,4 +31,5 @@ __all__ = [
     "run_status",
     "softmax",
     "two_decimals",
+    "word_ngrams",
 ]

@@ -16,6 +16,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``; a plain reference inside a lambda
+    would be evaluated again for every array element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def argmax(values) -> Column:
     """0-based position of the largest element; the first one wins a tie."""
     v = _col(values)
@@ -25,10 +31,13 @@ def argmax(values) -> Column:
 def softmax(logits) -> Column:
     """Probabilities from logits, shifted by the maximum so that ``exp`` cannot overflow."""
     v = _col(logits)
-    top = F.array_max(v)
-    powers = F.transform(v, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+    powers = bind(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+
+    def normalise(p: Column) -> Column:
+        total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+        return bind(total, lambda t: F.transform(p, lambda x: x / t))
+
+    return bind(powers, normalise)
 
 
 def round3(x) -> Column:
@@ -100,3 +109,16 @@ def attention_mask(ids, length: int) -> Column:
     """1 for a real token, 0 for padding, same length as ``pad_ids``."""
     real = F.least(F.size(_col(ids)), F.lit(length))
     return F.concat(F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), F.lit(length) - real))
+
+
+def word_ngrams(words, n: int) -> Column:
+    """All runs of ``n`` consecutive words of an array, joined by a blank."""
+    w = _col(words)
+    if n == 1:
+        return w
+
+    def gram(first: Column, i: Column) -> Column:
+        return F.concat_ws(" ", first, *[F.get(w, i + k) for k in range(1, n)])
+
+    starts = F.slice(w, 1, F.greatest(F.size(w) - n + 1, F.lit(0)))
+    return F.transform(starts, gram)

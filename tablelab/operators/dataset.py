@@ -90,7 +90,7 @@ def from_rows(spark: SparkSession, rows, schema=None) -> DataFrame:
     numbered = [{**r, ROW_ID: i, SPLIT: "train"} for i, r in enumerate(rows)]
     if schema is not None:
         schema = T.StructType(
-            [*T._parse_datatype_string(schema).fields, T.StructField(ROW_ID, T.LongType()),
+            [*T.StructType.fromDDL(schema).fields, T.StructField(ROW_ID, T.LongType()),
              T.StructField(SPLIT, T.StringType())]
         )
         return spark.createDataFrame(numbered, schema)
