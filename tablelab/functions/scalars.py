@@ -46,7 +46,7 @@ def round3(x) -> Column:
 
 
 def two_decimals(x) -> Column:
-    """A number as text with exactly two decimals."""
+    """A number as text with exactly two decimals, halves of its shortest decimal form going up."""
     return F.format_string("%.2f", _col(x).cast("double"))
 
 

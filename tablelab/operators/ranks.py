@@ -43,7 +43,8 @@ def cut_points(
 
     ``positions(n)`` gives the wanted row counts for a stratum of ``n`` rows. Returns
     ``{stratum: [cut, ...]}``: the rows whose key is below ``cut`` are the first ``position`` ones.
-    Each pass reads the key columns only and returns at most ``16**digits`` counts per open cut.
+    Each pass reads the key columns only. The first returns at most 256 counts per stratum, later
+    ones at most ``16**digits`` per open cut.
     """
     stratum = F.lit("") if stratum is None else stratum.cast("string")
     keys = df.select(F.coalesce(stratum, F.lit("")).alias("s"), key.alias("k"))
@@ -58,7 +59,7 @@ def cut_points(
             inside = F.concat(F.col("s"), F.lit("\x00"), F.substring("k", 1, width))
             rows = keys.filter(inside.isin(wanted))
         first = width == 0
-        width += digits
+        width += 2 if first else digits
         counted = rows.groupBy("s", F.substring("k", 1, width).alias("p")).count()
         by_stratum: dict = {}
         for s, p, n in counted.collect():
