@@ -56,7 +56,7 @@ _PDP_SQL = f"""
 
 @query("pdp_linear", _PDP_SQL)
 def _pdp(spark, sf):
-    rows = lineitem_dataset(spark, sf)
+    rows = lineitem_dataset(spark, sf).persist()
     return ex.partial_dependence(softmax_scorer, rows, INPUTS, NAMES).drop("grid_text")
 
 
@@ -147,15 +147,15 @@ def _shap_sql(formula, source=_TRAIN_SQL, link="p"):
       pred AS (SELECT id, max(p) FILTER (WHERE class = 0) AS p0, max(p) FILTER (WHERE class = 1) AS p1
                FROM v WHERE s = 7 GROUP BY 1)
       SELECT id AS instance_id, class, ['c_acctbal', 'c_nationkey', 'c_custkey'][j + 1] AS feature,
-        round_even(phi, 3) AS shap, round(p0, 9) AS p_low, round(p1, 9) AS p_high
+        round_even(phi, 3) AS shap, round(p0, 6) AS p_low, round(p1, 6) AS p_high
       FROM phi JOIN pred USING (id)"""
 
 
-def _shown(explained):
+def _shown(explained, digits=6):
     return explained.select(
         "instance_id", "class", "feature", "shap",
-        F.round(F.get("model_prediction", F.lit(0)), 9).alias("p_low"),
-        F.round(F.get("model_prediction", F.lit(1)), 9).alias("p_high"),
+        F.round(F.get("model_prediction", F.lit(0)), digits).alias("p_low"),
+        F.round(F.get("model_prediction", F.lit(1)), digits).alias("p_high"),
     )
 
 
@@ -174,7 +174,7 @@ _OWN = {"c_acctbal": "0.00005 * c_acctbal", "c_nationkey": "0.01 * c_nationkey",
        FROM phi JOIN customer ON c_custkey = id, (VALUES (0), (1)) AS k(class)""",
 )
 def _shap_linear(spark, sf):
-    return _shown(_shap(spark, sf, _LINEAR)[1])
+    return _shown(_shap(spark, sf, _LINEAR)[1], digits=9)
 
 
 @query("shap_logistic", _shap_sql(_CURVE))
@@ -212,7 +212,7 @@ _TOP_SQL = f"""
 @query("shap_top_others", _TOP_SQL)
 def _top(spark, sf):
     out = ex.top_contributions(_shap(spark, sf, _CURVE)[1], 1)
-    return out.withColumn("probability", F.round("probability", 9)).drop("value")
+    return out.withColumn("probability", F.round("probability", 6)).drop("value")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tablelab import ROW_ID, SPLIT
-from tablelab.catalog.registry import query, table
+from tablelab.catalog.registry import deal, query, table
 from tablelab.models import fit, fit_text, load, save, score
 from tablelab.models.classifiers import FEATURES
 from tablelab.models.knn import fit_knn
@@ -21,7 +21,7 @@ INPUTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def lineitem_dataset(spark, sf, label="l_returnflag"):
-    rows = with_row_ids(table(spark, sf, "lineitem")).select(ROW_ID, *INPUTS, label)
+    rows = deal(with_row_ids(table(spark, sf, "lineitem")).select(ROW_ID, *INPUTS, label))
     return encode_label(split_exact(rows, 0.6, 0.2, 0.2, seed=11), label)
 
 
@@ -172,7 +172,7 @@ def _svc_poly(spark, sf):
 def quality_dataset(spark, sf):
     """Documents with a quality label, split."""
     labels = table(spark, sf, "labels").select("doc_id", "quality")
-    documents = table(spark, sf, "documents").select("doc_id", "text")
+    documents = deal(table(spark, sf, "documents").select("doc_id", "text"))
     rows = labels.join(documents, "doc_id").withColumnRenamed("doc_id", ROW_ID)
     return encode_label(split_exact(rows, 0.6, 0.2, 0.2, seed=3), "quality")
 

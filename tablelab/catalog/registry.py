@@ -24,5 +24,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def deal(df: DataFrame) -> DataFrame:
+    """Spread a table over all cores when it has fewer files than cores, as the test tables have;
+    a table of many files is left where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -12,7 +12,7 @@ _RUNS_SQL = """runs AS (SELECT o_orderkey AS run_id, o_custkey AS experiment_id,
 _METRICS_SQL = """metrics AS (SELECT l_orderkey AS run_id,
     CASE l_returnflag WHEN 'A' THEN 'train' WHEN 'N' THEN 'test' ELSE 'validation' END AS split,
     CASE l_linestatus WHEN 'F' THEN 'F1' ELSE 'Accuracy' END AS metric,
-    1 - avg(l_discount * 3.7123 + l_tax / 7) AS value FROM lineitem GROUP BY ALL)"""
+    1 - avg(l_discount * 3.7123 + l_tax / 7.0301) AS value FROM lineitem GROUP BY ALL)"""
 _EXPERIMENTS_SQL = """experiments AS (SELECT c_custkey AS experiment_id, c_name AS experiment_name,
     c_mktsegment AS task, c_nationkey AS dataset_id FROM customer)"""
 
@@ -32,7 +32,7 @@ def _metrics(spark, sf):
     return (
         table(spark, sf, "lineitem")
         .groupBy(F.col("l_orderkey").alias("run_id"), split.otherwise("validation").alias("split"), metric.alias("metric"))
-        .agg((1 - F.avg(F.col("l_discount") * 3.7123 + F.col("l_tax") / 7)).alias("value"))
+        .agg((1 - F.avg(F.col("l_discount") * 3.7123 + F.col("l_tax") / 7.0301)).alias("value"))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablelab import ROW_ID, SPLIT
-from tablelab.catalog.registry import query, table
+from tablelab.catalog.registry import deal, query, table
 from tablelab.functions import argmax, attention_mask, pad_ids, softmax
 from tablelab.operators.dataset import with_row_ids
 from tablelab.operators.metrics import (
@@ -58,9 +58,9 @@ def metrics_sql(source: str, by: str, macro: bool) -> str:
 
 
 def _scored_lineitem(spark, sf):
-    rows = with_row_ids(table(spark, sf, "lineitem")).select(
+    rows = deal(with_row_ids(table(spark, sf, "lineitem")).select(
         ROW_ID, "l_returnflag", *[F.expr(e).alias(f"z{i}") for i, e in enumerate(_LOGITS)]
-    )
+    ))
     labelled = encode_label(split_exact(rows, 0.6, 0.2, 0.2, seed=11), "l_returnflag")
     return with_predicted_class(
         labelled.withColumn("probability", softmax(F.array("z0", "z1", "z2")))

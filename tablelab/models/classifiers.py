@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tablelab.models.knn import fit_knn
 from tablelab.models.stages import ClassProbabilities, PriorProbabilities, RandomFourierFeatures
-from tablelab.operators.features import assemble, bag_of_words
+from tablelab.operators.features import assemble, bag_of_words, check_vocabulary
 from tablelab.operators.schema import class_names
 
 FEATURES = "_features"
@@ -215,6 +215,7 @@ def _fit(df, features: list, name: str, params: dict | None, output: str) -> Pip
         raise ValueError(f"{name} is not a classifier; choose from {', '.join(CLASSIFIERS)}")
     k = len(class_names(df, output))
     prepared = Pipeline(stages=features).fit(df)
+    check_vocabulary(df.sparkSession, prepared.stages)
     rows = prepared.transform(df).filter(F.col(output).isNotNull())
     stages = CLASSIFIERS[name](rows, output, k, **(params or {}))
     return PipelineModel([*prepared.stages, *stages])
@@ -234,7 +235,7 @@ def fit_text(
     ngram_min_n: int = 1, ngram_max_n: int = 1,
 ) -> PipelineModel:
     """Fit any classifier on the bag of words of a text column."""
-    return _fit(df, bag_of_words(df, text, ngram_min_n, ngram_max_n, FEATURES), name, params, output)
+    return _fit(df, bag_of_words(text, ngram_min_n, ngram_max_n, FEATURES), name, params, output)
 
 
 def save(model: PipelineModel, path: str) -> None:

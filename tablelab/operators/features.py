@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Transformer
 from pyspark.ml.feature import (
+    CountVectorizer,
     CountVectorizerModel,
     NGram,
     RegexTokenizer,
@@ -14,14 +14,14 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelab import ROW_ID
 from tablelab.functions import bind, word_ngrams
 from tablelab.operators.ranks import sorted_index
-from tablelab.session import MAX_VOCABULARY, materialize
+from tablelab.session import MAX_VOCABULARY, materialize, spread
 
 # Fixed value: a token is a run of two or more letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -59,46 +59,43 @@ def term_counts(
 ) -> DataFrame:
     """Sparse bag of words in long form: ``(row id, index, n)``; terms outside the vocabulary drop.
 
-    Counts are combined per row before the join, so a frequent term meets the vocabulary at most
-    once per row; what skew is left, AQE splits (the vocabulary side is one row per term).
+    Texts are dealt out by row id, so that counting per (row, term) needs no shuffle of terms. A
+    frequent term then meets the vocabulary at most once per row; the planner broadcasts a small
+    vocabulary by its own size check, and AQE splits the hot terms of a large one.
     """
     counted = (
-        df.select(row_id, F.explode(terms(text, min_n, max_n)).alias("term"))
+        spread(df.select(row_id, text), row_id)
+        .select(row_id, F.explode(terms(text, min_n, max_n)).alias("term"))
         .groupBy(row_id, "term")
         .agg(F.count("*").alias("n"))
     )
     return counted.join(vocab, "term").select(row_id, "index", "n")
 
 
-def bag_of_words(
-    df: DataFrame, text: str, min_n: int = 1, max_n: int = 1, out: str = "features"
-) -> list[Transformer]:
-    """Pipeline stages from a text column to a sparse count vector, vocabulary taken from ``df``.
+def bag_of_words(text: str, min_n: int = 1, max_n: int = 1, out: str = "features") -> list:
+    """Pipeline stages from a text column to a sparse vector of term counts.
 
-    ML models keep one coefficient per term on the driver, so the vocabulary has to fit there;
-    ``vocabulary`` and ``term_counts`` have no such limit.
+    The vocabulary is taken from the rows the pipeline is fitted on. ML models keep one coefficient
+    per term on the driver, so it has to fit there (``check_vocabulary``); ``vocabulary`` and
+    ``term_counts`` have no such limit. Terms are in no particular order, which no score depends on.
     """
-    distinct = df.select(F.explode(terms(text, min_n, max_n)).alias("term")).distinct()
-    found = distinct.limit(MAX_VOCABULARY + 1).collect()
-    if len(found) > MAX_VOCABULARY:
-        raise ValueError(f"more than {MAX_VOCABULARY} terms: too many coefficients for one model")
-    if not found:
-        raise ValueError("empty vocabulary; perhaps the texts only hold one-letter words")
-    stages: list[Transformer] = [
-        RegexTokenizer(inputCol=text, outputCol="_words", gaps=False, pattern=TOKEN, minTokenLength=1)
-    ]
     names = [f"_grams{n}" for n in range(min_n, max_n + 1)]
-    stages += [
-        NGram(n=n, inputCol="_words", outputCol=name)
-        for n, name in zip(range(min_n, max_n + 1), names)
+    return [
+        RegexTokenizer(inputCol=text, outputCol="_words", gaps=False, pattern=TOKEN, minTokenLength=1),
+        *[NGram(n=n, inputCol="_words", outputCol=f"_grams{n}") for n in range(min_n, max_n + 1)],
+        SQLTransformer(statement=f"SELECT *, concat({', '.join(names)}) AS _terms FROM __THIS__"),
+        CountVectorizer(inputCol="_terms", outputCol=out, vocabSize=MAX_VOCABULARY),
     ]
-    stages.append(SQLTransformer(statement=f"SELECT *, concat({', '.join(names)}) AS _terms FROM __THIS__"))
-    stages.append(
-        CountVectorizerModel.from_vocabulary(
-            sorted((r[0] for r in found), key=lambda t: t.encode()), inputCol="_terms", outputCol=out
-        )
-    )
-    return stages
+
+
+def check_vocabulary(spark: SparkSession, stages: list) -> None:
+    """A vocabulary that was cut at the limit is an error, never a silently smaller model."""
+    for stage in stages:
+        if isinstance(stage, CountVectorizerModel):
+            empty = spark.createDataFrame([([],)], f"{stage.getInputCol()} array<string>")
+            size = stage.transform(empty).first()[stage.getOutputCol()].size
+            if size >= MAX_VOCABULARY:
+                raise ValueError(f"{MAX_VOCABULARY} terms or more: too many for one model")
 
 
 def assemble(df: DataFrame, inputs: list[str], out: str = "features") -> list:

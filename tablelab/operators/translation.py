@@ -59,13 +59,18 @@ def ngram_matches(
 ) -> DataFrame:
     """Clipped matches and totals per n-gram order for every group: one row per group.
 
-    N-grams are counted per (row, order, text); a row is one sentence pair, so no key is hot, and
-    equal n-grams of a row are combined before the shuffle.
+    The pairs are dealt out by row id once. N-grams are then counted where they are made, because
+    rows with equal (row, order, text) already share a task: only the texts are ever shuffled, not
+    the many times larger set of n-grams.
     """
     by = by or []
-    tokens = df.select(
-        *by, F.col(row_id).alias("_id"),
-        tokens_13a(candidate).alias("_c"), tokens_13a(reference).alias("_r"),
+    pairs = spread(
+        df.select(*by, F.col(row_id).alias("_id"), F.col(candidate).alias("_ct"), F.col(reference).alias("_rt")),
+        "_id",
+    )
+    tokens = pairs.select(
+        *by, "_id",
+        tokens_13a("_ct").alias("_c"), tokens_13a("_rt").alias("_r"),
     )
     sides = [
         _tagged(side, n, side == "_c") for n in range(1, MAX_ORDER + 1) for side in ("_c", "_r")

@@ -16,9 +16,9 @@ def _finish(df: DataFrame, splits_in_folders: bool) -> DataFrame:
     return out.withColumn("split", split_of(F.col(SOURCE_FILE))) if splits_in_folders else out
 
 
-def _require_rows(df: DataFrame, path) -> DataFrame:
+def _require_columns(df: DataFrame, path, kind: str) -> DataFrame:
     if not df.columns:
-        raise ValueError(f"Error trying to load the dataset: {path} holds no columns")
+        raise ValueError(f"Error trying to load the {kind} dataset: {path} holds no columns")
     return df
 
 
@@ -44,7 +44,7 @@ def read_csv(
         reader = reader.options(inferSchema=True, samplingRatio=sampling_ratio)
     else:
         reader = reader.schema(schema)
-    out = _finish(_require_rows(reader.csv(path), path), splits_in_folders)
+    out = _finish(_require_columns(reader.csv(path), path, "CSV"), splits_in_folders)
     return out if keep_source else _plain(out)
 
 
@@ -100,7 +100,7 @@ def read_json(
             raise ValueError(f"Error trying to load the JSON dataset: {path} holds no records")
         out = out.select(*kept, F.explode(F.col(f"`{data_key}`")).alias("_r")).select(*kept, "_r.*")
     else:
-        out = _finish(_require_rows(rows, path), splits_in_folders)
+        out = _finish(_require_columns(rows, path, "JSON"), splits_in_folders)
         kept = [c for c in ("_src", "_blk", "split") if c in out.columns]
     out = _ordered(out, order, kept)
     return out if keep_source else _plain(out)
@@ -116,7 +116,7 @@ def read_json_lines(
     order = _key_order(F.col("value"), texts)
     if schema is not None:
         reader = reader.schema(schema)
-    out = _finish(_require_rows(reader.json(path), path), splits_in_folders)
+    out = _finish(_require_columns(reader.json(path), path, "JSON"), splits_in_folders)
     kept = [c for c in ("_src", "_blk", "split") if c in out.columns]
     out = _ordered(out, order, kept)
     return out if keep_source else _plain(out)
