@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tablelab import ROW_ID
 from tablelab.functions import bind, word_ngrams
 from tablelab.operators.ranks import sorted_index
-from tablelab.session import MAX_VOCABULARY, materialize, spread
+from tablelab.session import MAX_VOCABULARY, spread
 
 # Fixed value: a token is a run of two or more letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -45,13 +45,9 @@ def terms(text: str | Column, min_n: int = 1, max_n: int = 1) -> Column:
 
 
 def vocabulary(df: DataFrame, text: str, min_n: int = 1, max_n: int = 1) -> DataFrame:
-    """Distinct terms with their position in sorted order, as a table of any size.
-
-    The distinct terms are written out once: ranking them reads them more than once, and the texts
-    should not be split into words again each time.
-    """
+    """Distinct terms with their position in sorted order, as a table of any size."""
     distinct = df.select(F.explode(terms(text, min_n, max_n)).alias("term")).distinct()
-    return sorted_index(materialize(distinct, "terms"), "term")
+    return sorted_index(distinct, "term")
 
 
 def term_counts(

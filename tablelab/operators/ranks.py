@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelab import ROW_ID
+from tablelab.operators.dataset import with_row_ids
+from tablelab.session import materialize
 
 # Above every hexadecimal digit: a cut that no key reaches.
 PAST_THE_END = "~"
@@ -123,28 +125,11 @@ def hash_rank(
 
 
 def sorted_index(df: DataFrame, column: str, out: str = "index") -> DataFrame:
-    """0-based position of each (distinct) text value in code point order.
+    """0-based position of each (distinct) value in sort order.
 
-    Two levels of prefixes: the first character (at most as many as Unicode has) and the first
-    three; a window then only covers the values that share three characters.
+    The values are range-partitioned, sorted and written once; distinct values always divide into
+    even ranges, however many share a prefix. The position is then file order plus row number, both
+    read from the scan, so nothing is ranked in a window.
     """
-    tagged = df.withColumn("_p1", F.substring(column, 1, 1)).withColumn(
-        "_p3", F.substring(column, 1, 3)
-    )
-    counts = tagged.groupBy("_p1", "_p3").count()
-    before = (Window.unboundedPreceding, -1)
-    tops = counts.groupBy("_p1").agg(F.sum("count").alias("_n")).select(
-        "_p1",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_p1").rowsBetween(*before)), F.lit(0)).alias("_b1"),
-    )
-    inner = Window.partitionBy("_p1").orderBy("_p3").rowsBetween(*before)
-    offsets = counts.select(
-        "_p1", "_p3", F.coalesce(F.sum("count").over(inner), F.lit(0)).alias("_b3")
-    ).join(tops, "_p1")
-    place = F.row_number().over(Window.partitionBy("_p1", "_p3").orderBy(column))
-    return (
-        tagged.withColumn("_pos", place)
-        .join(offsets, ["_p1", "_p3"])
-        .withColumn(out, (F.col("_pos") - 1 + F.col("_b1") + F.col("_b3")).cast("long"))
-        .drop("_p1", "_p3", "_pos", "_b1", "_b3")
-    )
+    ordered = df.repartitionByRange(column).sortWithinPartitions(column)
+    return with_row_ids(materialize(ordered, "sorted"), out)
