@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from tablelab import ROW_ID
 from tablelab.operators.ranks import hash_key
-from tablelab.session import materialize, spread
+from tablelab.session import broadcast_small, materialize, spread
 
 BROADCAST_BYTES = 256 << 20
 PIVOTS = 256
@@ -199,7 +199,7 @@ class KnnModel(Model, MLReadable, MLWritable):
             [(int(c), int(b)) for c, b in zip(cells, blocks)], "cell int, blocks long"
         )
         points = (
-            placed.join(per_cell, "cell")
+            placed.join(broadcast_small(per_cell, len(cells)), "cell")
             .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
             .withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_groups - 1).cast("long"))))
             .select("cell", "block", "g", "id", "x", "y")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelab import ROW_ID, SPLIT
+from tablelab.session import broadcast_small
 
 RESERVED = (ROW_ID, SPLIT)
 
@@ -34,7 +35,7 @@ def with_row_ids(df: DataFrame, out: str = ROW_ID) -> DataFrame:
         total += n
     offsets = df.sparkSession.createDataFrame(starts, "_file string, _start long")
     return (
-        located.join(offsets, "_file")
+        located.join(broadcast_small(offsets, len(files)), "_file")
         .withColumn(out, (F.col("_start") + F.col("_at")).cast("long"))
         .select(*df.columns, out)
     )

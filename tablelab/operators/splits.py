@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablelab import ROW_ID, SPLIT
 from tablelab.operators.dataset import ids_in_ranges
 from tablelab.operators.ranks import cut_points, hash_key, id_key
-from tablelab.session import MAX_CLASSES
+from tablelab.session import MAX_CLASSES, broadcast_small
 
 
 def check_split_values(train: float, test: float, validation: float) -> None:
@@ -73,7 +73,7 @@ def split_exact(
     )
     tagged = df.withColumn("_s", F.coalesce(F.col(stratify).cast("string"), F.lit("")))
     return (
-        tagged.join(cuts, "_s", "left")
+        tagged.join(broadcast_small(cuts, len(found)), "_s", "left")
         .withColumn(SPLIT, _named(key, F.col("_first"), F.col("_second")))
         .drop("_s", "_first", "_second")
     )

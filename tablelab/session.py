@@ -7,11 +7,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Upper bounds on what may be held by the driver or copied to every executor.
 MAX_CLASSES = 10_000
 MAX_LITERAL_ROWS = 2_000
 MAX_VOCABULARY = 1 << 20
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,12 @@ def materialize(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_small(df, rows: int):
+    """Broadcast a table whose row count is known and within the limit; otherwise leave the choice
+    to the planner, which then shuffles."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+
+
 def spread(df, *keys: str):
     """Deal rows out to all cores, for steps whose work per row far outweighs moving the row."""
     spark = df.sparkSession

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablelab import ROW_ID, SPLIT
 from tablelab.operators.dataset import as_dataset
 from tablelab.operators.splits import resplit
-from tablelab.session import materialize
+from tablelab.session import broadcast_small, materialize
 from tablelab.sources.excel import read_excel
 from tablelab.sources.folders import SOURCE_BLOCK, SOURCE_FILE
 from tablelab.sources.text_formats import read_csv, read_json, read_json_lines
@@ -40,7 +40,8 @@ def with_source_order(staged: DataFrame) -> DataFrame:
     """Dense ids in (file, place in the file) order for staged rows that know their source.
 
     A source block lies in one run of rows of a staged file, so the id is the block's start plus
-    the offset inside the run. Only one row per block is ever sorted.
+    the offset inside the run. Only one row per block is ever sorted; that list is broadcast while
+    it has at most a million rows (some 100 TB of blocks).
     """
     key = ["_staged", SOURCE_FILE, SOURCE_BLOCK]
     rows = staged.select(
@@ -50,8 +51,9 @@ def with_source_order(staged: DataFrame) -> DataFrame:
     order = Window.orderBy(SOURCE_FILE, SOURCE_BLOCK, "_staged", "_first")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.select(*key, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = materialize(starts, "blocks")
     names = [c for c in staged.columns if c not in (SOURCE_FILE, SOURCE_BLOCK)]
-    return rows.join(starts, key).select(
+    return rows.join(broadcast_small(starts, starts.count()), key).select(
         *names, (F.col("_start") + F.col("_at") - F.col("_first")).cast("long").alias(ROW_ID)
     )
 
