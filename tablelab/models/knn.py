@@ -33,7 +33,8 @@ from tablelab.operators.ranks import hash_key
 from tablelab.session import broadcast_small, materialize, spread
 
 BROADCAST_BYTES = 256 << 20
-PIVOTS = 256
+MAX_PIVOTS = 1024
+SLICE_ROWS = 1024
 BLOCK_ROWS = 4096
 QUERY_ROWS = 16384
 _TRAIN = "id long, x array<double>, y int"
@@ -139,69 +140,81 @@ class KnnModel(Model, MLReadable, MLWritable):
         """``(query id, distance, id, y)`` of the k nearest training rows, all distributed."""
         spark = dataset.sparkSession
         k, block_rows = self.getOrDefault(self.neighbours), self.block_rows
-        n, query_rows = self.getOrDefault(self.rows), QUERY_ROWS
-        chosen = self.train.orderBy(hash_key(0, "id"), "id").limit(min(PIVOTS, n)).collect()
+        n = self.getOrDefault(self.rows)
+        pivot_count = min(n, max(16, min(MAX_PIVOTS, math.isqrt(n))))
+        chosen = self.train.orderBy(hash_key(0, "id"), "id").limit(pivot_count).collect()
         pivots = np.array([r["x"] for r in chosen])
 
+        def slices(batches):
+            for b in batches:
+                for start in range(0, len(b), SLICE_ROWS):
+                    yield b.iloc[start : start + SLICE_ROWS]
+
         def to_pivots(x: pd.Series) -> np.ndarray:
             block = np.stack(x.to_numpy())
             rough = (block**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * block @ pivots.T
             return np.sqrt(np.maximum(rough, 0))
 
         def place(batches):
-            for b in batches:
-                if len(b):
-                    d = to_pivots(b["x"])
-                    yield b.assign(cell=d.argmin(axis=1), far=d.min(axis=1))
+            for b in slices(batches):
+                d = to_pivots(b["x"])
+                yield b.assign(cell=d.argmin(axis=1), far=d.min(axis=1))
 
         placed = materialize(
             self.train.mapInPandas(place, f"{_TRAIN}, cell int, far double"), "knn-cells"
         )
         stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()
-        cells = np.array([s["cell"] for s in stats])  # at most PIVOTS cells
+        cells = np.array([s["cell"] for s in stats])  # at most MAX_PIVOTS cells
         counts = np.array([s["n"] for s in stats])
         reach = np.array([s["r"] for s in stats])
         blocks = np.maximum(1, np.ceil(counts / block_rows)).astype(int)
-        query_groups = max(1, math.ceil(dataset.count() / query_rows))
+
+        def visits(x: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+            """Which cells each query has to visit, as (query, cell) positions."""
+            d = to_pivots(x)[:, cells]
+            outer = d + reach
+            order = np.argsort(outer, axis=1)
+            enough = np.argmax(np.cumsum(counts[order], axis=1) >= min(k, n), axis=1)
+            limit = np.take_along_axis(outer, order, 1)[np.arange(len(x)), enough]
+            # a little slack covers the rounding of the distances to the pivots
+            return np.nonzero(d - reach <= limit[:, None] * (1 + 1e-6) + 1e-6)
+
+        def count_visits(batches):
+            for b in slices(batches):
+                hits = np.bincount(visits(b["x"])[1], minlength=len(cells))
+                yield pd.DataFrame({"c": np.arange(len(cells)), "v": hits})
+
+        vectors = vector_to_array(F.col(self.getOrDefault(self.featuresCol))).alias("x")
+        queries = spread(dataset.select(F.col(ROW_ID).alias("qid"), vectors), "qid")
+        visited = queries.select("x").mapInPandas(count_visits, "c int, v long").groupBy("c").agg(F.sum("v").alias("v"))
+        groups = np.ones(len(cells), dtype=int)
+        for r in visited.collect():
+            groups[r["c"]] = max(1, math.ceil(r["v"] / QUERY_ROWS))
 
         def route(batches):
-            for b in batches:
-                if not len(b):
-                    continue
-                d = to_pivots(b["x"])[:, cells]
-                outer = d + reach
-                order = np.argsort(outer, axis=1)
-                enough = np.argmax(np.cumsum(counts[order], axis=1) >= min(k, n), axis=1)
-                limit = np.take_along_axis(outer, order, 1)[np.arange(len(b)), enough]
-                # a little slack covers the rounding of the distances to the pivots
-                q, c = np.nonzero(d - reach <= limit[:, None] * (1 + 1e-6) + 1e-6)
+            for b in slices(batches):
+                q, c = visits(b["x"])
                 q, c = np.repeat(q, blocks[c]), np.repeat(c, blocks[c])
                 at = np.arange(len(c))
                 start = np.r_[True, (c[1:] != c[:-1]) | (q[1:] != q[:-1])]
                 block = at - np.maximum.accumulate(np.where(start, at, 0))
                 yield pd.DataFrame({
                     "qid": b["qid"].to_numpy()[q], "x": b["x"].to_numpy()[q],
-                    "cell": cells[c], "block": block,
+                    "cell": cells[c], "block": block, "groups": groups[c],
                 })
 
-        queries = (
-            spread(
-                dataset.select(
-                    F.col(ROW_ID).alias("qid"),
-                    vector_to_array(F.col(self.getOrDefault(self.featuresCol))).alias("x"),
-                ),
-                "qid",
-            )
-            .mapInPandas(route, "qid long, x array<double>, cell int, block long")
-            .withColumn("g", F.pmod(F.xxhash64("qid"), F.lit(query_groups)))
-        )
+        routed = queries.mapInPandas(
+            route, "qid long, x array<double>, cell int, block long, groups long"
+        ).withColumn("g", F.pmod(F.xxhash64("qid"), F.col("groups")))
         per_cell = spark.createDataFrame(
-            [(int(c), int(b)) for c, b in zip(cells, blocks)], "cell int, blocks long"
+            [(int(c), int(b), int(g)) for c, b, g in zip(cells, blocks, groups)],
+            "cell int, blocks long, groups long",
         )
+        # a block is copied once per group of queries that visit its cell
         points = (
             placed.join(broadcast_small(per_cell, len(cells)), "cell")
             .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-            .withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_groups - 1).cast("long"))))
+            .withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
             .select("cell", "block", "g", "id", "x", "y")
         )
 
@@ -215,7 +228,7 @@ class KnnModel(Model, MLReadable, MLWritable):
             })
 
         key = ["cell", "block", "g"]
-        found = queries.groupBy(*key).cogroup(points.groupBy(*key)).applyInPandas(
+        found = routed.groupBy(*key).cogroup(points.groupBy(*key)).applyInPandas(
             meet, "qid long, distance double, id long, y int"
         )
         best = Window.partitionBy("qid").orderBy("distance", "id")
