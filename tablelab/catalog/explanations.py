@@ -232,7 +232,7 @@ def _waterfall(spark, sf):
     return ex.waterfall(explained, shap.base_values(), ["low", "high"], 1).drop("predicted_probability")
 
 
-@query("background_sample", f"WITH {_TRAIN_SQL} SELECT c_acctbal, CAST(c_nationkey AS DOUBLE) AS c_nationkey, CAST(c_custkey AS DOUBLE) AS c_custkey, 1.0 AS weight FROM background")
+@query("background_sample", f"WITH {_TRAIN_SQL} SELECT c_acctbal, CAST(c_nationkey AS DOUBLE) AS c_nationkey, CAST(c_custkey AS DOUBLE) AS c_custkey, CAST(1 AS DOUBLE) AS weight FROM background")
 def _background(spark, sf):
     rows = customer_dataset(spark, sf).filter(F.col(SPLIT) == "train")
     return ex.background_sample(rows, FEATURES, 50, "shuffle", seed=21)

@@ -47,7 +47,7 @@ def _dummy_prior(spark, sf):
     return _dummy(spark, sf, "prior")
 
 
-@query("dummy_most_frequent", _priors_sql("CASE WHEN top = 1 THEN 1.0 ELSE 0.0 END"))
+@query("dummy_most_frequent", _priors_sql("CAST(CASE WHEN top = 1 THEN 1 ELSE 0 END AS DOUBLE)"))
 def _dummy_frequent(spark, sf):
     return _dummy(spark, sf, "most_frequent")
 
