@@ -21,8 +21,8 @@ INPUTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def lineitem_dataset(spark, sf, label="l_returnflag"):
-    rows = deal(with_row_ids(table(spark, sf, "lineitem")).select(ROW_ID, *INPUTS, label))
-    return encode_label(split_exact(rows, 0.6, 0.2, 0.2, seed=11), label)
+    rows = with_row_ids(table(spark, sf, "lineitem")).select(ROW_ID, *INPUTS, label)
+    return deal(encode_label(split_exact(rows, 0.6, 0.2, 0.2, seed=11), label))
 
 
 def _priors_sql(value: str) -> str:

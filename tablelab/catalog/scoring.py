@@ -58,10 +58,10 @@ def metrics_sql(source: str, by: str, macro: bool) -> str:
 
 
 def _scored_lineitem(spark, sf):
-    rows = deal(with_row_ids(table(spark, sf, "lineitem")).select(
+    rows = with_row_ids(table(spark, sf, "lineitem")).select(
         ROW_ID, "l_returnflag", *[F.expr(e).alias(f"z{i}") for i, e in enumerate(_LOGITS)]
-    ))
-    labelled = encode_label(split_exact(rows, 0.6, 0.2, 0.2, seed=11), "l_returnflag")
+    )
+    labelled = deal(encode_label(split_exact(rows, 0.6, 0.2, 0.2, seed=11), "l_returnflag"))
     return with_predicted_class(
         labelled.withColumn("probability", softmax(F.array("z0", "z1", "z2")))
     )

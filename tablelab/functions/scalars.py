@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablelab import messages
+
 # The texts of the run states, by code.
 RUN_STATUS = {0: "Not Started", 1: "Delivered", 2: "Started", 3: "Finished", 4: "Error"}
 
@@ -16,6 +18,10 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _filled(text: str, place: str, value: Column) -> Column:
+    return F.replace(F.lit(text), F.lit(place), value)
+
+
 def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and use it in ``body``; a plain reference inside a lambda
     would be evaluated again for every array element."""
@@ -56,7 +62,7 @@ def display_split(name) -> Column:
     out = F.when(c == "train_metrics", "train")
     out = out.when(c == "test_metrics", "test").when(c == "validation_metrics", "validation")
     return out.otherwise(
-        F.raise_error(F.concat(F.lit("Error, set name "), c, F.lit(" is not recognized")))
+        F.raise_error(_filled(messages.UNKNOWN_SPLIT_NAME, "{name}", c))
     )
 
 
@@ -86,8 +92,7 @@ def run_status(code) -> Column:
     out = None
     for value, text in RUN_STATUS.items():
         out = F.when(c == value, text) if out is None else out.when(c == value, text)
-    bad = F.concat(F.lit("Error "), c.cast("string"), F.lit(" is not a valid status"))
-    return out.otherwise(F.raise_error(bad))
+    return out.otherwise(F.raise_error(_filled(messages.UNKNOWN_STATUS, "{code}", c.cast("string"))))
 
 
 def link_function(p, link: str = "identity") -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelab import ROW_ID, SPLIT
+from tablelab import ROW_ID, SPLIT, messages
 from tablelab.session import broadcast_small
 
 RESERVED = (ROW_ID, SPLIT)
@@ -166,10 +166,7 @@ def column_names(df: DataFrame, indexes: list[int]) -> list[str]:
     names = data_columns(df)
     for i in indexes:
         if i > len(names):
-            raise ValueError(
-                "The list of indices can only contain elements within the amount of columns. "
-                f"Index {i} is greater than the total of columns."
-            )
+            raise ValueError(messages.POSITION_TOO_LARGE.format(i=i))
         if i < 1:
             raise ValueError(f"column positions start at 1, got {i}")
     return [names[i - 1] for i in indexes]
@@ -188,15 +185,15 @@ def parse_ranges(text: str, largest: int) -> list[tuple[int, int]]:
     """``1-3,5`` as inclusive ranges, blanks ignored. Ranges are never expanded to a list of rows."""
     text = text.replace(" ", "")
     if not _RANGES.fullmatch(text):
-        raise ValueError("The entered text doesn't fit the example format")
+        raise ValueError(messages.RANGE_FORMAT)
     out = []
     for part in text.split(","):
         low, _, high = part.partition("-")
         start, end = int(low), int(high or low)
         if end > largest or start > largest:
-            raise ValueError("The indexes should be minor than the total of columns or rows")
+            raise ValueError(messages.RANGE_TOO_LARGE)
         if start > end:
-            raise ValueError("The second number of a range must be greater than the first")
+            raise ValueError(messages.RANGE_ORDER)
         out.append((start, end))
     return out
 
@@ -282,19 +279,14 @@ def validate_inputs_outputs(df: DataFrame, inputs: list[str], outputs: list[str]
     """Inputs and outputs must be non-empty, exist, and not outnumber the columns."""
     names = data_columns(df)
     if not inputs or not outputs:
-        raise ValueError("Inputs and outputs columns lists to validate must not be empty")
+        raise ValueError(messages.NO_ROLES)
     if len(inputs) + len(outputs) > len(names):
         raise ValueError(
-            "Inputs and outputs cannot have more elements than names. "
-            f"Number of inputs: {len(inputs)}, number of outputs: {len(outputs)}, "
-            f"number of names: {len(names)}. "
+            messages.TOO_MANY_ROLES.format(inputs=len(inputs), outputs=len(outputs), names=len(names))
         )
     extra = [c for c in [*inputs, *outputs] if c not in names]
     if extra:
-        raise ValueError(
-            "Inputs and outputs can only contain elements that exist in names. "
-            f"Extra elements: {', '.join(extra)}"
-        )
+        raise ValueError(messages.UNKNOWN_ROLES.format(extra=", ".join(extra)))
 
 
 # --- samples and pages ---------------------------------------------------------------------------
@@ -310,10 +302,7 @@ def sample(
     """
     total = df.count()
     if n > total:
-        raise ValueError(
-            "Number of samples must be less than or equal to the length of the dataset. "
-            f"Number of samples: {n}, dataset length: {total}"
-        )
+        raise ValueError(messages.SAMPLE_TOO_LARGE.format(n=n, total=total))
     if method == "head":
         return df.orderBy(row_id).limit(n)
     if method == "tail":

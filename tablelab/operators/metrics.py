@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelab import SPLIT
+from tablelab import SPLIT, messages
 from tablelab.functions import argmax
 
 CLASSIFICATION_METRICS = ("Accuracy", "Precision", "Recall", "F1", "BalancedAccuracy")
@@ -102,7 +102,4 @@ def check_lengths(truth: DataFrame, predicted: DataFrame) -> None:
     """Two separate result tables must have the same number of rows."""
     a, b = truth.count(), predicted.count()
     if a != b:
-        raise ValueError(
-            "The length of the true and the predicted labels must be equal, "
-            f"given: len(true_labels) = {a} and len(pred_labels) = {b}."
-        )
+        raise ValueError(messages.LENGTHS.format(truth=a, predicted=b))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelab import messages
 from tablelab.operators.dataset import data_columns, is_label
 from tablelab.session import MAX_CLASSES
 
@@ -111,9 +112,7 @@ def change_columns_type(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Make columns ``Categorical`` (label codes) or ``Numerical`` (float32)."""
     for name, kind in types.items():
         if name not in df.columns:
-            raise ValueError(
-                f"Error while changing column types: column '{name}' does not exist in dataset."
-            )
+            raise ValueError(messages.UNKNOWN_COLUMN.format(name=name))
         if kind == "Categorical":
             df = encode_label(df, name)
         elif kind == "Numerical":

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelab.sources.folders import check_split_folders, located, split_of
-from tablelab.sources.folders import SOURCE_FILE
+from tablelab import messages
+from tablelab.sources.folders import SOURCE_FILE, check_split_folders, located, split_of
 
 
 def _finish(df: DataFrame, splits_in_folders: bool) -> DataFrame:
@@ -33,9 +33,9 @@ def read_csv(
     ``sampling_ratio`` for the inference pass.
     """
     if separator is None:
-        raise ValueError("Error trying to load the CSV dataset: separator parameter was not provided.")
+        raise ValueError(messages.NO_SEPARATOR)
     if not isinstance(separator, str):
-        raise TypeError(f"Param separator should be a string, got {type(separator)}")
+        raise TypeError(messages.SEPARATOR_TYPE.format(got=type(separator)))
     reader = spark.read.options(
         sep=separator, header=True, mode="FAILFAST", enforceSchema=False,
         recursiveFileLookup=splits_in_folders,
