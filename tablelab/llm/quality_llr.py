@@ -23,8 +23,10 @@ TOKENS = re.compile(r"\w+|[^\w\s]+")
 BITS = 18
 # Trusted documents whose n-grams are counted, at most about this many.
 MAX_TRUSTED = 200_000
+# Pseudo-counts of a bucket on the trusted side; the corpus side gets the same prior share.
+PRIOR = 10.0
 # Nats per n-gram. Text drawn from the corpus as a whole scores about 0, trusted text above.
-MIN_SCORE = -0.15
+MIN_SCORE = -0.12
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = b"#*$%&|<>"
@@ -39,7 +41,7 @@ def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
 
 
 def log_ratios(documents: DataFrame, trusted: DataFrame, bits: int = BITS) -> np.ndarray:
-    """``log p(gram | trusted) - log p(gram | corpus)`` per bucket, add-one smoothed.
+    """``log p(gram | trusted) - log p(gram | corpus)`` per bucket, with ``PRIOR`` pseudo-counts.
 
     ``trusted`` has ``trusted_id`` and a bounded number of rows (``trusted_ids``). No document or no
     trusted document gives a uniform distribution on that side.
@@ -62,10 +64,13 @@ def log_ratios(documents: DataFrame, trusted: DataFrame, bits: int = BITS) -> np
         marked.mapInArrow(count, "bucket long, raw long, good long")
         .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     )
-    raw, good = np.ones(1 << bits), np.ones(1 << bits)
-    raw[counted["bucket"]] += counted["raw"]
-    good[counted["bucket"]] += counted["good"]
-    return (np.log(good / good.sum()) - np.log(raw / raw.sum())).astype(np.float32)
+    raw, good = np.zeros(1 << bits), np.zeros(1 << bits)
+    raw[counted["bucket"]], good[counted["bucket"]] = counted["raw"], counted["good"]
+    # both sides get the same share of prior mass, so a bucket that is rare on both says little
+    good = (good + PRIOR) / (good.sum() + PRIOR * len(good))
+    scale = max(1.0, counted["raw"].sum()) / max(1.0, counted["good"].sum())
+    raw = (raw + PRIOR * scale) / (raw.sum() + PRIOR * scale * len(raw))
+    return (np.log(good) - np.log(raw)).astype(np.float32)
 
 
 def repeated_words(words: list, size: int = REPEAT_WINDOW) -> int:

@@ -21,9 +21,9 @@ WORDS = re.compile(r"\w+")
 BITS = 20
 # Labelled documents that the model is fitted on, at most about this many, chosen by a hash.
 MAX_TRAINING = 60_000
-SHARDS = 6
+SHARDS = 4
 ROUNDS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.0
 
 
 def feature_ids(text: bytes, hashes: WordHashes, bits: int) -> np.ndarray:
