@@ -62,7 +62,7 @@ def log_ratios(documents: DataFrame, trusted: DataFrame, bits: int = BITS) -> np
 
     counted = (
         marked.mapInArrow(count, "bucket long, raw long, good long")
-        .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
+        .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow().to_pandas()
     )
     raw, good = np.zeros(1 << bits), np.zeros(1 << bits)
     raw[counted["bucket"]], good[counted["bucket"]] = counted["raw"], counted["good"]

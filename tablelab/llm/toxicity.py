@@ -18,7 +18,7 @@ from tablelab.llm.common import WordHashes, arrow_map, hashed_grams, hashed_shar
 from tablelab.session import materialize
 
 WORDS = re.compile(r"\w+")
-BITS = 20
+BITS = 18
 # Labelled documents that the model is fitted on, at most about this many, chosen by a hash.
 MAX_TRAINING = 60_000
 SHARDS = 4
@@ -87,7 +87,7 @@ def fit(examples: DataFrame, bits: int = BITS, featurise=feature_ids) -> np.ndar
                                  "n": model.n[at] - state.value[1][at]})
 
         moved = (dealt.groupBy("shard").applyInPandas(learn, "at long, z double, n double")
-                 .groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).orderBy("at").toPandas())
+                 .groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).orderBy("at").toArrow().to_pandas())
         state.unpersist()
         z[moved["at"]] += moved["z"] / SHARDS
         n[moved["at"]] += moved["n"] / SHARDS

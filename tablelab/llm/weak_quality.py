@@ -17,25 +17,25 @@ from tablelab.llm import toxicity
 from tablelab.llm.common import WordHashes, arrow_map, hashed_grams, hashed_share, texts
 from tablelab.llm.quality_llr import TOKENS, base_metrics
 
-BITS = 20
+BITS = 18
 # Documents that the scorer is trained on, at most about this many, chosen by a hash.
 MAX_TRAINING = 30_000
 EM_ROUNDS = 100
 ABSTAIN, BAD, GOOD = 0, 1, 2
-LABELLERS = ("symbols", "capitals", "bars", "repeats", "lines", "stutter", "word_length", "marks", "sentences", "length")
+LABELLERS = ("symbols", "capitals", "bars", "repeats", "lines", "stutter", "word_length", "marks", "sentences", "empty")
 _SHAPES = (("X", re.compile("[A-ZÀ-ÖØ-Þ]+")), ("x", re.compile("[a-zß-öø-ÿ]+")), ("9", re.compile("[0-9]+")))
 _ENDS = re.compile(r"[.!?…][\"')\]]*\s*$")
 
 
 def votes(text: bytes) -> tuple[int, ...]:
-    """A vote of each of ``LABELLERS``. A text without words is bad by its length alone.
+    """A vote of each of ``LABELLERS``. A text without words is bad by ``empty`` alone.
 
     Detectors of one kind of junk say bad or abstain: that a text has no bars says nothing about its
-    symbols. Signs of running prose may say either.
+    symbols. ``sentences`` may say either.
     """
     n, chars, symbols, dup_lines, repeats = base_metrics(text)
     if not n:
-        return tuple(BAD if x == "length" else ABSTAIN for x in LABELLERS)
+        return tuple(BAD if x == "empty" else ABSTAIN for x in LABELLERS)
     decoded = text.decode()
     lines = [x for x in decoded.split("\n") if x.strip()]
     words = text.split()
@@ -57,7 +57,7 @@ def votes(text: bytes) -> tuple[int, ...]:
         bad(not 2 <= chars / n <= 12),
         bad(text.count(b"!") > 0.2 * n),
         GOOD if ended >= 0.7 else BAD if ended <= 0.1 and n >= 20 else ABSTAIN,
-        GOOD if n >= 50 else ABSTAIN,
+        ABSTAIN,
     )
 
 
@@ -114,7 +114,7 @@ def weak_quality(documents: DataFrame, most: int = MAX_TRAINING) -> DataFrame:
         return lambda batch: {"pattern": [pattern_of(votes(t)) for t in texts(batch)]}
 
     # at most 3 ** 10 rows
-    found = arrow_map(documents.select("text"), count, "pattern int").groupBy("pattern").count().orderBy("pattern").toPandas()
+    found = arrow_map(documents.select("text"), count, "pattern int").groupBy("pattern").count().orderBy("pattern").toArrow().to_pandas()
     patterns, counts = found["pattern"].to_numpy(np.int64), found["count"].to_numpy(np.float64)
     q, _ = posteriors(patterns, counts)
     known = dict(zip(patterns.tolist(), q.tolist()))
