@@ -1,8 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed words, word pairs and skip-grams.
 
 Per-coordinate learning rates and L1 keep few weights, which are broadcast. A bounded sample of labelled
-documents is hashed once and written; in each round every shard of it continues from the shared state,
-and the states are averaged per coordinate.
+documents is hashed where the documents lie; the hashes are then learnt in one stream, as the method's
+sequential rates need.
 """
 
 from __future__ import annotations
@@ -15,15 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelab.llm.common import WordHashes, arrow_map, hashed_grams, hashed_share, texts
-from tablelab.session import materialize
 
 WORDS = re.compile(r"\w+")
 BITS = 18
 # Labelled documents that the model is fitted on, at most about this many, chosen by a hash.
-MAX_TRAINING = 60_000
-SHARDS = 4
-ROUNDS = 4
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.0
+MAX_TRAINING = 20_000
+EPOCHS = 2
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 
 
 def feature_ids(text: bytes, hashes: WordHashes, bits: int) -> np.ndarray:
@@ -68,30 +66,25 @@ def fit(examples: DataFrame, bits: int = BITS, featurise=feature_ids) -> np.ndar
 
         return step
 
-    hashed = materialize(
-        arrow_map(examples.select("doc_id", "text", F.col("label").cast("double").alias("label")), per_task,
-                  "doc_id long, label double, ids binary"), "examples")
-    dealt = hashed.withColumn("h", F.xxhash64("doc_id", F.lit(11)))
-    dealt = dealt.withColumn("shard", F.pmod("h", F.lit(SHARDS)).cast("int"))
-    context = examples.sparkSession.sparkContext
-    z, n = np.zeros(size), np.zeros(size)
-    for _ in range(ROUNDS):
-        state = context.broadcast((z, n))
-
-        def learn(frame: pd.DataFrame) -> pd.DataFrame:
-            model = Ftrl(*(x.copy() for x in state.value))
-            for ids, label in frame.sort_values(["h", "doc_id"])[["ids", "label"]].itertuples(index=False):
+    hashed = arrow_map(examples.select("doc_id", "text", F.col("label").cast("double").alias("label")), per_task,
+                       "doc_id long, label double, ids binary")
+    # the sample is bounded, so one task may read it in order; it holds a batch at a time
+    ordered = (hashed.withColumns({"h": F.xxhash64("doc_id", F.lit(11)),
+                                   "epoch": F.explode(F.sequence(F.lit(1), F.lit(EPOCHS)))})
+               .repartition(1).sortWithinPartitions("epoch", "h", "doc_id"))
+
+    def learn(frames):
+        model = Ftrl(np.zeros(size), np.zeros(size))
+        for frame in frames:
+            for ids, label in zip(frame["ids"], frame["label"]):
                 model.learn(np.frombuffer(ids, np.int32), label)
-            at = np.flatnonzero((model.z != state.value[0]) | (model.n != state.value[1]))
-            return pd.DataFrame({"at": at, "z": model.z[at] - state.value[0][at],
-                                 "n": model.n[at] - state.value[1][at]})
-
-        moved = (dealt.groupBy("shard").applyInPandas(learn, "at long, z double, n double")
-                 .groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).orderBy("at").toArrow().to_pandas())
-        state.unpersist()
-        z[moved["at"]] += moved["z"] / SHARDS
-        n[moved["at"]] += moved["n"] / SHARDS
-    return Ftrl(z, n).weights(slice(None))
+        w = model.weights(slice(None))
+        yield pd.DataFrame({"at": np.flatnonzero(w), "w": w[w != 0]})
+
+    found = ordered.select("label", "ids").mapInPandas(learn, "at long, w double").toArrow().to_pandas()
+    out = np.zeros(size)
+    out[found["at"]] = found["w"]
+    return out
 
 
 def score(documents: DataFrame, weights: np.ndarray, carry: list[str], featurise=feature_ids) -> DataFrame:
