@@ -136,7 +136,7 @@ def ranked_terms(block: DataFrame, frequencies: DataFrame) -> DataFrame:
 def exact_matches(index: DataFrame, terms: DataFrame) -> DataFrame:
     """``(doc_id, mark, window, item_id, start, size)`` of every occurrence of every window."""
     at = index.select("term", "doc_id", "mark", F.explode("positions").alias("position"))
-    starts = _candidates(at, terms, 1)
+    starts = _candidates(at, terms, 1).distinct()  # repeated rows have the same postings
     second = _candidates(at, terms, 2)
     same = ["doc_id", "mark", "window", "start"]
     # NULL ids are documents too, so the intersection is null-safe
@@ -158,7 +158,7 @@ def proximity_matches(index: DataFrame, terms: DataFrame, least: int) -> DataFra
     """Places where a window's rarest term and at least ``least`` of its terms in all stand where the
     window has them: ``(doc_id, mark, window, item_id, start, size, matched)``."""
     at = index.select("term", "doc_id", "mark", F.explode("positions").alias("position"))
-    starts = _candidates(at, terms, 1)
+    starts = _candidates(at, terms, 1).distinct()
     rest = terms.filter("rank > 1").select(F.col("window").alias("w_"), F.col("term").alias("term_"), "place")
     wanted = starts.join(rest, F.col("window") == F.col("w_")).withColumn("position_", F.col("start") + F.col("place"))
     met = wanted.alias("x").join(

@@ -2,9 +2,9 @@
 
 Documents become token pieces of at most ``SEQUENCE`` ids. Pieces are dealt to groups of bounded size;
 each group packs best-fit decreasing and compares its bin count with a lower bound from dual-feasible
-functions. A group that meets the bound is certified: no packing of its pieces needs fewer bins. Groups
-with a gap exchange pieces: the pieces of their bins with room are pooled, dealt anew and packed again,
-and the new packing is taken if it needs fewer bins.
+functions: a group that meets it is certified, no packing of its pieces needs fewer bins. While the bins of
+all groups together miss the bound of all pieces, groups exchange: the pieces of bins with room are pooled,
+dealt anew and packed again, and the new packing is taken if it needs fewer bins.
 """
 
 from __future__ import annotations
@@ -89,14 +89,16 @@ def pieces(documents: DataFrame, tokenizer: str, length: int = SEQUENCE) -> Data
         run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs, by two families of dual-feasible functions.
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Bins that any packing needs, by two families of dual-feasible functions. ``counts`` says how
+    often each size occurs (once).
 
     A dual-feasible function maps sizes so that whatever fits into a bin still sums to at most 1. The
     first family rounds: above ``capacity - t`` counts fully, below ``t`` not at all. The second
     steps: ``floor((k + 1) x / capacity) / k``, or ``x`` where that is whole.
     """
-    count = np.bincount(sizes, minlength=capacity + 1)
+    count = np.zeros(capacity + 1, np.int64)
+    np.add.at(count, sizes, 1 if counts is None else counts)
     x = np.flatnonzero(count)
     many = count[x]
     best = -(-int((x * many).sum()) // capacity)
@@ -161,24 +163,28 @@ def pack_lengths(rows: DataFrame, capacity: int = SEQUENCE, most: int = GROUP_PI
                  rounds: int = ROUNDS) -> DataFrame:
     """``(row, g, bin, gap)``: a bin of group ``g`` for each ``(row, length)``; rows are distinct.
 
-    Groups with ``gap`` 0 are certified. In each further round the others give up the pieces of bins
-    that are not full; these are dealt to groups of twice the size and packed again.
+    ``gap`` is between the group's bins and its own bound. A packing that meets the bound of all pieces
+    is certified and final. Otherwise groups give up the pieces of their bins with room; these are dealt
+    to groups of twice the size and packed again, as long as that saves bins.
     """
-    n = rows.count()
+    # at most ``capacity`` rows: how many pieces there are of each length
+    lengths = rows.groupBy("length").count().toArrow().to_pandas()
+    n = int(lengths["count"].sum())
+    bound = lower_bound(lengths["length"].to_numpy(np.int64), capacity, lengths["count"].to_numpy(np.int64)) if n else 0
     packed = materialize(_pack(_deal(rows, n, most, 0), capacity), "packed")
-    placed = []
+    placed, closed = [], 0
     for level in range(1, rounds):
-        freed = (F.col("gap") > 0) & (F.col("room") > 0)
-        loose = packed.filter(freed)
-        old = loose.agg(F.count("*").alias("n"), F.count_distinct("g", "bin").alias("bins"),
-                        F.count_distinct("g").alias("groups")).first()
-        if old["groups"] <= 1:
+        now = packed.agg(F.count_distinct("g", "bin").alias("bins"), F.count_distinct("g").alias("groups")).first()
+        if closed + now["bins"] == bound or now["groups"] <= 1:
             break
+        loose = packed.filter("room > 0")
+        old = loose.agg(F.count("*").alias("n"), F.count_distinct("g", "bin").alias("bins")).first()
         again = materialize(
             _pack(_deal(loose.select("row", "length"), old["n"], most << level, level), capacity), "packed")
         if again.agg(F.count_distinct("g", "bin")).first()[0] >= old["bins"]:
             break  # the exchange saved no bin: the earlier packing stays
-        placed.append(packed.filter(~freed))
+        placed.append(packed.filter("room = 0"))
+        closed += now["bins"] - old["bins"]
         packed = again
     for more in placed:
         packed = packed.unionByName(more)

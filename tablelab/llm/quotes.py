@@ -76,7 +76,7 @@ def without_quotes(text):
     after = F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit("")))
     own = F.filter(F.arrays_zip(lines.alias("line"), after.alias("after")), lambda x: ~(
         x["line"].rlike(QUOTE) | (x["line"].rlike(INTRODUCTION) & x["after"].rlike(QUOTE))))
-    return F.trim(F.array_join(F.transform(own, lambda x: x["line"]), "\n"))
+    return F.regexp_replace(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
 
 
 def reply_order(messages: DataFrame) -> DataFrame:

@@ -217,6 +217,8 @@ class WarcReader(DataSourceReader):
     def read(self, partition):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        if partition is None:  # an archive without files
+            return
         schema = to_arrow_schema(self.schema)
         files, _ = _filesystem(self.path)
         with files.open_input_file(partition.path) as file:
