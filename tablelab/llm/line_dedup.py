@@ -12,6 +12,7 @@ fixed-size filter says that it may have a candidate.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -33,14 +34,23 @@ BANDS, ROWS = 10, 4
 MIN_CHARS = 10
 # Lines that a task remembers having sent on, before it forgets them.
 SEEN = 200_000
+# Characters hashed together.
+BLOCK_CHARS = 50_000
+_PRIME, _MIX32 = np.uint32(0x01000193), np.uint32(0x85EBCA6B)
 _DRAWN = np.random.default_rng(20240229)
 _SPREAD = _DRAWN.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _FACTORS = _DRAWN.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _NO_LINKS = pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
+_BLANKS = re.compile(r"[ \t\r\v\f]+")
+_ODD_BLANKS = re.compile(r"[\t\r\v\f]|  |^ | $")
+
+
 def normalise(line: str) -> str:
-    return " ".join(line.lower().split())
+    """Lower case, ASCII blanks collapsed and stripped."""
+    line = line.lower()
+    return _BLANKS.sub(" ", line).strip(" ") if _ODD_BLANKS.search(line) else line
 
 
 def lines_of(batch: pa.RecordBatch):
@@ -57,24 +67,47 @@ def halves(digests: list[bytes]) -> np.ndarray:
 
 
 def signatures(lines: list[str], size: int = SHINGLE) -> np.ndarray:
-    """MinHash values, one row per line; every line has at least one character."""
+    """MinHash values, one row per line. Lines go in small blocks, whose arrays stay in the cache."""
     lines = [x if len(x) >= size else x.ljust(size) for x in lines]
-    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    rolled = np.zeros(len(points) - size + 1, np.uint64)
-    for k in range(size):
-        rolled = rolled * MIX + points[k:len(points) - size + 1 + k]
+    out = np.empty((len(lines), BANDS * ROWS), np.uint32)
+    begin, chars = 0, 0
+    for i, line in enumerate(lines):
+        chars += len(line)
+        if chars > BLOCK_CHARS or i == len(lines) - 1:
+            out[begin:i + 1] = _signatures(lines[begin:i + 1], size)
+            begin, chars = i + 1, 0
+    return out
+
+
+def _signatures(lines: list[str], size: int) -> np.ndarray:
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    # hashes of grams of 1, 2, 4, ... characters, put together to grams of ``size``
+    rolled, part, have, done, factor = None, points, 1, 0, _PRIME
+    left = size
+    while left:
+        if left & 1:
+            rolled = part.copy() if rolled is None else rolled[:len(part) - done] * factor + part[done:]
+            done += have
+        left >>= 1
+        part = part[:-have] * factor + part[have:] if left else part
+        factor, have = factor * factor, have * 2
+    rolled = rolled[:len(points) - size + 1]
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     begins = np.cumsum(lengths) - lengths
     inside = np.ones(len(points), bool)
     for k in range(1, size):
         inside[begins + lengths - k] = False
-    rolled = rolled[inside[:len(rolled)]]
-    rolled ^= rolled >> np.uint64(29)
-    values = ((rolled * MIX) >> np.uint64(32)).astype(np.uint32)
+    values = rolled[inside[:len(rolled)]]
+    values ^= values >> np.uint32(16)
+    values *= _MIX32
+    values ^= values >> np.uint32(13)
     starts = np.cumsum(lengths - size + 1) - (lengths - size + 1)
     out = np.empty((len(lines), BANDS * ROWS), np.uint32)
+    turned = np.empty_like(values)
     for k, (spread, factor) in enumerate(zip(_SPREAD, _FACTORS)):
-        out[:, k] = np.minimum.reduceat((values ^ spread) * factor, starts)
+        np.bitwise_xor(values, spread, out=turned)
+        np.multiply(turned, factor, out=turned)
+        out[:, k] = np.minimum.reduceat(turned, starts)
     return out
 
 
@@ -181,13 +214,8 @@ def verified_links(frame: pd.DataFrame, similarity: float = SIMILARITY) -> pd.Da
     similarity out.
     """
     out: list[tuple[int, int]] = []
-    sets: dict[int, set] = {}
     for _, group in frame.groupby("g", sort=False):
-        rows = {}
-        for i, line in zip(group["id"], group["line"]):
-            if i not in sets:
-                sets[i] = shingles(line)
-            rows[i] = sets[i]
+        rows = {i: shingles(line) for i, line in zip(group["id"], group["line"])}
         order = sorted(rows, key=lambda i: len(rows[i]))
         member = dict.fromkeys(order)
         clusters: dict[int, list[int]] = {}
@@ -210,8 +238,6 @@ def verified_links(frame: pd.DataFrame, similarity: float = SIMILARITY) -> pd.Da
                             member[k] = c
                         clusters[c] += clusters.pop(mine_cluster)
                         break
-        if len(sets) > 20_000:
-            sets.clear()
     return pd.DataFrame(out, columns=["a", "b"]) if out else _NO_LINKS
 
 
@@ -234,7 +260,8 @@ def occurrences(documents: DataFrame) -> DataFrame:
 
 def duplicate_lines(documents: DataFrame) -> DataFrame:
     """``(doc_id, line_no)`` of every line that a line in front of it stands for."""
-    members = materialize(without_twins(shared_bands(candidate_bands(documents))), "bands")
+    members = materialize(
+        without_twins(materialize(shared_bands(candidate_bands(documents)), "bands")), "members")
     lines = candidate_lines(documents, members.select("id").distinct())
     met = bounded_groups(members, "key", "id").select("g", F.col("id").alias("met_id"))
     groups = met.join(lines, F.col("met_id") == F.col("id")).select("g", "id", "line")
