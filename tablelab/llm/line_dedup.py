@@ -44,13 +44,14 @@ _NO_LINKS = pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
 _BLANKS = re.compile(r"[ \t\r\v\f]+")
-_ODD_BLANKS = re.compile(r"[\t\r\v\f]|  |^ | $")
+_ODD_BLANKS = ("  ", "\t", "\r", "\v", "\f")
 
 
 def normalise(line: str) -> str:
     """Lower case, ASCII blanks collapsed and stripped."""
     line = line.lower()
-    return _BLANKS.sub(" ", line).strip(" ") if _ODD_BLANKS.search(line) else line
+    odd = line[:1] == " " or line[-1:] == " " or any(b in line for b in _ODD_BLANKS)
+    return _BLANKS.sub(" ", line).strip(" ") if odd else line
 
 
 def lines_of(batch: pa.RecordBatch):
@@ -90,7 +91,7 @@ def _signatures(lines: list[str], size: int) -> np.ndarray:
             done += have
         left >>= 1
         part = part[:-have] * factor + part[have:] if left else part
-        factor, have = factor * factor, have * 2
+        factor, have = np.uint32(int(factor) ** 2 & 0xFFFFFFFF), have * 2
     rolled = rolled[:len(points) - size + 1]
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     begins = np.cumsum(lengths) - lengths

@@ -289,7 +289,8 @@ def brute_lines(rows):
                 spots[doc, number] = line
     lines = sorted(set(spots.values()))
     sets = [line_dedup.shingles(x) for x in lines]
-    links = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    links = [(i, j) for i in range(len(lines)) for j in range(i)
+             if 0.8 * len(sets[i]) <= len(sets[j]) <= len(sets[i]) / 0.8 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     group = dict(zip(lines, union_find(len(lines), links)))
     first = {}
     for spot in sorted(spots, key=lambda s: (s[0] is not None, s)):
