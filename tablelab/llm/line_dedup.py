@@ -272,8 +272,9 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
         F.coalesce("component", "id").alias("class"),
         F.when(F.col("node").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check"))
     found = materialize(found, "lines")
-    first = found.groupBy(F.col("class").alias("class_"), F.col("check").alias("check_")).agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # written, so that the join below reads two shuffles and Spark can split a hot line
+    first = materialize(found.groupBy(F.col("class").alias("class_"), F.col("check").alias("check_")).agg(
+        F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
     return found.join(first, (F.col("class") == F.col("class_")) & (F.col("check") == F.col("check_"))).filter(
         "not (doc_id <=> first.doc_id and line_no = first.line_no)").select("doc_id", "line_no").distinct()
 

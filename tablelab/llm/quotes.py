@@ -47,8 +47,8 @@ def links(messages: DataFrame) -> DataFrame:
     latest. Lines meet through minima per (conversation, hash), never pair by pair.
     """
     lines = parse(messages).distinct()
-    first = lines.filter("level = 0").groupBy(F.col("conv_id").alias("c_"), F.md5("line").alias("h_")).agg(
-        F.min("turn").alias("original_turn"))
+    first = materialize(lines.filter("level = 0").groupBy(F.col("conv_id").alias("c_"), F.md5("line").alias("h_")).agg(
+        F.min("turn").alias("original_turn")), "originals")
     quoted = passages(lines).join(first, F.col("conv_id").eqNullSafe(F.col("c_")) & (F.col("hash") == F.col("h_")))
     votes = quoted.filter("original_turn < turn").groupBy("conv_id", "turn", "passage", "level", "original_turn").agg(
         F.count("*").alias("lines"))
@@ -102,7 +102,7 @@ def reply_order(messages: DataFrame) -> DataFrame:
     order = ["conv_id", "root_turn", "depth", "turn", "role", "body"]
     # a global sort splits even one huge conversation; positions are places in the written table
     numbered = with_row_ids(materialize(joined.repartitionByRange(*order).sortWithinPartitions(*order), "ordered"), "at")
-    starts = numbered.groupBy(F.col("conv_id").alias("c_")).agg(F.min("at").alias("begin"))
+    starts = materialize(numbered.groupBy(F.col("conv_id").alias("c_")).agg(F.min("at").alias("begin")), "starts")
     return numbered.join(starts, F.col("conv_id").eqNullSafe(F.col("c_"))).select(
         "conv_id", "turn", "role", "body", "parent_turn", "root_turn", "depth", "n_quotes",
         (F.col("at") - F.col("begin")).alias("position"),

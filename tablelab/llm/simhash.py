@@ -139,8 +139,9 @@ def simhash_components(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     named = nodes.join(joined, F.col("fp") == F.col("node"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = named.join(smallest, "component").select(F.col("fp").alias("linked_fp"), "component_id")
-    alone = nodes.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(
-        F.col("fp").alias("node_fp"), F.coalesce("component_id", "first_id").alias("component_id"))
+    # written, so that the join below reads two shuffles and Spark can split a hot fingerprint
+    alone = materialize(nodes.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(
+        F.col("fp").alias("node_fp"), F.coalesce("component_id", "first_id").alias("component_id")), "components")
     return marks.join(alone, F.col("fp") == F.col("node_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -164,8 +164,9 @@ def repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS)
         "doc_id", "mark", F.col("start").alias("begin"), (F.col("start") + F.col("n") + (window - 1)).alias("end"))
     single = found.filter("not whole and classes > 1 and doc_id is not null").select(
         "doc_id", "mark", "anchor", "start", F.posexplode("windows").alias("k", "w"))
-    first = single.groupBy(F.col("anchor").alias("a_"), F.col("w").alias("w_")).agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    # written, so that the join below reads two shuffles and Spark can split a hot window
+    first = materialize(single.groupBy(F.col("anchor").alias("a_"), F.col("w").alias("w_")).agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi"), "windows")
     later = single.join(first, (F.col("anchor") == F.col("a_")) & (F.col("w") == F.col("w_"))).filter("doc_id > lo")
     begin = F.col("start") + F.col("k")
     return whole.unionByName(later.select(

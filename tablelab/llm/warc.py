@@ -28,7 +28,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from tablelab.session import scratch_path
+from tablelab.session import materialize, scratch_path
 
 FIELDS = ("record_id string, record_type string, target_uri string, date string, refers_to string, "
           "payload_digest string, content_length long, http_length long, payload binary")
@@ -331,8 +331,9 @@ def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     full = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     full = full.withColumns({"digest": base32_sha1(F.col("payload")), "size": F.length("payload").cast("long")})
     narrow = full.select("page_id", "digest", "size").filter(F.col("size") >= min_bytes)
-    first = narrow.groupBy(F.col("digest").alias("digest_"), F.col("size").alias("size_")).agg(
-        F.min("page_id").alias("response_id"), F.count("*").alias("n")).filter("n > 1")
+    # written, so that the join below reads two shuffles and Spark can split a hot payload
+    first = materialize(narrow.groupBy(F.col("digest").alias("digest_"), F.col("size").alias("size_")).agg(
+        F.min("page_id").alias("response_id"), F.count("*").alias("n")).filter("n > 1"), "responses")
     revisits = narrow.join(first, (F.col("digest") == F.col("digest_")) & (F.col("size") == F.col("size_"))).filter(
         "response_id is not null and not (page_id <=> response_id)").select(
         F.col("page_id").alias("page_id_"), F.col("digest").alias("digest_"), "response_id").distinct()
