@@ -19,7 +19,7 @@ BLOCK_ROWS = 512
 # Bits of a membership filter that is copied to every executor: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 # Entries of a task's word cache before it starts anew.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -72,6 +72,7 @@ def arrow_map(df: DataFrame, per_batch: Callable[[], Callable], schema: str) ->
                         [pa.array(out[f.name], f.type, from_pandas=True) if not isinstance(out[f.name], pa.Array)
                          else out[f.name].cast(f.type) for f in target],
                         schema=target)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

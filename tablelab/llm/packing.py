@@ -9,8 +9,10 @@ dealt anew and packed again, and the new packing is taken if it needs fewer bins
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -28,35 +30,59 @@ ROUNDS = 3
 # A group holds fewer bins than 2 ** BIN_BITS.
 BIN_BITS = 20
 SEPARATOR = 0
-# a single blank between two non-blanks always begins a new pre-token of the tokenizer
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD_BLANKS = re.compile(r" \s|\s |^ | $")
+# Fixed value: how a byte-level BPE vocabulary of this kind cuts text into pre-tokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Blanks that stand in a run or at an end, or are none of the usual two.
+_ODD_BLANKS = re.compile(r"[^\S \n]|\s\s|^\s|\s$")
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in the vocabulary: printable Latin-1 letters for themselves,
+    the other bytes, in order, for the code points from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def load_bpe(path: str):
+    """The vocabulary of a tokenizer file. Merge order is id order in it, so ids serve as ranks."""
+    import tiktoken
+
+    letters = byte_letters()
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if all(c in letters for c in token)}
+    special = {t: i for t, i in vocabulary.items() if t == "<|endoftext|>"}
+    for t in special:
+        ranks.pop(t.encode(), None)
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 class TokenIds(dict):
-    """Token ids (little-endian unsigned 32-bit) of blank-separated pieces of text."""
+    """Token ids (little-endian unsigned 32-bit) of the words of texts, remembered."""
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
-
-    def learn(self, pieces: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        self.update(zip(pieces, (np.array(e.ids, "<u4").tobytes() for e in found)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Same ids as encoding each whole text: texts are cut only where the tokenizer cuts first."""
-        cut = []
-        for text in texts:
-            words = _CUT.split(text) if _ODD_BLANKS.search(text) else text.split(" ")
-            cut.append(words[:1] + [f" {w}" for w in words[1:]] if text else [])
-        if len(self) > CACHE_ENTRIES:
+        self.encode_word = load_bpe(path).encode_ordinary
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_ENTRIES:
             self.clear()
-        self.learn([w for w in set().union(*cut) if w not in self])
-        return [b"".join(map(self.__getitem__, words)) for words in cut]
+        ids = self[word] = array("I", self.encode_word(word)).tobytes()
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """Same ids as of the whole text: a single blank between two others begins a pre-token with what
+        follows it, a single line break is one by itself. Texts with other blanks are not cut."""
+        if _ODD_BLANKS.search(text):
+            return array("I", self.encode_word(text)).tobytes()
+        words: list[str] = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            words.append(first)
+            words += [f" {w}" for w in rest]
+            words.append("\n")
+        return b"".join(map(self.__getitem__, words[:-1]))
 
 
 def pieces(documents: DataFrame, tokenizer: str, length: int = SEQUENCE) -> DataFrame:
@@ -73,10 +99,9 @@ def pieces(documents: DataFrame, tokenizer: str, length: int = SEQUENCE) -> Data
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 batch = whole.slice(begin, 256)
-                found = ids.encode([t or "" for t in batch.column("text").to_pylist()])
                 rows = []
-                for doc, encoded in zip(batch.column("doc_id").to_pylist(), found):
-                    encoded += SEPARATOR.to_bytes(4, "little")
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                    encoded = ids.encode(text or "") + SEPARATOR.to_bytes(4, "little")
                     total = len(encoded) // 4
                     first = total % length or length
                     starts = [0, *range(first, total, length)]
