@@ -23,7 +23,9 @@ MAX_TRAINING = 20_000
 EM_ROUNDS = 100
 ABSTAIN, BAD, GOOD = 0, 1, 2
 LABELLERS = ("symbols", "capitals", "bars", "repeats", "lines", "stutter", "word_length", "marks", "sentences", "empty")
-_SHAPES = (("X", re.compile("[A-ZÀ-ÖØ-Þ]+")), ("x", re.compile("[a-zß-öø-ÿ]+")), ("9", re.compile("[0-9]+")))
+# Bytes by kind: capital, digit, blank, letter (all of UTF-8 beyond ASCII too), others as they are.
+_SHAPE = bytes(
+    88 if 65 <= c <= 90 else 57 if 48 <= c <= 57 else 120 if 97 <= c <= 122 or c >= 128 else c for c in range(256))
 _ENDS = re.compile(r"[.!?…][\"')\]]*\s*$")
 
 
@@ -39,8 +41,10 @@ def votes(text: bytes) -> tuple[int, ...]:
     decoded = text.decode()
     lines = [x for x in decoded.split("\n") if x.strip()]
     words = text.split()
-    upper = sum(map(str.isupper, decoded))
-    letters = max(1, sum(map(str.isalpha, decoded)))
+    points = np.frombuffer(decoded.encode("utf-32-le"), np.uint32)
+    # letters of ASCII and Latin-1, and whatever lies beyond
+    upper = int(((points >= 65) & (points <= 90) | (points >= 0xC0) & (points <= 0xDE)).sum())
+    letters = max(1, int(((points | 32) - 97 < 26).sum() + (points >= 0xC0).sum()))
     ended = sum(bool(_ENDS.search(x)) for x in lines) / max(1, len(lines))
     bars = text.count(b"|")
 
@@ -96,11 +100,7 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS
 def quality_features(text: bytes, hashes: WordHashes, bits: int) -> np.ndarray:
     """Hashed words, marks and pairs of them, and the same of word shapes."""
     tokens = TOKENS.findall(text.decode())
-    shapes = []
-    for t in tokens:
-        for mark, pattern in _SHAPES:
-            t = pattern.sub(mark, t)
-        shapes.append("\n" + t[:8])
+    shapes = text.translate(_SHAPE).split()
     return np.concatenate([hashed_grams(hashes.array(tokens), bits), hashed_grams(hashes.array(shapes), bits, skips=True)])
 
 
