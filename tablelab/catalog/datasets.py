@@ -67,6 +67,17 @@ def _split_stratified(spark, sf):
     )
 
 
+@query(
+    "split_stratified_many",
+    f"""SELECT o_orderkey, o_custkey, {_SPLIT_CASE} FROM (
+          SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('42:' || o_orderkey)) AS rn,
+                 count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)""",
+)
+def _split_stratified_many(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return split_exact(orders, 0.7, 0.15, 0.15, seed=42, stratify="o_custkey", row_id="o_orderkey")
+
+
 @query(
     "resplit",
     """SELECT c_custkey,
@@ -263,6 +274,17 @@ def _label_encode(spark, sf):
     return sc.change_columns_type(rows, {"l_returnflag": "Categorical", "l_suppkey": "Categorical"})
 
 
+@query(
+    "label_encode_many",
+    """SELECT l_linenumber, CAST(dense_rank() OVER (ORDER BY CAST(l_orderkey AS VARCHAR)) - 1 AS DOUBLE) AS order_code,
+         l_orderkey FROM lineitem""",
+)
+def _label_encode_many(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_orderkey").cast("string").alias("order_code"))
+    return sc.change_columns_type(rows, {"order_code": "Categorical"})
+
+
 @query("label_decode", "SELECT o_orderkey, o_orderpriority AS decoded FROM orders")
 def _label_decode(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")

@@ -1,10 +1,6 @@
 """Error texts."""
 
 # Texts that existing callers match on.
-SAMPLE_TOO_LARGE = (
-    "Number of samples must be less than or equal to the length of the dataset. "
-    "Number of samples: {n}, dataset length: {total}"
-)
 POSITION_TOO_LARGE = (
     "The list of indices can only contain elements within the amount of columns. "
     "Index {i} is greater than the total of columns."
@@ -17,16 +13,19 @@ TOO_MANY_ROLES = (
 UNKNOWN_ROLES = (
     "Inputs and outputs can only contain elements that exist in names. Extra elements: {extra}"
 )
-RANGE_FORMAT = "The entered text doesn't fit the example format"
-RANGE_TOO_LARGE = "The indexes should be minor than the total of columns or rows"
-RANGE_ORDER = "The second number of a range must be greater than the first"
 UNKNOWN_COLUMN = "Error while changing column types: column '{name}' does not exist in dataset."
 NO_SEPARATOR = "Error trying to load the CSV dataset: separator parameter was not provided."
-SEPARATOR_TYPE = "Param separator should be a string, got {got}"
 LENGTHS = (
-    "The length of the true and the predicted labels must be equal, "
+    "The length of the true labels and the predicted labels must be equal, "
     "given: len(true_labels) = {truth} and len(pred_labels) = {predicted}."
 )
-PERCENTILES = "upper_percentile value must be greater than lower_percentile"
-UNKNOWN_SPLIT_NAME = "Error, set name {name} is not recognized"
-UNKNOWN_STATUS = "Error {code} is not a valid status"
+
+# Our own.
+SAMPLE_TOO_LARGE = "a sample of {n} rows was asked for; it has to be less than or equal to the {total} rows there are"
+RANGE_FORMAT = "the format of a range is 3 or 2-5; several are separated by commas"
+RANGE_TOO_LARGE = "positions in a range should be minor or equal to the number of rows or columns"
+RANGE_ORDER = "the second number of a range may not lie below its start"
+SEPARATOR_TYPE = "the separator should be a string, not {got}"
+PERCENTILES = "the upper percentile has to lie above the lower one"
+UNKNOWN_SPLIT_NAME = "Error: there is no split called {name}"
+UNKNOWN_STATUS = "Error: {code} is no run state"

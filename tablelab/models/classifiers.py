@@ -80,11 +80,21 @@ def _logistic(df, label, k, *, penalty="l2", tol=1e-3, C=1.0, max_iter=100):
 _IMPURITY = {"entropy": "entropy", "log_loss": "entropy", "gini": "gini"}
 
 
+def _without_counterpart(**given) -> None:
+    """Refuse values that would change the model in a way Spark's trees and machines cannot follow."""
+    neutral = {"min_samples_split": (None, 1, 2), "max_leaf_nodes": (None,), "l2_regularization": (None, 0),
+               "coef0": (None, 0)}
+    for name, value in given.items():
+        if value not in neutral[name]:
+            raise ValueError(f"{name}={value} is not supported")
+
+
 def _tree(
     df, label, k, *, criterion="entropy", max_depth=1, min_samples_split=None, min_samples_leaf=1,
     max_features=None, random_state=0,
 ):
-    """Depth is at most 30; ``min_samples_split`` has no counterpart and is ignored."""
+    """Depth is at most 30; ``min_samples_split`` above 2 has no counterpart and is refused."""
+    _without_counterpart(min_samples_split=min_samples_split)
     shared = {
         **_soft(label), "impurity": _IMPURITY[criterion], "maxDepth": min(max_depth or 30, 30),
         "minInstancesPerNode": min_samples_leaf, "maxBins": _max_bins(df), "seed": random_state,
@@ -100,7 +110,8 @@ def _forest(
     df, label, k, *, n_estimators=100, max_depth=2, min_samples_split=None, min_samples_leaf=1,
     max_leaf_nodes=None, random_state=0,
 ):
-    """``min_samples_split`` and ``max_leaf_nodes`` have no counterpart and are ignored."""
+    """``min_samples_split`` above 2 and ``max_leaf_nodes`` have no counterpart and are refused."""
+    _without_counterpart(min_samples_split=min_samples_split, max_leaf_nodes=max_leaf_nodes)
     estimator = RandomForestClassifier(
         **_soft(label), numTrees=n_estimators, maxDepth=min(max_depth or 30, 30),
         minInstancesPerNode=min_samples_leaf, maxBins=_max_bins(df), seed=random_state or 0,
@@ -113,7 +124,8 @@ def _boosting(
     min_samples_leaf=20, l2_regularization=None,
 ):
     """Inputs are binned as in histogram boosting. More than two classes are fitted one against
-    the rest; leaf count and l2 penalty have no counterpart and are ignored."""
+    the rest; leaf count and l2 penalty have no counterpart and are refused."""
+    _without_counterpart(max_leaf_nodes=max_leaf_nodes, l2_regularization=l2_regularization)
     bins = _max_bins(df)
 
     def fit_one(rows, c):
@@ -144,8 +156,10 @@ def _svc(
 ):
     """Linear machines on mapped inputs: none for ``linear``, random cosines for ``rbf``, monomials
     for ``poly``. Fitted one against the rest, with margins turned into probabilities by a logistic
-    curve (Platt). ``coef0``, ``shrinking`` and ``verbose`` are ignored; there is no ``sigmoid``.
+    curve (Platt). ``coef0`` other than 0 is refused; ``shrinking`` and ``verbose``, which change no
+    result, are ignored; there is no ``sigmoid``.
     """
+    _without_counterpart(coef0=coef0)
     size = len(df.select(FEATURES).head()[0])
     mapped, maps = FEATURES, []
     if kernel == "rbf":

@@ -101,7 +101,7 @@ def hash_rank(
     """0-based rank by a hexadecimal key inside each ``within`` group.
 
     Rows are windowed per key prefix (uniform for an md5), then shifted by the number of rows in
-    lower prefixes, so no window ever covers a whole group.
+    lower prefixes, so no window ever covers a whole group. Null is a group of its own.
     """
     within = within or []
     n = df.count() if n is None else n
@@ -110,17 +110,20 @@ def hash_rank(
     lower = Window.partitionBy(*within).orderBy("_prefix").rowsBetween(
         Window.unboundedPreceding, -1
     )
+    group = [*within, "_prefix"]
     offsets = (
-        keyed.groupBy(*within, "_prefix")
+        keyed.groupBy(*group)
         .count()
-        .select(*within, "_prefix", F.coalesce(F.sum("count").over(lower), F.lit(0)).alias("_before"))
+        .select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
+                F.coalesce(F.sum("count").over(lower), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy(*within, "_prefix").orderBy("_key")
+    inside = Window.partitionBy(*group).orderBy("_key")
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]  # null is a group too
     return (
         keyed.withColumn("_pos", F.row_number().over(inside))
-        .join(offsets, [*within, "_prefix"])
+        .join(offsets, same)
         .withColumn(out, (F.col("_pos") - 1 + F.col("_before")).cast("long"))
-        .drop("_key", "_prefix", "_pos", "_before")
+        .drop("_key", "_prefix", "_pos", "_before", *[f"_g{i}" for i in range(len(group))])
     )
 
 

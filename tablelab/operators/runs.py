@@ -13,8 +13,9 @@ NOT_STARTED, DELIVERED, STARTED, FINISHED, ERROR = range(5)
 
 EXPERIMENTS = (
     "experiment_id string, name string, dataset string, task string, input_columns array<string>, "
-    "output_columns array<string>, splits string, created timestamp"
+    "output_columns array<string>, splits string, created timestamp, dataset_id string"
 )
+DATASETS = "dataset_id string, name string, path string, created timestamp"
 # one row per state change; the newest row of a run is its current state
 RUN_EVENTS = (
     "run_id string, experiment_id string, run_name string, model_name string, "

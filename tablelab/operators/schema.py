@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tablelab import messages
 from tablelab.operators.dataset import data_columns, is_label
+from tablelab.operators.ranks import sorted_index
 from tablelab.session import MAX_CLASSES
 
 # Spark type for each type name of the column editor.
@@ -70,13 +71,31 @@ def label_names(df: DataFrame, column: str) -> list[str]:
     return [str(v) for v in values]
 
 
+def label_table(df: DataFrame, column: str) -> DataFrame:
+    """``(value, code)`` of every class in code order, for any number of classes."""
+    if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
+        raise ValueError(f"column {column} holds fractions and cannot be made categorical")
+    values = label_values(df, column).select(F.col(column).alias("value"))
+    return sorted_index(values, "value", "code")
+
+
 def encode_label(df: DataFrame, column: str, names: list[str] | None = None) -> DataFrame:
     """Replace a column by its class codes (double), names kept in the column metadata.
 
-    A value outside ``names`` becomes null rather than a wrong class.
+    A value outside ``names`` becomes null rather than a wrong class. Columns of more classes than
+    metadata can hold are joined with ``label_table`` and get the same codes, without the names.
     """
     if is_label(df.schema[column]):
         return df
+    if names is None and label_values(df, column).limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        codes = label_table(df, column).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        meta = {"ml_attr": {"type": "nominal", "name": column}}
+        return (
+            df.join(codes, F.col(column) == F.col("_value"), "left")
+            .withColumn(column, F.col("_code").cast("double"))
+            .select(*df.columns)
+            .withMetadata(column, meta)
+        )
     names = label_names(df, column) if names is None else names
     if not names:
         raise ValueError(f"column {column} has no values to encode")
@@ -99,6 +118,8 @@ def class_names(df: DataFrame, column: str) -> list[str]:
     field = df.schema[column]
     if not is_label(field):
         raise ValueError(f"column {column} is not an encoded label")
+    if "vals" not in field.metadata["ml_attr"]:
+        raise ValueError(f"column {column} has too many classes to keep their names; see label_table")
     return list(field.metadata["ml_attr"]["vals"])
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from tablelab import ROW_ID, SPLIT
 from tablelab.operators.dataset import ids_in_ranges
-from tablelab.operators.ranks import cut_points, hash_key, id_key
-from tablelab.session import MAX_CLASSES, broadcast_small
+from tablelab.operators.ranks import PAST_THE_END, cut_points, hash_key, hash_rank, id_key
 
 
 def check_split_values(train: float, test: float, validation: float) -> None:
@@ -47,8 +46,9 @@ def split_exact(
 ) -> DataFrame:
     """Add a ``split`` column whose sizes are exact, overall or within each ``stratify`` value.
 
-    Shuffled rows are ordered by ``md5(seed:row_id)``, unshuffled ones by the row id. Only the two
-    boundary keys are searched for; the rows themselves are never sorted or shuffled.
+    Shuffled rows are ordered by ``md5(seed:row_id)``, unshuffled ones by the row id. Without
+    ``stratify`` only the two boundary keys are searched for; the rows are never sorted or shuffled.
+    There may be any number of strata; null is one of its own.
     """
     check_split_values(train, test, validation)
     key = hash_key(seed, row_id) if shuffle else id_key(row_id)
@@ -64,16 +64,21 @@ def split_exact(
         first, second = found[""]
         return df.withColumn(SPLIT, _named(key, F.lit(first), F.lit(second)))
 
-    classes = df.select(stratify).distinct().limit(MAX_CLASSES + 1).count()
-    if classes > MAX_CLASSES:
-        raise ValueError(f"{stratify} has more than {MAX_CLASSES} values, too many to stratify by")
-    found = cut_points(df, key, positions, stratum=F.col(stratify), digits=3 if classes <= 64 else 2)
-    cuts = df.sparkSession.createDataFrame(
-        [(s, a, b) for s, (a, b) in found.items()], "_s string, _first string, _second string"
-    )
-    tagged = df.withColumn("_s", F.coalesce(F.col(stratify).cast("string"), F.lit("")))
+    # ranks over the two key columns only; they meet the rows again as two boundary keys per stratum
+    keys = df.select(F.col(stratify).alias("_s"), key.alias("_k"))
+    count = F.count("*").alias("_n")
+    ranked = hash_rank(keys, F.col("_k"), within=["_s"], out="_rank").join(
+        keys.groupBy(F.col("_s").alias("_t")).agg(count), F.col("_s").eqNullSafe(F.col("_t")))
+    n_train = F.floor(F.lit(float(train)) * F.col("_n") + 1e-9)
+    share = test / (test + validation) if test + validation > 0 else 0.0
+    n_both = n_train + F.floor(F.lit(float(share)) * (F.col("_n") - n_train) + 1e-9)
+
+    def boundary(position: Column) -> Column:
+        return F.coalesce(F.min(F.when(F.col("_rank") >= position, F.col("_k"))), F.lit(PAST_THE_END))
+
+    cuts = ranked.groupBy("_s").agg(boundary(n_train).alias("_first"), boundary(n_both).alias("_second"))
     return (
-        tagged.join(broadcast_small(cuts, len(found)), "_s", "left")
+        df.join(cuts, F.col(stratify).eqNullSafe(F.col("_s")), "left")
         .withColumn(SPLIT, _named(key, F.col("_first"), F.col("_second")))
         .drop("_s", "_first", "_second")
     )

@@ -61,11 +61,12 @@ def ngram_matches(
 
     The pairs are dealt out by row id once. N-grams are then counted where they are made, because
     rows with equal (row, order, text) already share a task: only the texts are ever shuffled, not
-    the many times larger set of n-grams.
+    the many times larger set of n-grams. A null text counts as an empty one.
     """
     by = by or []
     pairs = spread(
-        df.select(*by, F.col(row_id).alias("_id"), F.col(candidate).alias("_ct"), F.col(reference).alias("_rt")),
+        df.select(*by, F.col(row_id).alias("_id"), *[
+            F.coalesce(F.col(side), F.lit("")).alias(name) for side, name in ((candidate, "_ct"), (reference, "_rt"))]),
         "_id",
     )
     tokens = pairs.select(

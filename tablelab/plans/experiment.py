@@ -24,7 +24,7 @@ def _now() -> datetime:
 
 
 class RunStore:
-    """Append-only Parquet tables: ``experiments``, ``run_events``, ``run_metrics``, ``trials``."""
+    """Append-only Parquet tables: ``datasets``, ``experiments``, ``run_events``, ``run_metrics``, ``trials``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -35,11 +35,17 @@ class RunStore:
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
+    def add_dataset(self, name: str, path: str) -> str:
+        dataset_id = uuid.uuid4().hex
+        self._append("datasets", self.spark.createDataFrame([(dataset_id, name, path, _now())], rt.DATASETS))
+        return dataset_id
+
     def add_experiment(
-        self, name: str, dataset: str, task: str, inputs: list[str], outputs: list[str], splits: dict
+        self, name: str, dataset: str, task: str, inputs: list[str], outputs: list[str], splits: dict,
+        dataset_id: str | None = None,
     ) -> str:
         experiment_id = uuid.uuid4().hex
-        row = (experiment_id, name, dataset, task, inputs, outputs, json.dumps(splits), _now())
+        row = (experiment_id, name, dataset, task, inputs, outputs, json.dumps(splits), _now(), dataset_id)
         self._append("experiments", self.spark.createDataFrame([row], rt.EXPERIMENTS))
         return experiment_id
 
@@ -64,6 +70,9 @@ class RunStore:
     def record_trials(self, trials: DataFrame) -> None:
         self._append("trials", trials)
 
+    def datasets(self) -> DataFrame:
+        return self._read("datasets", rt.DATASETS)
+
     def experiments(self) -> DataFrame:
         return self._read("experiments", rt.EXPERIMENTS)
 
@@ -131,7 +140,7 @@ def run_experiment(
         path = f"{store.path}/models/{run['run_id']}"
         save(model, path)
     except Exception as e:
-        store.record(run, rt.ERROR, error=str(e)[:2000])
+        store.record(run, rt.ERROR, error=str(e))
         raise
     store.record(run, rt.FINISHED, model_path=path)
     return model

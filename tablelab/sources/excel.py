@@ -111,10 +111,10 @@ def _cell(e, strings: list[str], dates: set[int]):
 
 
 def _rows(content: bytes, sheet: int | str, keep: set[int] | None) -> Iterator[tuple[int, list]]:
-    """``(row number, cells)`` of a sheet, streamed."""
+    """``(row number, cells)`` of a sheet, streamed. Blank rows in front of a filled one are rows too."""
     book = zipfile.ZipFile(io.BytesIO(content))
     strings, dates = _strings(book), _date_styles(book)
-    at = -1
+    at = done = -1
     for _, e in ElementTree.iterparse(book.open(_sheet_file(book, sheet))):
         if e.tag != f"{_MAIN}row":
             continue
@@ -124,8 +124,12 @@ def _rows(content: bytes, sheet: int | str, keep: set[int] | None) -> Iterator[t
             ref = c.get("r")
             column = column_number(re.match("[A-Za-z]+", ref)[0]) if ref else place
             cells[column] = _cell(c, strings, dates)
-        width = max(cells, default=-1) + 1
-        yield at, [cells.get(i) for i in range(width) if keep is None or i in keep]
+        width = max((i for i, c in cells.items() if c is not None), default=-1) + 1
+        if width:
+            for blank in range(done + 1, at):
+                yield blank, []
+            yield at, [cells.get(i) for i in range(width) if keep is None or i in keep]
+            done = at
         e.clear()
 
 
@@ -135,7 +139,7 @@ def excel_rows(
 ) -> DataFrame:
     """Rows of workbooks given as ``(path, content)``, in one frame with common columns.
 
-    Workbooks must agree in their column names. Whole numbers become long, other numbers double,
+    Workbooks must agree in their column names. There are as many columns as the widest row has. Whole numbers become long, other numbers double,
     booleans boolean, dates timestamp and everything else text; mixed columns become text.
     """
     keep = wanted_columns(usecols)
@@ -159,20 +163,20 @@ def excel_rows(
     cells = materialize(
         files.select("path", "content").mapInPandas(parse, f"path string, r long, cells {_CELL}"), "excel"
     )
-    body = cells.filter(F.expr("r >= 0 AND exists(cells, c -> c IS NOT NULL)"))
+    body = cells.filter("r >= 0")
     kinds = (
         body.select(F.posexplode("cells").alias("i", "c")).groupBy("i")
         .agg(F.collect_set("c.k").alias("k")).collect()  # one row per column
     )
+    width = max((r["i"] for r in kinds if r["k"]), default=-1) + 1
     if header is None:
-        width = max((r["i"] for r in kinds), default=-1) + 1
         names = [str(i) for i in range(width)]
     else:
         heads = cells.filter("r = -1").select(F.transform("cells", lambda c: c["v"]).alias("h"))
         found = heads.distinct().limit(2).collect()
         if len(found) != 1:
             raise ValueError("workbooks without a header" if not found else "workbooks differ in their columns")
-        names = [h if h is not None else f"Unnamed: {i}" for i, h in enumerate(found[0]["h"])]
+        names = _column_names(found[0]["h"], width)
     if not names:
         raise ValueError("workbooks hold no columns")
     types = {r["i"]: _column_type(set(r["k"])) for r in kinds}
@@ -184,6 +188,19 @@ def excel_rows(
     return out if keep_source else out.drop("_src", "_blk")
 
 
+def _column_names(header: list, width: int) -> list[str]:
+    """A name for every column of header or data: blanks by place, repeated names numbered."""
+    names: list[str] = []
+    for i in range(max(len(header), width)):
+        name = header[i] if i < len(header) and header[i] is not None else f"Unnamed: {i}"
+        n, free = 0, name
+        while free in names:
+            n += 1
+            free = f"{name}.{n}"
+        names.append(free)
+    return names
+
+
 def _column_type(kinds: set[str]) -> str:
     if kinds == {"i"}:
         return "bigint"

@@ -35,7 +35,7 @@ def check_split_folders(df: DataFrame) -> None:
         raise ValueError("no files found")
     outside = [n for n in names if n.rsplit("/", 2)[-2] not in SPLIT_FOLDERS]
     if outside:
-        raise ValueError(f"files outside train, test, val or validation: {', '.join(outside[:5])}")
+        raise ValueError(f"files outside train, test, val or validation: {', '.join(outside)}")
 
 
 def read_labelled_files(spark: SparkSession, path: str, glob: str = "*", kind: str = "image") -> DataFrame:

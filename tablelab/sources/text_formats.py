@@ -25,10 +25,13 @@ def _require_columns(df: DataFrame, path, kind: str) -> DataFrame:
 def read_csv(
     spark: SparkSession, path: str | list[str], separator: str | None = None,
     splits_in_folders: bool = False, schema: str | None = None, sampling_ratio: float = 1.0,
-    keep_source: bool = False,
+    keep_source: bool = False, multi_line: bool = False,
 ) -> DataFrame:
     """Headed CSV files. A malformed row fails the job that reads it; headers must agree.
 
+    Quoted fields may hold the separator and doubled quotes. ``multi_line`` also allows line breaks
+    inside quotes; a file is then parsed by one task.
+
     Types are inferred unless ``schema`` is given; on very large inputs give one, or a
     ``sampling_ratio`` for the inference pass.
     """
@@ -37,7 +40,8 @@ def read_csv(
     if not isinstance(separator, str):
         raise TypeError(messages.SEPARATOR_TYPE.format(got=type(separator)))
     reader = spark.read.options(
-        sep=separator, header=True, mode="FAILFAST", enforceSchema=False,
+        sep=separator, header=True, mode="FAILFAST", enforceSchema=False, quote='"', escape='"',
+        multiLine=multi_line,
         recursiveFileLookup=splits_in_folders,
     )
     if schema is None:

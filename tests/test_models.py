@@ -284,3 +284,21 @@ def test_kmeans_background(flowers):
 
 def test_all_classifiers_are_covered():
     assert {n for n, _ in CASES} | {"DummyClassifier"} == set(CLASSIFIERS)
+
+
+@pytest.mark.parametrize("name, params", [
+    ("DecisionTreeClassifier", {"min_samples_split": 5}), ("RandomForestClassifier", {"max_leaf_nodes": 4}),
+    ("HistGradientBoostingClassifier", {"l2_regularization": 0.5}), ("SVC", {"kernel": "poly", "coef0": 1.0}),
+])
+def test_parameters_without_counterpart_are_refused(flowers, name, params):
+    with pytest.raises(ValueError, match="not supported"):
+        fit(train(flowers), name, INPUTS, "y", params)
+
+
+def test_lineage_of_stored_runs(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path))
+    dataset = store.add_dataset("flowers", "/data/flowers")
+    experiment = store.add_experiment("e", "flowers", "TabularClassificationTask", ["x1"], ["y"], {}, dataset)
+    create_run(store, experiment, "DummyClassifier")
+    row = rt.with_lineage(store.runs(), store.experiments(), store.datasets()).first()
+    assert (row["experiment_name"], row["dataset_id"], row["dataset_name"]) == ("e", dataset, "flowers")

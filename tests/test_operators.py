@@ -298,3 +298,32 @@ def test_exact_quantiles(spark, monkeypatch):
 def test_types_have_spark_counterparts(spark):
     for name in sc.DTYPES:
         T.StructType.fromDDL(f"a {sc.spark_type(name)}")
+
+
+def test_null_and_empty_strata_are_split_apart(spark):
+    rows = [(i, None if i % 2 else "") for i in range(40)]
+    out = split_exact(spark.createDataFrame(rows, "_row_id long, c string"), 0.5, 0.25, 0.25, stratify="c")
+    got = {(r["c"], r[SPLIT]): r["count"] for r in out.groupBy("c", SPLIT).count().collect()}
+    assert got == {(c, s): n for c in (None, "") for s, n in (("train", 10), ("test", 5), ("validation", 5))}
+
+
+def test_more_classes_than_metadata_holds(spark, monkeypatch):
+    from tablelab.operators import schema
+
+    df = spark.createDataFrame([(i, f"k{i % 30:02d}") for i in range(60)] + [(60, None)], "i int, c string")
+    named = {r["i"]: r["c"] for r in schema.encode_label(df, "c").collect()}
+    monkeypatch.setattr(schema, "MAX_CLASSES", 20)
+    coded = schema.encode_label(df, "c")
+    assert {r["i"]: r["c"] for r in coded.collect()} == named
+    assert schema.is_label(coded.schema["c"]) and schema.encode_label(coded, "c") is coded
+    with pytest.raises(ValueError, match="too many classes"):
+        schema.class_names(coded, "c")
+
+
+def test_bleu_counts_pairs_with_a_null_side(spark):
+    from tablelab.operators.translation import ngram_matches
+
+    df = spark.createDataFrame(
+        [(1, "a b c d e", None), (2, None, "a b c d e"), (3, "a b c d", "a b c d e")], "i int, c string, r string")
+    row = ngram_matches(df, "c", "r", "i").first()
+    assert (row["total_1"], row["reference_length"], row["match_1"]) == (9, 10, 4)

@@ -151,3 +151,20 @@ def test_legacy_layout(spark, tmp_path):
     doc = {"task_info": {}, "train": {"x": ["hello", "bye"], "y": [1, 0]}, "test": {"x": ["yo"], "y": [1]}}
     got = read_legacy_xy(spark, put(tmp_path / "l.json", json.dumps(doc)))
     assert sorted(map(tuple, got.collect())) == [("bye", 0, "train"), ("hello", 1, "train"), ("yo", 1, "test")]
+
+
+def test_csv_quotes(spark, tmp_path):
+    path = put(tmp_path / "q.csv", 'id,t\n1,"he said ""x"" ok"\n2,"a, ""b"", c"\n3,"two\nlines, ""q"""\n4,\n')
+    got = {r["id"]: r["t"] for r in read_csv(spark, path, ",", multi_line=True).collect()}
+    assert got == {1: 'he said "x" ok', 2: 'a, "b", c', 3: 'two\nlines, "q"', 4: None}
+    path = put(tmp_path / "r.csv", 'id,t\n1,"he said ""x"" ok"\n2,"a, ""b"", c"\n')
+    assert {r["t"] for r in read_csv(spark, path, ",").collect()} == {'he said "x" ok', 'a, "b", c'}
+
+
+def test_ragged_workbook(spark):
+    rows = [["a", "a"], [1, 2, 3], [], [None, 5], [7]]
+    files = spark.createDataFrame([("f", bytearray(workbook({"s": rows})))], "path string, content binary")
+    out = excel_rows(files)
+    assert out.columns == ["a", "a.1", "Unnamed: 2"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [(1, 2, 3), (None, None, None), (None, 5, None), (7, None, None)], key=str)
