@@ -129,7 +129,7 @@ def _knn_blocked(spark, sf):
 
 
 def _evaluate(spark, sf, name, params):
-    rows = lineitem_dataset(spark, sf).persist()
+    rows = lineitem_dataset(spark, sf)
     model = fit(rows.filter(F.col(SPLIT) == "train"), name, INPUTS, "l_returnflag", params)
     return classification_scores(score(model, rows), "l_returnflag")
 
@@ -179,7 +179,7 @@ def quality_dataset(spark, sf):
 
 @query("text_pipeline")
 def _text(spark, sf):
-    rows = quality_dataset(spark, sf).persist()
+    rows = quality_dataset(spark, sf)
     model = fit_text(
         rows.filter(F.col(SPLIT) == "train"), "LogisticRegression", "text", "quality", {"max_iter": 20}
     )
@@ -199,3 +199,96 @@ def _score_saved(spark, sf):
     return scored.groupBy("prediction").agg(
         F.count("*").alias("n"), F.round(F.avg(F.array_max("probability")), 6).alias("confidence")
     )
+
+
+# --- fits with a known answer --------------------------------------------------------------------
+
+# ``high`` decides the label, but for line 7 of an order, whose label is the other one.
+_STUMP = """
+  r AS (SELECT *, round(l_discount * 100) >= 5 AS high FROM lineitem),
+  t AS (SELECT *, CASE WHEN high <> (l_linenumber = 7) THEN 1.0 ELSE 0.0 END AS y FROM r),
+  p AS (SELECT high, avg(y) AS p FROM t GROUP BY 1)"""
+_KEY = ["l_orderkey", "l_linenumber"]
+
+
+def _stump_rows(spark, sf, label: str):
+    """Lineitem with an encoded label: ``noisy`` as above, or ``side``, which is ``high`` itself."""
+    hundredths = F.round(F.col("l_discount") * 100)
+    high = hundredths >= 5
+    yes = high != (F.col("l_linenumber") == 7) if label == "noisy" else high
+    rows = table(spark, sf, "lineitem").select(
+        *_KEY, *[F.col(c).cast("double").alias(c) for c in INPUTS], high.cast("double").alias("high"),
+        (hundredths - 4.5).cast("double").alias("gap"), F.when(yes, "yes").otherwise("no").alias(label))
+    return encode_label(rows, label)
+
+
+def _stump(spark, sf, name, inputs, params, label="noisy"):
+    rows = _stump_rows(spark, sf, label)
+    return score(fit(rows, name, inputs, label, params), rows)
+
+
+def _p_yes(digits: int):
+    return F.round(F.get("probability", F.lit(1)), digits).alias("p_yes")
+
+
+_STUMP_SQL = f"""WITH {_STUMP} SELECT l_orderkey, l_linenumber, CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END AS prediction,
+                   round(p, 9) AS p_yes FROM t JOIN p USING (high)"""
+
+
+@query("tree_stump", _STUMP_SQL)
+def _tree_stump(spark, sf):
+    scored = _stump(spark, sf, "DecisionTreeClassifier", INPUTS, {"max_depth": 1})
+    return scored.select(*_KEY, "prediction", _p_yes(9))
+
+
+@query("score_saved_stump", _STUMP_SQL)
+def _score_saved_stump(spark, sf):
+    """Saved, loaded, and applied to rows whose columns come in another order."""
+    rows = _stump_rows(spark, sf, "noisy")
+    path = scratch_path(spark, "model")
+    save(fit(rows, "DecisionTreeClassifier", INPUTS, "noisy", {"max_depth": 1}), path)
+    new = rows.select(*reversed(INPUTS), *_KEY)
+    return score(load(path), new, rows.select(*_KEY, *INPUTS).schema).select(*_KEY, "prediction", _p_yes(9))
+
+
+@query("forest_stump", f"SELECT l_orderkey, l_linenumber, prediction FROM ({_STUMP_SQL})")
+def _forest_stump(spark, sf):
+    scored = _stump(spark, sf, "RandomForestClassifier", ["l_discount"], {"n_estimators": 5, "max_depth": 1})
+    return scored.select(*_KEY, "prediction")
+
+
+@query("gbt_stump", f"""WITH {_STUMP} SELECT l_orderkey, l_linenumber, CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END AS prediction,
+                          round(1 / (1 + exp(-2 * (2 * p - 1))), 9) AS p_yes FROM t JOIN p USING (high)""")
+def _gbt_stump(spark, sf):
+    scored = _stump(spark, sf, "HistGradientBoostingClassifier", INPUTS, {"max_iter": 1, "max_depth": 1})
+    return scored.select(*_KEY, "prediction", _p_yes(9))
+
+
+@query("logistic_rates", f"SELECT l_orderkey, l_linenumber, prediction, round(p_yes, 3) AS p_yes FROM ({_STUMP_SQL})")
+def _logistic_rates(spark, sf):
+    """With one indicator as input the model is saturated: it gives the share of each side."""
+    scored = _stump(spark, sf, "LogisticRegression", ["high"], {"C": 1e6, "tol": 1e-10, "max_iter": 200})
+    return scored.select(*_KEY, "prediction", _p_yes(3))
+
+
+_SIDES_SQL = """SELECT l_orderkey, l_linenumber, CASE WHEN round(l_discount * 100) >= 5 THEN 1.0 ELSE 0.0 END AS prediction
+                FROM lineitem"""
+
+
+def _separable(spark, sf, params):
+    return _stump(spark, sf, "SVC", ["gap"], params, "side").select(*_KEY, "prediction")
+
+
+@query("svc_linear_separable", _SIDES_SQL)
+def _svc_linear_separable(spark, sf):
+    return _separable(spark, sf, {"kernel": "linear"})
+
+
+@query("svc_rbf_separable", _SIDES_SQL)
+def _svc_rbf_separable(spark, sf):
+    return _separable(spark, sf, {"kernel": "rbf", "n_components": 64})
+
+
+@query("svc_poly_separable", _SIDES_SQL)
+def _svc_poly_separable(spark, sf):
+    return _separable(spark, sf, {"kernel": "poly", "degree": 3})

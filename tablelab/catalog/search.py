@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablelab import ROW_ID
-from tablelab.catalog.registry import query, table
+from tablelab.catalog.registry import deal, query, table
+from tablelab.catalog.scoring import _SPLIT
 from tablelab.models import fit
+from tablelab.operators.dataset import with_row_ids
 from tablelab.operators.schema import encode_label
 from tablelab.operators.splits import split_exact
 from tablelab.plans.tune import best_trial, resolve_parameters, running_best, search
@@ -69,3 +71,36 @@ def _tune_random(spark, sf):
 @query("tune_tpe")
 def _tune_tpe(spark, sf):
     return _tune(spark, sf, "tpe")
+
+
+@query(
+    "tune_grid",
+    f"""WITH numbered AS (SELECT *, row_number() OVER () - 1 AS r FROM lineitem),
+          placed AS (SELECT *, row_number() OVER (ORDER BY md5('11:' || r)) AS rn, count(*) OVER () AS n FROM numbered),
+          v AS (SELECT round(l_discount * 100) >= 5 AS a, l_quantity >= 6 AS b FROM (SELECT *, {_SPLIT} AS split FROM placed)
+                WHERE split = 'validation'),
+          s AS (SELECT avg(CASE WHEN a AND NOT b THEN 0.0 ELSE 1.0 END) AS one_level FROM v),
+          g AS (SELECT trial, CASE WHEN trial < 2 THEN 1 ELSE 2 END AS depth, 1 + trial % 2 AS leaf FROM range(4) AS t(trial))
+        SELECT CAST(trial AS INTEGER) AS trial, CAST(depth AS DOUBLE) AS max_depth, CAST(leaf AS DOUBLE) AS min_samples_leaf,
+          round(CASE WHEN depth = 1 THEN one_level ELSE 1.0 END, 9) AS score,
+          round(CASE WHEN depth = 1 THEN one_level ELSE 1.0 END, 9) AS running_best FROM g, s""",
+)
+def _tune_grid(spark, sf):
+    """The label is ``a and b``: one level finds ``a`` only, two find both."""
+    a, b = F.round(F.col("l_discount") * 100) >= 5, F.col("l_quantity") >= 6
+    rows = with_row_ids(table(spark, sf, "lineitem")).select(
+        ROW_ID, a.cast("double").alias("a"), b.cast("double").alias("b"),
+        F.when(a & b, "yes").otherwise("no").alias("label"))
+    rows = deal(encode_label(split_exact(rows, 0.6, 0.2, 0.2, seed=11), "label"))
+    fixed, space = resolve_parameters({
+        "max_depth": {"optimize": True, "fixed_value": 1, "lower_bound": 1, "upper_bound": 2},
+        "min_samples_leaf": {"optimize": True, "fixed_value": 1, "lower_bound": 1, "upper_bound": 2},
+    })
+
+    def fit_one(train, params):
+        return fit(train, "DecisionTreeClassifier", ["a", "b"], "label", {**fixed, **params})
+
+    found = search(rows, fit_one, "label", space, "Accuracy", sampler="grid").table(spark, "grid")
+    return found.select("trial", F.col("params")["max_depth"].alias("max_depth"),
+                        F.col("params")["min_samples_leaf"].alias("min_samples_leaf"),
+                        F.round("score", 9).alias("score"), F.round("running_best", 9).alias("running_best"))

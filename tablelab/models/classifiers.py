@@ -230,8 +230,12 @@ def _fit(df, features: list, name: str, params: dict | None, output: str) -> Pip
     k = len(class_names(df, output))
     prepared = Pipeline(stages=features).fit(df)
     check_vocabulary(df.sparkSession, prepared.stages)
-    rows = prepared.transform(df).filter(F.col(output).isNotNull())
-    stages = CLASSIFIERS[name](rows, output, k, **(params or {}))
+    # features are made once, however many passes and classes a classifier needs
+    rows = prepared.transform(df).filter(F.col(output).isNotNull()).persist()
+    try:
+        stages = CLASSIFIERS[name](rows, output, k, **(params or {}))
+    finally:
+        rows.unpersist()
     return PipelineModel([*prepared.stages, *stages])
 
 

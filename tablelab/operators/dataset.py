@@ -41,14 +41,16 @@ def with_row_ids(df: DataFrame, out: str = ROW_ID) -> DataFrame:
     )
 
 
-def row_ids_by_key(df: DataFrame, key: str, out: str = ROW_ID, buckets: int = 256) -> DataFrame:
+def row_ids_by_key(df: DataFrame, key: str, out: str = ROW_ID, buckets: int | None = None) -> DataFrame:
     """Dense 0-based ids in the order of a unique numeric or timestamp key.
 
     Quantile boundaries become literals, so the bucket of a row is a fixed expression; ids are the
-    row number inside the bucket plus the rows of the lower buckets.
+    row number inside the bucket plus the rows of the lower buckets. By default a bucket has about a
+    million rows at most.
     """
+    buckets = buckets or max(256, df.count() // 1_000_000)
     base = df.withColumn("_kd", _as_double(df, key))
-    cuts = base.approxQuantile("_kd", [i / buckets for i in range(1, buckets)], 0.002)
+    cuts = base.approxQuantile("_kd", [i / buckets for i in range(1, buckets)], 0.5 / buckets)
     bounds = [float("-inf"), *sorted(set(cuts)), float("inf")]
     bucketed = Bucketizer(splits=bounds, inputCol="_kd", outputCol="_bucket").transform(base)
     lower = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -298,15 +300,22 @@ def sample(
     """First, last or ``n`` random rows (with replacement) of a dataset with dense ids.
 
     A random row drawn twice is returned twice. Draws are md5-based, so they can be repeated
-    exactly; the i-th draw is ``md5(seed:i) mod rows``.
+    exactly; the i-th draw is ``md5(seed:i) mod rows``. The first and last rows are found by their
+    ids, which may have gaps, and come in the order of the ids.
     """
-    total = df.count()
+    from tablelab.operators.ranks import cut_points, id_key
+
+    total, low, high = df.agg(F.count("*"), F.min(row_id), F.max(row_id)).first()
     if n > total:
         raise ValueError(messages.SAMPLE_TOO_LARGE.format(n=n, total=total))
-    if method == "head":
-        return df.orderBy(row_id).limit(n)
-    if method == "tail":
-        return df.orderBy(F.desc(row_id)).limit(n).orderBy(row_id)
+    if method in ("head", "tail"):
+        if total and high - low + 1 == total:
+            wanted = F.col(row_id) < low + n if method == "head" else F.col(row_id) > high - n
+        else:
+            at = n if method == "head" else total - n
+            cut = cut_points(df, id_key(row_id), lambda _: [at]).get("", [""])[0]
+            wanted = id_key(row_id) < cut if method == "head" else id_key(row_id) >= cut
+        return df.filter(wanted).orderBy(row_id)
     if method == "random":
         digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id"))), 1, 15)
         drawn = F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(total))
@@ -318,10 +327,14 @@ def sample(
 def sample_without_replacement(
     df: DataFrame, n: int, seed: int = 0, row_id: str = ROW_ID
 ) -> DataFrame:
-    """``n`` different rows: the ones with the smallest ``md5(seed:row_id)``."""
-    from tablelab.operators.ranks import hash_key
+    """``n`` different rows: the ones with the smallest ``md5(seed:row_id)``; all if there are fewer.
+
+    The key of the first row left out is counted out, so the sample is a narrow filter.
+    """
+    from tablelab.operators.ranks import cut_points, hash_key
 
-    return df.orderBy(hash_key(seed, row_id), row_id).limit(n)
+    key = hash_key(seed, row_id)
+    return df.filter(key < cut_points(df, key, lambda total: [min(n, total)]).get("", [""])[0])
 
 
 def page(df: DataFrame, size: int, number: int = 0, by: str = ROW_ID) -> DataFrame:

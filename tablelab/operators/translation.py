@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,10 +30,12 @@ RULES_13A = (
     ("([0-9])(-)", "$1 $2 "),
 )
 
-# Search limits that belong to the definition of TER's greedy shifts.
+# Usual limits of TER's greedy shifts, which ``ter`` takes as arguments.
 MAX_SHIFT_SIZE = 10
 MAX_SHIFT_DISTANCE = 50
-MAX_SHIFT_CANDIDATES = 1000
+
+# Moves whose distances are computed together.
+MOVES_AT_ONCE = 256
 
 
 def tokens_13a(text: str | Column) -> Column:
@@ -141,17 +145,16 @@ def _alignment(table: np.ndarray, hyp, ref):
     return place, hyp_bad, ref_bad
 
 
-def _moves(hyp, ref, place, hyp_bad, ref_bad):
-    """Block moves worth trying: (length, start, insertion point)."""
-    out = []
+def _moves(hyp, ref, place, hyp_bad, ref_bad, max_size, max_distance):
+    """Block moves worth trying, one by one: (length, start, insertion point)."""
     where: dict = {}
     for j, w in enumerate(ref):
         where.setdefault(w, []).append(j)
     for s, w in enumerate(hyp):
         for r in where.get(w, ()):
-            if abs(r - s) > MAX_SHIFT_DISTANCE:
+            if abs(r - s) > max_distance:
                 continue
-            for n in range(1, MAX_SHIFT_SIZE + 1):
+            for n in range(1, max_size + 1):
                 if s + n > len(hyp) or r + n > len(ref) or hyp[s + n - 1] != ref[r + n - 1]:
                     break
                 if not hyp_bad[s : s + n].any() or not ref_bad[r : r + n].any():
@@ -159,10 +162,7 @@ def _moves(hyp, ref, place, hyp_bad, ref_bad):
                 if s <= place[r] < s + n:
                     continue
                 spots = {0 if r + k < 0 else int(place[r + k]) + 1 for k in range(-1, n)}
-                out += [(n, s, t) for t in sorted(spots) if not s <= t <= s + n]
-                if len(out) >= MAX_SHIFT_CANDIDATES:
-                    return out[:MAX_SHIFT_CANDIDATES]
-    return out
+                yield from ((n, s, t) for t in sorted(spots) if not s <= t <= s + n)
 
 
 def _moved(hyp: np.ndarray, n: int, start: int, to: int) -> np.ndarray:
@@ -170,11 +170,10 @@ def _moved(hyp: np.ndarray, n: int, start: int, to: int) -> np.ndarray:
     return np.insert(rest, to - n if to > start else to, block)
 
 
-def _distances(hyp, ref, forward, moves) -> np.ndarray:
+def _distances(hyp, ref, forward, backward, moves) -> np.ndarray:
     """Edit distance after each move. Only the words between source and target change place, so
     the table rows before and after them are reused and the rest is computed for all moves at once.
     """
-    backward = _table(hyp[::-1], ref[::-1])[::-1, ::-1]
     low = np.array([min(s, t) for _, s, t in moves])
     high = np.array([max(s + n, t) for n, s, t in moves])
     span = high - low
@@ -188,8 +187,13 @@ def _distances(hyp, ref, forward, moves) -> np.ndarray:
     return (rows + backward[high]).min(axis=1)
 
 
-def ter_edits(candidate: str, reference: str) -> int:
-    """Edits that turn one sentence into the other: word edits plus greedy block shifts."""
+def ter_edits(
+    candidate: str, reference: str, max_size: int = MAX_SHIFT_SIZE, max_distance: int = MAX_SHIFT_DISTANCE
+) -> int:
+    """Edits that turn one sentence into the other: word edits plus greedy block shifts. Every move
+    of at most ``max_size`` words over at most ``max_distance`` is tried."""
+    if candidate == reference:
+        return 0
     hyp_words, ref_words = candidate.lower().split(), reference.lower().split()
     codes = {w: i for i, w in enumerate(dict.fromkeys(hyp_words + ref_words))}
     hyp = np.array([codes[w] for w in hyp_words], dtype=int)
@@ -200,28 +204,39 @@ def ter_edits(candidate: str, reference: str) -> int:
     while True:
         table = _table(hyp, ref)
         distance = int(table[-1, -1])
-        moves = _moves(hyp, ref, *_alignment(table, hyp, ref))
-        if not moves:
-            return shifts + distance
-        after = _distances(hyp, ref, table, moves)
-        # largest gain first, then the longest block, then the leftmost
-        gain, n, s, t = max((distance - int(d), n, -s, -t) for d, (n, s, t) in zip(after, moves))
-        if gain <= 0:
+        backward = _table(hyp[::-1], ref[::-1])[::-1, ::-1]
+        moves = _moves(hyp, ref, *_alignment(table, hyp, ref), max_size, max_distance)
+        best = (0,)
+        while some := list(islice(moves, MOVES_AT_ONCE)):
+            after = _distances(hyp, ref, table, backward, some)
+            # largest gain first, then the longest block, then the leftmost
+            best = max(best, *((distance - int(d), n, -s, -t) for d, (n, s, t) in zip(after, some)))
+        if best[0] <= 0:
             return shifts + distance
+        _, n, s, t = best
         hyp = _moved(hyp, n, -s, -t)
         shifts += 1
 
 
-@F.pandas_udf(T.LongType())
-def _edits(candidate: pd.Series, reference: pd.Series) -> pd.Series:
-    return pd.Series([ter_edits(c or "", r or "") for c, r in zip(candidate, reference)], dtype="int64")
-
+def ter(
+    df: DataFrame, candidate: str, reference: str, by: list[str] | None = None,
+    max_shift_size: int = MAX_SHIFT_SIZE, max_shift_distance: int = MAX_SHIFT_DISTANCE,
+) -> DataFrame:
+    """Corpus TER in percent per group: edits over reference words.
 
-def ter(df: DataFrame, candidate: str, reference: str, by: list[str] | None = None) -> DataFrame:
-    """Corpus TER in percent per group: edits over reference words."""
+    A shift moves at most ``max_shift_size`` words over at most ``max_shift_distance`` places; the
+    defaults are the usual ones. A null text counts as an empty one.
+    """
     by = by or []
-    words = F.size(F.filter(F.split(F.lower(reference), "\\s+"), lambda w: w != ""))
-    pairs = spread(df.select(*by, candidate, reference)).select(*by, _edits(F.col(candidate), F.col(reference)).alias("edits"), words.alias("words"))
+
+    @F.pandas_udf(T.LongType())
+    def edits_of(candidates: pd.Series, references: pd.Series) -> pd.Series:
+        return pd.Series([ter_edits(c or "", r or "", max_shift_size, max_shift_distance)
+                          for c, r in zip(candidates, references)], dtype="int64")
+
+    words = F.size(F.filter(F.split(F.lower(F.coalesce(F.col(reference), F.lit(""))), "\\s+"), lambda w: w != ""))
+    pairs = spread(df.select(*by, candidate, reference)).select(
+        *by, edits_of(F.col(candidate), F.col(reference)).alias("edits"), words.alias("words"))
     edits, total = F.sum("edits"), F.sum("words")
     rate = F.when(total > 0, 100.0 * edits / total).otherwise(F.when(edits > 0, 100.0).otherwise(0.0))
     return pairs.groupBy(*by).agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import product
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -64,6 +65,14 @@ def _random(space: dict[str, Range], draw: np.random.Generator) -> dict:
     }
 
 
+def grid(space: dict[str, Range]) -> list[dict]:
+    """Every combination of whole-number ranges; the last parameter changes fastest."""
+    broken = [name for name, r in space.items() if not r.integer]
+    if broken:
+        raise ValueError(f"a grid needs whole-number ranges, unlike those of {', '.join(broken)}")
+    return [dict(zip(space, values)) for values in product(*(range(r.low, r.high + 1) for r in space.values()))]
+
+
 def _density(x: np.ndarray, centers: np.ndarray, r: Range) -> np.ndarray:
     width = max((r.high - r.low) / max(len(centers), 1), 1e-12)
     z = (x[:, None] - centers[None, :]) / width
@@ -115,10 +124,13 @@ def search(
     """Find the parameters whose model, fitted on ``train``, scores best on ``validation``.
 
     ``fit(train_rows, params)`` returns a fitted model. Trials run a few at a time; every round of
-    proposals sees all results so far.
+    proposals sees all results so far. The sampler ``grid`` tries every combination, whatever
+    ``n_trials`` is.
     """
-    if sampler not in ("random", "tpe"):
-        raise ValueError(f"sampler should be random or tpe, got {sampler}")
+    if sampler not in ("random", "tpe", "grid"):
+        raise ValueError(f"sampler should be random, tpe or grid, got {sampler}")
+    listed = grid(space) if sampler == "grid" else []
+    n_trials = len(listed) or n_trials
     if task is not None and metric not in compatible_metrics(task):
         raise ValueError(f"{metric} cannot score {task}")
     sign = 1 if MAXIMIZE[metric] else -1
@@ -137,7 +149,7 @@ def search(
             while len(done) < n_trials:
                 count = min(parallelism, n_trials - len(done))
                 signed = [(p, sign * s) for p, s in done]
-                batch = [
+                batch = listed[len(done):len(done) + count] or [
                     _random(space, draw) if sampler == "random" else _tpe(space, signed, draw)
                     for _ in range(count)
                 ]

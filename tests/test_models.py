@@ -160,6 +160,11 @@ def test_parameters_and_search(flowers):
     table = found.table(flowers.sparkSession).orderBy("trial").collect()
     assert table[-1]["running_best"] == best
     assert [p for _, p, s in found.trials if s == best][0] == found.best_params
+    every = search(flowers, fit_one, "y", {"max_depth": Range(1, 3, True), "min_samples_leaf": Range(1, 2, True)},
+                   n_trials=2, sampler="grid")
+    assert [tuple(p.values()) for _, p, _ in every.trials] == [(d, m) for d in (1, 2, 3) for m in (1, 2)]
+    with pytest.raises(ValueError, match="whole-number"):
+        search(flowers, fit_one, "y", {"C": Range(0.5, 2, False)}, sampler="grid")
     with pytest.raises(ValueError, match="cannot score"):
         search(flowers, fit_one, "y", {}, metric="Bleu", task="TabularClassificationTask")
 

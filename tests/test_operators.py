@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -157,6 +158,15 @@ def test_samples(spark):
     assert len(drawn) == 50 and set(drawn) <= set(range(50)) and len(set(drawn)) < 50
     with pytest.raises(ValueError, match="less than or equal"):
         ds.sample(df, 51)
+    gaps = df.filter(F.col(ROW_ID) % 3 == 1)
+    assert [r[ROW_ID] for r in ds.sample(gaps, 3).collect()] == [1, 4, 7]
+    assert [r[ROW_ID] for r in ds.sample(gaps, 2, "tail").collect()] == [46, 49]
+    assert ds.sample(gaps, 0).count() == 0 and ds.sample(df.limit(0), 0, "tail").count() == 0
+    some = [r[ROW_ID] for r in ds.sample_without_replacement(df, 7, seed=2).collect()]
+    by_hash = sorted(range(50), key=lambda i: hashlib.md5(f"2:{i}".encode()).hexdigest())
+    assert sorted(some) == sorted(by_hash[:7])
+    assert ds.sample_without_replacement(df, 90).count() == 50
+    assert ds.sample_without_replacement(df.limit(0), 3).count() == 0
     rows = ds.from_rows(spark, [{"a": 1, "b": "x"}, {"a": 2, "b": "y"}])
     assert rows.columns == ["a", "b", ROW_ID, SPLIT] and rows.count() == 2
 
@@ -258,6 +268,11 @@ def test_ter_by_hand(spark):
         "this week the saudis denied information published in the new york times",
         "saudi arabia denied this week information published in the american new york times",
     ) == 4
+    assert ter_edits("c d a b", "a b c d", max_size=1) == 2  # word by word
+    assert ter_edits("c d a b", "a b c d", max_distance=0) == 4  # no shift at all
+    # thousands of moves, all of them tried; the one that helps goes from end to end
+    assert ter_edits("x y " * 60, "y x " * 60) == 2
+    assert ter_edits("x y " * 60, "y x " * 60, max_distance=120) == 1
     df = spark.createDataFrame([("a b c d", "a b c d"), ("c d a b", "a b c d")], "c string, r string")
     assert ter(df, "c", "r").first()["Ter"] == pytest.approx(100 / 8)
 
