@@ -25,21 +25,28 @@ from tablelab.llm.common import (
 )
 from tablelab.session import materialize
 
-# Characters of a shingle. Nine keep unrelated lines of one language apart, so bands stay selective.
-SHINGLE = 9
+# Characters of a shingle. A changed character leaves a similarity of 0.8 in lines of 49 characters or more,
+# a changed number of four digits from 76 on.
+SHINGLE = 5
+# A pair with a line of fewer than SHORT_CHARS characters is compared by SHORT_SHINGLE: one changed character
+# leaves 0.8 from 29 characters on, four digits from 56 on.
+SHORT_SHINGLE, SHORT_CHARS = 3, 80
 SIMILARITY = 0.8
-# Bands of rows: a pair at the threshold shares a band with probability 0.994, one at 0.85 with 0.9993.
-BANDS, ROWS = 10, 4
-# Shorter normalised lines (headings, brackets, blanks) are always kept.
-MIN_CHARS = 10
+# Bands of rows: a pair at the threshold shares a band with probability 0.994, one at 0.85 with 0.9993. Short
+# shingles are common to many lines, so they take more rows to a band.
+BANDS, ROWS = 13, 5
+SHORT_BANDS, SHORT_ROWS = 28, 8
+# Only blank lines always stay.
+MIN_CHARS = 1
 # Lines that a task remembers having sent on, before it forgets them.
 SEEN = 200_000
 # Characters hashed together.
 BLOCK_CHARS = 50_000
 _PRIME, _MIX32 = np.uint32(0x01000193), np.uint32(0x85EBCA6B)
 _DRAWN = np.random.default_rng(20240229)
-_SPREAD = _DRAWN.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-_FACTORS = _DRAWN.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_HASHES = max(BANDS * ROWS, SHORT_BANDS * SHORT_ROWS)
+_SPREAD = _DRAWN.integers(0, 1 << 32, _HASHES, dtype=np.uint32)
+_FACTORS = _DRAWN.integers(0, 1 << 32, _HASHES, dtype=np.uint32) | np.uint32(1)
 _NO_LINKS = pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
@@ -67,20 +74,20 @@ def halves(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
 
 
-def signatures(lines: list[str], size: int = SHINGLE) -> np.ndarray:
+def signatures(lines: list[str], size: int = SHINGLE, hashes: int = BANDS * ROWS) -> np.ndarray:
     """MinHash values, one row per line. Lines go in small blocks, whose arrays stay in the cache."""
     lines = [x if len(x) >= size else x.ljust(size) for x in lines]
-    out = np.empty((len(lines), BANDS * ROWS), np.uint32)
+    out = np.empty((len(lines), hashes), np.uint32)
     begin, chars = 0, 0
     for i, line in enumerate(lines):
         chars += len(line)
         if chars > BLOCK_CHARS or i == len(lines) - 1:
-            out[begin:i + 1] = _signatures(lines[begin:i + 1], size)
+            out[begin:i + 1] = _signatures(lines[begin:i + 1], size, hashes)
             begin, chars = i + 1, 0
     return out
 
 
-def _signatures(lines: list[str], size: int) -> np.ndarray:
+def _signatures(lines: list[str], size: int, hashes: int) -> np.ndarray:
     points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
     # hashes of grams of 1, 2, 4, ... characters, put together to grams of ``size``
     rolled, part, have, done, factor = None, points, 1, 0, _PRIME
@@ -103,25 +110,53 @@ def _signatures(lines: list[str], size: int) -> np.ndarray:
     values *= _MIX32
     values ^= values >> np.uint32(13)
     starts = np.cumsum(lengths - size + 1) - (lengths - size + 1)
-    out = np.empty((len(lines), BANDS * ROWS), np.uint32)
+    out = np.empty((len(lines), hashes), np.uint32)
     turned = np.empty_like(values)
-    for k, (spread, factor) in enumerate(zip(_SPREAD, _FACTORS)):
+    for k, (spread, factor) in enumerate(zip(_SPREAD[:hashes], _FACTORS[:hashes])):
         np.bitwise_xor(values, spread, out=turned)
         np.multiply(turned, factor, out=turned)
         out[:, k] = np.minimum.reduceat(turned, starts)
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band."""
-    rows = signature.astype(np.uint64).reshape(-1, BANDS, ROWS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2]).copy()
-    for k in range(ROWS):
+def band_keys(signature: np.ndarray, bands: int = BANDS, first: int = 0) -> np.ndarray:
+    """One 64-bit key per band; bands are numbered from ``first``."""
+    rows = signature.astype(np.uint64).reshape(len(signature), bands, -1)
+    key = np.broadcast_to(np.arange(first, first + bands, dtype=np.uint64), rows.shape[:2]).copy()
+    for k in range(rows.shape[2]):
         key = (key ^ rows[:, :, k]) * MIX
         key ^= key >> np.uint64(31)
     return key.view(np.int64)
 
 
+def meets_short(line: str) -> bool:
+    """Whether a line of fewer than ``SHORT_CHARS`` characters may be similar to this one.
+
+    Sets of that similarity differ in size by it at most; a long line of a repeated pattern has a small set.
+    """
+    most = (SHORT_CHARS - SHORT_SHINGLE) / SIMILARITY
+    if len(line) - SHORT_SHINGLE + 1 <= most:
+        return True
+    # the begin of a line mostly has enough shingles already
+    return len(shingles(line[:160], SHORT_SHINGLE)) <= most and len(shingles(line, SHORT_SHINGLE)) <= most
+
+
+def line_bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(key, place)`` of the bands of lines; ``place`` is the line's. Both lines of a pair have the bands
+    of the shingle that the pair is compared by."""
+    long = [i for i, x in enumerate(lines) if len(x) >= SHORT_CHARS]
+    short = [i for i, x in enumerate(lines) if meets_short(x)]
+    keys, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if long:
+        keys.append(band_keys(signatures([lines[i] for i in long])).ravel())
+        places.append(np.repeat(long, BANDS))
+    if short:
+        marks = signatures([lines[i] for i in short], SHORT_SHINGLE, SHORT_BANDS * SHORT_ROWS)
+        keys.append(band_keys(marks, SHORT_BANDS, BANDS).ravel())
+        places.append(np.repeat(short, SHORT_BANDS))
+    return np.concatenate(keys), np.concatenate(places)
+
+
 def candidate_bands(documents: DataFrame) -> DataFrame:
     """``(key, id)`` per band of each line; a task sends a line once, however often it occurs."""
 
@@ -139,8 +174,8 @@ def candidate_bands(documents: DataFrame) -> DataFrame:
                     fresh.append(line)
             if not fresh:
                 return None
-            keys = band_keys(signatures(fresh))
-            return {"key": keys.ravel(), "id": np.repeat(halves(ids)[:, 0], BANDS)}
+            keys, places = line_bands(fresh)
+            return {"key": keys, "id": halves(ids)[:, 0][places]}
 
         return step
 
@@ -204,7 +239,9 @@ def candidate_lines(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return arrow_map(documents.select("doc_id", "text"), per_task, "id long, line string").dropDuplicates(["id"])
 
 
-def shingles(line: str, size: int = SHINGLE) -> set[str]:
+def shingles(line: str, size: int | None = None) -> set[str]:
+    """The line's shingles; their size goes by its length if not given."""
+    size = size or (SHORT_SHINGLE if len(line) < SHORT_CHARS else SHINGLE)
     return {line[i:i + size] for i in range(max(1, len(line) - size + 1))}
 
 
@@ -216,20 +253,23 @@ def verified_links(frame: pd.DataFrame, similarity: float = SIMILARITY) -> pd.Da
     """
     out: list[tuple[int, int]] = []
     for _, group in frame.groupby("g", sort=False):
-        rows = {i: shingles(line) for i, line in zip(group["id"], group["line"])}
-        order = sorted(rows, key=lambda i: len(rows[i]))
-        member = dict.fromkeys(order)
+        lines = dict(zip(group["id"], group["line"]))
+        short = {i for i, line in lines.items() if len(line) < SHORT_CHARS}
+        # by the size of the shingles; a pair of which one line is short is compared by the smaller size
+        small = {i: shingles(line, SHORT_SHINGLE) for i, line in lines.items()} if short else {}
+        large = {i: shingles(line, SHINGLE) for i, line in lines.items() if i not in short}
+        member: dict[int, int] = {}
         clusters: dict[int, list[int]] = {}
-        for i in order:
+        for i in lines:
             member[i] = i
             clusters[i] = [i]
-            mine = rows[i]
             for c in list(clusters):
                 if c not in clusters or member[i] == c:
                     continue
                 for j in clusters[c]:
-                    other = rows[j]
-                    if len(other) < similarity * len(mine):
+                    rows = small if i in short or j in short else large
+                    mine, other = rows[i], rows[j]
+                    if not similarity * len(mine) <= len(other) <= len(mine) / similarity:
                         continue
                     both = len(mine & other)
                     if both >= similarity * (len(mine) + len(other) - both):
@@ -283,8 +323,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     """The documents without duplicate lines: ``text`` is what is left, other columns stay as they are.
 
     Adds ``n_lines_removed``. Rows with one ``doc_id`` count as one document. Null text stays null,
-    empty text empty; a document may lose all its lines and then has an empty text. Lines of fewer than
-    ``MIN_CHARS`` normalised characters always stay.
+    empty text empty; a document may lose all its lines and then has an empty text. Blank lines always stay.
     """
     gone = duplicate_lines(documents).groupBy(F.col("doc_id").alias("gone_id_")).agg(
         F.collect_list("line_no").alias("gone_"))

@@ -325,6 +325,51 @@ def test_bands_find_similar_lines():
     assert np.mean(found) > 0.98
 
 
+def test_short_lines_with_one_edit_are_linked():
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    missed = tried = 0
+    for size in range(30, 81):
+        for kind in ("change", "insert", "digits"):
+            if kind == "digits" and size < 60:
+                continue
+            line = line_dedup.normalise("a" + "".join(rng.choice(letters, size - 2)) + "z")
+            line += "q" * (size - len(line))
+            at = int(rng.integers(3, size - 8))
+            if kind == "digits":
+                line, other = line[:at] + "2023" + line[at + 4:], line[:at] + "1987" + line[at + 4:]
+            else:
+                other = line[:at] + "#" + line[at + (kind == "change"):]
+            if len(line_dedup.shingles(line, 3)) < size - 3:
+                continue
+            tried += 1
+            keys, places = line_dedup.line_bands([line, other])
+            assert set(places.tolist()) == {0, 1}
+            met = set(keys[places == 0]) & set(keys[places == 1])
+            frame = line_dedup.pd.DataFrame({"g": [1, 1], "id": [1, 2], "line": [line, other]})
+            assert len(line_dedup.verified_links(frame)) == 1, (line, other)
+            missed += not met
+    assert tried > 60 and missed <= 0.02 * tried
+
+
+def test_lines_on_both_sides_of_the_short_ones():
+    line = "the quick brown fox jumps over a lazy dog while 7 pale zebras watch from behind"
+    assert len(line) == line_dedup.SHORT_CHARS - 1
+    long = line[:40] + "!!" + line[40:]
+    for a, b in ((line, long), ("-" * 40, "-" * 300), ("long " * 30 + long, "long " * 30 + line)):
+        keys, places = line_dedup.line_bands([a, b])
+        assert set(keys[places == 0]) & set(keys[places == 1])
+        frame = line_dedup.pd.DataFrame({"g": [1, 1], "id": [1, 2], "line": [a, b]})
+        assert len(line_dedup.verified_links(frame)) == 1
+
+
+def test_short_lines_and_one_typo_in_documents(spark):
+    menu = "Home | Products | About us | Contact"
+    rows = [(1, menu + "\nMenu\n\nunique text of one"), (2, menu.replace("About", "Abaut") + "\nmenu\n\nother words of two")]
+    got = {r["doc_id"]: (r["text"], r["n_lines_removed"]) for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\nother words of two", 2)}
+
+
 # --- 7: decontamination
 
 def brute_contamination(rows, items):
