@@ -8,6 +8,7 @@ sequential rates need.
 from __future__ import annotations
 
 import re
+import tempfile
 
 import numpy as np
 import pandas as pd
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 from tablelab.llm.common import WordHashes, arrow_map, hashed_grams, hashed_share, texts
 
 WORDS = re.compile(r"\w+")
-BITS = 18
+BITS = 20
 # Labelled documents that the model is fitted on, at most about this many, chosen by a hash.
-MAX_TRAINING = 20_000
-EPOCHS = 2
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
+MAX_TRAINING = 60_000
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.0
 
 
 def feature_ids(text: bytes, hashes: WordHashes, bits: int) -> np.ndarray:
@@ -48,6 +49,19 @@ class Ftrl:
         self.n[at] = grown
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Sorted distinct ids of at most 32 bits in little over two bytes each: how many have each upper half
+    up to the last one, then the lower halves."""
+    counts = np.bincount(ids >> 16)
+    return np.uint32(len(counts)).tobytes() + counts.astype(np.uint32).tobytes() + ids.astype(np.uint16).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    counts = np.frombuffer(data, np.uint32, n, 4)
+    return np.repeat(np.arange(n) << 16, counts) | np.frombuffer(data, np.uint16, -1, 4 + 4 * n)
+
+
 def fit(examples: DataFrame, bits: int = BITS, featurise=feature_ids) -> np.ndarray:
     """Weights (the last one is the intercept) from ``(doc_id, text, label)``, ``label`` in 0..1.
 
@@ -60,8 +74,7 @@ def fit(examples: DataFrame, bits: int = BITS, featurise=feature_ids) -> np.ndar
         hashes = WordHashes()
 
         def step(batch):
-            ids = [np.append(np.unique(featurise(t, hashes, bits)), size - 1).astype(np.int32).tobytes()
-                   for t in texts(batch)]
+            ids = [packed(np.append(np.unique(featurise(t, hashes, bits)), size - 1)) for t in texts(batch)]
             return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "ids": ids}
 
         return step
@@ -69,15 +82,22 @@ def fit(examples: DataFrame, bits: int = BITS, featurise=feature_ids) -> np.ndar
     hashed = arrow_map(examples.select("doc_id", "text", F.col("label").cast("double").alias("label")), per_task,
                        "doc_id long, label double, ids binary")
     # the sample is bounded, so one task may read it in order; it holds a batch at a time
-    ordered = (hashed.withColumns({"h": F.xxhash64("doc_id", F.lit(11)),
-                                   "epoch": F.explode(F.sequence(F.lit(1), F.lit(EPOCHS)))})
-               .repartition(1).sortWithinPartitions("epoch", "h", "doc_id"))
+    ordered = (hashed.withColumn("h", F.xxhash64("doc_id", F.lit(11)))
+               .repartition(1).sortWithinPartitions("h", "doc_id", "ids", "label"))
 
     def learn(frames):
         model = Ftrl(np.zeros(size), np.zeros(size))
-        for frame in frames:
-            for ids, label in zip(frame["ids"], frame["label"]):
-                model.learn(np.frombuffer(ids, np.int32), label)
+        # the first pass keeps the examples for the others in a file, so that they are shuffled once
+        with tempfile.TemporaryFile() as kept:
+            for frame in frames:
+                for ids, label in zip(frame["ids"], frame["label"]):
+                    model.learn(unpacked(ids), label)
+                    kept.write(np.array([len(ids)], "<i8").tobytes() + np.array([label], "<f8").tobytes() + ids)
+            for _ in range(EPOCHS - 1):
+                kept.seek(0)
+                while head := kept.read(16):
+                    label = float(np.frombuffer(head, "<f8", 1, 8)[0])
+                    model.learn(unpacked(kept.read(int(np.frombuffer(head, "<i8", 1)[0]))), label)
         w = model.weights(slice(None))
         yield pd.DataFrame({"at": np.flatnonzero(w), "w": w[w != 0]})
 

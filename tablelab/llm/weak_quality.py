@@ -17,9 +17,9 @@ from tablelab.llm import toxicity
 from tablelab.llm.common import WordHashes, arrow_map, hashed_grams, hashed_share, texts
 from tablelab.llm.quality_llr import TOKENS, base_metrics
 
-BITS = 18
+BITS = 20
 # Documents that the scorer is trained on, at most about this many, chosen by a hash.
-MAX_TRAINING = 20_000
+MAX_TRAINING = 30_000
 EM_ROUNDS = 100
 ABSTAIN, BAD, GOOD = 0, 1, 2
 LABELLERS = ("symbols", "capitals", "bars", "repeats", "lines", "stutter", "word_length", "marks", "sentences", "empty")

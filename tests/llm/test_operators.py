@@ -96,6 +96,28 @@ def test_labels_of_the_held_out_fold_are_not_learnt(spark, docs):
     assert rows_of(toxicity.toxicity(docs, labels)) == rows_of(toxicity.toxicity(docs, turned))
 
 
+def test_rare_toxic_terms_are_learnt(spark):
+    rows = [(i, f"words {i} and {'grotmuck' if i % 100 == 0 else 'kind people'} number {i * 7 % 13}") for i in range(800)]
+    d = documents(spark, rows).select("doc_id", "text").withColumn("label", (F.col("doc_id") % 100 == 0).cast("int"))
+    weights = toxicity.fit(d)
+    model, hashes = toxicity.Ftrl(np.zeros(len(weights)), np.zeros(len(weights))), common.WordHashes()
+    order = [r[0] for r in d.orderBy(F.xxhash64("doc_id", F.lit(11))).select("doc_id").collect()]
+    at = {i: np.append(np.unique(toxicity.feature_ids(t.encode(), hashes, toxicity.BITS)), len(weights) - 1) for i, t in rows}
+    for _ in range(4):
+        for i in order:
+            model.learn(at[i], float(i % 100 == 0))
+    assert np.allclose(model.weights(slice(None)), weights)
+    assert np.array_equal(toxicity.unpacked(toxicity.packed(at[5])), at[5])
+    word = common.hashed_grams(hashes.array(["grotmuck"]), toxicity.BITS)
+    assert weights[word] > 0
+    scored = {r["doc_id"]: r["predicted"] for r in toxicity.score(d, weights, ["doc_id"]).collect()}
+    assert all(scored[i] == int(i % 100 == 0) for i in range(800))
+
+
+def test_samples_are_not_cut():
+    assert toxicity.MAX_TRAINING >= 60_000 and weak_quality.MAX_TRAINING >= 30_000
+
+
 def brute_base(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
