@@ -53,6 +53,16 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def text_marks(values: list[bytes]) -> np.ndarray:
+    """A 64-bit number per text, which tells texts of one id apart."""
+    return np.array([xxhash.xxh64_intdigest(t, 42) for t in values], np.uint64).view(np.int64)
+
+
+def text_mark(column: str = "text") -> Column:
+    """The same number as ``text_marks``."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
 def arrow_map(df: DataFrame, per_batch: Callable[[], Callable], schema: str) -> DataFrame:
     """``per_batch()`` is called once per task and gives a function from a record batch to a dict
     of columns (or None). Only the batch at hand is held."""

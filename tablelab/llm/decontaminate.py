@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelab.llm.common import arrow_map, texts
+from tablelab.llm.common import arrow_map, text_mark, texts
 from tablelab.session import materialize
 
 WORDS = 13
@@ -211,6 +211,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WORDS,
     and is clean. Texts of one ``doc_id`` are judged each on its own. An item without an id hits words
     but is not listed.
     """
+    return judged(documents, benchmark, size, share).drop("mark")
+
+
+def judged(documents: DataFrame, benchmark: DataFrame, size: int = WORDS, share: int = MIN_SHARE) -> DataFrame:
+    """``contamination`` with the ``mark`` of each text."""
     sizes, found = search(documents, benchmark, size)
     places = Window.partitionBy("doc_id", "mark").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     covered = (
@@ -224,13 +229,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WORDS,
     hits = hits.select(F.col("c.doc_id").alias("id_"), F.col("c.mark").alias("mark_"), "n_hit", "items")
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return sizes.join(hits, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_")), "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        "doc_id", "mark", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated; all columns stay as they are. An id is contaminated if
-    any text under it is."""
-    bad = contamination(documents, benchmark).filter("contaminated").select(F.col("doc_id").alias("bad_id_")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["bad_id_"]), "left_anti")
+    """The documents that are not contaminated; all columns stay as they are. Texts of one id are judged each
+    on its own."""
+    bad = judged(documents, benchmark).filter("contaminated").select(
+        F.col("doc_id").alias("bad_id_"), F.col("mark").alias("bad_mark_")).distinct()
+    return documents.join(
+        bad, documents["doc_id"].eqNullSafe(bad["bad_id_"]) & (text_mark() == bad["bad_mark_"]), "left_anti")

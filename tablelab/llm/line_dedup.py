@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelab.llm.common import (
-    MIX, arrow_map, bit_filter, bounded_groups, components, in_groups, passes, texts,
+    MIX, arrow_map, bit_filter, bounded_groups, components, in_groups, passes, text_mark, text_marks, texts,
 )
 from tablelab.session import materialize
 
@@ -283,24 +283,27 @@ def verified_links(frame: pd.DataFrame, similarity: float = SIMILARITY) -> pd.Da
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, id, check)`` of every line that takes part; id and check are its digest."""
+    """``(doc_id, mark, line_no, id, check)`` of every line that takes part; id and check are its digest,
+    ``mark`` tells texts of one id apart."""
 
     def per_task():
         def step(batch):
-            rows = [(d, n, h) for d, n, h, _ in lines_of(batch)]
+            marks = text_marks(texts(batch)).tolist()
+            rows = [(d, m, n, h) for k, m in enumerate(marks) for d, n, h, _ in lines_of(batch.slice(k, 1))]
             if not rows:
                 return None
-            doc, number, digest = zip(*rows)
+            doc, mark, number, digest = zip(*rows)
             both = halves(digest)
-            return {"doc_id": doc, "line_no": number, "id": both[:, 0], "check": both[:, 1]}
+            return {"doc_id": doc, "mark": mark, "line_no": number, "id": both[:, 0], "check": both[:, 1]}
 
         return step
 
-    return arrow_map(documents.select("doc_id", "text"), per_task, "doc_id long, line_no int, id long, check long")
+    return arrow_map(documents.select("doc_id", "text"), per_task,
+                     "doc_id long, mark long, line_no int, id long, check long")
 
 
 def duplicate_lines(documents: DataFrame) -> DataFrame:
-    """``(doc_id, line_no)`` of every line that a line in front of it stands for."""
+    """``(doc_id, mark, line_no)`` of every line that a line in front of it stands for."""
     members = materialize(
         without_twins(materialize(shared_bands(candidate_bands(documents)), "bands")), "members")
     lines = candidate_lines(documents, members.select("id").distinct())
@@ -308,26 +311,29 @@ def duplicate_lines(documents: DataFrame) -> DataFrame:
     groups = met.join(lines, F.col("met_id") == F.col("id")).select("g", "id", "line")
     linked = components(in_groups(groups, verified_links, "a long, b long"))
     found = occurrences(documents).join(linked, F.col("id") == F.col("node"), "left").select(
-        "doc_id", "line_no",
+        "doc_id", "mark", "line_no",
         F.coalesce("component", "id").alias("class"),
         F.when(F.col("node").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check"))
     found = materialize(found, "lines")
     # written, so that the join below reads two shuffles and Spark can split a hot line
     first = materialize(found.groupBy(F.col("class").alias("class_"), F.col("check").alias("check_")).agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
+        F.min(F.struct("doc_id", "line_no", "mark")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
     return found.join(first, (F.col("class") == F.col("class_")) & (F.col("check") == F.col("check_"))).filter(
-        "not (doc_id <=> first.doc_id and line_no = first.line_no)").select("doc_id", "line_no").distinct()
+        "not (doc_id <=> first.doc_id and mark = first.mark and line_no = first.line_no)").select(
+        "doc_id", "mark", "line_no").distinct()
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """The documents without duplicate lines: ``text`` is what is left, other columns stay as they are.
 
-    Adds ``n_lines_removed``. Rows with one ``doc_id`` count as one document. Null text stays null,
+    Adds ``n_lines_removed``. Rows with one ``doc_id`` and text count as one document, different
+    texts of one ``doc_id`` (or of none) each as its own. Null text stays null,
     empty text empty; a document may lose all its lines and then has an empty text. Blank lines always stay.
     """
-    gone = duplicate_lines(documents).groupBy(F.col("doc_id").alias("gone_id_")).agg(
+    gone = duplicate_lines(documents).groupBy(F.col("doc_id").alias("gone_id_"), F.col("mark").alias("gone_mark_")).agg(
         F.collect_list("line_no").alias("gone_"))
-    joined = documents.join(gone, documents["doc_id"].eqNullSafe(F.col("gone_id_")), "left")
+    joined = documents.join(
+        gone, documents["doc_id"].eqNullSafe(F.col("gone_id_")) & (text_mark() == F.col("gone_mark_")), "left")
     kept = F.array_join(F.filter(
         F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone_", i.cast("int"))), "\n")
     return joined.select(

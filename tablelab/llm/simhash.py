@@ -18,7 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelab.llm.common import arrow_map, bounded_groups, components, in_groups, local_stars, texts
+from tablelab.llm.common import (
+    arrow_map, bounded_groups, components, in_groups, local_stars, text_mark, text_marks, texts,
+)
 from tablelab.session import materialize
 
 SHINGLE = 3
@@ -45,16 +47,18 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` with the 64 bits as a signed long. Null text has no words."""
+    """``(doc_id, mark, fp)`` with the 64 bits as a signed long. Null text has no words. ``mark`` tells
+    texts of one id apart."""
 
     def per_task():
         def step(batch):
-            marks = np.array([fingerprint(t) for t in texts(batch)], np.uint64)
-            return {"doc_id": batch.column("doc_id"), "fp": marks.view(np.int64)}
+            values = texts(batch)
+            marks = np.array([fingerprint(t) for t in values], np.uint64)
+            return {"doc_id": batch.column("doc_id"), "mark": text_marks(values), "fp": marks.view(np.int64)}
 
         return step
 
-    return arrow_map(documents.select("doc_id", "text"), per_task, "doc_id long, fp long")
+    return arrow_map(documents.select("doc_id", "text"), per_task, "doc_id long, mark long, fp long")
 
 
 def shard_keys(fp: str = "fp", radius: int = RADIUS):
@@ -132,7 +136,7 @@ def simhash_components(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     document itself included. Documents without words share fingerprint zero and link like any other.
     A null ``doc_id`` forms a component with what it links to, named by the smallest known id.
     """
-    marks = materialize(fingerprints(documents), "fingerprints")
+    marks = materialize(fingerprints(documents).select("doc_id", "fp"), "fingerprints")
     nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     # a node's number is its fingerprint; the smallest doc_id of a component is taken at the end
     joined = components(links(nodes.select(F.col("fp").alias("id"), "fp"), radius))
@@ -147,7 +151,19 @@ def simhash_components(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def one_per_component(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents whose ``doc_id`` names their component; all columns stay as they are."""
-    keep = simhash_components(documents, radius).filter("doc_id <=> component_id").select(
-        F.col("doc_id").alias("keep_id_")).distinct()
-    return documents.join(keep, documents["doc_id"].eqNullSafe(keep["keep_id_"]), "left_semi")
+    """One row of each component: the one of the smallest ``doc_id``, rows without an id last; all columns
+    stay as they are. Texts of one id are judged each on its own."""
+    rows = materialize(fingerprints(documents).groupBy("fp", "doc_id", "mark").agg(F.count("*").alias("n")), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "n")).alias("first")
+    nodes = materialize(rows.groupBy("fp").agg(first), "nodes")
+    joined = components(links(nodes.select(F.col("fp").alias("id"), "fp"), radius))
+    keep = (nodes.join(joined, F.col("fp") == F.col("node"), "left")
+            .groupBy(F.coalesce("component", "fp").alias("class")).agg(F.min("first").alias("first"))
+            .select(F.col("first.doc_id").alias("keep_id_"), F.col("first.mark").alias("keep_mark_"), F.col("first.n").alias("n_")))
+    keep = materialize(keep, "kept")
+    names = documents.columns
+    kept = lambda k: documents.join(
+        k, documents["doc_id"].eqNullSafe(F.col("keep_id_")) & (text_mark() == F.col("keep_mark_")))
+    # rows of one id and text: the smallest of them
+    copies = kept(keep.filter("n_ > 1")).groupBy("keep_id_", "keep_mark_").agg(F.min(F.struct(*names)).alias("row"))
+    return kept(keep.filter("n_ = 1")).select(*names).unionByName(copies.select("row.*"))

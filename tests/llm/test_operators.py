@@ -468,6 +468,24 @@ def test_simhash(spark, docs, edge, empty):
     assert simhash.one_per_component(edge).columns == edge.columns
 
 
+def test_stages_judge_texts_not_ids(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in ("alpha", "beta", "gamma"))
+    for shared in (None, 7):
+        # copies of one row, two more texts under the same id, a copy under another id
+        rows = [(shared, one), (shared, one), (shared, two), (shared, three), (9, two)]
+        d = documents(spark, rows)
+        kept = pairs(simhash.one_per_component(d))
+        assert sorted(t for _, t in kept) == [one, two, three]
+        assert ((9 if shared is None else 7), two) in kept
+        benchmark = spark.createDataFrame([(1, two)], "item_id long, text string")
+        clean = pairs(decontaminate.without_contaminated(d, benchmark))
+        assert sorted(clean, key=repr) == sorted([(shared, one), (shared, one), (shared, three)], key=repr)
+        lined = documents(spark, [(shared, f"{one}\nunique of the first"), (shared, f"{two}\nunique of the second"),
+                                  (shared, f"unique of the third\n{one}")])
+        lines = [x for r in line_dedup.dedup_lines(lined).collect() for x in r["text"].split("\n") if x]
+        assert sorted(lines) == sorted([one, two, "unique of the first", "unique of the second", "unique of the third"])
+
+
 def test_bk_links_find_every_pair(spark):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
