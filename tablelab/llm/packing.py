@@ -50,20 +50,30 @@ def load_bpe(path: str):
 
     letters = byte_letters()
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        stored = json.load(f)
+    vocabulary = stored["model"]["vocab"]
     ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if all(c in letters for c in token)}
-    special = {t: i for t, i in vocabulary.items() if t == "<|endoftext|>"}
+    special = {t["content"]: t["id"] for t in stored["added_tokens"]}
     for t in special:
         ranks.pop(t.encode(), None)
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 class TokenIds(dict):
-    """Token ids (little-endian unsigned 32-bit) of the words of texts, remembered."""
+    """Token ids (little-endian unsigned 32-bit) of the words of texts, remembered.
 
-    def __init__(self, path: str):
+    The file's added tokens have ids of their own in a text, as `tokenizers` has it by default;
+    ``encode_special_tokens`` spells them out like other text.
+    """
+
+    def __init__(self, path: str, encode_special_tokens: bool = False):
         super().__init__()
-        self.encode_word = load_bpe(path).encode_ordinary
+        bpe = load_bpe(path)
+        self.encode_word = bpe.encode_ordinary
+        self.added = {} if encode_special_tokens else {
+            t: array("I", [bpe.encode_single_token(t)]).tobytes() for t in bpe.special_tokens_set}
+        # the longest one first, where one begins another
+        self.cut = re.compile("(%s)" % "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
@@ -72,6 +82,11 @@ class TokenIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if not any(t in text for t in self.added):
+            return self.encode_plain(text)
+        return b"".join(self.added.get(x) or self.encode_plain(x) for x in self.cut.split(text) if x)
+
+    def encode_plain(self, text: str) -> bytes:
         """Same ids as of the whole text: a single blank between two others begins a pre-token with what
         follows it, a single line break is one by itself. Texts with other blanks are not cut."""
         if _ODD_BLANKS.search(text):
@@ -85,7 +100,7 @@ class TokenIds(dict):
         return b"".join(map(self.__getitem__, words[:-1]))
 
 
-def pieces(documents: DataFrame, tokenizer: str, length: int = SEQUENCE) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, length: int = SEQUENCE, encode_special_tokens: bool = True) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of every document's token pieces.
 
     ``tokenizer`` is the path of the vocabulary, the same on every node. A document is its ids and a closing 0. Longer ones are cut into pieces of ``length``; the first
@@ -95,7 +110,7 @@ def pieces(documents: DataFrame, tokenizer: str, length: int = SEQUENCE) -> Data
                         ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
-        ids = TokenIds(tokenizer)
+        ids = TokenIds(tokenizer, encode_special_tokens)
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 batch = whole.slice(begin, 256)
@@ -216,13 +231,13 @@ def pack_lengths(rows: DataFrame, capacity: int = SEQUENCE, most: int = GROUP_PI
     return packed.select("row", "g", "bin", "gap")
 
 
-def pack(documents: DataFrame, tokenizer: str, capacity: int = SEQUENCE) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, capacity: int = SEQUENCE, encode_special_tokens: bool = True) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Offsets are gapless from 0 in each sequence. Repeated rows and equal ids are packed each on its own;
     a full piece is a sequence by itself. An empty table gives no rows.
     """
-    cut = materialize(pieces(documents, tokenizer, capacity), "pieces")
+    cut = materialize(pieces(documents, tokenizer, capacity, encode_special_tokens), "pieces")
     # a row's number is its place in the written table, so a repeated task gives the same one
     numbered = with_row_ids(cut, "row")
     whole = numbered.filter(F.col("length") == capacity).withColumns(

@@ -63,7 +63,7 @@ def op3(spark, sf_dir):
 
 @query("op4_packing")
 def op4(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), encode_special_tokens=False)
 
 
 @query("op5_line_dedup")

@@ -281,6 +281,26 @@ def test_packing(spark, docs, edge, empty):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+def test_added_tokens_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    ids = packing.TokenIds(tokenizer_path())
+    texts = ["a<|endoftext|>b", "special <|endoftext|>  double  spaces \n\n x ", "<|endoftext|><|endoftext|>", "one\n<|endoftext|>\ntwo",
+             "<|endoftext|", " <|endoftext|> ", "x <|endoftext|> y z", "<|ENDOFTEXT|>", ""]
+    for text in texts:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids.encode(text), "<u4").tolist() == want, text
+        assert (50256 in want) == ("<|endoftext|>" in text)
+    d = documents(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in corpus_pipeline.best_fit_packing(spark, d, "").collect()}
+    for i, text in enumerate(texts):
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        assert got[i] == (len(want), zlib.crc32(want.tobytes()))
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     for _ in range(30):
