@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelab.llm import (
-    decontaminate, line_dedup, packing, quality_llr, quotes, simhash, substring_dedup, toxicity, warc, weak_quality,
+    decontaminate, line_dedup, mixing, packing, quality_llr, quotes, simhash, substring_dedup, toxicity, warc, weak_quality,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,30 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     return quality_llr.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+@query("op11_mixing", r"""
+    WITH d AS (
+        SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+               md5('11:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS k
+        FROM documents),
+    s AS (
+        SELECT source, sum(size)::HUGEINT AS n,
+               [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::HUGEINT AS w
+        FROM d GROUP BY source),
+    f AS (  -- full: all sources together, filled to this one's level, hold no more than the mix
+        SELECT a.source, a.n, a.w, 2 * sum(least(2 * b.n * a.w, 2 * a.n * b.w)) <= 3 * sum(b.n) * a.w AS is_full
+        FROM s a CROSS JOIN s b GROUP BY a.source, a.n, a.w),
+    t AS (
+        SELECT source, n, CASE WHEN is_full THEN 4 * n ELSE w * (3 * sum(n) OVER () - 4 * coalesce(sum(n) FILTER (is_full) OVER (), 0)) END AS up,
+               CASE WHEN is_full THEN 2 ELSE 2 * sum(w) FILTER (NOT is_full) OVER () END AS down
+        FROM f),
+    r AS (
+        SELECT doc_id, size, n, up, down, up // down AS budget,
+               coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, n::BIGINT AS source_size, up::DOUBLE / down::DOUBLE AS target,
+           CASE WHEN n = 0 THEN 0 ELSE (budget // n) * size + greatest(0, least(size, budget % n - earlier)) END::BIGINT AS taken
+    FROM r""")
+def op11(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
