@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelab.llm import (
-    decontaminate, line_dedup, mixing, packing, quality_llr, quotes, simhash, substring_dedup, toxicity, warc, weak_quality,
+    decontaminate, line_dedup, mixing, packing, quality_llr, quotes, simhash, substring_dedup, toxicity, vector_codes,
+    warc, weak_quality,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +125,48 @@ def op10(spark, sf_dir):
     FROM r""")
 def op11(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every round spelled out, every part compared with every entry."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+    a{r} AS MATERIALIZED (
+        SELECT rn, part, any_value(x) AS x, min((list_inner_product(x, x) - 2 * list_inner_product(x, y)
+               + list_inner_product(y, y))::HUGEINT * {entries} + e) AS k
+        FROM p JOIN b{r} USING (part) GROUP BY rn, part)""")
+        if r < rounds:
+            steps.append(f"""
+    m{r} AS (
+        SELECT part, e, list(mean ORDER BY i) AS mean FROM (
+            SELECT part, k % {entries} AS e, i, floor(sum(x[i]) / count(*)) AS mean
+            FROM (SELECT part, k, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY ALL)
+        GROUP BY ALL),
+    b{r + 1} AS MATERIALIZED (
+        SELECT part, e, coalesce(mean, y) AS y FROM b{r} LEFT JOIN m{r} USING (part, e))""")
+    return f"""
+    WITH v AS MATERIALIZED (
+        SELECT row_number() OVER () AS rn, vec_id, label,
+               list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)) AS c
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS MATERIALIZED (
+        SELECT rn, vec_id, part, c[part * (len(c) // {parts}) + 1:(part + 1) * (len(c) // {parts})] AS x
+        FROM v CROSS JOIN range({parts}) t(part)),
+    b0 AS MATERIALIZED (
+        SELECT part, x AS y, row_number() OVER (PARTITION BY part ORDER BY vec_id NULLS LAST) - 1 AS e FROM p
+        QUALIFY e < {entries}),{",".join(steps)},
+    o AS (
+        SELECT rn, string_agg(printf('%02x', (k % {entries})::INT), '' ORDER BY part) AS code,
+               sum(k // {entries})::BIGINT AS error
+        FROM a{rounds} GROUP BY rn)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+           (SELECT sha256(string_agg(w::BIGINT, ',' ORDER BY part, e, i))
+            FROM (SELECT part, e, unnest(y) AS w, unnest(range(len(y))) AS i FROM b{rounds})) AS codebooks_sha256
+    FROM o JOIN v USING (rn)"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))

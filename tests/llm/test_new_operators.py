@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablelab.llm import mixing
+from tablelab.llm import mixing, vector_codes
 from tablelab.llm.queries import table
 
 LONG = " ".join(f"w{i % 997}x{i // 997}" for i in range(20_000))
@@ -107,3 +107,89 @@ def test_many_sources(spark, monkeypatch):
 def test_mixing_has_no_python_in_its_plan(spark, sf):
     plan = mixing.mix(table(spark, sf, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# --- 12: vector codes
+
+VECTORS = "vec_id long, embedding array<float>, label int, numbers int, code string, `a.b` map<int,int>"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, y, 0, "x", None) for i, v, y in rows], VECTORS)
+
+
+def brute_codes(rows, entries=256, rounds=4, parts=4):
+    kept = [(i, [int(np.floor(np.float32(x).astype(float) * 1024)) for x in v], y) for i, v, y in rows
+            if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    first = {}
+    for i, v, _ in sorted(kept, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        first.setdefault(i, v)
+    width = len(kept[0][1]) // parts
+    cut = lambda v, p: v[p * width:(p + 1) * width]
+    books = [[cut(v, p) for v in list(first.values())[:entries]] for p in range(parts)]
+
+    def assign():
+        return [[min((sum((a - b) ** 2 for a, b in zip(cut(v, p), e)), k) for k, e in enumerate(books[p]))
+                 for p in range(parts)] for _, v, _ in kept]
+
+    for _ in range(rounds):
+        codes = assign()
+        for p in range(parts):
+            members = defaultdict(list)
+            for (_, v, _), c in zip(kept, codes):
+                members[c[p][1]].append(cut(v, p))
+            for k, m in members.items():
+                books[p][k] = [sum(x) // len(m) for x in zip(*m)]
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    errors, codes = defaultdict(int), assign()
+    for (_, _, y), c in zip(kept, codes):
+        errors[y] += sum(d for d, _ in c)
+    return sorted(((i, "".join(f"{k:02x}" for _, k in c), sum(d for d, _ in c), errors[y], digest)
+                   for (i, _, y), c in zip(kept, codes)), key=repr)
+
+
+def vector_rows(n=120, width=8, spread=1.0):
+    draw = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in draw.normal(0, spread, width).round(2)], int(i) % 3) for i in range(n)]
+    rows += [(500 + i, rows[4][1], None) for i in range(40)] + [rows[5]] * 3 + [(7, rows[9][1], 1)]
+    bad = [None, [None] + [0.0] * (width - 1), [float("nan")] * width, [float("inf")] + [0.0] * (width - 1)]
+    return rows + [(-9 + i, v, 1) for i, v in enumerate(bad)] + [(None, [0.25] * width, 2), (-3, [0.0] * width, None)]
+
+
+@pytest.mark.parametrize("entries, spread", [(16, 1.0), (256, 1.0), (5, 30_000.0)])
+def test_vector_codes(spark, entries, spread):
+    rows = vector_rows(spread=spread)
+    got = vector_codes.compress(vectors(spark, rows).repartition(3), entries=entries)
+    assert rows_of(got) == brute_codes(rows, entries)
+
+
+def test_vector_codes_of_nothing(spark):
+    assert rows_of(vector_codes.compress(vectors(spark, [(1, None, 2)]))) == []
+    got = vector_codes.compress(vectors(spark, [(1, [0.5, -0.5, 0.0, 1.0], None)] * 2))
+    assert [tuple(r)[:4] for r in got.collect()] == [(1, "00000000", 0, 0)] * 2
+
+
+def test_vectors_that_have_no_exact_codes(spark):
+    with pytest.raises(Exception, match="different lengths"):
+        vector_codes.compress(vectors(spark, [(1, [0.0] * 4, 0), (2, [0.0] * 8, 0)])).collect()
+    with pytest.raises(ValueError, match="equal parts"):
+        vector_codes.compress(vectors(spark, [(1, [0.0] * 6, 0)]))
+
+
+def test_balls_leave_comparisons_out():
+    draw = np.random.default_rng(1)
+    centres = draw.integers(-9000, 9000, (64, 16))
+    x = centres[draw.integers(0, 64, 3000)] + draw.integers(-900, 900, (3000, 16))
+    old, _ = vector_codes.nearest(x, centres)
+    moved = centres + draw.integers(-200, 200, centres.shape)
+    balls = vector_codes.Balls(moved)
+    code, error = balls.reassign(x, old)
+    want = vector_codes.nearest(x, moved)
+    assert (code == want[0]).all() and (error == want[1]).all()
+    assert balls.compared < 0.05 * x.shape[0] * 64
+    # from any earlier code the result is the same, ties included
+    grid = draw.integers(-3, 4, (500, 2))
+    book = draw.integers(-3, 4, (40, 2))
+    want = vector_codes.nearest(grid, book)
+    code, error = vector_codes.Balls(book).reassign(grid, draw.integers(0, 40, 500))
+    assert (code == want[0]).all() and (error == want[1]).all()
