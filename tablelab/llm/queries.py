@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelab.llm import (
-    decontaminate, line_dedup, mixing, packing, quality_llr, quotes, simhash, substring_dedup, toxicity, vector_codes,
+    alignment, decontaminate, line_dedup, mixing, packing, quality_llr, quotes, simhash, substring_dedup, toxicity, vector_codes,
     warc, weak_quality,
 )
 
@@ -30,10 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op1_toxicity")
@@ -170,3 +170,9 @@ def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
 @query("op12_vector_codes", _codes_sql())
 def op12(spark, sf_dir):
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_alignment")
+def op13(spark, sf_dir):
+    return alignment.align(
+        table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -10,8 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablelab.llm import mixing, vector_codes
-from tablelab.llm.queries import table
+from tablelab.llm import alignment, mixing, queries, vector_codes
+from tablelab.llm.packing import byte_letters
+from tablelab.llm.queries import table, tokenizer_path
 
 LONG = " ".join(f"w{i % 997}x{i // 997}" for i in range(20_000))
 
@@ -74,7 +76,7 @@ def mixing_rows():
                    (5, LONG, "c"), (6, "a\x1cb c\td\x0be", "d")]
 
 
-@pytest.mark.parametrize("weights, share, epochs", [((5, 2, 1), (3, 2), 2), ((1,), (1, 1), 3), ((3, 1), (19, 10), 2)])
+@pytest.mark.parametrize("weights, share, epochs", [((5, 2, 1), (3, 2), 2), ((3, 1), (19, 10), 3)])
 def test_mixing(spark, monkeypatch, weights, share, epochs):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
     rows = mixing_rows()
@@ -193,3 +195,116 @@ def test_balls_leave_comparisons_out():
     want = vector_codes.nearest(grid, book)
     code, error = vector_codes.Balls(book).reassign(grid, draw.integers(0, 40, 500))
     assert (code == want[0]).all() and (error == want[1]).all()
+
+
+# --- 13: tokenizer alignment
+
+ALIGNED = "doc_id long, text string, run long, radix int, head binary, `a.b` map<int,int>"
+
+
+def aligned(spark, rows):
+    return spark.createDataFrame([(i, t, 1, 2, None, None) for i, t in rows], ALIGNED)
+
+
+def brute_alignment(rows):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_side = Tokenizer.from_file(tokenizer_path())
+    a_side.encode_special_tokens = True
+    b_side = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    letters = byte_letters()
+
+    def a_bytes(i):
+        return bytes(letters[c] for c in a_side.id_to_token(i))
+
+    def b_bytes(i):
+        p = b_side.id_to_piece(i)
+        return bytes([int(p[3:-1], 16)]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode()
+
+    docs, holders = [], defaultdict(set)
+    for n, (_, t) in enumerate(rows):
+        a = a_side.encode(" " + t, add_special_tokens=False).ids if t else []
+        b = b_side.encode(t) if t else []
+        left, right = [a_bytes(i) for i in a], [b_bytes(i) for i in b]
+        if not t or b"".join(left) != (" " + t).encode() or b"".join(right) != (" " + t).encode():
+            docs.append(([], [], [], ""))
+            continue
+        ends = [np.cumsum([len(x) for x in side]).tolist() for side in (left, right)]
+        links, j = [], 0
+        for i, e in enumerate(ends[0]):
+            start = e - len(left[i])
+            while ends[1][j] <= start:
+                j += 1
+            k = j
+            while k < len(b) and ends[1][k] - len(right[k]) < e:
+                links.append((a[i], b[k]))
+                k += 1
+        both, groups, start = sorted(set(ends[0]) & set(ends[1])), [], 0
+        for e in both:
+            groups.append("|".join(",".join(map(str, ids[bisect_right(at, start):bisect_right(at, e)]))
+                                   for ids, at in zip((a, b), ends)))
+            start = e
+        docs.append((a, b, links, ";".join(groups)))
+        for pair in links:
+            holders[pair].add(n)
+    best = defaultdict(int)
+    for (x, _), who in holders.items():
+        best[x] = max(best[x], len(who))
+    return sorted(((i, len(a), len(b), g.count(";") + bool(g), len(links),
+                    sum(len(holders[p]) == best[p[0]] for p in links), sum(len(holders[p]) for p in links),
+                    hashlib.sha256(g.encode()).hexdigest() if g else "")
+                   for (i, _), (a, b, links, g) in zip(rows, docs)), key=repr)
+
+
+SPELLED = [None, "", " ", "  ", "\n", "a", "Hello world", "two  spaces and  more ", "\nline\n\nbreaks \n x\n", "tab\tand\xa0nbsp　x",
+           "<|endoftext|> and <s> </s> <unk>", "under▁line", "Ünïcode ÀÉ 日本語 🙂🙂 é", "don't we'll 12345 67.8", "x\x1cy \x85 z",
+           "a" * 300, "<0x41> ​ zero", "ﬁne", "trailing ", "\r\nwindows\r\n", "ragged \t \n mixed \n\t blanks", LONG[:40_000]]
+
+
+def test_alignment(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "MERGE_RUNS", 2)
+    monkeypatch.setattr(alignment, "STREAM_RUNS", 3)
+    rows = list(enumerate(SPELLED)) + [(None, "Hello world again"), (6, "Hello world"), (6, "Hello there")]
+    rows += [(100 + i, "the cat sat on the mat") for i in range(300)]
+    made = aligned(spark, rows).repartition(7)
+    assert rows_of(alignment.align(made, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))) == brute_alignment(rows)
+
+
+def test_alignment_of_documents(spark, sf):
+    docs = table(spark, sf, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = queries.QUERIES["op13_alignment"](spark, sf)
+    assert rows_of(got) == brute_alignment(rows)
+
+
+def test_alignment_of_nothing(spark):
+    paths = tokenizer_path(), tokenizer_path("piece_bpe_32k.model")
+    assert rows_of(alignment.align(aligned(spark, []), *paths)) == []
+    assert rows_of(alignment.align(aligned(spark, [(1, None), (2, "")]), *paths)) == [
+        (1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_runs_are_spilled_and_merged():
+    """Runs of any cut give the counts of all records."""
+    draw = random.Random(2)
+    docs = [[(draw.randrange(9) << 32 | draw.randrange(4)) for _ in range(draw.randrange(1, 30))] for _ in range(90)]
+    want = Counter(p for d in docs for p in set(d))
+    heads = defaultdict(list)
+    for start in range(0, 90, 13):
+        run = alignment.Run()
+        for d in docs[start:start + 13]:
+            run.add(1, [(b"1|1", np.array(d, np.uint64).tobytes(), np.zeros(2, np.int64).tobytes())])
+        for _, radix, head, body in run.spill(start):
+            if radix >= 0:
+                heads[radix].append(tuple(alignment.unsqueeze(head, np.uint64, np.int64)))
+                holders, times = alignment.unsqueeze(body, np.uint32, np.uint32)
+                assert heads[radix][-1][1].sum() == len(holders) == len(times)
+    got, largest = {}, {}
+    for radix, some in heads.items():
+        pairs, counts, best = alignment.merge(some)
+        assert (np.diff(pairs.astype(np.int64)) > 0).all() and (pairs >> np.uint64(32) == radix).all()
+        got |= dict(zip(pairs.tolist(), counts.tolist()))
+        largest |= dict(zip(pairs.tolist(), best.tolist()))
+    assert got == want
+    assert all(largest[p] == (n == max(m for q, m in want.items() if q >> 32 == p >> 32)) for p, n in want.items())
