@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ RUN_RECORDS = 1 << 20
 # Runs merged at once, and runs that one copy of the counts is streamed past.
 MERGE_RUNS = 64
 STREAM_RUNS = 1024
-# Characters of a unit that is remembered.
-LONGEST_UNIT = 64
+# Characters of the units that a task remembers.
+CACHE_CHARACTERS = 1 << 23
 
 # A unit begins at a single blank or line break behind a non-blank: no token of either side spans that.
 _BREAK = re.compile(r"(?<=\S)(?=[ \n])")
@@ -60,15 +61,19 @@ class Units(dict):
 
         a = load_bpe(byte_bpe)
         self.encode_a = a.encode_ordinary
-        self.a_bytes = {i: b for b, i in a._mergeable_ranks.items()}
+        self.a_bytes = [b""] * a.n_vocab
+        for token, i in a._mergeable_ranks.items():
+            self.a_bytes[i] = token
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
         self.blank = self.b.piece_to_id("▁")
+        self.characters = 0
         # whether no piece reaches over the beginning of a unit, and nothing is rewritten before cutting
         self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) and all(
-            self.b.decode(self.b.encode(t)) == t for t in ("ﬁ  　  x", "Å  "))
+            self.b.decode(self.b.encode(t)) == t for t in ("ﬁ  　  x", "Å  "))
 
     def of(self, text: str) -> list[str]:
         """The units of a blank and the text."""
@@ -77,46 +82,53 @@ class Units(dict):
             return [full]
         return _BREAK.split(full) if _ODD_BLANKS.search(text) or text[0] in " \n" else _PLAIN_UNIT.findall(full)
 
-    def pieces(self, unit: str) -> list[int]:
-        """The model sets a blank before what it is given."""
-        if unit == " ":
-            return [self.blank]
-        return self.b.encode(unit[1:]) if unit[0] == " " else self.b.encode(unit)[1:]
-
-    def __missing__(self, unit: str):
-        known = self.align(unit)
-        if len(unit) <= LONGEST_UNIT:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[unit] = known
-        return known
-
-    def align(self, unit: str):
-        a, b = self.encode_a(unit), self.pieces(unit)
-        left, right = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        whole = unit.encode()
-        if b"".join(left) != whole or b"".join(right) != whole:
-            return None
-        groups, pairs = [], []
-        i = j = first_i = first_j = 0
-        end_a, end_b = len(left[0]), len(right[0])
-        while True:
-            pairs.append(a[i] << 32 | b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_i:i + 1]))}|{','.join(map(str, b[first_j:j + 1]))}")
-                i, j = first_i, first_j = i + 1, j + 1
-                if i == len(a):
-                    break
-                end_a += len(left[i])
-                end_b += len(right[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(left[i])
-            else:
-                j += 1
-                end_b += len(right[j])
-        return (";".join(groups).encode(), np.array(pairs, np.uint64).tobytes(),
-                np.array([len(a), len(b)], np.int64).tobytes())
+    def learn(self, texts: list[list[str]]) -> None:
+        """Makes the units of some texts known; earlier ones go when there are many."""
+        if len(self) > CACHE_ENTRIES or self.characters > CACHE_CHARACTERS:
+            self.clear()
+            self.characters = 0
+        new = list({u for units in texts for u in units if u not in self})
+        self.characters += sum(map(len, new))
+        # the model sets a blank before what it is given
+        right = self.b.encode([u[1:] if u[0] == " " else u for u in new], num_threads=1)
+        right = [[self.blank] if u == " " else b if u[0] == " " else b[1:] for u, b in zip(new, right)]
+        self.align(new, list(map(self.encode_a, new)), right)
+
+    def align(self, new: list[str], left: list[list[int]], right: list[list[int]]) -> None:
+        """Remembers units and their tokens, all laid end to end.
+
+        Between two neighbouring ends of tokens, of either side, exactly one token of each side overlaps.
+        """
+        if not new:
+            return
+        spelled = [u.encode() for u in new]
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (left, right))
+        n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in (left, right))
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        unit_ends = np.cumsum(list(map(len, spelled)))
+        whole = b"".join(spelled)
+        if not (len(a) and len(b)
+                and np.array_equal(ends_a[np.cumsum(n_a) - 1], unit_ends)
+                and np.array_equal(ends_b[np.cumsum(n_b) - 1], unit_ends)
+                and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole
+                and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == whole):
+            same = [b"".join(map(self.a_bytes.__getitem__, x)) == u == b"".join(map(self.b_bytes.__getitem__, y))
+                    for u, x, y in zip(spelled, left, right)]
+            self.update((u, None) for u, ok in zip(new, same) if not ok)
+            self.align(*([x for x, ok in zip(xs, same) if ok] for xs in (new, left, right)))
+            return
+        ends = np.union1d(ends_a, ends_b)
+        pairs = a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)]
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        groups = map("|".join, zip(*(
+            "".join(chain.from_iterable(zip(map(str, ids.tolist()), np.where(np.isin(at, both), "|", ",").tolist())))
+            .split("|")[:-1] for ids, at in ((a, ends_a), (b, ends_b)))))
+        breaks = np.where(np.isin(both, unit_ends), "\n", ";").tolist()
+        texts = "".join(chain.from_iterable(zip(groups, breaks))).encode().split(b"\n")
+        data, cuts = pairs.tobytes(), (8 * np.searchsorted(ends, unit_ends, "right")).tolist()
+        sizes = np.stack([n_a, n_b], 1).tobytes()
+        self.update((u, (t, data[s:e], sizes[16 * k:16 * k + 16]))
+                    for k, (u, t, s, e) in enumerate(zip(new, texts, [0, *cuts], cuts)))
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -201,9 +213,11 @@ def spill(documents: DataFrame, byte_bpe: str, piece_bpe: str) -> DataFrame:
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 part = whole.slice(begin, 256)
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    known = [units[u] for u in units.of(text)] if text else None
-                    held.add(doc, None if not known or None in known else known)
+                cut = [units.of(t) if t else [] for t in part.column("text").to_pylist()]
+                units.learn(cut)
+                for doc, names in zip(part.column("doc_id").to_pylist(), cut):
+                    known = [units[u] for u in names]
+                    held.add(doc, None if None in known else known)
                     if held.records + len(held.documents) >= RUN_RECORDS:
                         yield batch()
                         held, no = Run(), no + 1
