@@ -292,3 +292,49 @@ def _svc_rbf_separable(spark, sf):
 @query("svc_poly_separable", _SIDES_SQL)
 def _svc_poly_separable(spark, sf):
     return _separable(spark, sf, {"kernel": "poly", "degree": 3})
+
+
+# Three classes by discount; line 7 of an order has the next one.
+_THIRDS = """
+  r AS (SELECT l_orderkey, l_linenumber, CASE WHEN round(l_discount * 100) <= 3 THEN 0 WHEN round(l_discount * 100) <= 7 THEN 1 ELSE 2 END AS part
+        FROM lineitem),
+  t AS (SELECT *, (part + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) % 3 AS y FROM r),
+  c AS (SELECT k, avg(CASE WHEN y = k THEN 1.0 ELSE 0.0 END) AS prior FROM t, range(3) AS x(k) GROUP BY 1)"""
+
+
+def _thirds(spark, sf, name, inputs, params):
+    hundredths = F.round(F.col("l_discount") * 100)
+    part = F.when(hundredths <= 3, 0).when(hundredths <= 7, 1).otherwise(2)
+    code = (part + F.when(F.col("l_linenumber") == 7, 1).otherwise(0)) % 3
+    rows = table(spark, sf, "lineitem").select(
+        *_KEY, *[F.col(c).cast("double").alias(c) for c in INPUTS],
+        F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (code + 1).cast("int")).alias("third"))
+    rows = encode_label(rows, "third")
+    return score(fit(rows, name, inputs, "third", params), rows).select(
+        *_KEY, "prediction", *[F.round(F.get("probability", F.lit(k)), 9).alias(f"p_{x}") for k, x in enumerate("abc")])
+
+
+@query("boosted_leaves", f"""WITH {_THIRDS},
+  leaf AS (  -- three leaves of each class's tree: the three parts
+      SELECT part, k, ln(prior) - 0.1 * sum(prior - CASE WHEN y = k THEN 1.0 ELSE 0.0 END) / (count(*) * prior * (1 - prior) + 2) AS raw
+      FROM t CROSS JOIN c GROUP BY part, k, prior),
+  p AS (SELECT part, k, exp(raw) / sum(exp(raw)) OVER (PARTITION BY part) AS p FROM leaf),
+  w AS (SELECT part, max(p) FILTER (k = 0) AS a, max(p) FILTER (k = 1) AS b, max(p) FILTER (k = 2) AS c FROM p GROUP BY part)
+  SELECT l_orderkey, l_linenumber, CASE WHEN a >= b AND a >= c THEN 0.0 WHEN b >= c THEN 1.0 ELSE 2.0 END AS prediction,
+         round(a, 9) AS p_a, round(b, 9) AS p_b, round(c, 9) AS p_c
+  FROM t JOIN w USING (part)""")
+def _boosted_leaves(spark, sf):
+    """One round of softmax boosting, three leaves a tree, grown best-first with an l2 penalty."""
+    return _thirds(spark, sf, "HistGradientBoostingClassifier", ["l_discount"],
+                   {"max_iter": 1, "max_depth": None, "max_leaf_nodes": 3, "l2_regularization": 2.0})
+
+
+@query("tree_leaves", f"""WITH {_THIRDS},
+  w AS (SELECT part, avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END) AS b,
+               avg(CASE WHEN y = 2 THEN 1.0 ELSE 0.0 END) AS c FROM t GROUP BY part)
+  SELECT l_orderkey, l_linenumber, CASE WHEN a >= b AND a >= c THEN 0.0 WHEN b >= c THEN 1.0 ELSE 2.0 END AS prediction,
+         round(a, 9) AS p_a, round(b, 9) AS p_b, round(c, 9) AS p_c
+  FROM t JOIN w USING (part)""")
+def _tree_leaves(spark, sf):
+    """One tree of three leaves among all inputs; the discount explains most."""
+    return _thirds(spark, sf, "DecisionTreeClassifier", INPUTS, {"max_depth": None, "max_leaf_nodes": 3})

@@ -23,6 +23,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelab.models.grown import GrownTrees, Rules, boost, forest
 from tablelab.models.knn import fit_knn
 from tablelab.models.stages import ClassProbabilities, PriorProbabilities, RandomFourierFeatures
 from tablelab.operators.features import assemble, bag_of_words, check_vocabulary
@@ -81,27 +82,39 @@ _IMPURITY = {"entropy": "entropy", "log_loss": "entropy", "gini": "gini"}
 
 
 def _without_counterpart(**given) -> None:
-    """Refuse values that would change the model in a way Spark's trees and machines cannot follow."""
-    neutral = {"min_samples_split": (None, 1, 2), "max_leaf_nodes": (None,), "l2_regularization": (None, 0),
-               "coef0": (None, 0)}
+    """Refuse values that would change the model in a way Spark's machines cannot follow."""
+    neutral = {"coef0": (None, 0)}
     for name, value in given.items():
         if value not in neutral[name]:
             raise ValueError(f"{name}={value} is not supported")
 
 
+def _grown(trees: str) -> list[Transformer]:
+    return [GrownTrees(inputCol=FEATURES, outputCol="_probability", trees=trees),
+            ClassProbabilities(vectors=["_probability"])]
+
+
+# Deepest trees of Spark's own learners; what they cannot do is grown best-first (``grown``), where text
+# inputs are split in the order of their codes.
+SPARK_DEPTH = 30
+
+
 def _tree(
     df, label, k, *, criterion="entropy", max_depth=1, min_samples_split=None, min_samples_leaf=1,
-    max_features=None, random_state=0,
+    max_features=None, random_state=0, max_leaf_nodes=None,
 ):
-    """Depth is at most 30; ``min_samples_split`` above 2 has no counterpart and is refused."""
-    _without_counterpart(min_samples_split=min_samples_split)
+    """Trees of unlimited or large depth, of limited leaves, or whose nodes need more than two rows to be
+    split, are grown best-first; others are Spark's."""
+    subset = "sqrt" if max_features == "auto" else max_features
+    if (min_samples_split or 2) > 2 or max_leaf_nodes or not max_depth or max_depth > SPARK_DEPTH:
+        rules = Rules(max_leaf_nodes, max_depth, min_samples_split or 2, min_samples_leaf)
+        return _grown(forest(df, FEATURES, label, k, 1, _IMPURITY[criterion], rules, False, subset, random_state or 0))
     shared = {
-        **_soft(label), "impurity": _IMPURITY[criterion], "maxDepth": min(max_depth or 30, 30),
+        **_soft(label), "impurity": _IMPURITY[criterion], "maxDepth": max_depth,
         "minInstancesPerNode": min_samples_leaf, "maxBins": _max_bins(df), "seed": random_state,
     }
     if max_features is None:
         return _one_stage(DecisionTreeClassifier(**shared), df)
-    subset = "sqrt" if max_features == "auto" else max_features
     one = RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy=subset, **shared)
     return _one_stage(one, df)
 
@@ -110,10 +123,12 @@ def _forest(
     df, label, k, *, n_estimators=100, max_depth=2, min_samples_split=None, min_samples_leaf=1,
     max_leaf_nodes=None, random_state=0,
 ):
-    """``min_samples_split`` above 2 and ``max_leaf_nodes`` have no counterpart and are refused."""
-    _without_counterpart(min_samples_split=min_samples_split, max_leaf_nodes=max_leaf_nodes)
+    """Grown best-first in the same cases as a single tree; rows are then weighed by Poisson draws."""
+    if (min_samples_split or 2) > 2 or max_leaf_nodes or not max_depth or max_depth > SPARK_DEPTH:
+        rules = Rules(max_leaf_nodes, max_depth, min_samples_split or 2, min_samples_leaf)
+        return _grown(forest(df, FEATURES, label, k, n_estimators, "gini", rules, True, "sqrt", random_state or 0))
     estimator = RandomForestClassifier(
-        **_soft(label), numTrees=n_estimators, maxDepth=min(max_depth or 30, 30),
+        **_soft(label), numTrees=n_estimators, maxDepth=max_depth,
         minInstancesPerNode=min_samples_leaf, maxBins=_max_bins(df), seed=random_state or 0,
     )
     return _one_stage(estimator, df)
@@ -123,21 +138,17 @@ def _boosting(
     df, label, k, *, learning_rate=0.1, max_iter=100, max_depth=1, max_leaf_nodes=None,
     min_samples_leaf=20, l2_regularization=None,
 ):
-    """Inputs are binned as in histogram boosting. More than two classes are fitted one against
-    the rest; leaf count and l2 penalty have no counterpart and are refused."""
-    _without_counterpart(max_leaf_nodes=max_leaf_nodes, l2_regularization=l2_regularization)
-    bins = _max_bins(df)
-
-    def fit_one(rows, c):
-        estimator = GBTClassifier(
-            featuresCol=FEATURES, labelCol="_is", predictionCol=f"_said{c}", stepSize=learning_rate,
-            maxIter=max_iter, maxDepth=min(max_depth or 5, 30),
-            minInstancesPerNode=min_samples_leaf, maxBins=bins, seed=0,
-        )
-        estimator.setProbabilityCol(f"_p{c}").setRawPredictionCol(f"_raw{c}")
-        return [estimator.fit(rows)]
-
-    return _each_class(df, label, k, fit_one)
+    """Histogram boosting, best-first, one softmax over all classes. Two classes without limited leaves, l2
+    penalty or unlimited depth are Spark's trees, level by level."""
+    if k > 2 or max_leaf_nodes or l2_regularization or not max_depth or max_depth > SPARK_DEPTH:
+        rules = Rules(max_leaf_nodes, max_depth, 2, min_samples_leaf, l2_regularization or 0.0)
+        return _grown(boost(df, FEATURES, label, k, max_iter, learning_rate, rules))
+    estimator = GBTClassifier(
+        featuresCol=FEATURES, labelCol=label, predictionCol="_said", stepSize=learning_rate,
+        maxIter=max_iter, maxDepth=max_depth, minInstancesPerNode=min_samples_leaf, maxBins=_max_bins(df), seed=0,
+    )
+    estimator.setProbabilityCol("_probability").setRawPredictionCol("_raw")
+    return [estimator.fit(df), ClassProbabilities(vectors=["_probability"])]
 
 
 def _kernel_width(df: DataFrame, gamma: str, size: int) -> float:
