@@ -12,8 +12,9 @@ from tablelab.models.classifiers import FEATURES
 from tablelab.models.knn import fit_knn
 from tablelab.models.stages import ClassProbabilities
 from tablelab.operators.dataset import with_row_ids
+from tablelab.operators.features import tokens
 from tablelab.operators.metrics import classification_scores
-from tablelab.operators.schema import encode_label
+from tablelab.operators.schema import class_names, decode, encode_label
 from tablelab.operators.splits import split_exact
 from tablelab.session import scratch_path
 
@@ -338,3 +339,19 @@ def _boosted_leaves(spark, sf):
 def _tree_leaves(spark, sf):
     """One tree of three leaves among all inputs; the discount explains most."""
     return _thirds(spark, sf, "DecisionTreeClassifier", INPUTS, {"max_depth": None, "max_leaf_nodes": 3})
+
+
+# A common word of the invented prose: among all words and bigrams it alone decides the label.
+_WORD = "than"
+
+
+@query("text_any_vocabulary", f"""
+    SELECT doc_id, CASE WHEN list_contains(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), '{_WORD}')
+                        THEN 'yes' ELSE 'no' END AS said FROM documents""")
+def _text_any_vocabulary(spark, sf):
+    """Words and bigrams of all documents, coefficients in a table; what decides the label is learnt."""
+    rows = deal(table(spark, sf, "documents").select("doc_id", "text"))
+    rows = rows.withColumn("holds", F.when(F.array_contains(tokens("text"), _WORD), "yes").otherwise("no"))
+    rows = encode_label(rows, "holds")
+    model = fit_text(rows, "LogisticRegression", "text", "holds", {"C": 1e4, "max_iter": 18, "tol": 1e-6}, 1, 2)
+    return score(model, rows).select("doc_id", decode("prediction", class_names(rows, "holds")).alias("said"))

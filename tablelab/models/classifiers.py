@@ -20,13 +20,15 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, VectorSlicer
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelab.models.grown import GrownTrees, Rules, boost, forest
 from tablelab.models.knn import fit_knn
 from tablelab.models.stages import ClassProbabilities, PriorProbabilities, RandomFourierFeatures
-from tablelab.operators.features import assemble, bag_of_words, check_vocabulary
+from tablelab.models.text_linear import TextLinearModel, fit_text_linear
+from tablelab.operators.features import assemble, bag_of_words
 from tablelab.operators.schema import class_names
 
 FEATURES = "_features"
@@ -240,7 +242,6 @@ def _fit(df, features: list, name: str, params: dict | None, output: str) -> Pip
         raise ValueError(f"{name} is not a classifier; choose from {', '.join(CLASSIFIERS)}")
     k = len(class_names(df, output))
     prepared = Pipeline(stages=features).fit(df)
-    check_vocabulary(df.sparkSession, prepared.stages)
     # features are made once, however many passes and classes a classifier needs
     rows = prepared.transform(df).filter(F.col(output).isNotNull()).persist()
     try:
@@ -262,14 +263,30 @@ def fit(
 def fit_text(
     df: DataFrame, name: str, text: str, output: str, params: dict | None = None,
     ngram_min_n: int = 1, ngram_max_n: int = 1,
-) -> PipelineModel:
-    """Fit any classifier on the bag of words of a text column."""
+) -> PipelineModel | TextLinearModel:
+    """Fit any classifier on the bag of words of a text column, of any number of terms.
+
+    Logistic regression keeps its coefficients in a table (``text_linear``). The other classifiers, and it
+    with a penalty other than ``l2``, learn on sparse vectors and hold what they know of each term themselves.
+    """
+    given = dict(params or {})
+    if name == "LogisticRegression" and given.pop("penalty", "l2") == "l2":
+        return fit_text_linear(df, text, output, len(class_names(df, output)), min_n=ngram_min_n, max_n=ngram_max_n, **given)
     return _fit(df, bag_of_words(text, ngram_min_n, ngram_max_n, FEATURES), name, params, output)
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save(model: PipelineModel | TextLinearModel, path: str) -> None:
+    if isinstance(model, TextLinearModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load(path: str) -> PipelineModel:
+def load(path: str) -> PipelineModel | TextLinearModel:
+    spark = SparkSession.getActiveSession()
+    try:
+        return TextLinearModel.load(spark, path)
+    except AnalysisException as e:  # no table of coefficients there
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     return PipelineModel.load(path)

@@ -7,22 +7,23 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml.feature import (
     CountVectorizer,
-    CountVectorizerModel,
     NGram,
     RegexTokenizer,
     SQLTransformer,
     StringIndexer,
     VectorAssembler,
 )
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelab import ROW_ID
 from tablelab.functions import bind, word_ngrams
 from tablelab.operators.ranks import sorted_index
-from tablelab.session import MAX_VOCABULARY, spread
+from tablelab.session import spread
 
+# As many terms as a vector can have.
+ALL_TERMS = (1 << 31) - 1
 # Fixed value: a token is a run of two or more letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -71,29 +72,19 @@ def term_counts(
 def bag_of_words(text: str, min_n: int = 1, max_n: int = 1, out: str = "features") -> list:
     """Pipeline stages from a text column to a sparse vector of term counts.
 
-    The vocabulary is taken from the rows the pipeline is fitted on. ML models keep one coefficient
-    per term on the driver, so it has to fit there (``check_vocabulary``); ``vocabulary`` and
-    ``term_counts`` have no such limit. Terms are in no particular order, which no score depends on.
+    The vocabulary, all of it, is taken from the rows the pipeline is fitted on. These models keep it
+    and what they know of each term on the driver; ``vocabulary``, ``term_counts`` and logistic regression
+    (``fit_text``) do not. Terms are in no particular order, which no score depends on.
     """
     names = [f"_grams{n}" for n in range(min_n, max_n + 1)]
     return [
         RegexTokenizer(inputCol=text, outputCol="_words", gaps=False, pattern=TOKEN, minTokenLength=1),
         *[NGram(n=n, inputCol="_words", outputCol=f"_grams{n}") for n in range(min_n, max_n + 1)],
         SQLTransformer(statement=f"SELECT *, concat({', '.join(names)}) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol=out, vocabSize=MAX_VOCABULARY),
+        CountVectorizer(inputCol="_terms", outputCol=out, vocabSize=ALL_TERMS),
     ]
 
 
-def check_vocabulary(spark: SparkSession, stages: list) -> None:
-    """A vocabulary that was cut at the limit is an error, never a silently smaller model."""
-    for stage in stages:
-        if isinstance(stage, CountVectorizerModel):
-            empty = spark.createDataFrame([([],)], f"{stage.getInputCol()} array<string>")
-            size = stage.transform(empty).first()[stage.getOutputCol()].size
-            if size >= MAX_VOCABULARY:
-                raise ValueError(f"{MAX_VOCABULARY} terms or more: too many for one model")
-
-
 def assemble(df: DataFrame, inputs: list[str], out: str = "features") -> list:
     """Pipeline stages that turn numeric and text columns into one vector."""
     text = [c for c in inputs if isinstance(df.schema[c].dataType, T.StringType)]

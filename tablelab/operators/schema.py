@@ -99,7 +99,6 @@ def encode_label(df: DataFrame, column: str, names: list[str] | None = None) ->
     names = label_names(df, column) if names is None else names
     if not names:
         raise ValueError(f"column {column} has no values to encode")
-    position = df.columns
     indexer = StringIndexerModel.from_arrays_of_labels(
         [names], inputCols=["_text"], outputCols=["_code"], handleInvalid="keep"
     )
@@ -108,7 +107,7 @@ def encode_label(df: DataFrame, column: str, names: list[str] | None = None) ->
     return (
         indexer.transform(df.withColumn("_text", F.col(column).cast("string")))
         .withColumn(column, code.alias(column, metadata=meta))
-        .select(*position)
+        .drop("_text", "_code")
         .withMetadata(column, meta)
     )
 

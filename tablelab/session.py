@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 # Upper bounds on what may be held by the driver or copied to every executor.
 MAX_CLASSES = 10_000
 MAX_LITERAL_ROWS = 2_000
-MAX_VOCABULARY = 1 << 20
 MAX_BROADCAST_ROWS = 1_000_000
 
 
