@@ -10,13 +10,14 @@ from tablelab.catalog.registry import deal, query, table
 from tablelab.models import fit, fit_text, load, save, score
 from tablelab.models.classifiers import FEATURES
 from tablelab.models.knn import fit_knn
+from tablelab.models.lsh import measured_recall
 from tablelab.models.stages import ClassProbabilities
 from tablelab.operators.dataset import with_row_ids
 from tablelab.operators.features import tokens
 from tablelab.operators.metrics import classification_scores
 from tablelab.operators.schema import class_names, decode, encode_label
 from tablelab.operators.splits import split_exact
-from tablelab.session import scratch_path
+from tablelab.session import materialize, scratch_path
 
 INPUTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -355,3 +356,22 @@ def _text_any_vocabulary(spark, sf):
     rows = encode_label(rows, "holds")
     model = fit_text(rows, "LogisticRegression", "text", "holds", {"C": 1e4, "max_iter": 18, "tol": 1e-6}, 1, 2)
     return score(model, rows).select("doc_id", decode("prediction", class_names(rows, "holds")).alias("said"))
+
+
+@query("knn_approx_recall", """SELECT vec_id, 5 AS wanted, true AS enough, true AS nearest_is_itself
+                               FROM embeddings WHERE vec_id % 100 = 0""")
+def _knn_approx_recall(spark, sf):
+    """Approximate neighbours among all embeddings of those whose id is divisible by 100, against exact ones."""
+    vectors = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias(ROW_ID), F.lit(0.0).alias("y"),
+        array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias(FEATURES))
+    model = fit_knn(vectors, FEATURES, "y", 1, 5, "uniform", approx=0.9)
+    queries = vectors.filter(F.col(ROW_ID) % 100 == 0)
+    found = materialize(model.neighbour_pairs(queries), "approximate")
+    exact = fit_knn(vectors, FEATURES, "y", 1, 5, "uniform").neighbour_pairs(queries)
+    recalls = materialize(measured_recall(exact, found, 5), "recall")
+    overall = recalls.agg(F.sum("found") / F.sum("wanted")).first()[0]
+    first = found.groupBy("qid").agg(F.min_by("id", F.struct("distance", "id")).alias("id"), F.min("distance").alias("d"))
+    return recalls.join(first, "qid").select(
+        F.col("qid").alias("vec_id"), F.col("wanted").cast("int").alias("wanted"),
+        F.lit(overall >= 0.9).alias("enough"), (F.col("d") == 0).alias("nearest_is_itself"))

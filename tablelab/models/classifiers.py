@@ -220,9 +220,11 @@ def _dummy(df, label, k, *, strategy="prior", random_state=0):
     return [PriorProbabilities(strategy=strategy, priors=priors, seed=random_state)]
 
 
-def _neighbours(df, label, k, *, n_neighbors=5, weights="uniform", algorithm="auto"):
-    """``algorithm`` only chooses an index on one machine; the answer is always exact."""
-    return [fit_knn(df, FEATURES, label, k, n_neighbors, weights),
+def _neighbours(df, label, k, *, n_neighbors=5, weights="uniform", algorithm="auto", recall=0.9, random_state=0):
+    """Exact, but for the algorithm ``approx``, which looks in as many buckets as ``recall`` takes; the other
+    algorithms are indexes of one machine, which change no answer."""
+    approx = recall if algorithm == "approx" else None
+    return [fit_knn(df, FEATURES, label, k, n_neighbors, weights, approx, random_state or 0),
             ClassProbabilities(vectors=["_probability"])]
 
 

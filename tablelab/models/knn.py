@@ -91,10 +91,11 @@ class KnnModel(Model, MLReadable, MLWritable):
     weights = Param(Params._dummy(), "weights", "uniform or distance", TypeConverters.toString)
     rows = Param(Params._dummy(), "rows", "training rows", TypeConverters.toInt)
     size = Param(Params._dummy(), "size", "vector length", TypeConverters.toInt)
+    planes = Param(Params._dummy(), "planes", "buckets of approximate neighbours", TypeConverters.toString)
 
     @keyword_only
     def __init__(
-        self, *, featuresCol=None, classes=None, neighbours=None, weights=None, rows=None, size=None
+        self, *, featuresCol=None, classes=None, neighbours=None, weights=None, rows=None, size=None, planes=None
     ):
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
@@ -111,7 +112,7 @@ class KnnModel(Model, MLReadable, MLWritable):
 
     def _transform(self, dataset):
         bytes_needed = self.getOrDefault(self.rows) * (self.getOrDefault(self.size) + 2) * 8
-        if bytes_needed <= self.broadcast_bytes:
+        if bytes_needed <= self.broadcast_bytes and not self.isSet(self.planes):
             return self._narrow(dataset)
         return self._blocked(dataset)
 
@@ -138,6 +139,13 @@ class KnnModel(Model, MLReadable, MLWritable):
 
     def neighbour_pairs(self, dataset: DataFrame) -> DataFrame:
         """``(query id, distance, id, y)`` of the k nearest training rows, all distributed."""
+        if self.isSet(self.planes):
+            from tablelab.models.lsh import Planes, approximate_pairs
+
+            vectors = vector_to_array(F.col(self.getOrDefault(self.featuresCol))).alias("x")
+            return approximate_pairs(
+                self.train, Planes.read(self.getOrDefault(self.planes)), dataset.select(F.col(ROW_ID).alias("qid"), vectors),
+                self.getOrDefault(self.neighbours), self.block_rows)
         spark = dataset.sparkSession
         k, block_rows = self.getOrDefault(self.neighbours), self.block_rows
         n = self.getOrDefault(self.rows)
@@ -236,7 +244,7 @@ class KnnModel(Model, MLReadable, MLWritable):
 
     def _blocked(self, dataset):
         if ROW_ID not in dataset.columns:
-            raise ValueError(f"a training set of this size needs a {ROW_ID} column on the scored rows")
+            raise ValueError(f"neighbours that are not broadcast need a {ROW_ID} column on the scored rows")
         classes = self.getOrDefault(self.classes)
         pairs = self.neighbour_pairs(dataset)
         if self.getOrDefault(self.weights) == "uniform":
@@ -252,6 +260,9 @@ class KnnModel(Model, MLReadable, MLWritable):
         )
         shares = F.array(*[F.col(f"c{c}") / F.col("all") for c in range(classes)])
         voted = voted.select(F.col("qid").alias(ROW_ID), array_to_vector(shares).alias("_probability"))
+        if self.isSet(self.planes):  # buckets may be empty: no vote, equal shares
+            none = array_to_vector(F.array(*[F.lit(1.0 / classes)] * classes))
+            return dataset.join(voted, ROW_ID, "left").withColumn("_probability", F.coalesce("_probability", none))
         return dataset.join(voted, ROW_ID)
 
 
@@ -277,9 +288,13 @@ class _KnnReader(MLReader):
 
 
 def fit_knn(
-    df: DataFrame, features: str, label: str, classes: int, neighbours: int, weights: str
+    df: DataFrame, features: str, label: str, classes: int, neighbours: int, weights: str,
+    approx: float | None = None, seed: int = 0,
 ) -> KnnModel:
-    """Keep the training rows as a table; needs ``_row_id`` for reproducible ties."""
+    """Keep the training rows as a table; needs ``_row_id`` for reproducible ties.
+
+    ``approx`` is a recall below 1 to be content with: neighbours are then looked for in buckets (``lsh``).
+    """
     if weights not in ("uniform", "distance"):
         raise ValueError(f"weights should be uniform or distance, got {weights}")
     if ROW_ID not in df.columns:
@@ -300,4 +315,8 @@ def fit_knn(
         rows=train.count(), size=size,
     )
     model.train = train
+    if approx is not None:
+        from tablelab.models.lsh import fit_planes
+
+        model._set(planes=fit_planes(train, size, neighbours, approx, seed).dump())
     return model
