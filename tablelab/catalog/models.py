@@ -375,3 +375,25 @@ def _knn_approx_recall(spark, sf):
     return recalls.join(first, "qid").select(
         F.col("qid").alias("vec_id"), F.col("wanted").cast("int").alias("wanted"),
         F.lit(overall >= 0.9).alias("enough"), (F.col("d") == 0).alias("nearest_is_itself"))
+
+
+_MIDDLE_SQL = """SELECT l_orderkey, l_linenumber, CASE WHEN abs(round(l_discount * 100) - 4.5) > 2 THEN 1.0 ELSE 0.0 END AS prediction
+                 FROM lineitem"""
+
+
+def _middle(spark, sf, params):
+    """The label is whether the discount lies far from the middle, on either side: no line separates that."""
+    gap = (F.round(F.col("l_discount") * 100) - 4.5).cast("double")
+    rows = table(spark, sf, "lineitem").select(*_KEY, gap.alias("gap"), F.when(F.abs(gap) > 2, "yes").otherwise("no").alias("far"))
+    rows = encode_label(rows, "far")
+    return score(fit(rows, "SVC", ["gap"], "far", {"C": 100.0, **params}), rows).select(*_KEY, "prediction")
+
+
+@query("svc_rbf_middle", _MIDDLE_SQL)
+def _svc_rbf_middle(spark, sf):
+    return _middle(spark, sf, {"kernel": "rbf", "n_components": 64})
+
+
+@query("svc_poly_middle", _MIDDLE_SQL)
+def _svc_poly_middle(spark, sf):
+    return _middle(spark, sf, {"kernel": "poly", "degree": 2, "coef0": 1.0})

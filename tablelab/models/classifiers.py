@@ -6,6 +6,7 @@ A model takes the raw input columns and adds ``probability`` (array of doubles,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
@@ -19,6 +20,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tablelab.models.grown import GrownTrees, Rules, boost, forest
 from tablelab.models.knn import fit_knn
-from tablelab.models.stages import ClassProbabilities, PriorProbabilities, RandomFourierFeatures
+from tablelab.models.stages import ClassProbabilities, Landmarks, PriorProbabilities
 from tablelab.models.text_linear import TextLinearModel, fit_text_linear
 from tablelab.operators.features import assemble, bag_of_words
 from tablelab.operators.schema import class_names
@@ -83,14 +85,6 @@ def _logistic(df, label, k, *, penalty="l2", tol=1e-3, C=1.0, max_iter=100):
 _IMPURITY = {"entropy": "entropy", "log_loss": "entropy", "gini": "gini"}
 
 
-def _without_counterpart(**given) -> None:
-    """Refuse values that would change the model in a way Spark's machines cannot follow."""
-    neutral = {"coef0": (None, 0)}
-    for name, value in given.items():
-        if value not in neutral[name]:
-            raise ValueError(f"{name}={value} is not supported")
-
-
 def _grown(trees: str) -> list[Transformer]:
     return [GrownTrees(inputCol=FEATURES, outputCol="_probability", trees=trees),
             ClassProbabilities(vectors=["_probability"])]
@@ -153,7 +147,9 @@ def _boosting(
     return [estimator.fit(df), ClassProbabilities(vectors=["_probability"])]
 
 
-def _kernel_width(df: DataFrame, gamma: str, size: int) -> float:
+def _kernel_width(df: DataFrame, gamma: str | float, size: int) -> float:
+    if not isinstance(gamma, str):
+        return float(gamma)
     if gamma == "auto":
         return 1.0 / size
     s = df.select(Summarizer.metrics("mean", "normL2", "count").summary(F.col(FEATURES)).alias("s"))
@@ -163,30 +159,35 @@ def _kernel_width(df: DataFrame, gamma: str, size: int) -> float:
     return 1.0 / (size * variance) if variance > 0 else 1.0
 
 
+def _landmarks(df: DataFrame, most: int, seed: int) -> str:
+    """At most ``most`` distinct rows, chosen by a hash."""
+    x = vector_to_array(F.col(FEATURES)).alias("x")
+    chosen = df.select(x).distinct().orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(most).collect()
+    return json.dumps([r["x"] for r in chosen])
+
+
 def _svc(
     df, label, k, *, C=1.0, kernel="rbf", degree=3, gamma="scale", coef0=None, tol=1e-3,
     max_iter=100, probability=True, shrinking=None, verbose=None, n_components=256, random_state=0,
 ):
-    """Linear machines on mapped inputs: none for ``linear``, random cosines for ``rbf``, monomials
-    for ``poly``. Fitted one against the rest, with margins turned into probabilities by a logistic
-    curve (Platt). ``coef0`` other than 0 is refused; ``shrinking`` and ``verbose``, which change no
-    result, are ignored; there is no ``sigmoid``.
+    """Linear machines on mapped inputs: none for ``linear``, the kernel at ``n_components`` landmarks for
+    ``rbf``, ``poly`` and ``sigmoid``. A ``poly`` without ``coef0`` has all monomials up to its degree instead,
+    weighed alike. Fitted one against the rest, with margins turned into probabilities by a logistic curve
+    (Platt). ``shrinking`` and ``verbose``, which change no result, are ignored.
     """
-    _without_counterpart(coef0=coef0)
     size = len(df.select(FEATURES).head()[0])
     mapped, maps = FEATURES, []
-    if kernel == "rbf":
-        width = _kernel_width(df, gamma, size)
+    if kernel == "poly" and coef0 is None:
+        maps = [PolynomialExpansion(degree=int(degree), inputCol=FEATURES, outputCol="_mapped")]
+    elif kernel in ("rbf", "poly", "sigmoid"):
         maps = [
-            RandomFourierFeatures(
-                inputCol=FEATURES, outputCol="_mapped", size=size, components=n_components,
-                gamma=width, seed=random_state,
+            Landmarks(
+                inputCol=FEATURES, outputCol="_mapped", kernel=kernel, gamma=_kernel_width(df, gamma, size),
+                coef0=float(coef0 or 0), degree=int(degree), points=_landmarks(df, n_components, random_state or 0),
             )
         ]
-    elif kernel == "poly":
-        maps = [PolynomialExpansion(degree=int(degree), inputCol=FEATURES, outputCol="_mapped")]
     elif kernel != "linear":
-        raise ValueError(f"kernel should be linear, poly or rbf, got {kernel}")
+        raise ValueError(f"kernel should be linear, poly, rbf or sigmoid, got {kernel}")
     for stage in maps:
         df, mapped = stage.transform(df), "_mapped"
     df = df.select(label, mapped).persist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
@@ -150,3 +152,53 @@ class RandomFourierFeatures(_Stage):
 
         values = cosines(vector_to_array(F.col(self.getOrDefault(self.inputCol))))
         return dataset.withColumn(self.getOrDefault(self.outputCol), array_to_vector(values))
+
+
+class Landmarks(_Stage):
+    """A kernel by its values at some landmark points (Nyström; Williams & Seeger 2001).
+
+    Inner products of the output are the kernel's on the span of the landmarks: everywhere, if the kernel
+    has no more dimensions than there are landmarks. ``sigmoid`` is no inner product; its positive part is.
+    """
+
+    inputCol = Param(Params._dummy(), "inputCol", "vector", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "vector", TypeConverters.toString)
+    kernel = Param(Params._dummy(), "kernel", "rbf, poly or sigmoid", TypeConverters.toString)
+    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
+    coef0 = Param(Params._dummy(), "coef0", "constant of poly and sigmoid", TypeConverters.toFloat)
+    degree = Param(Params._dummy(), "degree", "degree of poly", TypeConverters.toInt)
+    points = Param(Params._dummy(), "points", "the landmarks as JSON", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(
+        self, *, inputCol=None, outputCol=None, kernel=None, gamma=None, coef0=None, degree=None, points=None
+    ):
+        super().__init__()
+        self._given(self._input_kwargs)
+
+    def _kernel(self):
+        kernel, gamma = self.getOrDefault(self.kernel), self.getOrDefault(self.gamma)
+        coef0, degree = self.getOrDefault(self.coef0), self.getOrDefault(self.degree)
+
+        def values(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            products = x @ y.T
+            if kernel == "rbf":
+                squares = (x ** 2).sum(1)[:, None] + (y ** 2).sum(1)[None, :] - 2 * products
+                return np.exp(-gamma * np.maximum(squares, 0))
+            inner = gamma * products + coef0
+            return inner ** degree if kernel == "poly" else np.tanh(inner)
+
+        return values
+
+    def _transform(self, dataset):
+        values, points = self._kernel(), np.array(json.loads(self.getOrDefault(self.points)))
+        size, directions = np.linalg.eigh(values(points, points))
+        kept = size > 1e-10 * size.max()
+        root = directions[:, kept] / np.sqrt(size[kept])
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def mapped(x: pd.Series) -> pd.Series:
+            return pd.Series(list(values(np.stack(x.to_numpy()), points) @ root) if len(x) else [])
+
+        out = mapped(vector_to_array(F.col(self.getOrDefault(self.inputCol))))
+        return dataset.withColumn(self.getOrDefault(self.outputCol), array_to_vector(out))

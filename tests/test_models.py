@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from tablelab import ROW_ID, SPLIT
 from tablelab.models import CLASSIFIERS, fit, fit_text, load, save, score, score_with
 from tablelab.models.knn import fit_knn, nearest
+from tablelab.models.stages import Landmarks
 from tablelab.operators import runs as rt
 from tablelab.operators.metrics import classification_scores
 from tablelab.operators.schema import encode_label
@@ -291,11 +294,25 @@ def test_all_classifiers_are_covered():
     assert {n for n, _ in CASES} | {"DummyClassifier"} == set(CLASSIFIERS)
 
 
-# limited leaves, larger nodes and an l2 penalty are supported now: test_grown.py
-@pytest.mark.parametrize("name, params", [("SVC", {"kernel": "poly", "coef0": 1.0})])
-def test_parameters_without_counterpart_are_refused(flowers, name, params):
-    with pytest.raises(ValueError, match="not supported"):
-        fit(train(flowers), name, INPUTS, "y", params)
+def test_unknown_kernels_are_refused(flowers):
+    with pytest.raises(ValueError, match="kernel should be"):
+        fit(train(flowers), "SVC", INPUTS, "y", {"kernel": "cubic"})
+
+
+@pytest.mark.parametrize("kernel, coef0", [("rbf", 0.0), ("poly", 0.0), ("poly", 1.5)])
+def test_landmarks_span_the_kernel(spark, kernel, coef0):
+    """With as many landmarks as the kernel has dimensions, inner products are the kernel's."""
+    x = np.random.default_rng(2).normal(size=(12, 2))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "i int, a double, b double")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="v").transform(df)
+    stage = Landmarks(inputCol="v", outputCol="m", kernel=kernel, gamma=0.7, coef0=coef0, degree=3,
+                      points=json.dumps(x.tolist()))
+    m = np.array([r["m"].toArray() for r in stage.transform(df).orderBy("i").collect()])
+    want = stage._kernel()(x, x)
+    assert np.allclose(m @ m.T, want, atol=1e-6)
+    plain = np.exp(-0.7 * ((x[:, None] - x[None]) ** 2).sum(2)) if kernel == "rbf" else (0.7 * x @ x.T + coef0) ** 3
+    assert np.allclose(want, plain)
+    assert m.shape[1] == {("rbf", 0.0): 12, ("poly", 0.0): 4, ("poly", 1.5): 10}[kernel, coef0]
 
 
 def test_lineage_of_stored_runs(spark, tmp_path):
