@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelab import SPLIT
+from tablelab import ROW_ID, SPLIT
 from tablelab.catalog import fixtures
 from tablelab.catalog.registry import query, table
+from tablelab.operators.dataset import with_row_ids
 from tablelab.operators.splits import split_exact
 from tablelab.session import scratch_path
 from tablelab.sources import (
@@ -18,7 +22,9 @@ from tablelab.sources import (
     read_json,
     read_json_lines,
     read_labelled_files,
+    resplit_saved,
     save_dataset,
+    update_saved_spec,
 )
 from tablelab.sources.legacy import legacy_rows
 
@@ -166,3 +172,27 @@ def _legacy(spark, sf):
         F.struct(F.col("b.x").alias("x"), F.col("b.y").alias("y")).alias("test"),
     ))
 
+
+
+@query("dataset_versions", """
+    WITH v AS (SELECT 0 AS version, c_custkey, c_acctbal::DOUBLE AS balance FROM customer WHERE c_custkey % 2 = 1
+               UNION ALL SELECT 1, c_custkey, c_acctbal::DOUBLE FROM customer
+               UNION ALL SELECT 2, c_custkey, trunc(c_acctbal) FROM customer
+               UNION ALL SELECT 3, c_custkey, trunc(c_acctbal) FROM customer)
+    SELECT version, count(*) AS n, count(*) AS ids, sum(c_custkey)::BIGINT AS keys, round(sum(balance), 2) AS balance,
+           CASE WHEN version = 3 THEN floor(count(*) * 0.5 + 1e-9) ELSE count(*) END::BIGINT AS train FROM v GROUP BY 1""")
+def _dataset_versions(spark, sf):
+    """Saved, appended to, a column's type changed and split again; every version can still be read."""
+    path = scratch_path(spark, "versions")
+    rows = with_row_ids(table(spark, sf, "customer")).select(
+        ROW_ID, "c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"), F.lit("train").alias(SPLIT))
+    save_dataset(rows.filter("c_custkey % 2 = 1"), path)
+    save_dataset(rows.filter("c_custkey % 2 = 0"), path, "append")
+    update_saved_spec(spark, path, {"c_acctbal": ("Value", "int64")})
+    resplit_saved(spark, path, {"train": 0.5, "test": 0.5, "validation": 0.0})
+    out = [load_dataset(spark, path, v).select(
+        F.lit(v).alias("version"), ROW_ID, SPLIT, "c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+        for v in range(4)]
+    return functools.reduce(DataFrame.unionByName, out).groupBy("version").agg(
+        F.count("*").alias("n"), F.count_distinct(ROW_ID).alias("ids"), F.sum("c_custkey").alias("keys"),
+        F.round(F.sum("c_acctbal"), 2).alias("balance"), F.count_if(F.col(SPLIT) == "train").alias("train"))

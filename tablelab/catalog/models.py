@@ -17,6 +17,7 @@ from tablelab.operators.features import tokens
 from tablelab.operators.metrics import classification_scores
 from tablelab.operators.schema import class_names, decode, encode_label
 from tablelab.operators.splits import split_exact
+from tablelab.plans.experiment import RunStore, create_run, predict_run, run_experiment
 from tablelab.session import materialize, scratch_path
 
 INPUTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -397,3 +398,16 @@ def _svc_rbf_middle(spark, sf):
 @query("svc_poly_middle", _MIDDLE_SQL)
 def _svc_poly_middle(spark, sf):
     return _middle(spark, sf, {"kernel": "poly", "degree": 2, "coef0": 1.0})
+
+
+@query("predicted_by_run", f"""SELECT l_orderkey, l_linenumber, CASE WHEN prediction = 1 THEN 'yes' ELSE 'no' END AS class, p_yes
+                              FROM ({_STUMP_SQL})""")
+def _predicted_by_run(spark, sf):
+    """An experiment's run is trained and saved; by its id alone new rows are scored and written, names decoded."""
+    store = RunStore(spark, scratch_path(spark, "store"))
+    rows = _stump_rows(spark, sf, "noisy").withColumn(SPLIT, F.lit("train"))
+    experiment = store.add_experiment("stump", "lineitem", "TabularClassificationTask", INPUTS, ["noisy"], {})
+    run = create_run(store, experiment, "DecisionTreeClassifier", {"max_depth": 1, "criterion": "entropy"})
+    run_experiment(store, run, rows)
+    new = table(spark, sf, "lineitem").select("l_orderkey", *reversed(INPUTS), "l_linenumber")
+    return predict_run(store, run["run_id"], new).select(*_KEY, "class", _p_yes(9))

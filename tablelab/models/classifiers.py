@@ -25,6 +25,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablelab.models.grown import GrownTrees, Rules, boost, forest
 from tablelab.models.knn import fit_knn
@@ -259,8 +260,10 @@ def fit(
 ) -> PipelineModel:
     """Fit a classifier on every row of ``df``; ``output`` must be an encoded label."""
     if name == "DummyClassifier":
-        return _fit(df, [SQLTransformer(statement="SELECT * FROM __THIS__")], name, params, output)
-    return _fit(df, assemble(df, inputs, FEATURES), name, params, output)
+        model = _fit(df, [SQLTransformer(statement="SELECT * FROM __THIS__")], name, params, output)
+    else:
+        model = _fit(df, assemble(df, inputs, FEATURES), name, params, output)
+    return about(model, df, inputs, output)
 
 
 def fit_text(
@@ -274,22 +277,45 @@ def fit_text(
     """
     given = dict(params or {})
     if name == "LogisticRegression" and given.pop("penalty", "l2") == "l2":
-        return fit_text_linear(df, text, output, len(class_names(df, output)), min_n=ngram_min_n, max_n=ngram_max_n, **given)
-    return _fit(df, bag_of_words(text, ngram_min_n, ngram_max_n, FEATURES), name, params, output)
+        model = fit_text_linear(df, text, output, len(class_names(df, output)), min_n=ngram_min_n, max_n=ngram_max_n, **given)
+    else:
+        model = _fit(df, bag_of_words(text, ngram_min_n, ngram_max_n, FEATURES), name, params, output)
+    return about(model, df, [text], output)
+
+
+def about(model, df: DataFrame, inputs: list[str], output: str):
+    """Notes on the model what scoring by name needs: the class names and the input columns."""
+    model.class_names = class_names(df, output)
+    model.input_schema = df.select(*[F.col(f"`{c}`") for c in inputs]).schema
+    return model
 
 
 def save(model: PipelineModel | TextLinearModel, path: str) -> None:
+    """Saves the model with its class names and input columns."""
     if isinstance(model, TextLinearModel):
         model.save(path)
     else:
         model.write().overwrite().save(path)
+    if hasattr(model, "class_names"):
+        facts = [(model.class_names, model.input_schema.json())]
+        SparkSession.getActiveSession().createDataFrame(facts, "names array<string>, inputs string").coalesce(1).write.mode(
+            "overwrite").parquet(f"{path}/about")
 
 
 def load(path: str) -> PipelineModel | TextLinearModel:
     spark = SparkSession.getActiveSession()
+    model = _if_there(lambda: TextLinearModel.load(spark, path)) or PipelineModel.load(path)
+    facts = _if_there(lambda: spark.read.parquet(f"{path}/about").first())
+    if facts is not None:
+        model.class_names = list(facts["names"])
+        model.input_schema = StructType.fromJson(json.loads(facts["inputs"]))
+    return model
+
+
+def _if_there(read: Callable):
     try:
-        return TextLinearModel.load(spark, path)
-    except AnalysisException as e:  # no table of coefficients there
+        return read()
+    except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    return PipelineModel.load(path)
+    return None

@@ -21,6 +21,9 @@ RUN_EVENTS = (
     "run_id string, experiment_id string, run_name string, model_name string, "
     "parameters map<string,string>, status int, event_time timestamp, model_path string, error string"
 )
+PREDICTIONS = (
+    "prediction_id string, run_id string, status int, event_time timestamp, path string, error string"
+)
 RUN_METRICS = "run_id string, split string, metric string, value double"
 
 

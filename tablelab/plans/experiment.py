@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelab import SPLIT
-from tablelab.models import fit, fit_text, save
+from tablelab.models import fit, fit_text, load, save, score_by_name
 from tablelab.operators import runs as rt
 from tablelab.operators.dataset import validate_inputs_outputs
 from tablelab.operators.metrics import classification_scores, scores_long
@@ -82,6 +82,25 @@ class RunStore:
     def metrics(self) -> DataFrame:
         return self._read("run_metrics", rt.RUN_METRICS)
 
+    def record_prediction(self, prediction_id: str, run_id: str, status: int, path: str, error: str | None = None) -> None:
+        row = (prediction_id, run_id, status, _now(), path, error)
+        self._append("predictions", self.spark.createDataFrame([row], rt.PREDICTIONS))
+
+    def predictions(self) -> DataFrame:
+        """Newest state of each prediction."""
+        rows = self._read("predictions", rt.PREDICTIONS)
+        newest = F.max_by(F.struct(*rows.columns), F.struct("event_time", "status")).alias("now")
+        return rows.groupBy("prediction_id").agg(newest).select("now.*")
+
+    def model_of(self, run_id: str):
+        """The saved model of a finished run."""
+        found = self.runs().filter(F.col("run_id") == run_id).take(1)
+        if not found:
+            raise ValueError(f"run {run_id} does not exist")
+        if found[0]["status"] != rt.FINISHED:
+            raise ValueError(f"run {run_id} has no finished model")
+        return load(found[0]["model_path"])
+
     def trials(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/trials")
 
@@ -144,3 +163,34 @@ def run_experiment(
         raise
     store.record(run, rt.FINISHED, model_path=path)
     return model
+
+
+def predict_run(store: RunStore, run_id: str, rows: DataFrame, path: str | None = None) -> DataFrame:
+    """Score new rows with the model of a run, class names decoded, and keep the result as a table.
+
+    The rows may have other columns and another order of columns; a missing input is an error. The state of
+    the job is kept in the store's ``predictions``.
+    """
+    prediction_id = uuid.uuid4().hex
+    path = path or f"{store.path}/predicted/{prediction_id}"
+    store.record_prediction(prediction_id, run_id, rt.STARTED, path)
+    try:
+        scored = score_by_name(store.model_of(run_id), rows)
+        scored.write.parquet(path)
+    except Exception as e:
+        store.record_prediction(prediction_id, run_id, rt.ERROR, path, str(e))
+        raise
+    store.record_prediction(prediction_id, run_id, rt.FINISHED, path)
+    return store.spark.read.parquet(path)
+
+
+def predict_arriving(store: RunStore, run_id: str, rows: DataFrame, path: str, checkpoint: str, once: bool = False):
+    """The same for rows that keep arriving: every batch goes to a folder of its own, which a repeated batch
+    replaces; returns the running query."""
+    model = store.model_of(run_id)
+
+    def batch(arrived: DataFrame, number: int) -> None:
+        score_by_name(model, arrived).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -4,7 +4,7 @@ from .archives import expand_archives
 from .excel import excel_rows, read_excel
 from .folders import SPLIT_FOLDERS, check_split_folders, read_labelled_files, split_of
 from .legacy import read_legacy_xy
-from .storage import ingest, load_dataset, read_manifest, save_dataset
+from .storage import history, ingest, load_dataset, read_manifest, resplit_saved, save_dataset, update_saved_spec
 from .text_formats import read_csv, read_json, read_json_lines
 
 __all__ = [
@@ -12,6 +12,7 @@ __all__ = [
     "check_split_folders",
     "excel_rows",
     "expand_archives",
+    "history",
     "ingest",
     "load_dataset",
     "read_csv",
@@ -21,6 +22,8 @@ __all__ = [
     "read_labelled_files",
     "read_legacy_xy",
     "read_manifest",
+    "resplit_saved",
     "save_dataset",
+    "update_saved_spec",
     "split_of",
 ]

@@ -1,14 +1,19 @@
-"""Saved datasets: one Parquet folder per split, a manifest, and the ingest job that writes them."""
+"""Saved datasets: parts with one Parquet folder per split, a log of versions, and the ingest job that writes them."""
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablelab import ROW_ID, SPLIT
 from tablelab.operators.dataset import as_dataset
+from tablelab.operators.schema import update_columns_spec
 from tablelab.operators.splits import resplit
 from tablelab.session import broadcast_small, materialize
 from tablelab.sources.excel import read_excel
@@ -16,24 +21,132 @@ from tablelab.sources.folders import SOURCE_BLOCK, SOURCE_FILE
 from tablelab.sources.text_formats import read_csv, read_json, read_json_lines
 
 
+_VERSION = "version long, commit string, parts array<string>, splits array<string>, schema string, change string"
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """``(version, commit, parts, splits, schema, change)`` of every version, one row each.
+
+    Two writers that reach for one version at once both leave a row; the smaller commit holds it.
+    """
+    rows = spark.read.schema(_VERSION).parquet(f"{path}/_log/*").select(*[c.split()[0] for c in _VERSION.split(", ")])
+    first = F.min_by(F.struct(*rows.columns), "commit").alias("r")
+    return rows.groupBy("version").agg(first).select("r.*")
+
+
+def _newest(spark: SparkSession, path: str, version: int | None = None):
+    try:
+        rows = history(spark, path)
+        found = rows.filter(F.col("version") == version) if version is not None else rows.orderBy(F.desc("version"))
+        found = found.take(1)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = []
+    if version is not None and not found:
+        raise ValueError(f"{path} has no version {version}")
+    return found[0] if found else None
+
+
+def _commit(
+    spark: SparkSession, path: str, change: str, make: Callable[[Row | None], DataFrame], append: bool = False
+) -> int:
+    """Writes what ``make(newest version)`` gives as a part of its own and logs a new version: the part, and
+    with ``append`` the earlier ones in front of it. Starts anew if another writer was faster."""
+    while True:
+        base = _newest(spark, path)
+        df = make(base)
+        commit = uuid.uuid4().hex
+        df.write.partitionBy(SPLIT).parquet(f"{path}/_commit={commit}")
+        columns = [f for f in df.schema.fields if f.name != SPLIT]
+        schema = T.StructType([*columns, df.schema[SPLIT]])
+        own = spark.read.schema(schema).parquet(f"{path}/_commit={commit}")
+        splits = {r[0] for r in own.select(SPLIT).distinct().collect()}
+        parts = [commit]
+        if append and base is not None:
+            parts, splits = [*base["parts"], commit], splits | set(base["splits"])
+            schema = T.StructType.fromJson(json.loads(base["schema"]))
+        version = 0 if base is None else base["version"] + 1
+        row = (version, commit, parts, sorted(splits), schema.json(), change)
+        try:
+            spark.createDataFrame([row], _VERSION).coalesce(1).write.parquet(f"{path}/_log/v={version:020d}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            continue
+        if _newest(spark, path, version)["commit"] == commit:
+            return version
+
+
 def save_dataset(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write each split to its own folder, and the list of splits next to them."""
-    df = df if SPLIT in df.columns else as_dataset(df)
-    df.write.mode(mode).partitionBy(SPLIT).parquet(path)
+    """Save as a version of the dataset at ``path``; readers of earlier versions are not disturbed.
+
+    ``append`` adds rows of the same columns behind those of the newest version; their ids go on from its
+    largest. ``overwrite`` adds a version of these rows alone. A version never changes, and a saved part is
+    never written again.
+    """
     spark = df.sparkSession
-    splits = sorted(r[0] for r in spark.read.parquet(path).select(SPLIT).distinct().collect())
-    text = json.dumps({"splits": splits}, indent=2, sort_keys=True)
-    # names starting with an underscore are not data to the Parquet reader
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/_manifest")
+    df = df if SPLIT in df.columns else as_dataset(df)
+    if mode not in ("errorifexists", "append", "overwrite"):
+        raise ValueError(f"mode should be errorifexists, append or overwrite, got {mode}")
+
+    def rows(base):
+        if base is not None and mode == "errorifexists":
+            raise ValueError(f"{path} holds a dataset already")
+        if base is None or mode != "append":
+            return df
+        schema = T.StructType.fromJson(json.loads(base["schema"]))
+        if set(df.columns) != set(schema.names):
+            raise ValueError(f"appended rows need the columns {', '.join(schema.names)}")
+        more = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema])
+        if ROW_ID in more.columns:
+            last = _read(spark, path, base).agg(F.max(ROW_ID)).first()[0]
+            more = more.withColumn(ROW_ID, F.col(ROW_ID) + F.lit(0 if last is None else last + 1))
+        return more
+
+    _commit(spark, path, mode if mode != "errorifexists" else "save", rows, mode == "append")
+
+
+def update_dataset(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], name: str = "update") -> int:
+    """Write ``change(newest version)`` back as a new version; returns its number."""
+    def rows(base):
+        if base is None:
+            raise ValueError(f"{path} holds no dataset with versions")
+        return change(_read(spark, path, base))
+
+    return _commit(spark, path, name, rows)
+
+
+def update_saved_spec(spark: SparkSession, path: str, spec: dict[str, tuple[str, str]]) -> int:
+    """``update_columns_spec``, written back."""
+    return update_dataset(spark, path, lambda df: update_columns_spec(df, spec), "columns")
+
+
+def resplit_saved(spark: SparkSession, path: str, split: dict) -> int:
+    """``resplit``, written back."""
+    return update_dataset(spark, path, lambda df: resplit(df, split), "split")
+
+
+def _read(spark: SparkSession, path: str, version: Row) -> DataFrame:
+    schema = T.StructType.fromJson(json.loads(version["schema"]))
+    parts = [f"{path}/_commit={c}" for c in version["parts"]]
+    return spark.read.schema(schema).option("basePath", path).parquet(*parts).select(
+        *[F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in schema])
 
 
-def load_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """All splits; a filter on ``split`` only reads that folder."""
-    return spark.read.parquet(path)
+def load_dataset(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """All splits of the newest or a given version; a filter on ``split`` only reads its folders. A folder
+    without versions is read as it is."""
+    found = _newest(spark, path, version)
+    return spark.read.parquet(path) if found is None else _read(spark, path, found)
 
 
-def read_manifest(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(f"{path}/_manifest", wholetext=True).first()[0])
+def read_manifest(spark: SparkSession, path: str, version: int | None = None) -> dict:
+    """The splits of a version."""
+    found = _newest(spark, path, version)
+    if found is None:
+        return json.loads(spark.read.text(f"{path}/_manifest", wholetext=True).first()[0])
+    return {"splits": list(found["splits"])}
 
 
 def with_source_order(staged: DataFrame) -> DataFrame:
