@@ -9,8 +9,11 @@ from tablelab.catalog.models import INPUTS, lineitem_dataset
 from tablelab.catalog.registry import query, table
 from tablelab.catalog.scoring import _LOGITS, _SPLIT
 from tablelab.functions import feature_label, link_function, round3
+from tablelab.models import fit
+from tablelab.operators.schema import encode_label
 from tablelab.operators.splits import split_exact
 from tablelab.plans import explain as ex
+from tablelab.plans.tree_shap import TreeShap
 
 NAMES = ["A", "N", "R"]
 
@@ -261,3 +264,19 @@ def _scalars(spark, sf):
         F.round(link_function(F.col("p_size") / 100.0, "logit"), 9).alias("log_odds"),
         "size_from_mid", F.row_number().over(order).alias("place"),
     )
+
+
+# --- SHAP on trees -------------------------------------------------------------------------------
+
+_RULE = "CASE WHEN floor(c_acctbal / 1000) >= 5 AND c_nationkey > 12 THEN 1.0 ELSE 0.0 END"
+
+
+@query("shap_tree", f"SELECT instance_id, class, feature, shap FROM ({_shap_sql(_RULE, _ALL_TRAIN_SQL)})")
+def _shap_tree(spark, sf):
+    """A tree that learnt a rule of two inputs, explained against all training rows."""
+    rows = customer_dataset(spark, sf).withColumn("c_acctbal", F.floor(F.col("c_acctbal") / 1000).cast("double"))
+    high = (F.col("c_acctbal") >= 5) & (F.col("c_nationkey") > 12)
+    rows = encode_label(rows.withColumn("side", F.when(high, "high").otherwise("low")), "side", ["low", "high"])
+    model = fit(rows, "DecisionTreeClassifier", FEATURES, "side", {"max_depth": None})
+    shap = TreeShap(model).fit(rows.filter(F.col(SPLIT) == "train"))
+    return shap.explain(rows).select("instance_id", "class", "feature", "shap")
