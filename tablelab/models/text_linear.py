@@ -42,7 +42,7 @@ def _counts(texts: DataFrame, min_n: int, max_n: int) -> DataFrame:
 
 
 def _on_terms(counts: DataFrame, table: DataFrame, on: str) -> DataFrame:
-    """Counts beside their terms' rows: frequent ones by broadcast, the others by shuffle."""
+    """Counts (a written table) beside their terms' rows: frequent ones by broadcast, the others by shuffle."""
     hot = table.filter("hot")
     near = counts.join(F.broadcast(hot), on)
     far = counts.join(F.broadcast(hot.select(on)), on, "left_anti").join(table.filter("not hot"), on)
@@ -66,7 +66,8 @@ class TextLinearModel:
         w = [f"w{k}" for k in range(self.margins)]
         bias = self.table.filter("term IS NULL").select(*w).first()
         texts = df.select(_key(self.text).alias("key"), F.col(self.text).alias("text")).dropDuplicates(["key"])
-        counted = _on_terms(_counts(texts, self.min_n, self.max_n), self.table.filter("term IS NOT NULL"), "term")
+        words = materialize(_counts(texts, self.min_n, self.max_n), "words")
+        counted = _on_terms(words, self.table.filter("term IS NOT NULL"), "term")
         summed = materialize(
             counted.groupBy("key").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in w]), "margins")
         summed = summed.select(F.col("key").alias("_text_key"), F.array(*w).alias("_text_margins"))
@@ -102,7 +103,10 @@ class _Fit:
     """The written tables of one fit, and the steps on them."""
 
     def __init__(self, items: DataFrame, counts: DataFrame, classes: int, rows: int, penalty: float):
-        self.items, self.counts, self.classes = items, counts, classes
+        self.items, self.classes = items, classes
+        # frequent terms and the others apart, so that a step reads either once
+        self.near = counts.filter("hot").drop("hot")
+        self.far = counts.filter("not hot").drop("hot")
         self.rows, self.penalty = rows, penalty
         self.tracked = [1] if classes == 2 else list(range(classes))
         self.dims = range(len(self.tracked))
@@ -113,7 +117,9 @@ class _Fit:
     def errors(self, table: DataFrame) -> tuple[DataFrame, float]:
         """``(key, r...)``: expected less given rows of each text and class, written; and the mean loss."""
         w = self.names("w")
-        sums = _on_terms(self.counts, table.select("index", "hot", *w), "index").groupBy("key").agg(
+        near = self.near.join(F.broadcast(table.filter("hot").select("index", *w)), "index")
+        far = self.far.join(table.filter("not hot").select("index", *w), "index")
+        sums = near.unionByName(far).groupBy("key").agg(
             *[F.sum(F.col("n") * F.col(c)).alias(c) for c in w])
         shares, log_sum = _softmax([F.col(c) for c in w])
         given = [F.col(f"n_{c}") for c in self.tracked]
@@ -126,7 +132,7 @@ class _Fit:
     def gradient(self, errors: DataFrame) -> DataFrame:
         """``(at, d...)`` per term; what a task's texts add is added up before it travels."""
         r = self.names("r")
-        return self.counts.join(errors.select("key", *r), "key").groupBy(F.col("index").alias("at")).agg(
+        return self.near.unionByName(self.far).join(errors.select("key", *r), "key").groupBy(F.col("index").alias("at")).agg(
             *[(F.sum(F.col("n") * F.col(c)) / self.rows).alias(f"d{k}") for k, c in enumerate(r)])
 
     def inner(self, table: DataFrame, vectors: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +177,9 @@ def fit_text_linear(
     rows = df.select(_key(text).alias("key"), F.col(text).alias("text"), F.col(output).cast("int").alias("y"))
     rows = rows.filter("y IS NOT NULL")
     grouped = [F.count_if(F.col("y") == c).cast("double").alias(f"n_{c}") for c in range(classes)]
-    items = materialize(rows.groupBy("key").agg(F.min("text").alias("text"), *grouped), "texts")
+    # from here on a text goes by its number
+    items = materialize(rows.groupBy("key").agg(F.min("text").alias("text"), *grouped).drop("key"), "texts")
+    items = materialize(with_row_ids(items, "key"), "texts")
     n = int(items.agg(F.sum(sum((F.col(f"n_{c}") for c in range(1, classes)), F.col("n_0")))).first()[0] or 0)
     if not n:
         raise ValueError(f"column {output} has no labels to learn from")
@@ -182,8 +190,9 @@ def fit_text_linear(
     top = materialize(top, "frequent")
     marked = materialize(vocabulary.join(F.broadcast(top), F.col("index") == F.col("top"), "left").select(
         "term", "index", F.col("top").isNotNull().alias("hot")), "vocabulary")
-    bias = items.select("key", F.lit(_BIAS).cast("long").alias("index"), F.lit(1).cast("long").alias("n"))
-    counts = materialize(_on_terms(worded, marked, "term").select("key", "index", "n").unionByName(bias), "counts")
+    bias = items.select("key", F.lit(_BIAS).cast("long").alias("index"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("hot"))
+    counts = _on_terms(worded, marked, "term").select("key", "index", "n", "hot").unionByName(bias)
+    counts = materialize(counts.repartition("hot", "key").sortWithinPartitions("hot"), "counts")
     spark, fit = df.sparkSession, _Fit(items.drop("text"), counts, classes, n, 1.0 / (C * n))
 
     own = spark.range(1).select(F.lit(None).cast("string").alias("term"), F.lit(_BIAS).cast("long").alias("index"),
