@@ -11,12 +11,12 @@ fixed-size filter says that it may have a candidate.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +32,8 @@ SHINGLE = 5
 # leaves 0.8 from 29 characters on, four digits from 56 on.
 SHORT_SHINGLE, SHORT_CHARS = 3, 80
 SIMILARITY = 0.8
+# Shingles of a line that may be similar to a short one, at most.
+SHORT_SET = (SHORT_CHARS - SHORT_SHINGLE) / SIMILARITY
 # Bands of rows: a pair at the threshold shares a band with probability 0.994, one at 0.85 with 0.9993. Short
 # shingles are common to many lines, so they take more rows to a band.
 BANDS, ROWS = 13, 5
@@ -42,11 +44,20 @@ MIN_CHARS = 1
 SEEN = 200_000
 # Characters hashed together.
 BLOCK_CHARS = 50_000
+# Characters of a line whose shingles are counted first.
+BEGIN_CHARS = 160
+# Characters whose shingle sets are held together, and shingles of pairs compared together.
+SET_CHARS, PAIR_SHINGLES = 2_000_000, 4_000_000
+# Bits of a hashed shingle beside the number of its line, and cells of the counts that rule pairs out.
+HASH_BITS, CELLS = 42, 256
+# Shingles by which hashes may miscount; pairs as near to the threshold are decided on the text.
+DOUBT = 2
 _PRIME, _MIX32 = np.uint32(0x01000193), np.uint32(0x85EBCA6B)
 _DRAWN = np.random.default_rng(20240229)
 _HASHES = max(BANDS * ROWS, SHORT_BANDS * SHORT_ROWS)
 _SPREAD = _DRAWN.integers(0, 1 << 32, _HASHES, dtype=np.uint32)
 _FACTORS = _DRAWN.integers(0, 1 << 32, _HASHES, dtype=np.uint32) | np.uint32(1)
+_WIDE = np.uint64(0x100000001B3)
 _NO_LINKS = pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
@@ -62,12 +73,12 @@ def normalise(line: str) -> str:
 
 
 def lines_of(batch: pa.RecordBatch):
-    """``(doc_id, line number, digest, normalised line)`` of the lines that take part."""
-    for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+    """``(place of the row, line number, digest, normalised line)`` of the lines that take part."""
+    for row, text in enumerate(texts(batch)):
         for number, line in enumerate(text.decode().split("\n")):
             line = normalise(line)
             if len(line) >= MIN_CHARS:
-                yield doc, number, hashlib.md5(line.encode()).digest(), line
+                yield row, number, xxhash.xxh3_128_digest(line.encode()), line
 
 
 def halves(digests: list[bytes]) -> np.ndarray:
@@ -87,22 +98,27 @@ def signatures(lines: list[str], size: int = SHINGLE, hashes: int = BANDS * ROWS
     return out
 
 
-def _signatures(lines: list[str], size: int, hashes: int) -> np.ndarray:
-    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-    # hashes of grams of 1, 2, 4, ... characters, put together to grams of ``size``
-    rolled, part, have, done, factor = None, points, 1, 0, _PRIME
-    left = size
+def grams(text: str, size: int, prime=_PRIME) -> np.ndarray:
+    """Hashes of the ``size`` characters from each character on, put together from those of 1, 2, 4, ...; their
+    width is that of ``prime``."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(prime.dtype, copy=False)
+    rolled, part, have, done, factor = None, points, 1, 0, prime
+    left, mask = size, (1 << 8 * prime.itemsize) - 1
     while left:
         if left & 1:
             rolled = part.copy() if rolled is None else rolled[:len(part) - done] * factor + part[done:]
             done += have
         left >>= 1
         part = part[:-have] * factor + part[have:] if left else part
-        factor, have = np.uint32(int(factor) ** 2 & 0xFFFFFFFF), have * 2
-    rolled = rolled[:len(points) - size + 1]
+        factor, have = prime.dtype.type(int(factor) ** 2 & mask), have * 2
+    return rolled[:len(points) - size + 1]
+
+
+def _signatures(lines: list[str], size: int, hashes: int) -> np.ndarray:
+    rolled = grams("".join(lines), size)
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     begins = np.cumsum(lengths) - lengths
-    inside = np.ones(len(points), bool)
+    inside = np.ones(lengths.sum(), bool)
     for k in range(1, size):
         inside[begins + lengths - k] = False
     values = rolled[inside[:len(rolled)]]
@@ -134,18 +150,31 @@ def meets_short(line: str) -> bool:
 
     Sets of that similarity differ in size by it at most; a long line of a repeated pattern has a small set.
     """
-    most = (SHORT_CHARS - SHORT_SHINGLE) / SIMILARITY
-    if len(line) - SHORT_SHINGLE + 1 <= most:
-        return True
-    # the begin of a line mostly has enough shingles already
-    return len(shingles(line[:160], SHORT_SHINGLE)) <= most and len(shingles(line, SHORT_SHINGLE)) <= most
+    return len(line) - SHORT_SHINGLE + 1 <= SHORT_SET or len(shingles(line, SHORT_SHINGLE)) <= SHORT_SET
+
+
+def meet_short(lines: list[str]) -> list[int]:
+    """Places of the lines that ``meets_short``. The begin of a line mostly has enough shingles already, by the
+    number of their hashes, which is never larger than theirs."""
+    chars = np.fromiter(map(len, lines), np.int64, len(lines))
+    unsure = np.flatnonzero(chars - SHORT_SHINGLE + 1 > SHORT_SET)
+    sure = np.zeros(len(lines), bool)
+    for at in range(0, len(unsure), 1000):
+        part = unsure[at:at + 1000]
+        begins = [lines[i][:BEGIN_CHARS] for i in part]
+        counts = np.fromiter(map(len, begins), np.int64, len(part))
+        values = grams("".join(begins), SHORT_SHINGLE)
+        place = np.minimum(np.arange(BEGIN_CHARS - SHORT_SHINGLE + 1), (counts - SHORT_SHINGLE)[:, None])
+        table = np.sort(values[place + (np.cumsum(counts) - counts)[:, None]], axis=1)
+        sure[part] = (table[:, 1:] != table[:, :-1]).sum(axis=1) + 1 > SHORT_SET
+    return [i for i, known in enumerate(sure.tolist()) if not known and meets_short(lines[i])]
 
 
 def line_bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """``(key, place)`` of the bands of lines; ``place`` is the line's. Both lines of a pair have the bands
     of the shingle that the pair is compared by."""
     long = [i for i, x in enumerate(lines) if len(x) >= SHORT_CHARS]
-    short = [i for i, x in enumerate(lines) if meets_short(x)]
+    short = meet_short(lines)
     keys, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     if long:
         keys.append(band_keys(signatures([lines[i] for i in long])).ravel())
@@ -183,26 +212,42 @@ def candidate_bands(documents: DataFrame) -> DataFrame:
 
 
 def shared_bands(bands: DataFrame) -> DataFrame:
-    """``(key, id)``, distinct, of the keys that several lines have. Read in key order, nothing held."""
+    """``(key, id)`` of the keys that several lines have. Read in key order, with one row held; rows are distinct
+    but for keys that go on in the next batch."""
 
-    def run(frames):
-        last = None  # the last row of what came before, and whether it was sent
-        for f in frames:
-            key, id_ = f["key"].to_numpy(), f["id"].to_numpy()
+    def run(batches):
+        last = None  # key and id of the last key's first row, and whether it was sent
+        for batch in batches:
+            key, id_ = batch.column("key").to_numpy(), batch.column("id").to_numpy()
             if last is not None:
                 key, id_ = np.append(last[0], key), np.append(last[1], id_)
-            new = np.append(True, (key[1:] != key[:-1]) | (id_[1:] != id_[:-1]))
+            if not len(key):
+                continue
+            same = key[1:] == key[:-1]
+            # rows whose key has several, the last key's first row at least
+            several = np.append(False, same) | np.append(same, False)
+            first = int(np.searchsorted(key, key[-1]))
+            held = key[first], id_[first]
+            sent = bool(last is not None and first == 0 and last[2])
+            begin_sent = last is not None and last[2]
+            begin = (key[0], id_[0])
+            key, id_ = key[several], id_[several]
+            order = np.lexsort((id_, key))
+            key, id_ = key[order], id_[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (id_[1:] != id_[:-1]))[:len(key)]
             key, id_ = key[new], id_[new]
             same = key[1:] == key[:-1]
-            many = np.append(False, same) | np.append(same, False)
-            if last is not None:
-                # its first row stood at the end of the previous batch
-                many[0] &= not last[2]
-            sent = bool(many[-1] or (len(key) == 1 and last is not None and last[2]))
-            yield pd.DataFrame({"key": key[many], "id": id_[many]})
-            last = (key[-1:], id_[-1:], sent)
+            many = (np.append(False, same) | np.append(same, False))[:len(key)]
+            key, id_ = key[many], id_[many]
+            sent |= bool(len(key) and key[-1] == held[0])
+            if begin_sent:
+                fresh = (key != begin[0]) | (id_ != begin[1])
+                key, id_ = key[fresh], id_[fresh]
+            last = (*held, sent)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(id_)], names=["key", "id"])
 
-    return bands.repartition("key").sortWithinPartitions("key", "id").mapInPandas(run, "key long, id long")
+    # one long column: a radix sort
+    return bands.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, id long")
 
 
 def without_twins(members: DataFrame) -> DataFrame:
@@ -245,41 +290,154 @@ def shingles(line: str, size: int | None = None) -> set[str]:
     return {line[i:i + size] for i in range(max(1, len(line) - size + 1))}
 
 
+def similar(one: str, other: str, size: int, similarity: float = SIMILARITY) -> bool:
+    """Whether the Jaccard similarity of two lines' shingle sets is high enough."""
+    mine, others = shingles(one, size), shingles(other, size)
+    both = len(mine & others)
+    return both >= similarity * (len(mine) + len(others) - both)
+
+
+def ragged(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places ``begin ... begin + count - 1`` of each range, one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + counts, counts)
+
+
+class ShingleSets:
+    """Sorted hashed shingles of lines, made once per line for all its pairs."""
+
+    def __init__(self, lines: list[str], size: int):
+        self.lines, self.size = lines, size
+        values, counts, at = [], [], 0
+        while at < len(lines):
+            end, chars = at, 0
+            while end < len(lines) and (end == at or chars + len(lines[end]) <= SET_CHARS):
+                chars += max(len(lines[end]), size)
+                end += 1
+            block = self._block(lines[at:end])
+            values.append(block & np.uint64((1 << HASH_BITS) - 1))
+            counts.append(np.bincount((block >> np.uint64(HASH_BITS)).astype(np.int64), minlength=end - at))
+            at = end
+        self.values, self.counts = np.concatenate(values), np.concatenate(counts)
+        self.begins = np.cumsum(self.counts) - self.counts
+        # how many shingles of a line fall into each cell: what two lines share is no more than the smaller counts
+        cell = np.repeat(np.arange(len(lines)) * CELLS, self.counts) + (self.values % np.uint64(CELLS)).astype(np.int64)
+        self.cells = np.bincount(cell, minlength=len(lines) * CELLS).astype(np.uint32).reshape(-1, CELLS)
+
+    def _block(self, lines: list[str]) -> np.ndarray:
+        lines = [x if len(x) >= self.size else x.ljust(self.size) for x in lines]
+        lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+        counts = lengths - self.size + 1
+        hashed = grams("".join(lines), self.size, _WIDE) * MIX >> np.uint64(64 - HASH_BITS)
+        hashed = hashed[ragged(np.cumsum(lengths) - lengths, counts)]
+        hashed |= np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(HASH_BITS), counts)
+        hashed.sort()
+        return hashed[np.append(True, hashed[1:] != hashed[:-1])]
+
+    def linked(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether each pair of lines is similar enough, exactly."""
+        one, other = self.counts[a], self.counts[b]
+        least = similarity * (one + other) / (1 + similarity)  # shingles that such a pair shares
+        ok = np.minimum(one, other) + DOUBT >= least
+        for at in range(0, len(a), 10_000):
+            p = at + np.flatnonzero(ok[at:at + 10_000])
+            ok[p] = np.minimum(self.cells[a[p]], self.cells[b[p]]).sum(axis=1) + DOUBT >= least[p]
+        left = np.flatnonzero(ok)
+        ends = np.cumsum(one[left] + other[left])
+        at = 0
+        while at < len(left):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIR_SHINGLES, "right")))
+            p = left[at:end]
+            both = self._shared(a[p], b[p])
+            ok[p] = both >= least[p]
+            for i in p[np.abs(both - least[p]) <= DOUBT]:
+                ok[i] = similar(self.lines[a[i]], self.lines[b[i]], self.size, similarity)
+            at = end
+        return ok
+
+    def _shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        # a pair at a time in the upper bits, as many as they hold
+        out = np.empty(len(a), np.int64)
+        for at in range(0, len(a), 1 << 64 - HASH_BITS):
+            rows = np.stack([a[at:at + (1 << 64 - HASH_BITS)], b[at:at + (1 << 64 - HASH_BITS)]], axis=1)
+            counts = self.counts[rows].sum(axis=1)
+            keys = self.values[ragged(self.begins[rows].ravel(), self.counts[rows].ravel())]
+            keys |= np.repeat(np.arange(len(rows), dtype=np.uint64) << np.uint64(HASH_BITS), counts)
+            keys.sort()
+            twice = keys[1:][keys[1:] == keys[:-1]] >> np.uint64(HASH_BITS)
+            out[at:at + len(rows)] = np.bincount(twice.astype(np.int64), minlength=len(rows))
+        return out
+
+
 def verified_links(frame: pd.DataFrame, similarity: float = SIMILARITY) -> pd.DataFrame:
     """Links that join the same lines as all pairs of a group ``g`` with enough exact Jaccard similarity.
 
-    Pairs already joined in their group are not compared again, nor are sets whose sizes alone rule the
-    similarity out.
+    Pairs already joined in their group are not compared again, nor are sets whose sizes, or counts by cell, rule
+    the similarity out. All groups go on together, frames of many characters in parts: each line in turn meets
+    those behind it in its group. A pair of which one line is short is compared by the smaller shingles.
     """
-    out: list[tuple[int, int]] = []
-    for _, group in frame.groupby("g", sort=False):
-        lines = dict(zip(group["id"], group["line"]))
-        short = {i for i, line in lines.items() if len(line) < SHORT_CHARS}
-        # by the size of the shingles; a pair of which one line is short is compared by the smaller size
-        small = {i: shingles(line, SHORT_SHINGLE) for i, line in lines.items()} if short else {}
-        large = {i: shingles(line, SHINGLE) for i, line in lines.items() if i not in short}
-        member: dict[int, int] = {}
-        clusters: dict[int, list[int]] = {}
-        for i in lines:
-            member[i] = i
-            clusters[i] = [i]
-            for c in list(clusters):
-                if c not in clusters or member[i] == c:
-                    continue
-                for j in clusters[c]:
-                    rows = small if i in short or j in short else large
-                    mine, other = rows[i], rows[j]
-                    if not similarity * len(mine) <= len(other) <= len(mine) / similarity:
-                        continue
-                    both = len(mine & other)
-                    if both >= similarity * (len(mine) + len(other) - both):
-                        out.append((i, j))
-                        mine_cluster = member[i]
-                        for k in clusters[mine_cluster]:
-                            member[k] = c
-                        clusters[c] += clusters.pop(mine_cluster)
-                        break
-    return pd.DataFrame(out, columns=["a", "b"]) if out else _NO_LINKS
+    frame = frame.drop_duplicates(["g", "id"])
+    frame = frame.iloc[np.argsort(frame["g"].to_numpy(), kind="stable")]
+    groups = frame["g"].to_numpy()
+    begins = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])[:len(groups)])
+    chars = np.add.reduceat(frame["line"].str.len().to_numpy(), begins) if len(begins) else np.empty(0, np.int64)
+    part = np.cumsum(chars) // (2 * SET_CHARS)
+    out = []
+    for k in np.unique(part):
+        of = np.flatnonzero(part == k)
+        end = begins[of[-1] + 1] if of[-1] + 1 < len(begins) else len(frame)
+        out.append(_verified_links(frame.iloc[begins[of[0]]:end], similarity))
+    return pd.concat(out, ignore_index=True) if out else _NO_LINKS
+
+
+def _verified_links(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    ids, groups = frame["id"].to_numpy(), frame["g"].to_numpy()
+    kinds, line_of = np.unique(ids, return_inverse=True)
+    lines = dict(zip(ids.tolist(), frame["line"]))
+    lines = [lines[i] for i in kinds.tolist()]
+    short = np.fromiter(map(len, lines), np.int64, len(lines))[line_of] < SHORT_CHARS
+    group = np.cumsum(np.append(True, groups[1:] != groups[:-1])) - 1
+    begins = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+    counts = np.diff(np.append(begins, len(ids)))
+    # lines whose set of each size is needed
+    near_short = np.bincount(group, short)[group] > 0
+    sets, number = {}, {}
+    for size, rows in ((SHORT_SHINGLE, near_short), (SHINGLE, ~short)):
+        used = np.unique(line_of[rows])
+        if len(used):
+            sets[size] = ShingleSets([lines[i] for i in used], size)
+            number[size] = np.searchsorted(used, line_of)
+    label = np.arange(len(ids))
+    found_a, found_b = [], []
+    for turn in range(int(counts.max()) - 1):
+        at = np.flatnonzero(counts > turn + 1)
+        a = np.repeat(begins[at] + turn, counts[at] - turn - 1)
+        b = ragged(begins[at] + turn + 1, counts[at] - turn - 1)
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            continue
+        small = short[a] | short[b]
+        ok = np.zeros(len(a), bool)
+        for size, chosen in ((SHORT_SHINGLE, small), (SHINGLE, ~small)):
+            if chosen.any():
+                of = number[size]
+                ok[chosen] = sets[size].linked(of[a[chosen]], of[b[chosen]], similarity)
+        a, b = a[ok], b[ok]
+        if not len(a):
+            continue
+        found_a.append(ids[a])
+        found_b.append(ids[b])
+        # within a group all of them meet its one line of this turn
+        least = np.full(len(begins), len(ids))
+        np.minimum.at(least, group[a], np.minimum(label[a], label[b]))
+        joined = np.zeros(len(ids), bool)
+        joined[label[a]] = joined[label[b]] = True
+        joined = joined[label]
+        label = np.where(joined, least[group], label)
+    if not found_a:
+        return _NO_LINKS
+    return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
@@ -288,13 +446,14 @@ def occurrences(documents: DataFrame) -> DataFrame:
 
     def per_task():
         def step(batch):
-            marks = text_marks(texts(batch)).tolist()
-            rows = [(d, m, n, h) for k, m in enumerate(marks) for d, n, h, _ in lines_of(batch.slice(k, 1))]
-            if not rows:
+            found = [(row, number, digest) for row, number, digest, _ in lines_of(batch)]
+            if not found:
                 return None
-            doc, mark, number, digest = zip(*rows)
+            row, number, digest = zip(*found)
             both = halves(digest)
-            return {"doc_id": doc, "mark": mark, "line_no": number, "id": both[:, 0], "check": both[:, 1]}
+            row = np.array(row)
+            return {"doc_id": batch.column("doc_id").take(pa.array(row)), "mark": text_marks(texts(batch))[row],
+                    "line_no": np.array(number, np.int32), "id": both[:, 0], "check": both[:, 1]}
 
         return step
 
