@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelab.llm.common import (
-    MIX, arrow_map, bit_filter, bounded_groups, components, in_groups, passes, text_mark, text_marks, texts,
+    MIX, arrow_map, bit_filter, bounded_groups, components, in_groups, local_stars, passes, text_mark, text_marks, texts,
 )
 from tablelab.session import materialize
 
@@ -46,12 +46,12 @@ SEEN = 200_000
 BLOCK_CHARS = 50_000
 # Characters of a line whose shingles are counted first.
 BEGIN_CHARS = 160
-# Characters whose shingle sets are held together, and shingles of pairs compared together.
-SET_CHARS, PAIR_SHINGLES = 2_000_000, 4_000_000
-# Bits of a hashed shingle beside the number of its line, and cells of the counts that rule pairs out.
+# Characters of the lines of groups that go on together, and shingles of pairs compared together.
+SET_CHARS, PAIR_SHINGLES = 4_000_000, 50_000
+# Bits of a hashed shingle below the number of its line, and cells of the counts that rule pairs out.
 HASH_BITS, CELLS = 42, 256
 # Shingles by which hashes may miscount; pairs as near to the threshold are decided on the text.
-DOUBT = 2
+DOUBT = 1
 _PRIME, _MIX32 = np.uint32(0x01000193), np.uint32(0x85EBCA6B)
 _DRAWN = np.random.default_rng(20240229)
 _HASHES = max(BANDS * ROWS, SHORT_BANDS * SHORT_ROWS)
@@ -281,7 +281,9 @@ def candidate_lines(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
         return step
 
-    return arrow_map(documents.select("doc_id", "text"), per_task, "id long, line string").dropDuplicates(["id"])
+    # shuffled first, so that rows are sorted once, for this and for the join to come
+    return arrow_map(documents.select("doc_id", "text"), per_task, "id long, line string").repartition(
+        "id").dropDuplicates(["id"])
 
 
 def shingles(line: str, size: int | None = None) -> set[str]:
@@ -308,23 +310,27 @@ class ShingleSets:
 
     def __init__(self, lines: list[str], size: int):
         self.lines, self.size = lines, size
-        values, counts, at = [], [], 0
+        values, counts, cells, at = [], [], [], 0
+        ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
         while at < len(lines):
-            end, chars = at, 0
-            while end < len(lines) and (end == at or chars + len(lines[end]) <= SET_CHARS):
-                chars += max(len(lines[end]), size)
-                end += 1
+            # small blocks, whose arrays stay in the cache
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_CHARS, "right")))
             block = self._block(lines[at:end])
-            values.append(block & np.uint64((1 << HASH_BITS) - 1))
-            counts.append(np.bincount((block >> np.uint64(HASH_BITS)).astype(np.int64), minlength=end - at))
+            line = block.view(np.int64) >> HASH_BITS
+            counts.append(np.bincount(line, minlength=end - at))
+            block &= np.uint64((1 << HASH_BITS) - 1)
+            values.append(block)
+            line *= CELLS
+            line += block.view(np.int64) & (CELLS - 1)
+            cells.append(np.bincount(line, minlength=(end - at) * CELLS).astype(np.uint32))
             at = end
         self.values, self.counts = np.concatenate(values), np.concatenate(counts)
         self.begins = np.cumsum(self.counts) - self.counts
         # how many shingles of a line fall into each cell: what two lines share is no more than the smaller counts
-        cell = np.repeat(np.arange(len(lines)) * CELLS, self.counts) + (self.values % np.uint64(CELLS)).astype(np.int64)
-        self.cells = np.bincount(cell, minlength=len(lines) * CELLS).astype(np.uint32).reshape(-1, CELLS)
+        self.cells = np.concatenate(cells).reshape(-1, CELLS)
 
     def _block(self, lines: list[str]) -> np.ndarray:
+        """Distinct hashed shingles, the line's number above them, sorted."""
         lines = [x if len(x) >= self.size else x.ljust(self.size) for x in lines]
         lengths = np.fromiter(map(len, lines), np.int64, len(lines))
         counts = lengths - self.size + 1
@@ -381,7 +387,7 @@ def verified_links(frame: pd.DataFrame, similarity: float = SIMILARITY) -> pd.Da
     groups = frame["g"].to_numpy()
     begins = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])[:len(groups)])
     chars = np.add.reduceat(frame["line"].str.len().to_numpy(), begins) if len(begins) else np.empty(0, np.int64)
-    part = np.cumsum(chars) // (2 * SET_CHARS)
+    part = np.cumsum(chars) // SET_CHARS
     out = []
     for k in np.unique(part):
         of = np.flatnonzero(part == k)
@@ -390,6 +396,17 @@ def verified_links(frame: pd.DataFrame, similarity: float = SIMILARITY) -> pd.Da
     return pd.concat(out, ignore_index=True) if out else _NO_LINKS
 
 
+def star_links(frame: pd.DataFrame) -> pd.DataFrame:
+    """The verified links of a frame's groups, as one link per line to the smallest line that it reaches there."""
+    links = verified_links(frame)
+    if links.empty:
+        return links
+    ids, places = np.unique(links.to_numpy().ravel(), return_inverse=True)
+    ends = places.reshape(-1, 2)
+    low = ids[local_stars(len(ids), ends[:, 0], ends[:, 1])]
+    return pd.DataFrame({"a": ids, "b": low})[ids != low]
+
+
 def _verified_links(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
     ids, groups = frame["id"].to_numpy(), frame["g"].to_numpy()
     kinds, line_of = np.unique(ids, return_inverse=True)
@@ -462,24 +479,28 @@ def occurrences(documents: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(documents: DataFrame) -> DataFrame:
-    """``(doc_id, mark, line_no)`` of every line that a line in front of it stands for."""
+    """``(doc_id, mark, line_no)`` of every line that a line in front of it stands for, once per row of the
+    document that repeats."""
     members = materialize(
         without_twins(materialize(shared_bands(candidate_bands(documents)), "bands")), "members")
     lines = candidate_lines(documents, members.select("id").distinct())
     met = bounded_groups(members, "key", "id").select("g", F.col("id").alias("met_id"))
     groups = met.join(lines, F.col("met_id") == F.col("id")).select("g", "id", "line")
-    linked = components(in_groups(groups, verified_links, "a long, b long"))
-    found = occurrences(documents).join(linked, F.col("id") == F.col("node"), "left").select(
-        "doc_id", "mark", "line_no",
-        F.coalesce("component", "id").alias("class"),
-        F.when(F.col("node").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check"))
-    found = materialize(found, "lines")
-    # written, so that the join below reads two shuffles and Spark can split a hot line
-    first = materialize(found.groupBy(F.col("class").alias("class_"), F.col("check").alias("check_")).agg(
-        F.min(F.struct("doc_id", "line_no", "mark")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
-    return found.join(first, (F.col("class") == F.col("class_")) & (F.col("check") == F.col("check_"))).filter(
+    linked = components(in_groups(groups, star_links, "a long, b long"))
+    found = materialize(occurrences(documents), "lines")
+    # the first place of each line that occurs again or is linked; most lines are neither
+    again = materialize(
+        found.groupBy("id", "check").agg(F.min(F.struct("doc_id", "line_no", "mark")).alias("own"), F.count("*").alias("n"))
+        .join(linked, F.col("id") == F.col("node"), "left").filter("n > 1 or component is not null")
+        .select("id", "check", "own", "component"), "again")
+    of_class = materialize(again.filter("component is not null").groupBy(F.col("component").alias("class")).agg(
+        F.min("own").alias("first")), "classes")
+    first = materialize(again.join(of_class, F.col("component") == F.col("class"), "left").select(
+        F.col("id").alias("id_"), F.col("check").alias("check_"), F.coalesce("first", "own").alias("first")), "first")
+    # both sides were written, so that the join reads two shuffles and Spark can split a hot line
+    return found.join(first, (F.col("id") == F.col("id_")) & (F.col("check") == F.col("check_"))).filter(
         "not (doc_id <=> first.doc_id and mark = first.mark and line_no = first.line_no)").select(
-        "doc_id", "mark", "line_no").distinct()
+        "doc_id", "mark", "line_no")
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
@@ -490,7 +511,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     empty text empty; a document may lose all its lines and then has an empty text. Blank lines always stay.
     """
     gone = duplicate_lines(documents).groupBy(F.col("doc_id").alias("gone_id_"), F.col("mark").alias("gone_mark_")).agg(
-        F.collect_list("line_no").alias("gone_"))
+        F.collect_set("line_no").alias("gone_"))
     joined = documents.join(
         gone, documents["doc_id"].eqNullSafe(F.col("gone_id_")) & (text_mark() == F.col("gone_mark_")), "left")
     kept = F.array_join(F.filter(
