@@ -3,7 +3,8 @@
 A record is one gzip member whose header carries the member's length (extra field ``SL``), so a reader
 steps over unwanted members without inflating them. Record type and header predicates are pushed down:
 a record's headers are parsed first, and the payload is inflated only if the record passes and the
-payload column is asked for. Members without the extra field, and plain files, are read too.
+payload column is asked for. Members without the extra field, members of several records and plain files are
+read too.
 
 A write is committed by a manifest; files of failed or repeated tasks are not in it and are never read.
 """
@@ -36,7 +37,8 @@ FIELDS = ("record_id string, record_type string, target_uri string, date string,
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri",
            "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 WRITTEN = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
-MANIFEST = "_manifest.json"
+# Begin of the names of manifests, one per write; they end in ``.json``.
+MANIFEST = "_manifest"
 # A file is closed and the next one begun beyond this size.
 FILE_BYTES = 256 << 20
 BATCH_BYTES = 8 << 20
@@ -51,6 +53,13 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _manifests(files, base: str) -> list[str]:
+    from pyarrow import fs
+
+    found = files.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    return sorted(x.path for x in found if x.base_name.startswith(MANIFEST) and x.base_name.endswith(".json"))
+
+
 # --- records
 
 def record(row: dict) -> bytes:
@@ -93,7 +102,7 @@ class _Member:
     """Reads one gzip member, or one record of a plain file, from ``file`` at its position."""
 
     def __init__(self, file, start: int):
-        self.file, self.start, self.next, self.raw = file, start, None, b""
+        self.file, self.start, self.next, self.whole, self.raw = file, start, None, None, b""
         file.seek(start)
         head = file.read(2)
         self.done = not head
@@ -107,7 +116,8 @@ class _Member:
                 while at + 4 <= len(extra):
                     size = struct.unpack("<H", extra[at + 2:at + 4])[0]
                     if extra[at:at + 2] == b"SL" and size == 8:
-                        self.next = start + struct.unpack("<I", extra[at + 4:at + 8])[0]
+                        packed, self.whole = struct.unpack("<II", extra[at + 4:at + 12])
+                        self.next = start + packed
                     at += 4 + size
         file.seek(start)
 
@@ -134,37 +144,67 @@ class _Member:
         while len(self.raw) < size and self.more(1 << 18):
             pass
 
-    def end(self, size: int) -> int:
-        """Where the next record begins; ``size`` is this one's, uncompressed."""
-        if not self.zipped:
-            return self.start + size
-        while self.next is None and self.more(1 << 18):
+    def skip(self, size: int) -> bool:
+        """Leave out ``size`` bytes, holding none of them; False if the member has no more after them."""
+        while len(self.raw) < size:
+            size -= len(self.raw)
             self.raw = b""
-        return self.next if self.next is not None else self.file.tell()
+            if not self.more(1 << 18):
+                return False
+        self.raw = self.raw[size:]
+        while not self.raw:
+            if not self.more():
+                return False
+        return True
+
+    def end(self) -> int:
+        """Where the next member begins."""
+        if self.next is None:
+            raise ValueError(f"the archive ends inside the gzip member at byte {self.start}")
+        return self.next
 
 
 def read_records(file, wanted, payload: bool) -> Iterator[dict]:
-    """Records whose headers pass ``wanted(headers)``, as dicts of ``FIELDS``."""
+    """Records whose headers pass ``wanted(headers)``, as dicts of ``FIELDS``.
+
+    A gzip member may hold any number of records; one whose header gives its lengths, and that a single record
+    fills, is stepped over. A record without an end of its headers or a content length raises, and so does a
+    file that ends inside a gzip member or a payload that is read.
+    """
     at = 0
     while not (m := _Member(file, at)).done:
-        body = m.until(b"\r\n\r\n")
-        if body < 0:
-            return
-        headers = parse_headers(m.raw[:body])
-        length = int(headers.get("content-length", 0))
-        if wanted(headers):
-            out = {c: headers.get(h) for c, h in HEADERS.items()} | {
-                "content_length": length, "http_length": None, "payload": None}
-            begin = body
-            if headers.get("content-type", "").startswith("application/http"):
-                begin = m.until(b"\r\n\r\n", body)
-                http = parse_headers(m.raw[body:begin]).get("content-length")
-                out["http_length"] = int(http) if http and http.isdigit() else None
-            if payload and out["record_type"] != "revisit":
-                m.fill(body + length)
-                out["payload"] = m.raw[begin:body + length]
-            yield out
-        at = m.end(body + length + 4)
+        more = True
+        while more:
+            body = m.until(b"\r\n\r\n")
+            if body < 0 and not m.raw.strip(b"\r\n"):
+                if not m.zipped:
+                    return
+                break
+            headers = parse_headers(m.raw[:body]) if body >= 0 else {}
+            if not headers.get("content-length", "").isdigit():
+                raise ValueError(f"broken record headers in the member at byte {m.start}")
+            length = int(headers["content-length"])
+            if wanted(headers):
+                out = {c: headers.get(h) for c, h in HEADERS.items()} | {
+                    "content_length": length, "http_length": None, "payload": None}
+                begin = body
+                if headers.get("content-type", "").startswith("application/http"):
+                    begin = m.until(b"\r\n\r\n", body)
+                    http = parse_headers(m.raw[body:begin]).get("content-length")
+                    out["http_length"] = int(http) if http and http.isdigit() else None
+                if payload and out["record_type"] != "revisit":
+                    m.fill(body + length)
+                    if len(m.raw) < body + length:
+                        raise ValueError(f"the archive ends inside a record of the member at byte {m.start}")
+                    out["payload"] = m.raw[begin:body + length]
+                yield out
+            size = body + length + 4
+            if not m.zipped:
+                m.next, more = m.start + size, False
+            else:
+                more = m.whole != size and m.skip(size)
+                m.whole = None
+        at = m.end()
 
 
 # --- data source
@@ -201,9 +241,12 @@ class WarcReader(DataSourceReader):
         files, base = _filesystem(self.path)
         if files.get_file_info(base).type == fs.FileType.File:
             return [WarcFile(base)]
-        if files.get_file_info(f"{base}/{MANIFEST}").type == fs.FileType.File:
-            with files.open_input_stream(f"{base}/{MANIFEST}") as f:
-                return [WarcFile(f"{base}/{name}") for name in json.loads(f.read())]
+        if manifests := _manifests(files, base):
+            names = []
+            for manifest in manifests:
+                with files.open_input_stream(manifest) as f:
+                    names += json.loads(f.read())
+            return [WarcFile(f"{base}/{name}") for name in names]
         found = files.get_file_info(fs.FileSelector(base, recursive=True))
         return [WarcFile(x.path) for x in sorted(found, key=lambda x: x.path) if re.search(r"\.warc(\.gz)?$", x.path)]
 
@@ -238,8 +281,10 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options):
-        self.path = options["path"]
+    """One manifest per commit names the files of a write; an overwriting one then drops the others."""
+
+    def __init__(self, options, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
         files, base = _filesystem(self.path)
         files.create_dir(base, recursive=True)
 
@@ -266,8 +311,11 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         files, base = _filesystem(self.path)
         names = sorted(n for m in messages if m is not None for n in m.files)
-        with files.open_output_stream(f"{base}/{MANIFEST}", compression=None) as out:
+        earlier = _manifests(files, base) if self.overwrite else []
+        with files.open_output_stream(f"{base}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps(names).encode())
+        for manifest in earlier:
+            files.delete_file(manifest)
 
     def abort(self, messages):
         """Files without a manifest entry are never read."""
@@ -287,7 +335,7 @@ class WarcDataSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
