@@ -63,6 +63,13 @@ def text_mark(column: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
+def numbered(documents: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows under names ``c0_``, ``c1_``, ... and the new name of each column, so that no column of the
+    input can clash with one that an operator adds, whatever it is called."""
+    names = {c: f"c{i}_" for i, c in enumerate(documents.columns)}
+    return documents.toDF(*names.values()), names
+
+
 def arrow_map(df: DataFrame, per_batch: Callable[[], Callable], schema: str) -> DataFrame:
     """``per_batch()`` is called once per task and gives a function from a record batch to a dict
     of columns (or None). Only the batch at hand is held."""

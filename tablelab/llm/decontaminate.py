@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelab.llm.common import arrow_map, text_mark, texts
+from tablelab.llm.common import arrow_map, numbered, text_mark, texts
 from tablelab.session import materialize
 
 WORDS = 13
@@ -239,5 +239,7 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFram
     on its own."""
     bad = judged(documents, benchmark).filter("contaminated").select(
         F.col("doc_id").alias("bad_id_"), F.col("mark").alias("bad_mark_")).distinct()
-    return documents.join(
-        bad, documents["doc_id"].eqNullSafe(bad["bad_id_"]) & (text_mark() == bad["bad_mark_"]), "left_anti")
+    inside, names = numbered(documents)
+    clean = inside.join(
+        bad, F.col(names["doc_id"]).eqNullSafe(F.col("bad_id_")) & (text_mark(names["text"]) == F.col("bad_mark_")), "left_anti")
+    return clean.toDF(*documents.columns)

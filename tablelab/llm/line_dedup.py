@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelab.llm.common import (
-    MIX, arrow_map, bit_filter, bounded_groups, components, in_groups, local_stars, passes, text_mark, text_marks, texts,
+    MIX, arrow_map, bit_filter, bounded_groups, components, in_groups, local_stars, numbered, passes, text_mark, text_marks,
+    texts,
 )
 from tablelab.session import materialize
 
@@ -509,14 +510,17 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     Adds ``n_lines_removed``. Rows with one ``doc_id`` and text count as one document, different
     texts of one ``doc_id`` (or of none) each as its own. Null text stays null,
     empty text empty; a document may lose all its lines and then has an empty text. Blank lines always stay.
+    Other columns may have any name and type, but for ``n_lines_removed``.
     """
     gone = duplicate_lines(documents).groupBy(F.col("doc_id").alias("gone_id_"), F.col("mark").alias("gone_mark_")).agg(
         F.collect_set("line_no").alias("gone_"))
-    joined = documents.join(
-        gone, documents["doc_id"].eqNullSafe(F.col("gone_id_")) & (text_mark() == F.col("gone_mark_")), "left")
+    inside, names = numbered(documents)
+    text = names["text"]
+    joined = inside.join(
+        gone, F.col(names["doc_id"]).eqNullSafe(F.col("gone_id_")) & (text_mark(text) == F.col("gone_mark_")), "left")
     kept = F.array_join(F.filter(
-        F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone_", i.cast("int"))), "\n")
+        F.split(text, "\n", -1), lambda _, i: ~F.array_contains("gone_", i.cast("int"))), "\n")
+    left = F.when(F.col("gone_").isNull(), F.col(text)).otherwise(kept)
     return joined.select(
-        *[(F.when(F.col("gone_").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text"
-           else documents[c]) for c in documents.columns],
+        *[(left if n == text else F.col(n)).alias(c) for c, n in names.items()],
         F.when(F.col("gone_").isNull(), 0).otherwise(F.size("gone_")).cast("long").alias("n_lines_removed"))

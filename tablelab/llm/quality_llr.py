@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelab.llm.common import WordHashes, arrow_map, hashed_grams, hashed_share, texts
+from tablelab.llm.common import WordHashes, arrow_map, hashed_grams, numbered, texts
+from tablelab.session import broadcast_small, materialize
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 BITS = 18
-# Trusted documents whose n-grams are counted, at most about this many.
-MAX_TRUSTED = 200_000
-# Pseudo-counts of a bucket on the trusted side; the corpus side gets the same prior share.
-PRIOR = 10.0
+# Share of a multinomial that is spread evenly over the buckets, on both sides. It is a share of the counts, so
+# that a corpus and many copies of it give the same scores, and large, so that a small corpus does not hold
+# the rare words of a document without a label against it.
+PRIOR = 0.95
 # Nats per n-gram. Text drawn from the corpus as a whole scores about 0, trusted text above.
 MIN_SCORE = -0.12
 MIN_WORDS = 10
@@ -34,20 +35,20 @@ REPEAT_WINDOW = 5
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    """``doc_id`` of documents labelled as good, at most about ``most``, chosen by a hash."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("trusted_id")).distinct()
-    return good.filter(hashed_share("trusted_id", good.count(), most))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """``doc_id`` of all documents labelled as good, each once."""
+    return materialize(labels.filter("quality = 1 and doc_id is not null").select(
+        F.col("doc_id").alias("trusted_id")).distinct(), "trusted")
 
 
 def log_ratios(documents: DataFrame, trusted: DataFrame, bits: int = BITS) -> np.ndarray:
-    """``log p(gram | trusted) - log p(gram | corpus)`` per bucket, with ``PRIOR`` pseudo-counts.
+    """``log p(gram | trusted) - log p(gram | corpus)`` per bucket, each mixed with ``PRIOR`` of a uniform one.
 
-    ``trusted`` has ``trusted_id`` and a bounded number of rows (``trusted_ids``). No document or no
-    trusted document gives a uniform distribution on that side.
+    ``trusted`` has distinct ``trusted_id`` of any number; up to a million are broadcast, more are joined by a
+    shuffle. No document or no trusted document gives a uniform distribution on that side.
     """
     marked = documents.select("doc_id", "text").join(
-        F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left"
+        broadcast_small(trusted, trusted.count()), F.col("doc_id") == F.col("trusted_id"), "left"
     ).select("text", F.col("trusted_id").isNotNull().alias("good"))
 
     def count(batches):
@@ -67,9 +68,8 @@ def log_ratios(documents: DataFrame, trusted: DataFrame, bits: int = BITS) -> np
     raw, good = np.zeros(1 << bits), np.zeros(1 << bits)
     raw[counted["bucket"]], good[counted["bucket"]] = counted["raw"], counted["good"]
     # both sides get the same share of prior mass, so a bucket that is rare on both says little
-    good = (good + PRIOR) / (good.sum() + PRIOR * len(good))
-    scale = max(1.0, counted["raw"].sum()) / max(1.0, counted["good"].sum())
-    raw = (raw + PRIOR * scale) / (raw.sum() + PRIOR * scale * len(raw))
+    good, raw = (
+        ((1 - PRIOR) * c / c.sum() + PRIOR / len(c)) if c.any() else np.full(len(c), 1 / len(c)) for c in (good, raw))
     return (np.log(good) - np.log(raw)).astype(np.float32)
 
 
@@ -137,7 +137,6 @@ def quality_rules(documents: DataFrame, labels: DataFrame, carry: list[str] | No
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that ``rate`` keeps, with the columns of ``documents``, whatever their names."""
     ratios = log_ratios(documents, trusted_ids(labels))
-    names = [f"c{i}_" for i in range(len(documents.columns))]
-    inside = documents.select("text", *[documents[c].alias(n) for c, n in zip(documents.columns, names)])
-    return rate(inside, ratios, names).filter("kept").select(
-        *[F.col(n).alias(c) for c, n in zip(documents.columns, names)])
+    inside, names = numbered(documents)
+    kept = rate(inside.withColumn("text", F.col(names["text"])), ratios, list(names.values())).filter("kept")
+    return kept.select(*names.values()).toDF(*documents.columns)

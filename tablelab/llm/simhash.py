@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelab.llm.common import (
-    arrow_map, bounded_groups, components, in_groups, local_stars, text_mark, text_marks, texts,
+    arrow_map, bounded_groups, components, in_groups, local_stars, numbered, text_mark, text_marks, texts,
 )
 from tablelab.session import materialize
 
@@ -152,7 +152,8 @@ def simhash_components(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def one_per_component(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component: the one of the smallest ``doc_id``, rows without an id last; all columns
-    stay as they are. Texts of one id are judged each on its own."""
+    stay as they are, whatever their names and types. Texts of one id are judged each on its own. Of rows
+    with one id and text that first in JSON is kept."""
     rows = materialize(fingerprints(documents).groupBy("fp", "doc_id", "mark").agg(F.count("*").alias("n")), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "n")).alias("first")
     nodes = materialize(rows.groupBy("fp").agg(first), "nodes")
@@ -161,9 +162,12 @@ def one_per_component(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
             .groupBy(F.coalesce("component", "fp").alias("class")).agg(F.min("first").alias("first"))
             .select(F.col("first.doc_id").alias("keep_id_"), F.col("first.mark").alias("keep_mark_"), F.col("first.n").alias("n_")))
     keep = materialize(keep, "kept")
-    names = documents.columns
-    kept = lambda k: documents.join(
-        k, documents["doc_id"].eqNullSafe(F.col("keep_id_")) & (text_mark() == F.col("keep_mark_")))
-    # rows of one id and text: the smallest of them
-    copies = kept(keep.filter("n_ > 1")).groupBy("keep_id_", "keep_mark_").agg(F.min(F.struct(*names)).alias("row"))
-    return kept(keep.filter("n_ = 1")).select(*names).unionByName(copies.select("row.*"))
+    inside, names = numbered(documents)
+    kept = lambda k: inside.join(
+        k, F.col(names["doc_id"]).eqNullSafe(F.col("keep_id_")) & (text_mark(names["text"]) == F.col("keep_mark_")))
+    # rows of one id and text: the first of them as JSON, which orders columns of any type
+    row = F.struct(*names.values())
+    copies = kept(keep.filter("n_ > 1")).groupBy("keep_id_", "keep_mark_").agg(
+        F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("row"))
+    return kept(keep.filter("n_ = 1")).select(*names.values()).unionByName(
+        copies.select("row.*")).toDF(*documents.columns)

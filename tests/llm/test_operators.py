@@ -154,11 +154,44 @@ def test_ratio_is_the_one_of_the_counts(spark):
         for k in common.hashed_grams(h.array(text.split()), 8):
             raw[k] += 1
             good[k] += g
-    p, s = quality_llr.PRIOR, raw.sum() / good.sum()
-    want = np.log((good + p) / (good + p).sum()) - np.log((raw + p * s) / (raw + p * s).sum())
+    p = quality_llr.PRIOR
+    want = np.log((1 - p) * good / good.sum() + p / 256) - np.log((1 - p) * raw / raw.sum() + p / 256)
     assert np.allclose(got, want, atol=1e-5)
 
 
+def test_verdict_does_not_depend_on_the_size(spark, sf, docs):
+    labels = table(spark, sf, "labels")
+    once = {(r["doc_id"], r["kept"], round(r["llr"], 5)) for r in quality_llr.quality_rules(docs, labels).collect()}
+    n = docs.agg(F.max("doc_id")).first()[0] + 1
+    copies = lambda df: df.crossJoin(spark.range(3)).withColumn("doc_id", F.col("doc_id") + n * F.col("id")).drop("id")
+    many = quality_llr.quality_rules(copies(docs), copies(labels)).collect()
+    assert len(many) == 3 * docs.count()
+    assert {(r["doc_id"] % n, r["kept"], round(r["llr"], 5)) for r in many} == once
+
+
+CLASHING = ["gone_", "gone_id_", "gone_mark_", "keep_id_", "keep_mark_", "n_", "bad_id_", "bad_mark_", "text_", "kept", "llr",
+            "mark", "fp", "row", "c0_", "c1_", "id", "node", "component", "trusted_id", "good", "with.dot", "with`tick", "n_words"]
+
+
+def test_columns_of_any_name_and_type(spark):
+    texts_ = [PASSAGE, PASSAGE, f"{PASSAGE}\nThis line is the second one.", None, "", "Some other text, not at all like that."]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)] + [(0, PASSAGE), (None, "without an id")], "doc_id long, text string")
+    extra = [F.lit(i).alias(c) for i, c in enumerate(CLASHING)]
+    d = rows.select("text", *extra, F.create_map(F.lit("a"), F.col("doc_id")).alias("a map"), "doc_id")
+    labels = spark.createDataFrame([(0, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "the second one")], "item_id long, text string")
+    plain = rows.select("doc_id", "text")
+    for stage in (lambda x: quality_llr.keep_good(x, labels), simhash.one_per_component,
+                  lambda x: line_dedup.dedup_lines(x).drop("n_lines_removed"),
+                  lambda x: decontaminate.without_contaminated(x, benchmark)):
+        out = stage(d)
+        assert out.columns == d.columns
+        got = out.collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(pairs(stage(plain)), key=repr)
+        for r in got:
+            assert [r[c] for c in CLASHING] == list(range(len(CLASHING))) and r["a map"] == {"a": r["doc_id"]}
+
+
 def test_weak_labels(spark, edge, empty):
     good = [f"This is sentence {i} of a text.\nIt has words and an end {i * 31 % 17}." for i in range(300)]
     junk = [f"ab{i}### cd*** ef$$$ gh%%%\nij&&& kl### {i}*** mn$$$" for i in range(60)]
