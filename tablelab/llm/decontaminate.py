@@ -6,6 +6,9 @@ window, are the candidate starts. These are intersected with the moved positions
 term, and what is left with those of all others. Postings are stored for the benchmark's terms around the
 rarest terms; elsewhere no window can stand.
 
+Near matches miss a term or have a word put in or left out. They start from as many of the rarest terms as it takes for
+one of them to be there, whichever are missing; a term that no document has counts as missing.
+
 The benchmark is taken in blocks of a fixed number of windows, so what a scan holds has a fixed bound.
 """
 
@@ -25,6 +28,9 @@ WORDS = 13
 BLOCK_WINDOWS = 100_000
 # A document is contaminated if at least one word in this many is hit.
 MIN_SHARE = 20
+# A window stands nearly where this many of its terms do, each at most SLOP words off its place.
+NEAR_WORDS = 12
+SLOP = 1
 # A-Z to a-z; all other ASCII characters but digits and letters separate words
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -35,7 +41,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 def windows(benchmark: DataFrame, size: int = WORDS) -> DataFrame:
     """``(window, item_id, terms)``: each ``size`` consecutive words of an item; a shorter item that has
-    words is one window."""
+    words is one window. ``window`` is the same for equal words in any item."""
 
     def per_task():
         def step(batch):
@@ -51,8 +57,7 @@ def windows(benchmark: DataFrame, size: int = WORDS) -> DataFrame:
 
     cut = arrow_map(benchmark.select(F.col("item_id").cast("long"), "text"), per_task,
                     "item_id long, terms array<string>").distinct()
-    # equal windows of equal items are one; the digest is the window's number
-    return cut.withColumn("window", F.md5(F.concat_ws(" ", F.col("item_id").cast("string"), F.col("terms"))))
+    return cut.withColumn("window", F.md5(F.concat_ws(" ", F.col("terms"))))
 
 
 def document_terms(documents: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
@@ -126,15 +131,18 @@ def postings(documents: DataFrame, vocabulary: dict[bytes, int], rarest: np.ndar
 
 
 def ranked_terms(block: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """``(window, item_id, size, place, term, rank)``: a window's terms by place, rank 1 the rarest."""
-    each = block.select("window", "item_id", F.size("terms").alias("size"), F.posexplode("terms").alias("place", "word"))
-    order = Window.partitionBy("window").orderBy("n", "term", "place")
+    """``(window, size, place, term, n, least_n, rank)``: a window's terms by place, rank 1 the rarest; ``n`` is how
+    often the documents have the term, ``least_n`` the same of the window's rarest."""
+    each = block.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("place", "word"))
+    window = Window.partitionBy("window")
     return each.join(frequencies, "word").select(
-        "window", "item_id", "size", "place", "term", F.row_number().over(order).alias("rank"))
+        "window", "size", "place", "term", "n", F.min("n").over(window).alias("least_n"),
+        F.row_number().over(window.orderBy("n", "term", "place")).alias("rank"))
 
 
 def exact_matches(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(doc_id, mark, window, item_id, start, size)`` of every occurrence of every window."""
+    """``(doc_id, mark, window, start, size)`` of every occurrence of every window."""
+    terms = terms.filter("least_n > 0")  # a window with a term that no document has can't occur
     at = index.select("term", "doc_id", "mark", F.explode("positions").alias("position"))
     starts = _candidates(at, terms, 1).distinct()  # repeated rows have the same postings
     second = _candidates(at, terms, 2)
@@ -149,59 +157,91 @@ def exact_matches(index: DataFrame, terms: DataFrame) -> DataFrame:
         at.alias("y"),
         F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.mark") == F.col("y.mark"))
         & (F.col("x.term_") == F.col("y.term")) & (F.col("x.position_") == F.col("y.position")), "left_semi")
-    columns = [*same, "item_id", "size"]
+    columns = [*same, "size"]
     long = met.groupBy(*columns).agg(F.count("*").alias("n")).filter("n = size - 2").select(*columns)
     return long.unionByName(both.filter("size = 2").select(*columns)).unionByName(short.select(*columns))
 
 
-def proximity_matches(index: DataFrame, terms: DataFrame, least: int) -> DataFrame:
-    """Places where a window's rarest term and at least ``least`` of its terms in all stand where the
-    window has them: ``(doc_id, mark, window, item_id, start, size, matched)``."""
+def proximity_matches(index: DataFrame, terms: DataFrame, least: int, slop: int = 0) -> DataFrame:
+    """Places where at least ``least`` of a window's terms stand, each at most ``slop`` words from where the window has
+    it: ``(doc_id, mark, window, start, size, matched)``.
+
+    ``start`` puts one of the ``size - least + 1`` rarest terms exactly at its place: if ``least`` terms are there, one of
+    those is. It is below 0 where the document begins inside the window. The index has to hold all terms
+    within ``size - 1 + slop`` words of these (``search(..., least=, slop=)``). Windows of fewer than ``least`` terms
+    don't match. With ``slop`` one word may stand for two equal terms of a window.
+    """
     at = index.select("term", "doc_id", "mark", F.explode("positions").alias("position"))
-    starts = _candidates(at, terms, 1).distinct()
-    rest = terms.filter("rank > 1").select(F.col("window").alias("w_"), F.col("term").alias("term_"), "place")
-    wanted = starts.join(rest, F.col("window") == F.col("w_")).withColumn("position_", F.col("start") + F.col("place"))
+    present = terms.filter((F.col("n") > 0) & (F.col("size") >= least)).select(
+        "window", "size", "place", "rank", F.col("term").alias("term_"))
+    spare = F.col("size") - least
+    # two of the size - least + 2 rarest terms are there, near to one another as the window has them
+    early = at.join(present.filter(F.col("rank") <= spare + 2), F.col("term") == F.col("term_")).select(
+        "doc_id", "mark", "window", "size", (F.col("position") - F.col("place")).alias("start"), "rank").distinct()
+    about = Window.partitionBy("doc_id", "mark", "window").orderBy("start").rangeBetween(-slop, slop)
+    starts = (
+        early.withColumn("low", F.min("rank").over(about)).withColumn("high", F.max("rank").over(about))
+        .filter((F.col("rank") <= spare + 1) & ((F.col("low") < F.col("high")) | F.lit(least <= 1)))
+        .select("doc_id", "mark", "window", "size", "start").distinct())
+    rest = present.select(F.col("window").alias("w_"), "term_", "place")
+    wanted = starts.join(rest, F.col("window") == F.col("w_")).withColumn(
+        "position_", F.explode(F.transform(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: d + F.col("start") + F.col("place"))))
     met = wanted.alias("x").join(
         at.alias("y"),
         F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.mark") == F.col("y.mark"))
         & (F.col("x.term_") == F.col("y.term")) & (F.col("x.position_") == F.col("y.position")), "left_semi")
-    columns = ["doc_id", "mark", "window", "item_id", "start", "size"]
-    found = met.select(*columns).unionByName(starts.select(*columns))
-    return found.groupBy(*columns).agg(F.count("*").alias("matched")).filter(F.col("matched") >= least)
+    columns = ["doc_id", "mark", "window", "start", "size"]
+    return met.select(*columns, "place").distinct().groupBy(*columns).agg(F.count("*").alias("matched")).filter(
+        F.col("matched") >= least)
 
 
 def _candidates(at: DataFrame, terms: DataFrame, rank: int) -> DataFrame:
     """Starts of windows that the positions of their term of this rank allow."""
     ranked = terms.filter(F.col("rank") == rank).select(
-        "window", "item_id", "size", "place", F.col("term").alias("term_"))
+        "window", "size", "place", F.col("term").alias("term_"))
     return at.join(ranked, F.col("term") == F.col("term_")).withColumn(
         "start", F.col("position") - F.col("place")).filter("start >= 0").select(
-        "doc_id", "mark", "window", "item_id", "size", "start")
+        "doc_id", "mark", "window", "size", "start")
 
 
-def search(documents: DataFrame, benchmark: DataFrame, size: int = WORDS, find=exact_matches,
-           most: int = BLOCK_WINDOWS) -> tuple[DataFrame, DataFrame]:
-    """Per document ``(doc_id, mark, n_words)``, and the matches that ``find(index, terms)`` gives."""
+def search(documents: DataFrame, benchmark: DataFrame, size: int = WORDS, find=exact_matches, most: int = BLOCK_WINDOWS,
+           least: int | None = None, slop: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Per document ``(doc_id, mark, n_words)``, and the matches that ``find(index, terms)`` gives, once per item
+    that has the window.
+
+    The index holds the terms around each window's rarest one; with ``least`` around as many of the rarest as
+    ``proximity_matches`` starts from.
+    """
     cut = materialize(windows(benchmark, size), "windows")
-    blocks = max(1, -(-cut.count() // most))
+    lists = materialize(cut.groupBy("window").agg(F.first("terms").alias("terms")), "lists")
+    blocks = max(1, -(-lists.count() // most))
+    items = cut.select(F.col("window").alias("of_window"), "item_id")
     sizes, found = None, None
     for k in range(blocks):
-        block = cut.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
+        block = lists.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
         words = sorted(r[0] for r in block.select(F.explode("terms")).distinct().collect())
         vocabulary = {w.encode(): i for i, w in enumerate(words)}
         counted = materialize(document_terms(documents, vocabulary), "counts")
         frequencies = counted.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
-        numbered = documents.sparkSession.createDataFrame(list(enumerate(words)), "term int, word string")
-        terms = materialize(ranked_terms(block, numbered.join(frequencies, "term")), "terms")
-        # a window with a term that no document has can't occur
-        terms = terms.join(terms.groupBy(F.col("window").alias("w")).agg(F.count("*").alias("c")),
-                           F.col("window") == F.col("w")).filter("c = size").drop("w", "c")
-        rarest = np.array([r[0] for r in terms.filter("rank = 1").select("term").distinct().collect()], np.int64)
-        index = materialize(postings(documents, vocabulary, rarest, size), "postings")
+        numbered_words = documents.sparkSession.createDataFrame(list(enumerate(words)), "term int, word string")
+        frequencies = numbered_words.join(frequencies, "term", "left").select(
+            "term", "word", F.coalesce("n", F.lit(0)).alias("n"))
+        terms = materialize(ranked_terms(block, frequencies), "terms")
+        seeds = (F.col("least_n") > 0) & (F.col("rank") == 1)
+        if least is not None:
+            seeds = seeds | (F.col("n") > 0) & (F.col("size") >= least) & (F.col("rank") <= F.col("size") - least + 1)
+        rarest = np.array([r[0] for r in terms.filter(seeds).select("term").distinct().collect()], np.int64)
+        index = materialize(postings(documents, vocabulary, rarest, size + slop), "postings")
         matches = materialize(find(index, terms), "matches")
         found = matches if found is None else found.unionByName(matches)
         sizes = sizes or counted.filter("term is null").select("doc_id", "mark", "n_words")
-    return sizes, found
+    return sizes, found.join(items, F.col("window") == F.col("of_window")).drop("of_window")
+
+
+def exact_and_near(index: DataFrame, terms: DataFrame, least: int = NEAR_WORDS, slop: int = SLOP) -> DataFrame:
+    """``(doc_id, mark, window, start, size, near)``: exact occurrences, then places of near ones."""
+    near = proximity_matches(index, terms, least, slop).drop("matched")
+    return exact_matches(index, terms).withColumn("near", F.lit(False)).unionByName(near.withColumn("near", F.lit(True)))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WORDS, share: int = MIN_SHARE) -> DataFrame:
@@ -214,9 +254,29 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WORDS,
     return judged(documents, benchmark, size, share).drop("mark")
 
 
+def contamination_and_near(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contamination`` and, by ``proximity_matches`` of ``NEAR_WORDS`` and ``SLOP``, ``n_near_items``: items that stand
+    in the document nearly, but nowhere exactly, and ``near_items``, these ``item_id``, sorted as strings,
+    comma-joined. They don't make a document contaminated."""
+    sizes, found = search(documents, benchmark, find=exact_and_near, least=NEAR_WORDS, slop=SLOP)
+    found = materialize(found, "found")
+    of_item = found.filter("item_id is not null").groupBy("doc_id", "mark", "item_id").agg(F.min("near").alias("near"))
+    near = of_item.filter("near").groupBy(F.col("doc_id").alias("near_id"), F.col("mark").alias("near_mark")).agg(
+        F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
+    exact = _judged(sizes, found.filter("not near"), MIN_SHARE)
+    same = F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("mark") == F.col("near_mark"))
+    return exact.join(near, same, "left").select(
+        *[c for c in exact.columns if c != "mark"],
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_near_items"),
+        F.coalesce(F.array_join("items", ","), F.lit("")).alias("near_items"))
+
+
 def judged(documents: DataFrame, benchmark: DataFrame, size: int = WORDS, share: int = MIN_SHARE) -> DataFrame:
     """``contamination`` with the ``mark`` of each text."""
-    sizes, found = search(documents, benchmark, size)
+    return _judged(*search(documents, benchmark, size), share)
+
+
+def _judged(sizes: DataFrame, found: DataFrame, share: int) -> DataFrame:
     places = Window.partitionBy("doc_id", "mark").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     covered = (
         found.groupBy("doc_id", "mark", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))

@@ -80,7 +80,7 @@ def op6(spark, sf_dir):
 
 @query("op7_decontamination")
 def op7(spark, sf_dir):
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination_and_near(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("op8_simhash")

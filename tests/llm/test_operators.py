@@ -494,6 +494,57 @@ def test_benchmark_blocks_and_proximity(spark, sf, docs):
     assert {r["doc_id"] for r in near.collect()} <= {1, 2}
 
 
+def brute_near(rows, items):
+    """Items that stand nearly in each row, by every window at every place that its 2 rarest terms allow."""
+    fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    n = defaultdict(int)
+    for _, t in rows:
+        for w in fold(t):
+            n[w] += 1
+    for doc, text in rows:
+        w, near, exact = fold(text), set(), set()
+        spots = defaultdict(set)
+        for i, x in enumerate(w):
+            spots[x].add(i)
+        for item, t in items:
+            terms = fold(t)
+            for k in range(max(1, len(terms) - 12) if terms else 0):
+                win = terms[k:k + 13]
+                if any(w[i:i + len(win)] == win for i in range(len(w) - len(win) + 1)):
+                    exact.add(item)
+                order = sorted(range(len(win)), key=lambda p: (n.get(win[p], 0), win[p], p))
+                for p in order[:max(0, len(win) - 11)]:
+                    for q in spots.get(win[p], ()):
+                        if sum(any(q - p + j + d in spots.get(x, ()) for d in (-1, 0, 1)) for j, x in enumerate(win)) >= 12:
+                            near.add(item)
+        found = sorted(map(str, near - exact))
+        yield doc, len(found), ",".join(found)
+
+
+def test_near_matches(spark, sf, docs):
+    words = [f"term{i}" for i in range(13)]
+    filler = [f"other{i}" for i in range(20)]
+    rows = [(1, words), (2, [*words[:5], "other", *words[6:]]), (3, words[:2]), (4, [*words[:6], "put", "in", *words[6:]]),
+            (5, [*filler, *words[:4], "put", *words[4:], *filler]), (6, words[1:]), (7, [*words[:7], *words[8:]]),
+            (8, [*words[:5], "one", "two", *words[7:]]), (9, words[::-1]), (5, words[2:]), (None, [*words[:12], "end"]),
+            (10, ["same"] * 30), (10, ["same"] * 30)]
+    d = documents(spark, [(i, " ".join(w)) for i, w in rows] + [(11, None), (12, "")])
+    items = [(1, " ".join(words)), (2, " ".join([*words[:12], "unknown"])), (3, "same " * 12 + "unheard"), (4, "same " * 11), (5, None)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {}
+    for r in decontaminate.contamination_and_near(d, b).collect():
+        got.setdefault(r["doc_id"], []).append(r["near_items"])
+    # one term changed, a word put in, the first or one term left out
+    assert any("1" in x.split(",") for x in got[5]) and all("1" in got[i][0].split(",") for i in (2, 6, 7, None))
+    assert "1" in got[2][0].split(",") and got[1] == ["2"] and got[9] == got[3] == got[8] == got[11] == got[12] == [""]
+    benchmark = [tuple(r) for r in table(spark, sf, "benchmark").select("item_id", "text").collect()]
+    small = docs.filter("length(text) < 3000")
+    for x, y in ((d, items), (small, benchmark)):
+        out = decontaminate.contamination_and_near(x, spark.createDataFrame(y, "item_id long, text string"))
+        assert rows_of(out.select("doc_id", "n_near_items", "near_items")) == sorted(brute_near(pairs(x), y), key=repr)
+        assert rows_of(out.drop("n_near_items", "near_items")) == sorted(brute_contamination(pairs(x), y), key=repr)
+
+
 # --- 8: SimHash
 
 def brute_fingerprint(text):
