@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelab.llm.common import arrow_map, numbered, text_mark, texts
-from tablelab.session import materialize
+from tablelab.session import broadcast_small, materialize
 
 WORDS = 13
 # Windows looked up in one pass over the documents.
@@ -164,7 +164,7 @@ def exact_matches(index: DataFrame, terms: DataFrame) -> DataFrame:
 
 def proximity_matches(index: DataFrame, terms: DataFrame, least: int, slop: int = 0) -> DataFrame:
     """Places where at least ``least`` of a window's terms stand, each at most ``slop`` words from where the window has
-    it: ``(doc_id, mark, window, start, size, matched)``.
+    it: ``(doc_id, mark, window, start, size, matched, in_place)``, the last one those without any shift.
 
     ``start`` puts one of the ``size - least + 1`` rarest terms exactly at its place: if ``least`` terms are there, one of
     those is. It is below 0 where the document begins inside the window. The index has to hold all terms
@@ -179,10 +179,11 @@ def proximity_matches(index: DataFrame, terms: DataFrame, least: int, slop: int
     early = at.join(present.filter(F.col("rank") <= spare + 2), F.col("term") == F.col("term_")).select(
         "doc_id", "mark", "window", "size", (F.col("position") - F.col("place")).alias("start"), "rank").distinct()
     about = Window.partitionBy("doc_id", "mark", "window").orderBy("start").rangeBetween(-slop, slop)
-    starts = (
+    starts = materialize(
         early.withColumn("low", F.min("rank").over(about)).withColumn("high", F.max("rank").over(about))
         .filter((F.col("rank") <= spare + 1) & ((F.col("low") < F.col("high")) | F.lit(least <= 1)))
-        .select("doc_id", "mark", "window", "size", "start").distinct())
+        .select("doc_id", "mark", "window", "size", "start").distinct(), "starts")
+    at = _within(index, starts)
     rest = present.select(F.col("window").alias("w_"), "term_", "place")
     wanted = starts.join(rest, F.col("window") == F.col("w_")).withColumn(
         "position_", F.explode(F.transform(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: d + F.col("start") + F.col("place"))))
@@ -191,10 +192,21 @@ def proximity_matches(index: DataFrame, terms: DataFrame, least: int, slop: int
         F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.mark") == F.col("y.mark"))
         & (F.col("x.term_") == F.col("y.term")) & (F.col("x.position_") == F.col("y.position")), "left_semi")
     columns = ["doc_id", "mark", "window", "start", "size"]
-    return met.select(*columns, "place").distinct().groupBy(*columns).agg(F.count("*").alias("matched")).filter(
+    straight = (F.col("position_") == F.col("start") + F.col("place")).cast("int")
+    each = met.groupBy(*columns, "place").agg(F.max(straight).alias("straight"))
+    return each.groupBy(*columns).agg(F.count("*").alias("matched"), F.sum("straight").alias("in_place")).filter(
         F.col("matched") >= least)
 
 
+def _within(index: DataFrame, starts: DataFrame) -> DataFrame:
+    """Exploded postings of the documents that hold one of ``starts`` (a written table); their ids are
+    broadcast where a count allows it."""
+    holders = starts.select(F.col("doc_id").alias("h_id"), F.col("mark").alias("h_mark")).distinct()
+    held = index.join(broadcast_small(holders, holders.count()),
+                      F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("mark") == F.col("h_mark")), "left_semi")
+    return held.select("term", "doc_id", "mark", F.explode("positions").alias("position"))
+
+
 def _candidates(at: DataFrame, terms: DataFrame, rank: int) -> DataFrame:
     """Starts of windows that the positions of their term of this rank allow."""
     ranked = terms.filter(F.col("rank") == rank).select(
@@ -213,12 +225,14 @@ def search(documents: DataFrame, benchmark: DataFrame, size: int = WORDS, find=e
     ``proximity_matches`` starts from.
     """
     cut = materialize(windows(benchmark, size), "windows")
-    lists = materialize(cut.groupBy("window").agg(F.first("terms").alias("terms")), "lists")
+    # numbers are shorter than digests; they are written, so they stay the same
+    lists = materialize(cut.groupBy("window").agg(F.first("terms").alias("terms")).withColumn(
+        "number", F.monotonically_increasing_id()), "lists")
     blocks = max(1, -(-lists.count() // most))
-    items = cut.select(F.col("window").alias("of_window"), "item_id")
+    items = cut.join(lists.select("window", "number"), "window").select(F.col("number").alias("of_window"), "item_id")
     sizes, found = None, None
     for k in range(blocks):
-        block = lists.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
+        block = lists.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).select(F.col("number").alias("window"), "terms")
         words = sorted(r[0] for r in block.select(F.explode("terms")).distinct().collect())
         vocabulary = {w.encode(): i for i, w in enumerate(words)}
         counted = materialize(document_terms(documents, vocabulary), "counts")
@@ -239,9 +253,17 @@ def search(documents: DataFrame, benchmark: DataFrame, size: int = WORDS, find=e
 
 
 def exact_and_near(index: DataFrame, terms: DataFrame, least: int = NEAR_WORDS, slop: int = SLOP) -> DataFrame:
-    """``(doc_id, mark, window, start, size, near)``: exact occurrences, then places of near ones."""
-    near = proximity_matches(index, terms, least, slop).drop("matched")
-    return exact_matches(index, terms).withColumn("near", F.lit(False)).unionByName(near.withColumn("near", F.lit(True)))
+    """``(doc_id, mark, window, start, size, near)``: places where a window stands, ``near`` if not word for word.
+
+    Where a window of at least ``least`` terms stands exactly, all its terms are in place, so one search gives
+    both; shorter windows have exact matches only.
+    """
+    long = proximity_matches(index, terms, least, slop).select(
+        "doc_id", "mark", "window", "start", "size", (F.col("in_place") < F.col("size")).alias("near"))
+    short = terms.filter(F.col("size") < least)
+    # at most the words of one block of windows
+    of_short = index.join(F.broadcast(short.select(F.col("term").alias("s_")).distinct()), F.col("term") == F.col("s_"), "left_semi")
+    return long.unionByName(exact_matches(of_short, short).withColumn("near", F.lit(False)))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WORDS, share: int = MIN_SHARE) -> DataFrame:
