@@ -119,6 +119,9 @@ def _row_step(prev: np.ndarray, same: np.ndarray) -> np.ndarray:
 
 
 def _table(hyp: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Distances of all beginnings; a step for each word of the shorter side, as they are the same both ways."""
+    if len(hyp) > len(ref):
+        return np.ascontiguousarray(_table(ref, hyp).T)
     rows = [np.arange(len(ref) + 1)]
     for w in hyp:
         rows.append(_row_step(rows[-1], ref == w))
@@ -200,10 +203,15 @@ def ter_edits(
     ref = np.array([codes[w] for w in ref_words], dtype=int)
     if not len(ref) or not len(hyp):
         return len(hyp) + len(ref)
+    # no order of the words is nearer than this
+    common = np.minimum(np.bincount(hyp, minlength=len(codes)), np.bincount(ref, minlength=len(codes))).sum()
+    least = max(len(hyp), len(ref)) - int(common)
     shifts = 0
     while True:
         table = _table(hyp, ref)
         distance = int(table[-1, -1])
+        if distance <= least:  # no move gains
+            return shifts + distance
         backward = _table(hyp[::-1], ref[::-1])[::-1, ::-1]
         moves = _moves(hyp, ref, *_alignment(table, hyp, ref), max_size, max_distance)
         best = (0,)
