@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tablelab.catalog.registry import deal, query, table
+from tablelab.catalog.registry import TEXT_ROWS, deal, query, table
 from tablelab.operators.features import map_batches, term_counts, vocabulary
 from tablelab.operators.translation import RULES_13A, bleu, ter
 
@@ -18,7 +18,7 @@ _NGRAMS = f"""SELECT doc_id, split, unnest(list_concat(w,
 
 def _documents(spark, sf):
     split = F.when(F.col("lang") == "en", "train").otherwise("test")
-    return deal(table(spark, sf, "documents").select("doc_id", "text", split.alias("split")))
+    return deal(table(spark, sf, "documents").select("doc_id", "text", split.alias("split")), TEXT_ROWS)
 
 
 @query(

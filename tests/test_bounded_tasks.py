@@ -4,8 +4,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
-from tablelab import ROW_ID
 from tablelab.catalog.registry import deal
 from tablelab.models import classifiers, grown, knn
 from tablelab.operators import translation
@@ -23,18 +23,13 @@ def test_dealt_tables_have_more_tasks_when_they_are_larger(spark, tmp_path):
     assert sorted(r[0] for r in dealt.collect()) == list(range(1000))
 
 
-def test_only_features_and_label_are_cached_for_a_fit(spark, monkeypatch):
-    seen = []
-
-    def spy(df, label, k):
-        seen.extend(df.columns)
-        return []
-
-    monkeypatch.setitem(classifiers.CLASSIFIERS, "Spy", spy)
-    rows = spark.range(20).select(F.col("id").alias(ROW_ID), F.col("id").cast("double").alias("x"), F.lit("long").alias("other"),
-                                  F.when(F.col("id") > 9, "a").otherwise("b").alias("y"))
-    classifiers.fit(encode_label(rows, "y"), "Spy", ["x"], "y")
-    assert seen == [classifiers.FEATURES, "y"]
+def test_a_linear_machine_reads_the_rows_that_are_cached_already(spark, monkeypatch):
+    cached = []
+    persist = DataFrame.persist
+    monkeypatch.setattr(DataFrame, "persist", lambda df, *a: cached.append(df.columns) or persist(df, *a))
+    rows = spark.range(20).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") > 9, "a").otherwise("b").alias("y"))
+    classifiers.fit(encode_label(rows, "y"), "SVC", ["x"], "y", {"kernel": "linear", "max_iter": 2})
+    assert len(cached) == 1
 
 
 def test_routed_queries_come_in_small_frames():
