@@ -11,6 +11,7 @@ from tablelab.models import classifiers, grown, knn
 from tablelab.operators import translation
 from tablelab.operators.ranks import hash_key, hash_rank
 from tablelab.operators.schema import encode_label
+from tablelab.plans import explain
 
 
 def test_dealt_tables_have_more_tasks_when_they_are_larger(spark, tmp_path):
@@ -73,3 +74,32 @@ def test_ranks_travel_with_half_the_key(spark):
     assert "unhex" in ranked._jdf.queryExecution().optimizedPlan().toString()
     keys = {r[0]: r[1] for r in rows.select("id", hash_key(7, "id")).collect()}
     assert [r["id"] for r in ranked.orderBy("rank").collect()] == sorted(keys, key=keys.get)
+
+
+def test_equal_altered_rows_are_scored_once_against_a_large_background(spark, monkeypatch):
+    monkeypatch.setattr(explain, "MAX_LITERAL_ROWS", 8)
+    monkeypatch.setattr(explain, "MAX_SHARING", 5)
+    rows = spark.range(60).select(
+        F.col("id").alias("_row_id"), (F.col("id") % 3).cast("double").alias("few"),
+        F.when(F.col("id") % 7 > 0, (F.col("id") % 7).cast("string")).alias("text"), F.col("id").cast("double").alias("own"))
+    scored = spark.sparkContext.accumulator(0)
+
+    def scorer(df):
+        def counted(frames):
+            for f in frames:
+                scored.add(len(f))
+                p = 0.1 + 0.1 * f["few"] * (f["text"].fillna("0").astype(float) + 1) / 7 + 0.002 * f["own"] * f["few"]
+                yield f.assign(probability=[[1 - x, x] for x in p])
+
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+        return df.mapInPandas(counted, f"{schema}, probability array<double>")
+
+    shap = explain.KernelShap(scorer, ["few", "text", "own"], ["no", "yes"]).fit(rows, split=None)
+    got = {(r.instance_id, r["class"], r.feature): r.shap for r in shap.explain(rows, decimals=False).collect()}
+    merged = scored.value
+    monkeypatch.setattr(explain, "MAX_LITERAL_ROWS", 100)
+    want = {(r.instance_id, r["class"], r.feature): r.shap for r in shap.explain(rows, decimals=False).collect()}
+    assert got.keys() == want.keys() and len(got) == 60 * 2 * 3
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-12
+    # features alone: 3, 7 and 60 kinds, few and text 21; and the instances themselves
+    assert merged == 60 + 3 * 60 + 7 * 60 + 60 * 21 + 21 * 60 + 60 * 7 + 60 * 3 + 60 + 60
