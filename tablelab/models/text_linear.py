@@ -1,8 +1,8 @@
 """Logistic regression on the words of a text, with any number of terms.
 
 The model is a table with a row per term; the driver never holds a vector over the vocabulary. Texts are
-tokenised once, into counts per text and term. A step joins the counts to the weights and adds up per text,
-then joins the errors to the counts and adds up per term. The most frequent terms, a bounded number, are
+tokenised once, into counts per text and term. A step joins the counts to its direction and adds up per text,
+tries its length on these sums, then joins the errors to the counts and adds up per term. The most frequent terms, a bounded number, are
 broadcast; no other term has enough rows to be a hot key.
 
 Steps are those of L-BFGS in its vector-free form (Chen, Wang and Zhou 2014): the directions are sums of
@@ -114,20 +114,41 @@ class _Fit:
     def names(self, *vectors: str) -> list[str]:
         return [f"{v}{k}" for v in vectors for k in self.dims]
 
-    def errors(self, table: DataFrame) -> tuple[DataFrame, float]:
-        """``(key, r...)``: expected less given rows of each text and class, written; and the mean loss."""
-        w = self.names("w")
-        near = self.near.join(F.broadcast(table.filter("hot").select("index", *w)), "index")
-        far = self.far.join(table.filter("not hot").select("index", *w), "index")
+    def toward(self, texts: DataFrame, table: DataFrame) -> DataFrame:
+        """The texts with ``p...`` summed over their terms as ``d...``, written. Margins are linear in the
+        coefficients, so one pass over the counts serves all steps in a direction."""
+        p = self.names("p")
+        near = self.near.join(F.broadcast(table.filter("hot").select("index", *p)), "index")
+        far = self.far.join(table.filter("not hot").select("index", *p), "index")
         sums = near.unionByName(far).groupBy("key").agg(
-            *[F.sum(F.col("n") * F.col(c)).alias(c) for c in w])
-        shares, log_sum = _softmax([F.col(c) for c in w])
-        given = [F.col(f"n_{c}") for c in self.tracked]
-        total = sum((F.col(f"n_{c}") for c in range(1, self.classes)), F.col("n_0"))
-        scored = materialize(self.items.join(sums, "key").select(
-            "key", *[(total * shares[c] - g).alias(f"r{k}") for k, (c, g) in enumerate(zip(self.tracked, given))],
-            (total * log_sum - sum((g * F.col(c) for g, c in zip(given, w)), F.lit(0.0))).alias("loss")), "errors")
-        return scored, scored.agg(F.sum("loss")).first()[0] / self.rows
+            *[F.sum(F.col("n") * F.col(c)).alias(f"d{k}") for k, c in enumerate(p)])
+        return materialize(texts.select("key", *self.given(), *self.names("m")).join(sums, "key"), "margins")
+
+    def given(self) -> list[str]:
+        return [f"n_{c}" for c in range(self.classes)]
+
+    def _scores(self, margins: list[Column]) -> tuple[list[Column], Column]:
+        """Expected less given rows of each tracked class, and the loss, of a text with these margins."""
+        shares, log_sum = _softmax(margins)
+        own = [F.col(f"n_{c}") for c in self.tracked]
+        total = sum((F.col(c) for c in self.given()[1:]), F.col("n_0"))
+        loss = total * log_sum - sum((g * m for g, m in zip(own, margins)), F.lit(0.0))
+        return [total * shares[c] - g for c, g in zip(self.tracked, own)], loss
+
+    def loss(self, texts: DataFrame, step: float) -> float:
+        """The mean loss after a step along ``d...``."""
+        return texts.agg(F.sum(self._scores(self._after(step))[1])).first()[0] / self.rows
+
+    def _after(self, step: float) -> list[Column]:
+        return [F.col(m) + F.lit(float(step)) * F.col(d) for m, d in zip(self.names("m"), self.names("d"))]
+
+    def errors(self, texts: DataFrame, step: float | None = None) -> DataFrame:
+        """The texts with the margins ``m...`` after the step, and ``r...``: expected less given rows of each class;
+        written."""
+        margins = [F.lit(0.0) for _ in self.dims] if step is None else self._after(step)
+        moved = texts.select("key", *self.given(), *[c.alias(m) for c, m in zip(margins, self.names("m"))])
+        errors = self._scores([F.col(m) for m in self.names("m")])[0]
+        return materialize(moved.select("*", *[e.alias(r) for e, r in zip(errors, self.names("r"))]), "errors")
 
     def gradient(self, errors: DataFrame) -> DataFrame:
         """``(at, d...)`` per term; what a task's texts add is added up before it travels."""
@@ -199,9 +220,9 @@ def fit_text_linear(
                                 F.lit(True).alias("hot"))
     zero = {c: F.lit(0.0) for c in fit.names("w")}
     table = marked.unionByName(own).withColumns({"pen": F.when(F.col("index") != _BIAS, fit.penalty).otherwise(0.0)} | zero)
-    errors, loss = fit.errors(table)
+    errors = fit.errors(fit.items)
     table = _with_gradient(fit, table, errors, "gradients")
-    history, steps, value = 0, 0, loss
+    history, steps, value = 0, 0, errors.agg(F.sum(fit._scores([F.col(m) for m in fit.names("m")])[1])).first()[0] / n
     while steps < max_iter:
         basis = [*[f"s{i}_" for i in range(history)], *[f"y{i}_" for i in range(history)], "g"]
         inner, of_terms = fit.inner(table, [*basis, "w"])
@@ -212,24 +233,23 @@ def fit_text_linear(
         slope = float(along @ inner[:, -1])
         if not slope < 0:
             break
-        step, taken = (1.0 if history else min(1.0, 1.0 / math.sqrt(inner[-1, -1]))), None
+        step, taken = (1.0 if history else min(1.0, 1.0 / math.sqrt(inner[-1, -1]))), False
+        texts = fit.toward(errors, _moved(fit, table, basis, along))
         for _ in range(HALVINGS):
-            moved = table.withColumns({
-                f"p{k}": sum((F.col(f"{b}{k}") * float(step * a) for b, a in zip(basis, along)), F.lit(0.0))
-                for k in fit.dims})
-            moved = moved.withColumns({f"w{k}": F.col(f"w{k}") + F.col(f"p{k}") for k in fit.dims})
-            errors, loss = fit.errors(moved)
             place = np.append(step * along, 1.0)
-            now = loss + 0.5 * fit.penalty * float(place @ of_terms @ place)
+            now = fit.loss(texts, step) + 0.5 * fit.penalty * float(place @ of_terms @ place)
             if now <= value + 1e-4 * step * slope:
-                taken = moved
+                taken = True
                 break
             step /= 2
-        if taken is None:
+        if not taken:
             break
+        errors = fit.errors(texts, step)
+        moved = _moved(fit, table, basis, step * along)
+        moved = moved.withColumns({f"w{k}": F.col(f"w{k}") + F.col(f"p{k}") for k in fit.dims})
         steps += 1
         kept = min(history, HISTORY - 1)
-        table = _with_gradient(fit, taken, errors, "gradients", kept)
+        table = _with_gradient(fit, moved, errors, "gradients", kept)
         history = kept + 1
         gained, value = value - now, now
         if gained < tol * max(abs(now), 1e-12):
@@ -238,6 +258,12 @@ def fit_text_linear(
     return TextLinearModel(written, text, min_n, max_n, classes, steps)
 
 
+def _moved(fit: _Fit, table: DataFrame, basis: list[str], along: np.ndarray) -> DataFrame:
+    """The table with the move ``p...``, a sum of columns."""
+    return table.withColumns({
+        f"p{k}": sum((F.col(f"{b}{k}") * float(a) for b, a in zip(basis, along)), F.lit(0.0)) for k in fit.dims})
+
+
 def _with_gradient(fit: _Fit, table: DataFrame, errors: DataFrame, name: str, kept: int | None = None) -> DataFrame:
     """The table with its gradient, written; after a step also with the step ``s0_`` and the change of the
     gradient ``y0_`` in front of the ``kept`` earlier ones."""

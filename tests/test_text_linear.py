@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tablelab.models import fit_text, load, save, score
+from tablelab.models import fit_text, load, save, score, text_linear
 from tablelab.models.text_linear import TextLinearModel, direction, fit_text_linear
 from tablelab.operators.schema import encode_label
 
@@ -124,3 +124,16 @@ def test_directions_of_a_quadratic():
         x = x + step
     assert np.abs(x).max() < 1e-6
 
+
+
+def test_lengths_of_a_step_are_tried_on_one_pass_over_the_counts(spark, monkeypatch):
+    written, tried = [], []
+    write, loss = text_linear.materialize, text_linear._Fit.loss
+    monkeypatch.setattr(text_linear, "materialize", lambda df, name: written.append(name) or write(df, name))
+    monkeypatch.setattr(text_linear._Fit, "loss", lambda *a: tried.append(1) or loss(*a), raising=False)
+    # a first step of length 1 says yes by far too much
+    rows = [("word " * 50, float(i % 5 < 3)) for i in range(10)] + [("other", 0.0)]
+    df = spark.createDataFrame(rows, "text string, y double")
+    model = text_linear.fit_text_linear(df, "text", "y", 2, max_iter=2)
+    assert written.count("errors") == model.steps + 1
+    assert written.count("margins") == model.steps == 2 < len(tried)
