@@ -35,6 +35,10 @@ from tablelab.operators.features import assemble, bag_of_words
 from tablelab.operators.schema import class_names
 
 FEATURES = "_features"
+# Rows that are looked at per landmark at first.
+LANDMARK_DRAWS = 8
+# Rows for each core up to which several classes are fitted at once.
+CLASS_ROWS = 1_000_000
 
 
 def _max_bins(df: DataFrame) -> int:
@@ -59,15 +63,20 @@ def _one_stage(estimator, df) -> list[Transformer]:
     return [estimator.fit(df), ClassProbabilities(vectors=["_probability"])]
 
 
-def _each_class(df: DataFrame, label: str, k: int, fit_one: Callable) -> list[Transformer]:
-    """One-against-rest fits, a few at a time; two classes need only the second one's model."""
+def _each_class(df: DataFrame, label: str, k: int, fit_one: Callable, rows: int) -> list[Transformer]:
+    """One-against-rest fits, a few at a time; two classes need only the second one's model.
+
+    Each fit caches its own copy of the rows. Those of a table that has more than ``CLASS_ROWS`` rows for each core keep
+    all cores busy by themselves and go one after another, so that there is one such copy at a time.
+    """
     if k == 2:
         return [*fit_one(df.withColumn("_is", F.col(label)), 1), ClassProbabilities(vectors=["_p1"])]
 
     def run(c: int):
         return fit_one(df.withColumn("_is", (F.col(label) == c).cast("double")), c)
 
-    with ThreadPool(min(k, 4)) as pool:
+    at_once = 1 if rows > CLASS_ROWS * df.sparkSession.sparkContext.defaultParallelism else min(k, 4)
+    with ThreadPool(at_once) as pool:
         fitted = pool.map(inheritable_thread_target(df.sparkSession)(run), range(k))
     stages = [s for one in fitted for s in one]
     return [*stages, ClassProbabilities(vectors=[f"_p{c}" for c in range(k)])]
@@ -161,10 +170,20 @@ def _kernel_width(df: DataFrame, gamma: str | float, size: int) -> float:
 
 
 def _landmarks(df: DataFrame, most: int, seed: int) -> str:
-    """At most ``most`` distinct rows, chosen by a hash."""
-    x = vector_to_array(F.col(FEATURES)).alias("x")
-    chosen = df.select(x).distinct().orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(most).collect()
-    return json.dumps([r["x"] for r in chosen])
+    """At most ``most`` distinct rows, chosen by a hash: those of the lowest hashes.
+
+    Only rows below a bound on the hash are sent, a few times ``most`` of them; the bound is raised until there are
+    enough distinct ones below it.
+    """
+    x = vector_to_array(F.col(FEATURES))
+    rows = df.select(x.alias("x"), F.xxhash64(x, F.lit(seed)).alias("h"))
+    share = LANDMARK_DRAWS * most / max(df.count(), 1)
+    while True:
+        below = rows if share >= 1 else rows.filter(F.col("h") < int(share * (1 << 64)) - (1 << 63))
+        chosen = below.distinct().orderBy("h", "x").limit(most).collect()
+        if share >= 1 or len(chosen) == most:
+            return json.dumps([r["x"] for r in chosen])
+        share *= 64
 
 
 def _svc(
@@ -195,7 +214,8 @@ def _svc(
     if maps:  # unmapped rows are cached already
         df.persist()
     try:
-        reg = 1.0 / (C * max(df.count(), 1))
+        count = df.count()
+        reg = 1.0 / (C * max(count, 1))
 
         def fit_one(rows, c):
             machine = LinearSVC(
@@ -210,7 +230,7 @@ def _svc(
             )
             return Pipeline(stages=[machine, margin, curve]).fit(rows).stages
 
-        return [*maps, *_each_class(df, label, k, fit_one)]
+        return [*maps, *_each_class(df, label, k, fit_one, count)]
     finally:
         if maps:
             df.unpersist()

@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -196,9 +197,14 @@ class Landmarks(_Stage):
         kept = size > 1e-10 * size.max()
         root = directions[:, kept] / np.sqrt(size[kept])
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def mapped(x: pd.Series) -> pd.Series:
-            return pd.Series(list(values(np.stack(x.to_numpy()), points) @ root) if len(x) else [])
+        width = root.shape[1]
+
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def mapped(x: pa.Array) -> pa.Array:
+            # rows lie one after another in the column's buffer
+            rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), points.shape[1])
+            out = values(rows, points) @ root
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), out.ravel())
 
         out = mapped(vector_to_array(F.col(self.getOrDefault(self.inputCol))))
         return dataset.withColumn(self.getOrDefault(self.outputCol), array_to_vector(out))

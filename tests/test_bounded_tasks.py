@@ -1,13 +1,17 @@
 """What a task reads, holds or repeats stays bounded, whatever the size of the table."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from tablelab.catalog.registry import deal
 from tablelab.models import classifiers, grown, knn
+from tablelab.models.stages import Landmarks
 from tablelab.operators import translation
 from tablelab.operators.ranks import hash_key, hash_rank
 from tablelab.operators.schema import encode_label
@@ -103,3 +107,48 @@ def test_equal_altered_rows_are_scored_once_against_a_large_background(spark, mo
     assert max(abs(got[k] - want[k]) for k in want) < 1e-12
     # features alone: 3, 7 and 60 kinds, few and text 21; and the instances themselves
     assert merged == 60 + 3 * 60 + 7 * 60 + 60 * 21 + 21 * 60 + 60 * 7 + 60 * 3 + 60 + 60
+
+
+def _vectors(spark, count, kinds):
+    return spark.range(count).select(F.array((F.col("id") % kinds).cast("double"), F.lit(2.0)).alias("x")).select(
+        array_to_vector("x").alias(classifiers.FEATURES))
+
+
+def test_landmarks_are_chosen_without_a_shuffle_of_all_rows(spark, monkeypatch):
+    for count, kinds, most in ((3000, 3000, 20), (3000, 7, 20), (5, 5, 20), (4000, 30, 29)):
+        df = _vectors(spark, count, kinds)
+        x = vector_to_array(F.col(classifiers.FEATURES)).alias("x")
+        every = df.select(x).distinct().orderBy(F.xxhash64("x", F.lit(3)), "x").limit(most).collect()
+        met = []
+        distinct = DataFrame.distinct
+        monkeypatch.setattr(DataFrame, "distinct", lambda df: met.append(df.count()) or distinct(df))
+        got = json.loads(classifiers._landmarks(df, most, 3))
+        monkeypatch.undo()
+        assert got == [r["x"] for r in every]
+        assert kinds < count or met[0] < count // 4 or count < 100
+
+
+def test_landmarks_map_whole_columns(spark):
+    points = [[0.0, 2.0], [1.0, 2.0], [4.0, 2.0]]
+    stage = Landmarks(inputCol=classifiers.FEATURES, outputCol="m", kernel="rbf", gamma=0.5, coef0=0.0, degree=3, points=json.dumps(points))
+    mapped = stage.transform(_vectors(spark, 50, 9).repartition(3)).collect()
+    assert len(mapped) == 50
+    # inner products of mapped landmarks are the kernel's
+    at = {r[0][0]: r["m"].toArray() for r in mapped}
+    for a in (0.0, 1.0, 4.0):
+        for b in (0.0, 1.0, 4.0):
+            assert abs(at[a] @ at[b] - np.exp(-0.5 * (a - b) ** 2)) < 1e-9
+    assert stage.transform(_vectors(spark, 0, 9)).count() == 0
+
+
+def test_classes_of_large_tables_are_fitted_one_at_a_time(spark, monkeypatch):
+    sizes = []
+    pool = classifiers.ThreadPool
+    monkeypatch.setattr(classifiers, "ThreadPool", lambda n: sizes.append(n) or pool(n))
+    rows = spark.range(30).select(F.col("id").cast("double").alias("x"), F.concat(F.lit("c"), F.col("id") % 3).alias("y"))
+    rows = encode_label(rows, "y")
+    given = {"kernel": "linear", "max_iter": 2}
+    first = classifiers.fit(rows, "SVC", ["x"], "y", given).transform(rows).orderBy("x").collect()
+    monkeypatch.setattr(classifiers, "CLASS_ROWS", 1)
+    assert classifiers.fit(rows, "SVC", ["x"], "y", given).transform(rows).orderBy("x").collect() == first
+    assert sizes == [3, 1]
