@@ -12,6 +12,7 @@ fixed-size filter says that it may have a candidate.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,14 +46,16 @@ MIN_CHARS = 1
 SEEN = 200_000
 # Characters hashed together.
 BLOCK_CHARS = 50_000
-# Characters of a line whose shingles are counted first.
-BEGIN_CHARS = 160
+# Characters of a line whose shingles are counted first, by this many bits of their hashes, and lines at a time.
+BEGIN_CHARS, BEGIN_BITS, BEGIN_ROWS = 160, 10, 256
 # Characters of the lines of groups that go on together, and shingles of pairs compared together.
 SET_CHARS, PAIR_SHINGLES = 4_000_000, 50_000
 # Bits of a hashed shingle below the number of its line, and cells of the counts that rule pairs out.
 HASH_BITS, CELLS = 42, 256
 # Shingles by which hashes may miscount; pairs as near to the threshold are decided on the text.
 DOUBT = 1
+# Band rows packed at once and in a row, buckets for each partition of a shuffle, and rows of a bucket held at once.
+PACKED, PACK, BUCKETS, HELD = 1 << 20, 512, 16, 1 << 23
 _PRIME, _MIX32 = np.uint32(0x01000193), np.uint32(0x85EBCA6B)
 _DRAWN = np.random.default_rng(20240229)
 _HASHES = max(BANDS * ROWS, SHORT_BANDS * SHORT_ROWS)
@@ -63,23 +66,35 @@ _NO_LINKS = pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
 _BLANKS = re.compile(r"[ \t\r\v\f]+")
-_ODD_BLANKS = ("  ", "\t", "\r", "\v", "\f")
+
+
+def _odd_blanks(text: str) -> bool:
+    return "  " in text or "\t" in text or "\r" in text or "\v" in text or "\f" in text or text[:1] == " " or text[-1:] == " "
 
 
 def normalise(line: str) -> str:
     """Lower case, ASCII blanks collapsed and stripped."""
     line = line.lower()
-    odd = line[:1] == " " or line[-1:] == " " or any(b in line for b in _ODD_BLANKS)
-    return _BLANKS.sub(" ", line).strip(" ") if odd else line
+    return _BLANKS.sub(" ", line).strip(" ") if _odd_blanks(line) else line
+
+
+def normalised_lines(text: str) -> list[str]:
+    """Every line of a text, normalised. No letter's lower case depends on what is behind a line break, so a text
+    is put in lower case, and searched for blanks to change, as a whole."""
+    text = text.lower()
+    lines = text.split("\n")
+    if _odd_blanks(text) or " \n" in text or "\n " in text:
+        return [_BLANKS.sub(" ", x).strip(" ") if _odd_blanks(x) else x for x in lines]
+    return lines
 
 
 def lines_of(batch: pa.RecordBatch):
     """``(place of the row, line number, digest, normalised line)`` of the lines that take part."""
+    digest = xxhash.xxh3_128_digest
     for row, text in enumerate(texts(batch)):
-        for number, line in enumerate(text.decode().split("\n")):
-            line = normalise(line)
+        for number, line in enumerate(normalised_lines(text.decode())):
             if len(line) >= MIN_CHARS:
-                yield row, number, xxhash.xxh3_128_digest(line.encode()), line
+                yield row, number, digest(line.encode()), line
 
 
 def halves(digests: list[bytes]) -> np.ndarray:
@@ -160,14 +175,21 @@ def meet_short(lines: list[str]) -> list[int]:
     chars = np.fromiter(map(len, lines), np.int64, len(lines))
     unsure = np.flatnonzero(chars - SHORT_SHINGLE + 1 > SHORT_SET)
     sure = np.zeros(len(lines), bool)
-    for at in range(0, len(unsure), 1000):
-        part = unsure[at:at + 1000]
+    for at in range(0, len(unsure), BEGIN_ROWS):
+        part = unsure[at:at + BEGIN_ROWS]
         begins = [lines[i][:BEGIN_CHARS] for i in part]
         counts = np.fromiter(map(len, begins), np.int64, len(part))
-        values = grams("".join(begins), SHORT_SHINGLE)
-        place = np.minimum(np.arange(BEGIN_CHARS - SHORT_SHINGLE + 1), (counts - SHORT_SHINGLE)[:, None])
-        table = np.sort(values[place + (np.cumsum(counts) - counts)[:, None]], axis=1)
-        sure[part] = (table[:, 1:] != table[:, :-1]).sum(axis=1) + 1 > SHORT_SET
+        values = grams("".join(begins), SHORT_SHINGLE) * _MIX32 >> np.uint32(32 - BEGIN_BITS)
+        ends = np.cumsum(counts)
+        cell = np.repeat(np.arange(len(part)) << BEGIN_BITS, counts)[:len(values)] + values
+        inside = np.ones(ends[-1], bool)
+        for k in range(1, SHORT_SHINGLE):
+            inside[ends - k] = False
+        found = np.zeros((len(part), 1 << BEGIN_BITS), bool)
+        found.ravel()[cell[inside[:len(values)]]] = True
+        # eight cells at a time; a byte holds the count of a 1/8 of them
+        counted = np.add.reduce(found.view(np.uint64), axis=1).view(np.uint8).reshape(-1, 8)
+        sure[part] = counted.sum(axis=1, dtype=np.int64) > SHORT_SET
     return [i for i, known in enumerate(sure.tolist()) if not known and meets_short(lines[i])]
 
 
@@ -187,68 +209,138 @@ def line_bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(places)
 
 
+class _Packed:
+    """Band rows ``(key, id)`` of a task, packed by bucket of the key: rows ``(bucket, keys, ids)``, whose ``keys`` and
+    ``ids`` are up to ``PACK`` longs each."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.keys, self.ids, self.size = buckets, [], [], 0
+
+    def add(self, keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.keys.append(keys)
+        self.ids.append(ids)
+        self.size += len(keys)
+        if self.size >= PACKED:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        keys, ids = np.concatenate(self.keys), np.concatenate(self.ids)
+        self.keys, self.ids, self.size = [], [], 0
+        bucket = (keys.view(np.uint64) % np.uint64(self.buckets)).astype(np.uint16 if self.buckets <= 1 << 16 else np.int32)
+        order = np.argsort(bucket, kind="stable")  # of two bytes: a radix sort
+        bucket = bucket[order]
+        new = np.append(True, bucket[1:] != bucket[:-1])
+        place = np.arange(len(bucket))
+        place -= np.maximum.accumulate(np.where(new, place, 0))
+        begins = np.flatnonzero(place % PACK == 0)
+        ends = pa.py_buffer((np.append(begins, len(bucket)) * 8).astype(np.int32))
+        column = lambda x: pa.Array.from_buffers(pa.binary(), len(begins), [None, ends, pa.py_buffer(x[order])])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[begins].astype(np.int32)), column(keys), column(ids)],
+                                         names=["bucket", "keys", "ids"])
+
+
+_PACKED_SCHEMA = "bucket int, keys binary, ids binary"
+
+
+def _buckets(df: DataFrame) -> int:
+    return BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def candidate_bands(documents: DataFrame) -> DataFrame:
-    """``(key, id)`` per band of each line; a task sends a line once, however often it occurs."""
+    """Packed ``(key, id)`` per band of each line; a task sends a line once, however often it occurs."""
+    buckets = _buckets(documents)
 
-    def per_task():
+    def run(batches):
         seen: set = set()
+        packed = _Packed(buckets)
+        for batch in batches:
+            # long texts: a few hundred documents at a time keep the working memory small
+            for start in range(0, batch.num_rows, 1000):
+                fresh, ids = [], []
+                if len(seen) > SEEN:
+                    seen.clear()
+                for _, _, digest, line in lines_of(batch.slice(start, 1000)):
+                    if digest not in seen:
+                        seen.add(digest)
+                        ids.append(digest)
+                        fresh.append(line)
+                if fresh:
+                    keys, places = line_bands(fresh)
+                    yield from packed.add(keys, halves(ids)[:, 0][places])
+        yield from packed.rest()
+        pa.default_memory_pool().release_unused()
+
+    return documents.select("doc_id", "text").mapInArrow(run, _PACKED_SCHEMA)
+
+
+def _longs(column: pa.Array, begin: int, end: int) -> np.ndarray:
+    """The longs packed in some rows of a binary column, which lie one after another."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset + begin:column.offset + end + 1]
+    return np.frombuffer(data, np.int64, (at[-1] - at[0]) // 8, at[0]) if at[-1] > at[0] else np.empty(0, np.int64)
+
+
+def _several(key: np.ndarray, id_: np.ndarray) -> pa.RecordBatch:
+    """The distinct rows of the keys that have several ids."""
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    several = np.append(False, same) | np.append(same, False)
+    key, id_ = key[several], id_[order[several]]
+    order = np.lexsort((id_, key))
+    key, id_ = key[order], id_[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (id_[1:] != id_[:-1]))[:len(key)]
+    key, id_ = key[new], id_[new]
+    same = key[1:] == key[:-1]
+    many = (np.append(False, same) | np.append(same, False))[:len(key)]
+    return pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(id_[many])], names=["key", "id"])
 
-        def step(batch):
-            fresh, ids = [], []
-            if len(seen) > SEEN:
-                seen.clear()
-            for _, _, digest, line in lines_of(batch):
-                if digest not in seen:
-                    seen.add(digest)
-                    ids.append(digest)
-                    fresh.append(line)
-            if not fresh:
-                return None
-            keys, places = line_bands(fresh)
-            return {"key": keys, "id": halves(ids)[:, 0][places]}
 
-        return step
+def shared_bands(bands: DataFrame) -> DataFrame:
+    """``(key, id)`` of the keys that several lines have, from such rows, packed or not.
 
-    return arrow_map(documents.select("doc_id", "text"), per_task, "key long, id long")
+    Read bucket by bucket, with one bucket held; rows are distinct. Of a bucket of more than ``HELD`` rows all go
+    on, also those of keys that no other line has, which the groups to come leave out, and some may go on twice.
+    """
+    if "keys" not in bands.columns:
+        buckets = _buckets(bands)
 
+        def pack(batches):
+            packed = _Packed(buckets)
+            for batch in batches:
+                yield from packed.add(batch.column("key").to_numpy(), batch.column("id").to_numpy())
+            yield from packed.rest()
 
-def shared_bands(bands: DataFrame) -> DataFrame:
-    """``(key, id)`` of the keys that several lines have. Read in key order, with one row held; rows are distinct
-    but for keys that go on in the next batch."""
+        bands = bands.mapInArrow(pack, _PACKED_SCHEMA)
 
     def run(batches):
-        last = None  # key and id of the last key's first row, and whether it was sent
+        held, keys, ids, size, large = None, [], [], 0, False
+
+        def sent():
+            key, id_ = np.concatenate(keys), np.concatenate(ids)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(id_)], names=["key", "id"]) if large else _several(key, id_)
+
         for batch in batches:
-            key, id_ = batch.column("key").to_numpy(), batch.column("id").to_numpy()
-            if last is not None:
-                key, id_ = np.append(last[0], key), np.append(last[1], id_)
-            if not len(key):
-                continue
-            same = key[1:] == key[:-1]
-            # rows whose key has several, the last key's first row at least
-            several = np.append(False, same) | np.append(same, False)
-            first = int(np.searchsorted(key, key[-1]))
-            held = key[first], id_[first]
-            sent = bool(last is not None and first == 0 and last[2])
-            begin_sent = last is not None and last[2]
-            begin = (key[0], id_[0])
-            key, id_ = key[several], id_[several]
-            order = np.lexsort((id_, key))
-            key, id_ = key[order], id_[order]
-            new = np.append(True, (key[1:] != key[:-1]) | (id_[1:] != id_[:-1]))[:len(key)]
-            key, id_ = key[new], id_[new]
-            same = key[1:] == key[:-1]
-            many = (np.append(False, same) | np.append(same, False))[:len(key)]
-            key, id_ = key[many], id_[many]
-            sent |= bool(len(key) and key[-1] == held[0])
-            if begin_sent:
-                fresh = (key != begin[0]) | (id_ != begin[1])
-                key, id_ = key[fresh], id_[fresh]
-            last = (*held, sent)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(id_)], names=["key", "id"])
-
-    # one long column: a radix sort
-    return bands.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, id long")
+            bucket = batch.column("bucket").to_numpy()
+            begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)])
+            for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(bucket)]):
+                if bucket[begin] != held:
+                    if keys:
+                        yield sent()
+                    held, keys, ids, size, large = bucket[begin], [], [], 0, False
+                keys.append(_longs(batch.column("keys"), begin, end))
+                ids.append(_longs(batch.column("ids"), begin, end))
+                size += len(keys[-1])
+                if size > HELD:
+                    large = True
+                    yield sent()
+                    keys, ids, size = [], [], 0
+        if keys:
+            yield sent()
+
+    return bands.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, id long")
 
 
 def without_twins(members: DataFrame) -> DataFrame:
