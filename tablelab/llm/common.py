@@ -110,17 +110,20 @@ def whole_groups(frames: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFr
         yield pd.concat(held, ignore_index=True)
 
 
-def bounded_groups(rows: DataFrame, key: str, item: str, most: int = BLOCK_ROWS) -> DataFrame:
+def bounded_groups(rows: DataFrame, key: str, item: str, most: int = BLOCK_ROWS, size: str | None = None) -> DataFrame:
     """Adds ``g``: rows of one ``key`` meet in groups ``g`` of at most about ``2 * most`` rows.
 
     A key of more rows is cut into blocks by a hash of ``item``, and each pair of blocks becomes a
     group of its own, so any two rows of a key share a group and no task holds a large one. Keys of
-    one row are left out. Two groups may share ``g`` by a hash collision: what meets in a group has
+    one row are left out. ``size`` names a column with the rows of each key, if there is one. Two groups may share ``g`` by a hash collision: what meets in a group has
     to be verified anyway.
     """
-    sizes = rows.groupBy(F.col(key).alias("k_")).agg(F.count("*").alias("n_")).filter("n_ > 1")
+    if size:
+        met = rows.withColumn("n_", F.col(size)).filter("n_ > 1")
+    else:
+        sizes = rows.groupBy(F.col(key).alias("k_")).agg(F.count("*").alias("n_")).filter("n_ > 1")
+        met = rows.join(sizes, rows[key] == sizes["k_"])
     blocks = F.ceil(F.col("n_") / most).cast("int")
-    met = rows.join(sizes, rows[key] == sizes["k_"])
     met = met.withColumn("b_", F.pmod(F.xxhash64(item), blocks).cast("int"))
     met = met.withColumn("o_", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return met.withColumn("g", F.xxhash64(key, F.least("b_", "o_"), F.greatest("b_", "o_"))).drop(

@@ -6,7 +6,8 @@ by exact Jaccard similarity of their shingle sets; verified links become compone
 union-find, and each component keeps its first line in order of ``(doc_id, line number)``.
 
 Only digests and band keys of all lines are shuffled. The text of a line is sent on only where a
-fixed-size filter says that it may have a candidate.
+fixed-size filter says that it may have a candidate. Documents are read twice, for band keys and for digests with
+those texts, before what is left of them is put together.
 """
 
 from __future__ import annotations
@@ -44,10 +45,10 @@ SHORT_BANDS, SHORT_ROWS = 28, 8
 MIN_CHARS = 1
 # Lines that a task remembers having sent on, before it forgets them.
 SEEN = 200_000
-# Characters hashed together.
-BLOCK_CHARS = 50_000
-# Characters of a line whose shingles are counted first, by this many bits of their hashes, and lines at a time.
-BEGIN_CHARS, BEGIN_BITS, BEGIN_ROWS = 160, 10, 256
+# Characters hashed together, for signatures and for sets.
+SIGNED_CHARS, BLOCK_CHARS = 100_000, 12_000
+# Characters of a line whose shingles are counted first, and lines at a time.
+BEGIN_CHARS, BEGIN_ROWS = 160, 256
 # Characters of the lines of groups that go on together, and shingles of pairs compared together.
 SET_CHARS, PAIR_SHINGLES = 4_000_000, 50_000
 # Bits of a hashed shingle below the number of its line, and cells of the counts that rule pairs out.
@@ -56,6 +57,8 @@ HASH_BITS, CELLS = 42, 256
 DOUBT = 1
 # Band rows packed at once and in a row, buckets for each partition of a shuffle, and rows of a bucket held at once.
 PACKED, PACK, BUCKETS, HELD = 1 << 20, 512, 16, 1 << 23
+# A shingle of three characters in 64 bits, and hashed to 16.
+_POINT, _SMALL = np.uint64(1 << 21), np.uint16(0x9E35)
 _PRIME, _MIX32 = np.uint32(0x01000193), np.uint32(0x85EBCA6B)
 _DRAWN = np.random.default_rng(20240229)
 _HASHES = max(BANDS * ROWS, SHORT_BANDS * SHORT_ROWS)
@@ -88,13 +91,29 @@ def normalised_lines(text: str) -> list[str]:
     return lines
 
 
-def lines_of(batch: pa.RecordBatch):
-    """``(place of the row, line number, digest, normalised line)`` of the lines that take part."""
-    digest = xxhash.xxh3_128_digest
-    for row, text in enumerate(texts(batch)):
-        for number, line in enumerate(normalised_lines(text.decode())):
-            if len(line) >= MIN_CHARS:
-                yield row, number, digest(line.encode()), line
+def lines_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
+    """Place of the row, line number, digest and normalised line (UTF-8) of the lines that take part, which are all but
+    blank ones. The texts of a batch are searched for blanks to change, and cut into lines, together."""
+    values = [t.lower() if t.isascii() else t.decode().lower().encode() for t in texts(batch)]
+    whole = b"\n".join(values)
+    lines = whole.split(b"\n") if values else []
+    byte = np.frombuffer(whole, np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) + 1)  # behind the line break of each
+    breaks = byte == 10
+    counts = np.diff(np.searchsorted(np.append(np.flatnonzero(breaks), len(byte)), ends), prepend=0)
+    gap = breaks | (byte == 32)
+    odd = (byte - np.uint8(9) < 5) ^ breaks
+    odd[1:] |= gap[1:] & gap[:-1] & ~(breaks[1:] & breaks[:-1])
+    odd[:1] |= byte[:1] == 32
+    odd[-1:] |= byte[-1:] == 32
+    begins = np.cumsum(counts) - counts
+    for row in np.unique(np.searchsorted(ends, np.flatnonzero(odd), "right")).tolist():
+        lines[begins[row]:begins[row] + counts[row]] = [x.encode() for x in normalised_lines(values[row].decode())]
+    row = np.repeat(np.arange(len(values)), counts)
+    number = np.arange(len(row)) - np.repeat(begins, counts)
+    some = np.fromiter(map(len, lines), np.int64, len(lines)) >= MIN_CHARS
+    lines = [x for x in lines if len(x) >= MIN_CHARS]
+    return row[some], number[some], list(map(xxhash.xxh3_128_digest, lines)), lines
 
 
 def halves(digests: list[bytes]) -> np.ndarray:
@@ -108,7 +127,7 @@ def signatures(lines: list[str], size: int = SHINGLE, hashes: int = BANDS * ROWS
     begin, chars = 0, 0
     for i, line in enumerate(lines):
         chars += len(line)
-        if chars > BLOCK_CHARS or i == len(lines) - 1:
+        if chars > SIGNED_CHARS or i == len(lines) - 1:
             out[begin:i + 1] = _signatures(lines[begin:i + 1], size, hashes)
             begin, chars = i + 1, 0
     return out
@@ -166,31 +185,41 @@ def meets_short(line: str) -> bool:
 
     Sets of that similarity differ in size by it at most; a long line of a repeated pattern has a small set.
     """
-    return len(line) - SHORT_SHINGLE + 1 <= SHORT_SET or len(shingles(line, SHORT_SHINGLE)) <= SHORT_SET
+    found: set[str] = set()
+    for at in range(0, max(1, len(line) - SHORT_SHINGLE + 1), BEGIN_CHARS):
+        found |= shingles(line[at:at + BEGIN_CHARS + SHORT_SHINGLE - 1], SHORT_SHINGLE)
+        if len(found) > SHORT_SET:
+            return False
+    return True
 
 
 def meet_short(lines: list[str]) -> list[int]:
     """Places of the lines that ``meets_short``. The begin of a line mostly has enough shingles already, by the
-    number of their hashes, which is never larger than theirs."""
+    number of their hashes, which is never larger than theirs; those of a line no longer than that are counted."""
     chars = np.fromiter(map(len, lines), np.int64, len(lines))
-    unsure = np.flatnonzero(chars - SHORT_SHINGLE + 1 > SHORT_SET)
-    sure = np.zeros(len(lines), bool)
-    for at in range(0, len(unsure), BEGIN_ROWS):
-        part = unsure[at:at + BEGIN_ROWS]
-        begins = [lines[i][:BEGIN_CHARS] for i in part]
-        counts = np.fromiter(map(len, begins), np.int64, len(part))
-        values = grams("".join(begins), SHORT_SHINGLE) * _MIX32 >> np.uint32(32 - BEGIN_BITS)
-        ends = np.cumsum(counts)
-        cell = np.repeat(np.arange(len(part)) << BEGIN_BITS, counts)[:len(values)] + values
-        inside = np.ones(ends[-1], bool)
-        for k in range(1, SHORT_SHINGLE):
-            inside[ends - k] = False
-        found = np.zeros((len(part), 1 << BEGIN_BITS), bool)
-        found.ravel()[cell[inside[:len(values)]]] = True
-        # eight cells at a time; a byte holds the count of a 1/8 of them
-        counted = np.add.reduce(found.view(np.uint64), axis=1).view(np.uint8).reshape(-1, 8)
-        sure[part] = counted.sum(axis=1, dtype=np.int64) > SHORT_SET
-    return [i for i, known in enumerate(sure.tolist()) if not known and meets_short(lines[i])]
+    meets = chars - SHORT_SHINGLE + 1 <= SHORT_SET
+    rest = np.flatnonzero(~meets)
+    whole = chars[rest] < BEGIN_CHARS
+    for rows, filled, kind, factor in ((rest[whole], True, np.uint64, _POINT), (rest[~whole], False, np.uint16, _SMALL)):
+        for at in range(0, len(rows), BEGIN_ROWS):
+            part = rows[at:at + BEGIN_ROWS]
+            begins = "".join([lines[i][:BEGIN_CHARS].ljust(BEGIN_CHARS) for i in part.tolist()])
+            points = np.frombuffer(begins.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, BEGIN_CHARS).astype(kind)
+            if filled:
+                points[np.arange(BEGIN_CHARS) >= chars[part, None]] = factor - kind(1)  # no character
+            width = BEGIN_CHARS - SHORT_SHINGLE + 1
+            values = points[:, :width].copy()
+            for k in range(1, SHORT_SHINGLE):
+                values *= factor
+                values += points[:, k:k + width]
+            values.sort(axis=1)
+            counts = 1 + np.count_nonzero(values[:, 1:] != values[:, :-1], axis=1)
+            if filled:
+                # less the shingles that hold filling: one for each place where it begins
+                meets[part] = counts - np.minimum(BEGIN_CHARS - chars[part], SHORT_SHINGLE) <= SHORT_SET
+            else:
+                meets[part] = [few and meets_short(lines[i]) for i, few in zip(part.tolist(), (counts <= SHORT_SET).tolist())]
+    return np.flatnonzero(meets).tolist()
 
 
 def line_bands(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -258,21 +287,18 @@ def candidate_bands(documents: DataFrame) -> DataFrame:
         for batch in batches:
             # long texts: a few hundred documents at a time keep the working memory small
             for start in range(0, batch.num_rows, 1000):
-                fresh, ids = [], []
                 if len(seen) > SEEN:
                     seen.clear()
-                for _, _, digest, line in lines_of(batch.slice(start, 1000)):
-                    if digest not in seen:
-                        seen.add(digest)
-                        ids.append(digest)
-                        fresh.append(line)
+                _, _, digests, lines = lines_of(batch.slice(start, 1000))
+                fresh = {d: x for d, x in zip(digests, lines) if d not in seen}
                 if fresh:
-                    keys, places = line_bands(fresh)
-                    yield from packed.add(keys, halves(ids)[:, 0][places])
+                    seen.update(fresh)
+                    keys, places = line_bands([x.decode() for x in fresh.values()])
+                    yield from packed.add(keys, halves(list(fresh))[:, 0][places])
         yield from packed.rest()
         pa.default_memory_pool().release_unused()
 
-    return documents.select("doc_id", "text").mapInArrow(run, _PACKED_SCHEMA)
+    return documents.select("text").mapInArrow(run, _PACKED_SCHEMA)
 
 
 def _longs(column: pa.Array, begin: int, end: int) -> np.ndarray:
@@ -282,8 +308,12 @@ def _longs(column: pa.Array, begin: int, end: int) -> np.ndarray:
     return np.frombuffer(data, np.int64, (at[-1] - at[0]) // 8, at[0]) if at[-1] > at[0] else np.empty(0, np.int64)
 
 
+_MARKED = ["key", "id", "n", "s"]
+
+
 def _several(key: np.ndarray, id_: np.ndarray) -> pa.RecordBatch:
-    """The distinct rows of the keys that have several ids."""
+    """The distinct rows of the keys that have several ids. The first row of a key has its smallest id, their number
+    ``n`` and a sum ``s`` of them, the others have 0."""
     order = np.argsort(key)
     key = key[order]
     same = key[1:] == key[:-1]
@@ -295,11 +325,30 @@ def _several(key: np.ndarray, id_: np.ndarray) -> pa.RecordBatch:
     key, id_ = key[new], id_[new]
     same = key[1:] == key[:-1]
     many = (np.append(False, same) | np.append(same, False))[:len(key)]
-    return pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(id_[many])], names=["key", "id"])
+    key, id_ = key[many], id_[many]
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+    n, s = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    if len(key):
+        n[begins] = np.diff(np.append(begins, len(key)))
+        mixed = id_.view(np.uint64) * MIX
+        mixed ^= mixed >> np.uint64(31)
+        s[begins] = np.add.reduceat(mixed * MIX, begins).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, id_, n, s)], names=_MARKED)
+
+
+def _unmarked(key: np.ndarray, id_: np.ndarray) -> pa.RecordBatch:
+    """Rows of keys that may have more of them."""
+    none = pa.nulls(len(key), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(id_), none, none], names=_MARKED)
 
 
 def shared_bands(bands: DataFrame) -> DataFrame:
-    """``(key, id)`` of the keys that several lines have, from such rows, packed or not.
+    """``(key, id)`` of the keys that several lines have, from such rows, packed or not."""
+    return marked_bands(bands).select("key", "id")
+
+
+def marked_bands(bands: DataFrame) -> DataFrame:
+    """``shared_bands`` with the marks of ``_several``, null in rows of a bucket that was not held as a whole.
 
     Read bucket by bucket, with one bucket held; rows are distinct. Of a bucket of more than ``HELD`` rows all go
     on, also those of keys that no other line has, which the groups to come leave out, and some may go on twice.
@@ -320,7 +369,7 @@ def shared_bands(bands: DataFrame) -> DataFrame:
 
         def sent():
             key, id_ = np.concatenate(keys), np.concatenate(ids)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(id_)], names=["key", "id"]) if large else _several(key, id_)
+            return (_unmarked if large else _several)(key, id_)
 
         for batch in batches:
             bucket = batch.column("bucket").to_numpy()
@@ -340,43 +389,18 @@ def shared_bands(bands: DataFrame) -> DataFrame:
         if keys:
             yield sent()
 
-    return bands.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, id long")
+    return bands.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, id long, n long, s long")
 
 
 def without_twins(members: DataFrame) -> DataFrame:
-    """One key of those that hold the same lines."""
-    marks = members.groupBy("key").agg(
-        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"), F.min("id").alias("m"))
+    """``(key, id, size)`` of one key of those that hold the same lines, from ``marked_bands``."""
+    marks = members.filter("n > 0").select("key", "s", "n", F.col("id").alias("m")).unionByName(
+        members.filter("n is null").groupBy("key").agg(
+            F.expr("cast(pmod(sum(cast(xxhash64(id) as decimal(38,0))), 9223372036854775808BD) as bigint)").alias("s"),
+            F.count("*").alias("n"), F.min("id").alias("m")))
     kept = marks.groupBy("s", "n", "m").agg(F.min("key").alias("kept_key"))
-    return members.join(kept.select("kept_key"), F.col("key") == F.col("kept_key")).select("key", "id")
-
-
-def candidate_lines(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, line)`` of the lines whose id may be among ``ids``."""
-    wanted = documents.sparkSession.sparkContext.broadcast(bit_filter(ids, "id"))
-
-    def per_task():
-        seen: set = set()
-
-        def step(batch):
-            found: dict[bytes, str] = {}
-            if len(seen) > SEEN:
-                seen.clear()
-            for _, _, digest, line in lines_of(batch):
-                if digest not in seen:
-                    found[digest] = line
-                    seen.add(digest)
-            if not found:
-                return None
-            id_ = halves(list(found))[:, 0]
-            ok = passes(wanted.value, id_)
-            return {"id": id_[ok], "line": [x for x, y in zip(found.values(), ok) if y]}
-
-        return step
-
-    # shuffled first, so that rows are sorted once, for this and for the join to come
-    return arrow_map(documents.select("doc_id", "text"), per_task, "id long, line string").repartition(
-        "id").dropDuplicates(["id"])
+    return members.select("key", "id").join(
+        kept.select("kept_key", F.col("n").alias("size")), F.col("key") == F.col("kept_key")).select("key", "id", "size")
 
 
 def shingles(line: str, size: int | None = None) -> set[str]:
@@ -550,41 +574,59 @@ def _verified_links(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
 
 
-def occurrences(documents: DataFrame) -> DataFrame:
-    """``(doc_id, mark, line_no, id, check)`` of every line that takes part; id and check are its digest,
-    ``mark`` tells texts of one id apart."""
+def occurrences(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(doc_id, mark, line_no, id, check, candidate, line)`` of every line that takes part; id and check are its
+    digest, ``mark`` tells texts of one id apart. ``candidate`` says that the id may be among ``ids``; a task gives such
+    a line's text, which is null else, once while it remembers it."""
+    wanted = documents.sparkSession.sparkContext.broadcast(bit_filter(ids, "id"))
 
     def per_task():
+        seen: set = set()
+
         def step(batch):
-            found = [(row, number, digest) for row, number, digest, _ in lines_of(batch)]
-            if not found:
+            if len(seen) > SEEN:
+                seen.clear()
+            row, number, digests, lines = lines_of(batch)
+            if not digests:
                 return None
-            row, number, digest = zip(*found)
-            both = halves(digest)
-            row = np.array(row)
+            both = halves(digests)
+            candidate = passes(wanted.value, both[:, 0])
+            sent: list[bytes | None] = [None] * len(lines)
+            for i in np.flatnonzero(candidate).tolist():
+                if digests[i] not in seen:
+                    seen.add(digests[i])
+                    sent[i] = lines[i]
             return {"doc_id": batch.column("doc_id").take(pa.array(row)), "mark": text_marks(texts(batch))[row],
-                    "line_no": np.array(number, np.int32), "id": both[:, 0], "check": both[:, 1]}
+                    "line_no": number.astype(np.int32), "id": both[:, 0], "check": both[:, 1], "candidate": candidate,
+                    "line": pa.array(sent, pa.binary())}
 
         return step
 
     return arrow_map(documents.select("doc_id", "text"), per_task,
-                     "doc_id long, mark long, line_no int, id long, check long")
+                     "doc_id long, mark long, line_no int, id long, check long, candidate boolean, line string")
+
+
+def candidate_lines(found: DataFrame) -> DataFrame:
+    """``(id, line)`` of the candidates among ``occurrences``."""
+    # shuffled first, so that rows are sorted once, for this and for the join to come
+    return found.filter("line is not null").select("id", "line").repartition("id").dropDuplicates(["id"])
 
 
 def duplicate_lines(documents: DataFrame) -> DataFrame:
     """``(doc_id, mark, line_no)`` of every line that a line in front of it stands for, once per row of the
     document that repeats."""
     members = materialize(
-        without_twins(materialize(shared_bands(candidate_bands(documents)), "bands")), "members")
-    lines = candidate_lines(documents, members.select("id").distinct())
-    met = bounded_groups(members, "key", "id").select("g", F.col("id").alias("met_id"))
+        without_twins(materialize(marked_bands(candidate_bands(documents)), "bands")), "members")
+    found = materialize(occurrences(documents, members.select("id")), "lines")
+    lines = candidate_lines(found)
+    met = bounded_groups(members, "key", "id", size="size").select("g", F.col("id").alias("met_id"))
     groups = met.join(lines, F.col("met_id") == F.col("id")).select("g", "id", "line")
     linked = components(in_groups(groups, star_links, "a long, b long"))
-    found = materialize(occurrences(documents), "lines")
-    # the first place of each line that occurs again or is linked; most lines are neither
+    # the first place of each line that occurs again or is linked; most lines are neither, and only candidates are linked
     again = materialize(
-        found.groupBy("id", "check").agg(F.min(F.struct("doc_id", "line_no", "mark")).alias("own"), F.count("*").alias("n"))
-        .join(linked, F.col("id") == F.col("node"), "left").filter("n > 1 or component is not null")
+        found.groupBy("id", "check").agg(F.min(F.struct("doc_id", "line_no", "mark")).alias("own"), F.count("*").alias("n"),
+                                         F.max("candidate").alias("candidate"))
+        .filter("n > 1 or candidate").join(linked, F.col("id") == F.col("node"), "left").filter("n > 1 or component is not null")
         .select("id", "check", "own", "component"), "again")
     of_class = materialize(again.filter("component is not null").groupBy(F.col("component").alias("class")).agg(
         F.min("own").alias("first")), "classes")
