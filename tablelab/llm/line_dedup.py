@@ -50,9 +50,11 @@ SIGNED_CHARS, BLOCK_CHARS = 100_000, 12_000
 # Characters of a line whose shingles are counted first, and lines at a time.
 BEGIN_CHARS, BEGIN_ROWS = 160, 256
 # Characters of the lines of groups that go on together, and shingles of pairs compared together.
-SET_CHARS, PAIR_SHINGLES = 4_000_000, 50_000
-# Bits of a hashed shingle below the number of its line, and cells of the counts that rule pairs out.
-HASH_BITS, CELLS = 42, 256
+SET_CHARS, PAIR_SHINGLES = 4_000_000, 20_000
+# Bits of a hashed shingle below the number of its line.
+HASH_BITS = 42
+# Bits of the hashes in the bitmaps that rule pairs out, lines whose bitmaps are made together, and pairs looked at together.
+MARK_BITS, MARK_ROWS, MARK_PAIRS = 12, 64, 2_000
 # Shingles by which hashes may miscount; pairs as near to the threshold are decided on the text.
 DOUBT = 1
 # Band rows packed at once and in a row, buckets for each partition of a shuffle, and rows of a bucket held at once.
@@ -423,33 +425,45 @@ def ragged(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class ShingleSets:
-    """Sorted hashed shingles of lines, made once per line for all its pairs."""
+    """Shingles of lines: a bitmap of their hashes for every line, sorted hashes for those of pairs that bitmaps do not
+    rule out, each made once per line for all its pairs."""
 
     def __init__(self, lines: list[str], size: int):
         self.lines, self.size = lines, size
-        values, counts, cells, at = [], [], [], 0
-        ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
-        while at < len(lines):
-            # small blocks, whose arrays stay in the cache
+        self.filled = [x if len(x) >= size else x.ljust(size) for x in lines]
+        self.chars = np.fromiter(map(len, self.filled), np.int64, len(lines))
+        self.sets: list[np.ndarray | None] = [None] * len(lines)
+        self.counts = np.zeros(len(lines), np.int64)
+        self.marks = np.empty((len(lines), (1 << MARK_BITS) // 64), np.uint64)
+        for begin, end in self._blocks(self.chars, MARK_ROWS):
+            self.marks[begin:end] = self._marks(begin, end)
+
+    @staticmethod
+    def _blocks(chars: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+        """Small blocks of lines, whose arrays stay in the cache."""
+        ends, at = np.cumsum(chars), 0
+        while at < len(chars):
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_CHARS, "right")))
-            block = self._block(lines[at:end])
-            line = block.view(np.int64) >> HASH_BITS
-            counts.append(np.bincount(line, minlength=end - at))
-            block &= np.uint64((1 << HASH_BITS) - 1)
-            values.append(block)
-            line *= CELLS
-            line += block.view(np.int64) & (CELLS - 1)
-            cells.append(np.bincount(line, minlength=(end - at) * CELLS).astype(np.uint32))
+            end = min(end, at + most) if most else end
+            yield at, end
             at = end
-        self.values, self.counts = np.concatenate(values), np.concatenate(counts)
-        self.begins = np.cumsum(self.counts) - self.counts
-        # how many shingles of a line fall into each cell: what two lines share is no more than the smaller counts
-        self.cells = np.concatenate(cells).reshape(-1, CELLS)
 
-    def _block(self, lines: list[str]) -> np.ndarray:
+    def _marks(self, begin: int, end: int) -> np.ndarray:
+        """Which hashes the shingles of each line have, as bits."""
+        lengths = self.chars[begin:end]
+        ends = np.cumsum(lengths)
+        begins = ends - lengths
+        hashed = grams("".join(self.filled[begin:end]), self.size) * _MIX32 >> np.uint32(32 - MARK_BITS)
+        cell = np.repeat(np.arange(end - begin) << MARK_BITS, lengths)
+        cell[:len(hashed)] += hashed
+        for k in range(1, self.size):  # across two lines: the line's first shingle once more
+            cell[ends - k] = cell[begins]
+        found = np.zeros((end - begin, 1 << MARK_BITS), bool)
+        found.ravel()[cell] = True
+        return np.packbits(found, axis=1).view(np.uint64)
+
+    def _block(self, lines: list[str], lengths: np.ndarray) -> np.ndarray:
         """Distinct hashed shingles, the line's number above them, sorted."""
-        lines = [x if len(x) >= self.size else x.ljust(self.size) for x in lines]
-        lengths = np.fromiter(map(len, lines), np.int64, len(lines))
         counts = lengths - self.size + 1
         hashed = grams("".join(lines), self.size, _WIDE) * MIX >> np.uint64(64 - HASH_BITS)
         hashed = hashed[ragged(np.cumsum(lengths) - lengths, counts)]
@@ -457,14 +471,33 @@ class ShingleSets:
         hashed.sort()
         return hashed[np.append(True, hashed[1:] != hashed[:-1])]
 
+    def _build(self, places: np.ndarray) -> None:
+        """The sets of some lines, if they are not there yet."""
+        places = places[self.counts[places] == 0]
+        for begin, end in self._blocks(self.chars[places]):
+            part = places[begin:end]
+            block = self._block([self.filled[i] for i in part.tolist()], self.chars[part])
+            ends = np.searchsorted(block.view(np.int64) >> HASH_BITS, np.arange(len(part)), "right")
+            block &= np.uint64((1 << HASH_BITS) - 1)
+            self.counts[part] = np.diff(ends, prepend=0)
+            at = 0
+            for i, until in zip(part.tolist(), ends.tolist()):
+                self.sets[i] = block[at:until]
+                at = until
+
     def linked(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
         """Whether each pair of lines is similar enough, exactly."""
+        # a bit that one line alone has is of a shingle that the other does not have, and similar sets differ in few
+        most = (self.chars[a] + self.chars[b] - 2 * (self.size - 1)) * (1 - similarity) / (1 + similarity) + 1e-6
+        ok = np.empty(len(a), bool)
+        for at in range(0, len(a), MARK_PAIRS):
+            p = slice(at, at + MARK_PAIRS)
+            ok[p] = np.bitwise_count(self.marks[a[p]] ^ self.marks[b[p]]).sum(axis=1, dtype=np.uint32) <= most[p]
+        left = np.flatnonzero(ok)
+        self._build(np.unique(np.concatenate([a[left], b[left]])))
         one, other = self.counts[a], self.counts[b]
         least = similarity * (one + other) / (1 + similarity)  # shingles that such a pair shares
-        ok = np.minimum(one, other) + DOUBT >= least
-        for at in range(0, len(a), 10_000):
-            p = at + np.flatnonzero(ok[at:at + 10_000])
-            ok[p] = np.minimum(self.cells[a[p]], self.cells[b[p]]).sum(axis=1) + DOUBT >= least[p]
+        ok[left] = np.minimum(one, other)[left] + DOUBT >= least[left]
         left = np.flatnonzero(ok)
         ends = np.cumsum(one[left] + other[left])
         at = 0
@@ -484,7 +517,7 @@ class ShingleSets:
         for at in range(0, len(a), 1 << 64 - HASH_BITS):
             rows = np.stack([a[at:at + (1 << 64 - HASH_BITS)], b[at:at + (1 << 64 - HASH_BITS)]], axis=1)
             counts = self.counts[rows].sum(axis=1)
-            keys = self.values[ragged(self.begins[rows].ravel(), self.counts[rows].ravel())]
+            keys = np.concatenate([self.sets[i] for i in rows.ravel().tolist()])
             keys |= np.repeat(np.arange(len(rows), dtype=np.uint64) << np.uint64(HASH_BITS), counts)
             keys.sort()
             twice = keys[1:][keys[1:] == keys[:-1]] >> np.uint64(HASH_BITS)
@@ -495,7 +528,7 @@ class ShingleSets:
 def verified_links(frame: pd.DataFrame, similarity: float = SIMILARITY) -> pd.DataFrame:
     """Links that join the same lines as all pairs of a group ``g`` with enough exact Jaccard similarity.
 
-    Pairs already joined in their group are not compared again, nor are sets whose sizes, or counts by cell, rule
+    Pairs already joined in their group are not compared again, nor are sets whose sizes, or bitmaps, rule
     the similarity out. All groups go on together, frames of many characters in parts: each line in turn meets
     those behind it in its group. A pair of which one line is short is compared by the smaller shingles.
     """

@@ -61,3 +61,21 @@ def test_signatures_do_not_depend_on_blocks(monkeypatch):
     whole = line_dedup.signatures(lines)
     monkeypatch.setattr(line_dedup, "SIGNED_CHARS", 500)
     assert np.array_equal(whole, line_dedup.signatures(lines))
+
+
+def test_sets_are_made_for_pairs_that_bitmaps_leave(monkeypatch):
+    rng = random.Random(14)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(400)]
+    lines = [" ".join(rng.choices(words, k=rng.choice([1, 20, 60, 2000]))) for _ in range(60)] + ["", "a", "ab", "abab" * 500]
+    lines += [x[:len(x) // 2] + rng.choice(["", "x", "other words"]) + x[len(x) // 2 + 3:] for x in lines]
+    a, b = np.triu_indices(len(lines), 1)
+    for size in (line_dedup.SHORT_SHINGLE, line_dedup.SHINGLE):
+        expected = [line_dedup.similar(lines[i], lines[j], size) for i, j in zip(a, b)]
+        for bits in (6, 12):
+            monkeypatch.setattr(line_dedup, "MARK_BITS", bits)
+            sets = line_dedup.ShingleSets(lines, size)
+            assert sets.linked(a, b, line_dedup.SIMILARITY).tolist() == expected
+        assert any(expected) and sum(x is not None for x in sets.sets) == np.count_nonzero(sets.counts)
+    unlike = line_dedup.ShingleSets(["".join(rng.choices("abcdefghijklmnop", k=300)) for _ in range(20)], line_dedup.SHINGLE)
+    a, b = np.triu_indices(20, 1)
+    assert not unlike.linked(a, b, line_dedup.SIMILARITY).any() and unlike.sets == [None] * 20
