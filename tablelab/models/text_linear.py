@@ -1,9 +1,10 @@
 """Logistic regression on the words of a text, with any number of terms.
 
 The model is a table with a row per term; the driver never holds a vector over the vocabulary. Texts are
-tokenised once, into counts per text and term. A step joins the counts to its direction and adds up per text,
-tries its length on these sums, then joins the errors to the counts and adds up per term. The most frequent terms, a bounded number, are
-broadcast; no other term has enough rows to be a hot key.
+tokenised once, into the texts of each term, packed by blocks of texts. Terms that the same texts hold equally often have
+equal coefficients at every step, so they are one column of the fit, with their number as its weight. A step joins the
+columns to its direction and adds up per text, tries its length on these sums, then sends the errors of a bounded number of
+texts at a time to the columns. The most frequent columns, a bounded number, are met by broadcast; no other has enough texts to be a hot key.
 
 Steps are those of L-BFGS in its vector-free form (Chen, Wang and Zhou 2014): the directions are sums of
 columns of the table, and only their inner products reach the driver.
@@ -12,18 +13,25 @@ columns of the table, and only their inner products reach the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelab.functions import argmax
 from tablelab.operators.dataset import with_row_ids
-from tablelab.operators.features import terms
-from tablelab.session import materialize, spread
+from tablelab.operators.features import postings
+from tablelab.session import materialize
 
 # Terms whose weights are broadcast, the most frequent ones.
 HOT_TERMS = 10_000
+# Numbers that a task adds up to at a time, one per text of a block and class.
+BLOCK = 1 << 17
+# Errors that are sent to the columns at a time, one per text and class.
+SENT = 1 << 22
 # Earlier steps that shape the next one.
 HISTORY = 4
 # Halvings of a step before the search ends.
@@ -35,18 +43,115 @@ def _key(text: str) -> Column:
     return F.md5(F.coalesce(F.col(text), F.lit("")))
 
 
-def _counts(texts: DataFrame, min_n: int, max_n: int) -> DataFrame:
-    """``(key, term, n)`` of distinct ``(key, text)``; counted where the text is."""
-    return (spread(texts.select("key", "text"), "key").select("key", F.explode(terms("text", min_n, max_n)).alias("term"))
-            .groupBy("key", "term").agg(F.count("*").alias("n")))
-
-
-def _on_terms(counts: DataFrame, table: DataFrame, on: str) -> DataFrame:
-    """Counts (a written table) beside their terms' rows: frequent ones by broadcast, the others by shuffle."""
-    hot = table.filter("hot")
-    near = counts.join(F.broadcast(hot), on)
-    far = counts.join(F.broadcast(hot.select(on)), on, "left_anti").join(table.filter("not hot"), on)
-    return near.unionByName(far)
+def _block_texts(dims: int) -> int:
+    return max(1, BLOCK // dims)
+
+
+def _binary(values: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """A binary per run of 64-bit numbers."""
+    ends = np.append(begins, len(values)).astype(np.int32) * 8
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values, np.int64))]
+    return pa.Array.from_buffers(pa.binary(), len(begins), buffers)
+
+
+def _numbers(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all binaries, and how many each has."""
+    ends = np.frombuffer(cells.buffers()[1], np.int32, len(cells) + 1, cells.offset * 4)
+    size = int(ends[-1] - ends[0])
+    values = np.frombuffer(cells.buffers()[2], np.int64, size // 8, int(ends[0])) if size else np.zeros(0, np.int64)
+    return values, np.diff(ends) // 8
+
+
+def _unpacked(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the text in its block, count, and row of each cell."""
+    values, sizes = _numbers(cells)
+    return values >> 32, values & 0xFFFFFFFF, np.repeat(np.arange(len(cells)), sizes)
+
+
+def _cells(texts: DataFrame, size: int, min_n: int, max_n: int) -> DataFrame:
+    """``(term, block, cells)`` of ``(key, text)``, the keys being numbers from 0: the texts of a block of ``size`` that
+    hold a term, each a 64-bit number of its place and the count. A term has a row per block and slice of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            row = np.repeat(np.arange(len(ids)), pc.list_value_length(ids).to_numpy(zero_copy_only=False))
+            key, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "ns"))
+            block = key // size
+            begins = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])))[:len(row)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("term").take(pa.array(row[begins])), pa.array(block[begins]),
+                 _binary((key - block * size) << 32 | n, begins)], names=["term", "block", "cells"])
+
+    return postings(texts, "text", min_n, max_n, "key", run, "term string, block long, cells binary")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per term and block, its cells in order, from rows that lie by term and in it by block."""
+
+    def sent(rows: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
+        values, sizes = _numbers(rows["cells"].combine_chunks())
+        of = np.repeat(np.searchsorted(begins, np.arange(len(rows)), "right") - 1, sizes)
+        values = values[np.lexsort((values, of))]
+        return pa.RecordBatch.from_arrays(
+            [rows[c].combine_chunks().take(pa.array(begins)) for c in ("term", "block")]
+            + [_binary(values, np.searchsorted(of, np.arange(len(begins))))], names=["term", "block", "cells"])
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        term, block = batch.column("term"), batch.column("block").to_numpy(zero_copy_only=False)
+        other = pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])
+        if held and not (term[0] == held[0].column("term")[0] and block[0] == held[0].column("block")[0].as_py()):
+            yield sent(pa.Table.from_batches(held), np.zeros(1, np.int64))
+            held = []
+        begins = np.flatnonzero(np.append(True, other))
+        if len(begins) > 1:  # the last term may go on
+            rows = pa.Table.from_batches([*held, batch.slice(0, begins[-1])])
+            yield sent(rows, np.append(0, begins[1:-1] + (len(rows) - begins[-1])))
+            held = []
+        held.append(batch.slice(begins[-1]))
+    if held:
+        yield sent(pa.Table.from_batches(held), np.zeros(1, np.int64))
+
+
+def _text_sums(cells: DataFrame, weights: list[str], size: int, texts: int) -> DataFrame:
+    """``(key, d0...)``: the weights ``(block, cells, weights...)`` summed over the cells of each text."""
+    names = [f"d{k}" for k in range(len(weights))]
+
+    def sent(block: int, sums: list[np.ndarray], met: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(met)
+        for s in range(0, len(at), 1 << 16):
+            part = at[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part + block * size), *[pa.array(x[part]) for x in sums]], names=["key", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums, met = None, [], None
+        for batch in batches:
+            blocks = batch.column("block").to_numpy(zero_copy_only=False)
+            w = [batch.column(c).to_numpy(zero_copy_only=False) for c in weights]
+            at, n, row = _unpacked(batch.column("cells"))
+            block = blocks[row]
+            for b in np.unique(blocks).tolist():
+                if b != now:
+                    if now is not None:
+                        yield from sent(now, sums, met)
+                    now, held = b, min(size, texts - b * size)
+                    sums, met = [np.zeros(held) for _ in weights], np.zeros(held, bool)
+                here = slice(None) if (blocks == b).all() else block == b
+                met[at[here]] = True
+                for total, x in zip(sums, w):
+                    np.add.at(total, at[here], (n * x[row])[here])
+        if now is not None:
+            yield from sent(now, sums, met)
+
+    rows = cells.select("block", "cells", *weights)
+    if texts > size:
+        rows = rows.sortWithinPartitions("block")
+    return rows.mapInArrow(run, ", ".join(["key long", *[f"{d} double" for d in names]])).groupBy("key").agg(
+        *[F.sum(d).alias(d) for d in names])
 
 
 class TextLinearModel:
@@ -65,12 +170,15 @@ class TextLinearModel:
         text has no words. Terms without a coefficient do not count."""
         w = [f"w{k}" for k in range(self.margins)]
         bias = self.table.filter("term IS NULL").select(*w).first()
-        texts = df.select(_key(self.text).alias("key"), F.col(self.text).alias("text")).dropDuplicates(["key"])
-        words = materialize(_counts(texts, self.min_n, self.max_n), "words")
-        counted = _on_terms(words, self.table.filter("term IS NOT NULL"), "term")
-        summed = materialize(
-            counted.groupBy("key").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in w]), "margins")
-        summed = summed.select(F.col("key").alias("_text_key"), F.array(*w).alias("_text_margins"))
+        texts = df.select(_key(self.text).alias("_text_key"), F.col(self.text).alias("text")).dropDuplicates(["_text_key"])
+        texts = with_row_ids(materialize(texts, "texts"), "key")
+        size = _block_texts(self.margins)
+        hashed = F.xxhash64("term").alias("h")  # numbers are sorted faster than texts
+        known = self.table.filter("term IS NOT NULL").select(hashed, "term", *w)
+        counted = _cells(texts, size, self.min_n, self.max_n).select("*", hashed).join(known, ["h", "term"])
+        summed = _text_sums(counted, w, size, texts.count())
+        summed = materialize(texts.select("key", "_text_key").join(summed, "key").select(
+            "_text_key", F.array(*[f"d{k}" for k in range(self.margins)]).alias("_text_margins")), "margins")
         margins = [F.coalesce(F.col("_text_margins")[k], F.lit(0.0)) + F.lit(bias[k]) for k in range(self.margins)]
         shares = _softmax(margins)[0]
         kept = [c for c in df.columns if c not in ("probability", "prediction")]
@@ -102,26 +210,43 @@ def _softmax(margins: list[Column]) -> tuple[list[Column], Column]:
 class _Fit:
     """The written tables of one fit, and the steps on them."""
 
-    def __init__(self, items: DataFrame, counts: DataFrame, classes: int, rows: int, penalty: float):
-        self.items, self.classes = items, classes
-        # frequent terms and the others apart, so that a step reads either once
-        self.near = counts.filter("hot").drop("hot")
-        self.far = counts.filter("not hot").drop("hot")
+    def __init__(self, items: DataFrame, texts: int, columns: DataFrame, classes: int, rows: int, penalty: float):
+        self.items, self.texts, self.classes = items, texts, classes
+        self.size = _block_texts(1 if classes == 2 else classes)
+        # frequent columns and the others apart, so that a step reads either once
+        self.near = columns.filter("hot").select("index", "block", "cells").unionByName(self._everywhere())
+        self.far = columns.filter("not hot").select("index", "block", "cells")
         self.rows, self.penalty = rows, penalty
+        self.sent: list = []  # errors whose gradient is still to be written
         self.tracked = [1] if classes == 2 else list(range(classes))
         self.dims = range(len(self.tracked))
 
     def names(self, *vectors: str) -> list[str]:
         return [f"{v}{k}" for v in vectors for k in self.dims]
 
+    def _everywhere(self) -> DataFrame:
+        """The column of the intercepts: every text once."""
+        size, texts = self.size, self.texts
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in batch.column("block").to_pylist():
+                    cells = np.arange(min(size, texts - b * size), dtype=np.int64) << 32 | 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([_BIAS], pa.int64()), pa.array([b], pa.int64()), _binary(cells, np.zeros(1, np.int64))],
+                        names=["index", "block", "cells"])
+
+        blocks = self.items.sparkSession.range(math.ceil(texts / size)).withColumnRenamed("id", "block")
+        return blocks.mapInArrow(run, "index long, block long, cells binary")
+
     def toward(self, texts: DataFrame, table: DataFrame) -> DataFrame:
         """The texts with ``p...`` summed over their terms as ``d...``, written. Margins are linear in the
-        coefficients, so one pass over the counts serves all steps in a direction."""
+        coefficients, so one pass over the columns serves all steps in a direction."""
         p = self.names("p")
-        near = self.near.join(F.broadcast(table.filter("hot").select("index", *p)), "index")
-        far = self.far.join(table.filter("not hot").select("index", *p), "index")
-        sums = near.unionByName(far).groupBy("key").agg(
-            *[F.sum(F.col("n") * F.col(c)).alias(f"d{k}") for k, c in enumerate(p)])
+        moves = table.select("index", "hot", *[(F.col(c) * F.col("m")).alias(c) for c in p])
+        near = self.near.join(F.broadcast(moves.filter("hot").drop("hot")), "index")
+        far = self.far.join(moves.filter("not hot").drop("hot"), "index")
+        sums = _text_sums(near.unionByName(far), p, self.size, self.texts)
         return materialize(texts.select("key", *self.given(), *self.names("m")).join(sums, "key"), "margins")
 
     def given(self) -> list[str]:
@@ -151,15 +276,49 @@ class _Fit:
         return materialize(moved.select("*", *[e.alias(r) for e, r in zip(errors, self.names("r"))]), "errors")
 
     def gradient(self, errors: DataFrame) -> DataFrame:
-        """``(at, d...)`` per term; what a task's texts add is added up before it travels."""
-        r = self.names("r")
-        return self.near.unionByName(self.far).join(errors.select("key", *r), "key").groupBy(F.col("index").alias("at")).agg(
-            *[(F.sum(F.col("n") * F.col(c)) / self.rows).alias(f"d{k}") for k, c in enumerate(r)])
+        """``(at, d...)`` per column; the errors of so many blocks of texts at a time are copied to every task."""
+        blocks = math.ceil(self.texts / self.size)
+        at_once = max(1, SENT // (self.size * len(self.dims)))
+        parts = [self._gradient(errors, first, min(first + at_once, blocks)) for first in range(0, blocks, at_once)]
+        sums = parts[0]
+        for part in parts[1:]:
+            sums = sums.unionByName(part)
+        return sums.groupBy("at").agg(*[(F.sum(f"d{k}") / self.rows).alias(f"d{k}") for k in self.dims])
+
+    def _gradient(self, errors: DataFrame, first: int, end: int) -> DataFrame:
+        """What the texts of the blocks from ``first`` up to ``end`` add to the gradient."""
+        size, spark, names = self.size, errors.sparkSession, [f"d{k}" for k in self.dims]
+        found = errors.filter((F.col("key") >= first * size) & (F.col("key") < end * size)).select("key", *self.names("r")).toArrow()
+        r = np.zeros(((end - first) * size if end * size <= self.texts else self.texts - first * size, len(names)))
+        at = found["key"].to_numpy() - first * size
+        for k, c in enumerate(self.names("r")):
+            r[at, k] = found[c].to_numpy()
+        held = spark.sparkContext.broadcast(r)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                at, n, row = _unpacked(batch.column("cells"))
+                blocks = batch.column("block").to_numpy(zero_copy_only=False)
+                begins = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                sums = np.add.reduceat(held.value[at + (blocks[row] - first) * size] * n[:, None], begins)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("index"), *[pa.array(sums[:, k]) for k in range(len(names))]], names=["at", *names])
+
+        columns = self.near.unionByName(self.far).filter((F.col("block") >= first) & (F.col("block") < end))
+        out = columns.mapInArrow(run, ", ".join(["at long", *[f"{d} double" for d in names]]))
+        if end * size >= self.texts and not first:
+            self.sent.append(held)
+            return out
+        out = materialize(out, "gradients")
+        held.destroy()
+        return out
 
     def inner(self, table: DataFrame, vectors: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Inner products of columns of the table, over all rows and over those of terms alone."""
+        """Inner products of vectors of the table, over all rows and over those of terms alone."""
         pairs = [(i, j) for i in range(len(vectors)) for j in range(i, len(vectors))]
-        sums = [F.sum(sum((F.col(f"{vectors[i]}{k}") * F.col(f"{vectors[j]}{k}") for k in self.dims), F.lit(0.0)))
+        sums = [F.sum(F.col("m") * sum((F.col(f"{vectors[i]}{k}") * F.col(f"{vectors[j]}{k}") for k in self.dims), F.lit(0.0)))
                 for i, j in pairs]
         own = [F.max(F.when(F.col("index") == _BIAS, F.col(c))) for c in self.names(*vectors)]
         row = list(table.agg(*sums, *own).first())
@@ -204,22 +363,14 @@ def fit_text_linear(
     n = int(items.agg(F.sum(sum((F.col(f"n_{c}") for c in range(1, classes)), F.col("n_0")))).first()[0] or 0)
     if not n:
         raise ValueError(f"column {output} has no labels to learn from")
-    worded = materialize(_counts(items, min_n, max_n), "words")
-    found = worded.groupBy("term").agg(F.count("*").alias("texts"))
-    vocabulary = with_row_ids(materialize(found, "vocabulary"), "index")
-    top = vocabulary.orderBy(F.desc("texts"), "term").limit(hot_terms).select(F.col("index").alias("top"))
-    top = materialize(top, "frequent")
-    marked = materialize(vocabulary.join(F.broadcast(top), F.col("index") == F.col("top"), "left").select(
-        "term", "index", F.col("top").isNotNull().alias("hot")), "vocabulary")
-    bias = items.select("key", F.lit(_BIAS).cast("long").alias("index"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("hot"))
-    counts = _on_terms(worded, marked, "term").select("key", "index", "n", "hot").unionByName(bias)
-    counts = materialize(counts.repartition("hot", "key").sortWithinPartitions("hot"), "counts")
-    spark, fit = df.sparkSession, _Fit(items.drop("text"), counts, classes, n, 1.0 / (C * n))
-
-    own = spark.range(1).select(F.lit(None).cast("string").alias("term"), F.lit(_BIAS).cast("long").alias("index"),
-                                F.lit(True).alias("hot"))
+    texts, size = items.count(), _block_texts(1 if classes == 2 else classes)
+    named, columns, marked = _columns(items, texts, size, min_n, max_n, hot_terms)
+    spark, fit = df.sparkSession, _Fit(items.drop("text"), texts, columns, classes, n, 1.0 / (C * n))
+
+    own = spark.range(1).select(F.lit(_BIAS).cast("long").alias("index"), F.lit(True).alias("hot"), F.lit(1).cast("long").alias("m"))
     zero = {c: F.lit(0.0) for c in fit.names("w")}
-    table = marked.unionByName(own).withColumns({"pen": F.when(F.col("index") != _BIAS, fit.penalty).otherwise(0.0)} | zero)
+    table = marked.select("index", "hot", "m").unionByName(own).withColumns(
+        {"pen": F.when(F.col("index") != _BIAS, fit.penalty).otherwise(0.0)} | zero)
     errors = fit.errors(fit.items)
     table = _with_gradient(fit, table, errors, "gradients")
     history, steps, value = 0, 0, errors.agg(F.sum(fit._scores([F.col(m) for m in fit.names("m")])[1])).first()[0] / n
@@ -254,10 +405,45 @@ def fit_text_linear(
         gained, value = value - now, now
         if gained < tol * max(abs(now), 1e-12):
             break
-    written = materialize(table.select("term", "hot", *fit.names("w")), "coefficients")
+    learnt = table.select("index", *fit.names("w"))
+    terms = named.join(marked.select("held", "hot", "index"), "held").join(learnt, "index").select("term", "hot", *fit.names("w"))
+    alone = learnt.filter(F.col("index") == _BIAS).select(
+        F.lit(None).cast("string").alias("term"), F.lit(True).alias("hot"), *fit.names("w"))
+    written = materialize(terms.unionByName(alone), "coefficients")
     return TextLinearModel(written, text, min_n, max_n, classes, steps)
 
 
+def _columns(
+    items: DataFrame, texts: int, size: int, min_n: int, max_n: int, hot_terms: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(term, held)``, ``held`` standing for the texts that hold the term and how often; ``(index, hot, block, cells)`` of
+    each of these; and ``(held, index, hot, m)``, ``m`` terms having that column. All written."""
+    spark = items.sparkSession
+    rows = _cells(items, size, min_n, max_n)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the hash first: numbers are sorted faster than texts
+    rows = rows.repartition(tasks, "term").sortWithinPartitions(F.xxhash64("term"), "term", "block").mapInArrow(
+        _merged, "term string, block long, cells binary").withColumn("held", F.unhex(F.md5("cells")))
+    words = materialize(rows, "words")
+    if texts > size:
+        here = F.concat_ws(":", F.col("block").cast("string"), F.hex("held"))
+        named = words.groupBy("term").agg(F.unhex(F.md5(F.array_join(F.array_sort(F.collect_list(here)), ","))).alias("held"))
+        named = materialize(named, "vocabulary")
+        words = words.drop("held").join(named, "term")
+    else:
+        named = words.select("term", "held")
+    # terms with the same cells in every block
+    distinct = materialize(words.groupBy("held", "block").agg(F.first("cells").alias("cells"), F.count("*").alias("m")), "columns")
+    found = distinct.groupBy("held").agg(F.max("m").alias("m"), F.sum(F.octet_length("cells")).alias("texts"))
+    numbered = with_row_ids(materialize(found, "vocabulary"), "index")
+    top = numbered.orderBy(F.desc("texts"), "held").limit(hot_terms).select(F.col("index").alias("top"))
+    top = materialize(top, "frequent")
+    marked = materialize(numbered.join(F.broadcast(top), F.col("index") == F.col("top"), "left").select(
+        "held", "index", F.col("top").isNotNull().alias("hot"), "m"), "vocabulary")
+    columns = distinct.drop("m").join(marked, "held").select("index", "hot", "block", "cells")
+    return named, materialize(columns.repartition(tasks, "hot", "index").sortWithinPartitions("hot", "block"), "columns"), marked
+
+
 def _moved(fit: _Fit, table: DataFrame, basis: list[str], along: np.ndarray) -> DataFrame:
     """The table with the move ``p...``, a sum of columns."""
     return table.withColumns({
@@ -268,11 +454,14 @@ def _with_gradient(fit: _Fit, table: DataFrame, errors: DataFrame, name: str, ke
     """The table with its gradient, written; after a step also with the step ``s0_`` and the change of the
     gradient ``y0_`` in front of the ``kept`` earlier ones."""
     joined = table.join(fit.gradient(errors), F.col("index") == F.col("at"))
-    columns = ["term", "index", "hot", "pen", *fit.names("w")]
+    columns = ["index", "hot", "m", "pen", *fit.names("w")]
     new = {k: F.col(f"d{k}") + F.col("pen") * F.col(f"w{k}") for k in fit.dims}
     out = [new[k].alias(f"g{k}") for k in fit.dims]
     if kept is not None:
         out += [F.col(f"p{k}").alias(f"s0_{k}") for k in fit.dims]
         out += [(new[k] - F.col(f"g{k}")).alias(f"y0_{k}") for k in fit.dims]
         out += [F.col(f"{v}{i}_{k}").alias(f"{v}{i + 1}_{k}") for v in "sy" for i in range(kept) for k in fit.dims]
-    return materialize(joined.select(*columns, *out), name)
+    written = materialize(joined.select(*columns, *out), name)
+    while fit.sent:
+        fit.sent.pop().destroy()
+    return written

@@ -147,6 +147,16 @@ def _postings(batches: Iterator[pa.RecordBatch], min_n: int, max_n: int) -> Iter
         yield sent_held()
 
 
+def postings(
+    df: DataFrame, text: str, min_n: int, max_n: int, row_id: str,
+    then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str,
+) -> DataFrame:
+    """Terms with the rows that hold them, of slices of a task's rows: what ``then`` makes of ``(term, ids, ns)``."""
+    _check_range(min_n, max_n)
+    rows = spread(df.select(F.col(row_id).alias("id"), text), "id").sortWithinPartitions("id")
+    return rows.select("id", tokens(text).alias("words")).mapInArrow(lambda b: then(_postings(b, min_n, max_n)), schema)
+
+
 def term_counts(
     df: DataFrame, vocab: DataFrame, text: str, min_n: int = 1, max_n: int = 1, row_id: str = ROW_ID
 ) -> DataFrame:
@@ -156,14 +166,12 @@ def term_counts(
     then meets the vocabulary once per slice of a task's rows, with the rows that hold it as arrays; the
     planner broadcasts a small vocabulary by its own size check.
     """
-    _check_range(min_n, max_n)
-    rows = spread(df.select(F.col(row_id).alias("id"), text), "id").sortWithinPartitions("id")
     schema = T.StructType([
         T.StructField("term", T.StringType()),
         T.StructField("ids", T.ArrayType(df.schema[row_id].dataType)),
         T.StructField("ns", T.ArrayType(T.LongType())),
     ])
-    counted = rows.select("id", tokens(text).alias("words")).mapInArrow(lambda b: _postings(b, min_n, max_n), schema)
+    counted = postings(df, text, min_n, max_n, row_id, lambda b: b, schema)
     return (
         counted.join(vocab, "term")
         .select("index", F.inline(F.arrays_zip("ids", "ns")))
